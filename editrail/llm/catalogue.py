@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from editrail.llm import components
+from editrail.llm import components, textform
 
 
 def queries() -> dict:
-    return {"p3_found": components.p3_found}
+    return {"p3_found": components.p3_found, "p5_found": textform.p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
