@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from editrail.llm import components, textform
+from editrail.llm import components, textform, tokenize
 
 
 def queries() -> dict:
-    return {"p3_found": components.p3_found, "p5_found": textform.p5_found}
+    return {"p3_found": components.p3_found, "p5_found": textform.p5_found, "p6_ids": tokenize.p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
