@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from editrail.llm import components, packing, textform, tokenize
+from editrail.llm import canon, components, packing, textform, tokenize
 
 
 def queries() -> dict:
-    return {"p3_found": components.p3_found, "p5_found": textform.p5_found, "p6_ids": tokenize.p6_ids, "p7_containers": packing.p7_containers}
+    return {"p3_found": components.p3_found, "p4_found": canon.p4_found, "p5_found": textform.p5_found, "p6_ids": tokenize.p6_ids, "p7_containers": packing.p7_containers}
 
 
 def oracle_sql() -> dict[str, str]:
