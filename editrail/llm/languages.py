@@ -35,7 +35,8 @@ MEMORY_WORDS = 200_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _BLANK_LINES = re.compile(r"\n(?:[^\S\n]*\n)+").split
-_QUOTED = re.compile(r"\"[^\"]{1,400}\"|“[^”]{1,400}”|«[^»]{1,400}»|„[^“”]{1,400}[“”]|<[^<>]{1,200}>")
+_QUOTED = re.compile(r"\"[^\"]{1,400}\"|“[^”]{1,400}”|«[^»]{1,400}»|„[^“”]{1,400}[“”]")
+_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,8 +47,8 @@ def blocks_of(text: str) -> list[str]:
 
 
 def spoken(block: str) -> list[str]:
-    """Lower-cased words outside quotation marks and tags, or all words if hardly any is outside."""
-    if '"' in block or "<" in block or "“" in block or "«" in block or "„" in block:
+    """Lower-cased words outside quotation marks, or all words if hardly any is outside."""
+    if '"' in block or "“" in block or "«" in block or "„" in block:
         own = _WORDS(_QUOTED.sub(" ", block).lower())
         if sum(map(len, own)) >= 20:
             return own
@@ -221,7 +222,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_docs: int = TRAININ
 
 def fit(sample: list[tuple[str, str, bool]], order: int = ORDER, most_chars: int = TRAINING_CHARS) -> Labeller | None:
     """A labeller from labelled texts. Unreviewed texts that a first model contradicts are left out of the second."""
-    words = [[spoken(b) for b in blocks_of(t)] for t, _, _ in sample]
+    words = [[spoken(_TAG.sub(" ", b)) for b in blocks_of(t)] for t, _, _ in sample]
 
     def count(rows: list[int]) -> dict[str, Counter]:
         counts: dict[str, Counter] = {}
@@ -260,7 +261,7 @@ def label_blocks(docs: DataFrame, labeller: Labeller) -> DataFrame:
     doc_id, label (the document's own, as it stands), block_no, letters, lang, confidence, mixed:
     whether the document's blocks of at least BLOCK_LETTERS letters are in more than one language.
     A document's language is that of most of its letters; its confidence, their share weighed by the
-    blocks' confidences. Null and blank texts, and those without letters, have no rows. Repeated rows
+    blocks' confidences. Null and blank texts, and those without letters outside tags, have no rows. Repeated rows
     are labelled each; whole texts are read; extra columns aren't. One scan, no shuffle.
     """
     model = docs.sparkSession.sparkContext.broadcast(labeller)
@@ -276,6 +277,8 @@ def label_blocks(docs: DataFrame, labeller: Labeller) -> DataFrame:
         doc, no, letters, said = [], [], [], []
         for d, t in enumerate(texts):
             for k, b in enumerate(blocks_of(t) if t else [], 1):
+                if "<" in b:
+                    b = _TAG.sub(" ", b)
                 n = sum(map(len, _WORDS(b)))
                 if n:
                     doc.append(d)
