@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from editrail.llm import canon, components, languages, packing, textform, tokenize
+from editrail.llm import canon, components, languages, neardup, packing, textform, tokenize
 
 
 def queries() -> dict:
-    return {"p3_found": components.p3_found, "p4_found": canon.p4_found, "p5_found": textform.p5_found, "p6_ids": tokenize.p6_ids, "p7_containers": packing.p7_containers, "p8_found": languages.p8_found, "p8_languages": languages.p8_languages}
+    return {"p2_found": neardup.p2_found, "p3_found": components.p3_found, "p4_found": canon.p4_found, "p5_found": textform.p5_found, "p6_ids": tokenize.p6_ids, "p7_containers": packing.p7_containers, "p8_found": languages.p8_found, "p8_languages": languages.p8_languages}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": components.P3_SQL}
+    return {"p2_found": neardup.p2_found, "p3_found": components.P3_SQL}
