@@ -1,0 +1,259 @@
+"""Fixed-width report text -> headings in a tree -> paragraphs.
+
+Line work that needs no memory is SQL (functions.text); what depends on the lines before it is one pass
+over a document's lines in an Arrow batch, so a document is never split and nothing is shuffled.
+"""
+
+from __future__ import annotations
+
+import html
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from editrail.functions.text import line_kind
+
+_PRE = re.compile(r"<pre>(.*)</pre>", re.S | re.I)
+_CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
+_LEADER = re.compile(r"\.{4,}")
+_RULE = re.compile(r"^[-=_]{5,}$")
+_GAPS = re.compile(r"\S {2,}(?=\S)")
+_AMOUNT_END = re.compile(r"\d,\d{3}$")
+_ACRONYM = re.compile(r"\s*\([A-Z]{2,}\)\s*$")
+_YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
+_LEAD_IN = re.compile(r"^([A-Z][^.]{2,80}?)\.--")
+_PROVISION = re.compile(r"^(?:Section|Sec\.)\s+(\d+[A-Za-z]?)\b")
+_WRAP = re.compile(r"(?<=[a-z])- (?!(?:and|or)\b)(?=[a-z])")
+_TITLE = re.compile(r"^TITLE\s+[IVXL]+\b")
+# Words that open the heading of an agency or of a bureau.
+_AGENCY = re.compile(r"^(?:DEPARTMENT|MINISTRY|AGENCY|COMMISSION|DIRECTORATE|INSTITUTE)\b")
+_BUREAU = re.compile(r"^(?:OFFICE|BUREAU|SERVICE|ADMINISTRATION|DIVISION)\b")
+_BACK_MATTER = re.compile(r"^(?:COMPLIANCE WITH|COMPARATIVE STATEMENT|DISSENTING VIEWS|MINORITY VIEWS|ADDITIONAL VIEWS)")
+
+
+def report_text(raw: str) -> str:
+    """The <pre> block if there is one, entities resolved, control characters dropped."""
+    found = _PRE.search(raw)
+    return _CONTROL.sub("", html.unescape(found.group(1) if found else raw).replace("\r\n", "\n"))
+
+
+def is_heading(line: str) -> bool:
+    t = line.strip()
+    letters = [c for c in t if c.isalpha()]
+    if not letters or len(t) > 70 or t[-1] in ".,;" or t.endswith("--") or _LEADER.search(t) or len(re.findall(r"\d[\d,]*", t)) > 1:
+        return False
+    if _TITLE.match(t):
+        return True
+    indent = len(line) - len(line.lstrip(" "))
+    if indent < 6 and len(t) <= 58 and sum(c.isupper() for c in letters) < len(letters):
+        return False
+    capitals = sum(c.isupper() for c in letters) / len(letters)
+    centred = abs(indent - (70 - len(t)) / 2) <= 4
+    return capitals >= 0.9 or (centred and t[0].isupper() and len(t.split()) <= 10 and all(w[0].isupper() for w in t.split() if len(w) > 3))
+
+
+def kind_of(line: str) -> str:
+    t = line.strip()
+    if not t:
+        return "blank"
+    if _RULE.match(t):
+        return "rule"
+    if _LEADER.search(t):
+        return "leader"
+    return "heading" if is_heading(line) else "body"
+
+
+def is_table_row(line: str) -> bool:
+    gaps = len(_GAPS.findall(line.strip()))
+    return gaps >= 2 and (len(line.rstrip()) >= 76 or bool(_AMOUNT_END.search(line.rstrip())))
+
+
+def table_spans(lines: list[str], kinds: list[str]) -> list[tuple[int, int]]:
+    """(from, to) of the runs of lines that are tables: begun by a rule or two rows, ended by a heading or prose after a blank."""
+    out: list[tuple[int, int]] = []
+    i = 0
+    while i < len(lines):
+        rows = kinds[i] == "rule" or (is_table_row(lines[i]) and i + 1 < len(lines) and (is_table_row(lines[i + 1]) or kinds[i + 1] == "blank" and i + 2 < len(lines) and is_table_row(lines[i + 2])))
+        if rows:
+            j, last = i + 1, i
+            while j < len(lines):
+                if kinds[j] in ("rule", "leader") or is_table_row(lines[j]):
+                    last = j
+                elif kinds[j] == "heading" or (kinds[j] == "body" and kinds[j - 1] == "blank" and 2 <= len(lines[j]) - len(lines[j].lstrip(" ")) <= 8) or j - last > 3:
+                    break
+                j += 1
+            out.append((i, last + 1))
+            i = last + 1
+        elif kinds[i] == "leader":
+            if out and out[-1][1] == i:
+                out[-1] = (out[-1][0], i + 1)
+            else:
+                out.append((i, i + 1))
+            i += 1
+        else:
+            i += 1
+    return out
+
+
+def body_bounds(lines: list[str]) -> tuple[int, int]:
+    """First line after a table of contents among the first 400 lines, and the first line of back matter."""
+    start, end = 0, len(lines)
+    contents = next((i for i, x in enumerate(lines[:400]) if x.strip().upper() in ("CONTENTS", "C O N T E N T S")), None)
+    if contents is not None:
+        last = contents
+        for i in range(contents, min(len(lines), contents + 400)):
+            if _LEADER.search(lines[i]):
+                last = i
+            elif i - last > 15:
+                break
+        start = last + 1
+    for i in range(start, len(lines)):
+        if _BACK_MATTER.match(lines[i].strip().upper()) and not _LEADER.search(lines[i]):
+            end = i
+            break
+    return start, end
+
+
+def normal(heading: str) -> str:
+    t = _YEAR.sub("FY", _ACRONYM.sub("", heading).upper())
+    return re.sub(r" +", " ", re.sub(r"[^A-Z0-9 ]+", " ", t)).strip()
+
+
+def level_of(text: str) -> int:
+    if _TITLE.match(text):
+        return 0
+    return 1 if _AGENCY.match(text) else 2 if _BUREAU.match(text) else 3
+
+
+def typed(text: str) -> dict:
+    if m := _PROVISION.match(text):
+        return {"text": text, "kind": "gp_section", "topic": f"Section {m.group(1)}"}
+    if m := _LEAD_IN.match(text):
+        return {"text": text, "kind": "directive", "topic": m.group(1)}
+    return {"text": text, "kind": "narrative", "topic": None}
+
+
+def parse_contents(lines: list[str]) -> list[tuple[int, str]]:
+    """(depth, text) of the entries of a table of contents among the first 400 lines: leaders dropped, wrapped entries joined."""
+    out: list[tuple[int, str]] = []
+    begun, idle, half = False, 0, ""
+    for line in lines[:400]:
+        t = line.strip()
+        if t.upper() in ("CONTENTS", "C O N T E N T S"):
+            begun = True
+        elif begun and t:
+            depth = len(line) - len(line.lstrip(" "))
+            if m := _LEADER.search(t):
+                out.append((depth, (half + " " + t[: m.start()]).strip(" .:")))
+                half, idle = "", 0
+            elif t.endswith(":"):
+                out.append((depth, t.rstrip(":")))
+                idle = 0
+            else:
+                half, idle = t, idle + 1
+            if idle > 12:
+                break
+    return out if len(out) >= 5 else []
+
+
+def split_provisions(sections: list[dict]) -> list[dict]:
+    """A section with several numbered provisions (one, under a heading that says so) becomes a section each, the rest staying."""
+    out: list[dict] = []
+    for s in sections:
+        numbered = [k for k, p in enumerate(s["paragraphs"]) if p["kind"] == "gp_section"]
+        if len(numbered) < (1 if "PROVISION" in s["heading"].upper() else 2):
+            out.append(s)
+            continue
+        first = numbered[0]
+        if s["paragraphs"][:first] or s["table_spans"]:
+            out.append({**s, "paragraphs": s["paragraphs"][:first]})
+        for a, b in zip(numbered, [*numbered[1:], len(s["paragraphs"])]):
+            name = f"SEC {s['paragraphs'][a]['topic'].split()[1].upper()}"
+            out.append({**s, "heading": name.title(), "level": 4, "path": [*s["path"][:1], name], "paragraphs": s["paragraphs"][a:b], "table_spans": 0, "printed_under": s["path"]})
+    return out
+
+
+def segment(raw: str) -> list[dict]:
+    """Sections of a report in reading order; those without paragraphs and tables are left out."""
+    lines = report_text(raw).split("\n")
+    start, end = body_bounds(lines)
+    lines = lines[:end]
+    kinds = ["blank" if i < start else kind_of(x) for i, x in enumerate(lines)]
+    spans = table_spans(lines, kinds)
+    in_table = [False] * len(lines)
+    for a, b in spans:
+        in_table[a:b] = [True] * (b - a)
+    begins = {a for a, _ in spans}
+    sections: list[dict] = []
+    names: dict[int, str] = {}
+    held: list[str] = []
+
+    def open_section(heading: str) -> None:
+        text = normal(heading)
+        level = level_of(text)
+        for deeper in [k for k in names if k >= level]:
+            del names[deeper]
+        names[level] = text
+        sections.append({"heading": heading, "level": level, "path": [names[k] for k in sorted(names)], "paragraphs": [], "table_spans": 0, "printed_under": None})
+
+    def flush() -> None:
+        if held:
+            if not sections:
+                sections.append({"heading": "", "level": 0, "path": [""], "paragraphs": [], "table_spans": 0, "printed_under": None})
+            sections[-1]["paragraphs"].append(typed(_WRAP.sub("", re.sub(r"\s+", " ", " ".join(held)).strip())))
+            held.clear()
+
+    heading: list[str] = []
+    for i, line in enumerate(lines):
+        if kinds[i] == "heading" and not in_table[i]:
+            flush()
+            heading.append(line.strip())
+            continue
+        if heading:
+            open_section(" ".join(heading))
+            heading = []
+        if in_table[i]:
+            flush()
+            if i in begins and sections:
+                sections[-1]["table_spans"] += 1
+        elif kinds[i] == "blank":
+            flush()
+        else:
+            if held and 2 <= len(line) - len(line.lstrip(" ")) <= 8:
+                flush()
+            held.append(line.strip())
+    flush()
+    if heading:
+        open_section(" ".join(heading))
+    kept = [s for s in sections if s["paragraphs"] or s["table_spans"]]
+    return [s for s in split_provisions(kept) if s["paragraphs"] or s["table_spans"]]
+
+
+SECTIONS = (
+    "doc string, seq int, heading string, level int, path array<string>, paragraphs array<struct<text:string,kind:string,topic:string>>, "
+    "table_spans int, printed_under array<string>"
+)
+
+
+def segment_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """A row per section of every document; null texts have none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for doc, raw in zip(frame["doc"], frame["text"]):
+                for seq, s in enumerate(segment(raw)):
+                    out.append((doc, seq, s["heading"], s["level"], s["path"], s["paragraphs"], s["table_spans"], s["printed_under"]))
+            yield pd.DataFrame(out, columns=["doc", "seq", "heading", "level", "path", "paragraphs", "table_spans", "printed_under"])
+
+    slim = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("doc"), F.col(text).alias("text"))
+    return slim.mapInPandas(run, SECTIONS)
+
+
+def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_no, line, kind) of every line of every document, by SQL alone."""
+    rows = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return rows.withColumn("kind", line_kind(F.col("line")))

@@ -1,13 +1,376 @@
-"""Named queries of the core and their SQL checks."""
+"""Named queries of the core, each over whole tables, and their SQL checks."""
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from editrail.functions import similarity as sim
+from editrail.functions import text as tx
+from editrail.operators import align as al
+from editrail.operators import chain as ch
+from editrail.operators import diff as df_
+from editrail.operators import segment as sg
 from editrail.operators import snapshots
+from editrail.plans import evaluate as ev
+from editrail.plans import oracles as o
+from editrail.plans import views as vw
+from editrail.runtime import cut, read_table
+from editrail.sources import reports as src
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return src.pairs(src.editions(spark, d))
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return al.sides(_pairs(spark, d), src.sections(spark, d))
+
+
+# ---- sources and catalog
+
+
+def catalog_latest(spark, d):
+    return src.catalog(spark, d).select("package_id", "chamber", "subcommittee", "fiscal_year", "stage", "title")
+
+
+def catalog_union(spark, d):
+    c = src.catalog(spark, d)
+    main = c.where("source <> 'prerelease' AND stage = 'committee'").select("package_id", "chamber", "stage")
+    return src.union_new(main, c.where("fiscal_year >= 2015").select("package_id", "chamber", "stage"))
+
+
+def catalog_upsert(spark, d):
+    c = src.catalog(spark, d).select("package_id", "stage", "fiscal_year")
+    changes = c.where("stage = 'reported'").withColumn("stage", F.lit("committee"))
+    return src.upsert(c, changes)
+
+
+def usable_reports(spark, d):
+    return src.usable(src.catalog(spark, d)).select("package_id", "chamber", "subcommittee", "fiscal_year")
+
+
+def like_for_like(spark, d):
+    c = src.catalog(spark, d).select("package_id", "chamber", "fiscal_year", "local_path", "pdf_url", F.coalesce("from_pdf", F.lit(False)).alias("from_pdf"))
+    return src.like_for_like(c, ["chamber", "fiscal_year"]).select("package_id", "from_pdf")
+
+
+def catalog_paths(spark, d):
+    c = src.catalog(spark, d)
+    return c.select("package_id", src.raw_path().alias("path"), src.pdf_path(src.raw_path()).alias("pdf"), tx.safe_url(F.col("html_url")).alias("url"))
+
+
+def lexicon_unambiguous(spark, d):
+    s = src.sections(spark, d).where(F.size("path") >= 3)
+    return src.unambiguous(s.select(F.get("path", F.lit(2)).alias("child"), F.get("path", F.lit(1)).alias("parent")), "child", "parent")
+
+
+# ---- pairing
+
+
+def pair_adjacent_years(spark, d):
+    return _pairs(spark, d).select("pair", "old_fy", "new_fy", "old_package", "new_package", F.col("year_delta").cast("int").alias("year_delta"))
+
+
+def chain_transitions(spark, d):
+    return vw.transitions(src.editions(spark, d))
+
+
+def stub_editions(spark, d):
+    return vw.without_stubs(src.editions(spark, d), src.sections(spark, d))
+
+
+# ---- alignment
+
+
+def align_exact_path(spark, d):
+    return al.exact_path(*_sides(spark, d))
+
+
+def removed_sections(spark, d):
+    old, new = _sides(spark, d)
+    return al.left_over(old, al.exact_path(old, new), "old_id").select("pair", "section_id")
+
+
+def added_sections(spark, d):
+    old, new = _sides(spark, d)
+    return al.left_over(new, al.exact_path(old, new), "new_id").select("pair", "section_id")
+
+
+def align_unique_heading(spark, d):
+    old, new = _sides(spark, d)
+    first = al.exact_path(old, new)
+    return al.unique_heading(al.left_over(old, first, "old_id"), al.left_over(new, first, "new_id"))
+
+
+def align_cascade(spark, d):
+    matched, _ = al.align(*_sides(spark, d))
+    return matched.select("pair", "old_id", "new_id", "match_pass", F.round("score", 6).alias("score"))
+
+
+def align_candidates(spark, d):
+    _, traced = al.align(*_sides(spark, d))
+    return traced.select("pair", "old_id", "new_id", "match_pass", F.round("score", 6).alias("score"), "accepted")
+
+
+def _counterparts(spark, d):
+    old, new = _sides(spark, d)
+    matched, _ = al.align(old, new)
+    best = cut(al.best_counterparts(al.left_over(old, matched, "old_id"), al.left_over(new, matched, "new_id")))
+    paths = matched.join(old.select("pair", F.col("section_id").alias("old_id"), F.col("path").alias("old_path")), ["pair", "old_id"])
+    paths = paths.join(new.select("pair", F.col("section_id").alias("new_id"), F.col("path").alias("new_path")), ["pair", "new_id"])
+    return best, paths
+
+
+def rename_promotion(spark, d):
+    return al.promote_renames(*_counterparts(spark, d))
+
+
+def related_hints(spark, d):
+    return al.related(_counterparts(spark, d)[0])
+
+
+# ---- texts
+
+
+def mask_text(spark, d):
+    return src.paragraphs(spark, d).where("text IS NOT NULL").select("para_id", F.md5(tx.mask(F.col("text"))).alias("masked"))
+
+
+def heading_normalise(spark, d):
+    h = read_table(spark, d, "headings").where("text IS NOT NULL AND text RLIKE '^[ -~]*$'").select("heading_id", "text").distinct()
+    return h.select("heading_id", tx.normal_heading(F.col("text")).alias("heading"), tx.normal_name(F.col("text")).alias("name"), tx.comparison_key(F.col("text")).alias("key"))
+
+
+def paragraph_kinds(spark, d):
+    p = src.paragraphs(spark, d).where("text RLIKE '^[ -~]*$'")
+    return p.select("para_id", tx.paragraph_kind(F.col("text")).alias("kind"), tx.paragraph_topic(F.col("text")).alias("topic"))
+
+
+def family_counts(spark, d):
+    p = src.paragraphs(spark, d).where("text RLIKE '^[ -~]*$'")
+    return p.select("para_id", *tx.family_counts(F.col("text")))
+
+
+def describe_tags(spark, d):
+    p = src.paragraphs(spark, d).where("text RLIKE '^[ -~]*$'")
+    return p.select("para_id", F.array_join(tx.tags(F.col("text")), ",").alias("tags"))
+
+
+def line_kinds(spark, d):
+    docs = read_table(spark, d, "documents").where("text IS NOT NULL")
+    lines = sg.lines_of(docs, "doc_id", "text")
+    return lines.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum("line_no").alias("line_sum"), F.count_if(tx.is_columnar(F.col("line"))).alias("columnar"))
+
+
+def word_totals(spark, d):
+    return src.paragraphs(spark, d).where("text RLIKE '^[ -~]*$'").groupBy("package_id", "kind").agg(F.sum(tx.word_count(F.col("text"))).cast("long").alias("words"), F.count("*").alias("n"))
+
+
+def anchors(spark, d):
+    s = src.sections(spark, d).where(F.size("path") > 0)
+    return ch.with_anchors(s, ["package_id"], ["seq", "section_id"]).select("section_id", "anchor")
+
+
+# ---- differences
+
+
+def _matched_paragraphs(spark, d):
+    old, new = _sides(spark, d)
+    m = al.exact_path(old, new)
+    m = m.join(old.select("pair", F.col("section_id").alias("old_id"), F.col("paragraphs").alias("old_paragraphs"), F.col("seq").alias("old_seq")), ["pair", "old_id"])
+    return m.join(new.select("pair", F.col("section_id").alias("new_id"), F.col("paragraphs").alias("new_paragraphs"), F.col("seq").alias("new_seq"), "path"), ["pair", "new_id"])
+
+
+def masked_section_changes(spark, d):
+    m = _matched_paragraphs(spark, d)
+    join = lambda c: F.array_join(F.transform(c, lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
+    a, b = join("old_paragraphs"), join("new_paragraphs")
+    kind = F.when(a == b, "unchanged").when(tx.mask(a) == tx.mask(b), "numbers only").otherwise("language")
+    return m.withColumn("kind", kind).groupBy("pair", "kind").agg(F.count("*").alias("n"))
+
+
+def paragraph_diffs(spark, d):
+    out = df_.paragraph_diffs(_matched_paragraphs(spark, d))
+    return out.select("pair", "old_id", "new_id", "idx", "change", "literal", "changed_words", F.size("flags").alias("n_flags"))
+
+
+def word_diff(spark, d):
+    out = df_.paragraph_diffs(_matched_paragraphs(spark, d)).where(F.size("edits") > 0)
+    return out.select("pair", "old_id", "new_id", "idx", vw.redline(F.col("edits")).alias("redline"), sim.edited_words(F.col("edits")).alias("words"))
+
+
+def section_class(spark, d):
+    return df_.section_diffs(df_.paragraph_diffs(_matched_paragraphs(spark, d)))
+
+
+def change_counts(spark, d):
+    return vw.counts(section_class(spark, d), removed_sections(spark, d), added_sections(spark, d))
+
+
+def policy_summary(spark, d):
+    return vw.flag_summary(df_.paragraph_diffs(_matched_paragraphs(spark, d)))
+
+
+def significance(spark, d):
+    m = _matched_paragraphs(spark, d)
+    p = cut(df_.paragraph_diffs(m))
+    p = p.withColumn("section", F.concat_ws(":", "pair", "old_id", "new_id"))
+    s = df_.section_diffs(p).withColumn("section", F.concat_ws(":", "pair", "old_id", "new_id"))
+    flags = p.select("section", F.col("idx").alias("paragraph"), F.explode("flags").alias("f")).select("section", "paragraph", "f.category")
+    boosts = p.groupBy("section").agg(F.max(ch.boost(F.col("kind"), F.col("change"))).alias("boost"))
+    return ch.significance(s, flags, boosts).select("pair", "old_id", "new_id", "change", "changed_words", F.round("score", 4).alias("score"))
+
+
+def rank_top_k(spark, d):
+    w = Window.partitionBy("pair").orderBy(F.desc("score"), "new_id")
+    return significance(spark, d).withColumn("place", F.row_number().over(w)).where("place <= 10")
+
+
+def new_section_scores(spark, d):
+    """Sections of one side only: their words by the weight of their class, directives lifting them."""
+    old, new = _sides(spark, d)
+    m = al.exact_path(old, new)
+    lone = lambda side, id_, label: al.left_over(side, m, id_).select("pair", "section_id", "paragraphs", F.lit(label).alias("change"))
+    rows = lone(old, "old_id", "dropped").unionByName(lone(new, "new_id", "new"))
+    words = F.aggregate("paragraphs", F.lit(0), lambda n, p: n + tx.word_count(F.coalesce(p["text"], F.lit(""))))
+    lift = F.when(F.exists("paragraphs", lambda p: p["kind"] == "directive"), ch.LONE_DIRECTIVE).otherwise(1.0)
+    return rows.select("pair", "section_id", "change", words.cast("int").alias("words"), (words * 2.0 * lift).alias("score"))
+
+
+def document_order(spark, d):
+    old, new = _sides(spark, d)
+    m = al.exact_path(old, new)
+    o_, n_ = old.select("pair", F.col("section_id").alias("old_id"), F.col("seq").alias("old_seq")), new.select("pair", F.col("section_id").alias("new_id"), F.col("seq").alias("new_seq"))
+    rows = m.join(o_, ["pair", "old_id"], "right").join(n_, ["pair", "new_id"], "full")
+    placed = ch.document_order(rows, ["pair"])
+    return placed.select("pair", "old_id", "new_id", F.col("place_new").cast("int").alias("place_new"), F.col("place_old").cast("int").alias("place_old"))
+
+
+# ---- moves
+
+
+def _loose(spark, d):
+    old, new = _sides(spark, d)
+    m = al.exact_path(old, new)
+
+    def texts(side, id_):
+        rows = al.left_over(side, m, id_).select("pair", F.col("section_id").alias("section"), F.posexplode("paragraphs").alias("idx", "p"))
+        rows = rows.select("pair", "section", F.concat_ws(":", "section", "idx").alias("key"), (F.col("section") * 1000 + F.col("idx")).alias("ord"), "p.text", "p.topic", "p.kind")
+        return rows.where("text IS NOT NULL")
+
+    return texts(old, "old_id"), texts(new, "new_id")
+
+
+def moves_verbatim(spark, d):
+    return ch.moved_verbatim(*_loose(spark, d), ["pair"]).select("pair", "old_key", "new_key")
+
+
+def moves_same_topic(spark, d):
+    return ch.moved_same_topic(*_loose(spark, d), ["pair"]).withColumn("score", F.round("score", 6))
+
+
+def moves_near(spark, d):
+    return ch.moved_nearly(*_loose(spark, d), ["pair"]).withColumn("score", F.round("score", 6))
+
+
+# ---- threads over the years
+
+
+def _links(spark, d):
+    return al.exact_path(*_sides(spark, d)).select("old_id", "new_id")
+
+
+def thread_ids(spark, d):
+    return ch.thread_heads(_links(spark, d)).select(F.col("node").alias("section_id"), F.col("head").alias("thread"))
+
+
+def _cells(spark, d):
+    heads = cut(ch.thread_heads(_links(spark, d)))
+    s = src.sections(spark, d).where(F.size("path") > 0).join(src.editions(spark, d), "package_id")
+    s = s.join(heads.withColumnRenamed("node", "section_id"), "section_id", "left").withColumn("thread", F.coalesce("head", "section_id"))
+    m = _matched_paragraphs(spark, d)
+    join = lambda c: F.array_join(F.transform(c, lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
+    a, b = join("old_paragraphs"), join("new_paragraphs")
+    kind = F.when(a == b, "unchanged").when(tx.mask(a) == tx.mask(b), "numbers only").otherwise("substantive")
+    s = s.join(m.select(F.col("new_id").alias("section_id"), kind.alias("change")), "section_id", "left")
+    return s.select("thread", "chamber", "slug", "fy", "section_id", "heading", "path", F.coalesce("change", F.lit("new")).alias("change"))
+
+
+def provenance(spark, d):
+    return ch.provenance(_cells(spark, d).select("thread", "fy", "change"))
+
+
+def name_runs(spark, d):
+    r = ch.runs(_cells(spark, d).select("thread", "fy", "heading"), ["thread"], "fy", "heading")
+    return r.select("thread", "heading", F.col("first").alias("first_fy"), F.col("last").alias("last_fy"), "n")
+
+
+def thread_rows(spark, d):
+    return vw.account_rows(_cells(spark, d))
+
+
+def chain_pivot(spark, d):
+    return vw.timeline(_cells(spark, d))
+
+
+def stitch_returned(spark, d):
+    return vw.stitch(_cells(spark, d), src.editions(spark, d))
+
+
+# ---- segmentation
+
+
+def segment_documents(spark, d):
+    out = sg.segment_documents(read_table(spark, d, "documents"), "doc_id", "text")
+    return out.select("doc", "seq", "heading", "level", "path", F.size("paragraphs").alias("n_paragraphs"), "table_spans")
+
+
+def leader_spans(spark, d):
+    docs = read_table(spark, d, "documents").where("text IS NOT NULL")
+    lines = sg.lines_of(docs, "doc_id", "text").where("kind IN ('leader', 'table_rule')")
+    return ch.merge_spans(lines.select("doc_id", F.col("line_no").alias("start"), (F.col("line_no") + 1).alias("end")), ["doc_id"], "start", "end")
+
+
+# ---- similarity kernels
+
+
+def token_sets(spark, d):
+    m = _matched_paragraphs(spark, d)
+    text = lambda c: F.lower(F.array_join(F.transform(c, lambda p: F.coalesce(p["text"], F.lit(""))), " "))
+    words = lambda c: F.array_distinct(F.filter(F.split(text(c), "[ \\t\\r\\n]+"), lambda w: w != ""))
+    a, b = words("old_paragraphs"), words("new_paragraphs")
+    return m.select("pair", "old_id", "new_id", F.size(F.array_intersect(a, b)).alias("shared"), F.size(F.array_except(a, b)).alias("only_old"), F.size(F.array_except(b, a)).alias("only_new"))
+
+
+def indel_scores(spark, d):
+    m = _matched_paragraphs(spark, d)
+    a, b = al.body(F.col("old_paragraphs"), 1500), al.body(F.col("new_paragraphs"), 1500)
+    return m.select("pair", "old_id", "new_id", F.round(sim.indel(a, b), 6).alias("indel"), F.round(sim.token_set(a, b), 6).alias("token_set"), F.round(sim.word_blocks(a, b), 6).alias("blocks"), F.round(sim.word_bag(a, b), 6).alias("bag"))
+
+
+def _bind(f):
+    return lambda spark, sf_dir: f(spark, sf_dir)
+
+
+_QUERIES = [
+    catalog_latest, catalog_union, catalog_upsert, usable_reports, like_for_like, catalog_paths, lexicon_unambiguous,
+    pair_adjacent_years, chain_transitions, stub_editions,
+    align_exact_path, removed_sections, added_sections, align_unique_heading, align_cascade, align_candidates, rename_promotion, related_hints,
+    mask_text, heading_normalise, paragraph_kinds, family_counts, describe_tags, line_kinds, word_totals, anchors,
+    masked_section_changes, paragraph_diffs, word_diff, section_class, change_counts, policy_summary, significance, rank_top_k, new_section_scores, document_order,
+    moves_verbatim, moves_same_topic, moves_near,
+    thread_ids, provenance, name_runs, thread_rows, chain_pivot, stitch_returned,
+    segment_documents, leader_spans, token_sets, indel_scores,
+]
 
 
 def queries() -> dict:
-    return {"p1_found": snapshots.p1_found}
+    return {"p1_found": snapshots.p1_found} | {f.__name__: _bind(f) for f in _QUERIES} | {n: partial(f) for n, f in ev.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": snapshots.P1_SQL}
+    return {"p1_found": snapshots.P1_SQL} | o.ORACLES
