@@ -4,15 +4,14 @@ Size-aware heavy-light join, exact at any size of the collection. Tokens (hashed
 put in one order, rare ones first, by a fixed-size count of all of them. Two sets that are similar
 enough share a token within a prefix of each (n - t + 1 of n tokens, t the least possible overlap), and
 k of them within a prefix longer by k - 1. Large sets scan the inverted lists of their prefix tokens;
-small sets, whose lists would be long, enumerate fixed-size subsets (pairs) of their prefix instead.
-The size that divides them is the one of least total cost, counted over all sets.
+small sets, for which that would cost more, enumerate fixed-size subsets (pairs) of their prefix
+instead. The size that divides them is the one of least total cost, counted over all sets.
 
-Lists aren't joined with themselves. The members of a list are named after its least member, and that
-name is followed one step on, so the lists of one family of records mostly come under one name; each
-set is sent once to each of its names, and the join by lists and subsets is done and verified there in
-vectorised form. A name with too many members is worked off in pairs of blocks.
+Lists are scanned in vectorised blocks. A set goes to a task once, with a 192-bit parity map of its
+tokens; the maps of two sets bound their overlap from above, which drops nearly all pairs that share a
+token by chance before anything is sent on. What is left is verified on the sets themselves.
 
-What travels is 32-bit hashes of words in their order. Equal sets travel once: copies are expanded at the end.
+Texts travel as 32-bit hashes of their words in order. Equal texts travel once: copies are expanded at the end.
 """
 
 from __future__ import annotations
@@ -32,14 +31,12 @@ from editrail.runtime import read_table
 #: Counters of the token count; tokens that share one are counted together, which affects cost alone.
 COUNTERS = 1 << 18
 _SLICES = 8
+#: Bits of a set's parity map; more let fewer chance pairs through.
+MAP_BITS = 192
 #: What scanning one entry of a list costs, in postings sent.
-SCAN_COST = 1 / 16
-#: Members of a name beyond which it is worked off in pairs of blocks.
-BLOCK_ROWS = 10_000
-#: Rows that a task joins at a time (whole names, so it may be more by one name).
-CHUNK_ROWS = 20_000
-#: Pairs verified at a time.
-CHUNK_PAIRS = 50_000
+SCAN_COST = 1 / 64
+#: Entries of lists that a task scans at a time, and pairs that it verifies at a time.
+CHUNK_SCANS, CHUNK_PAIRS = 1_000_000, 8_000
 #: Words whose hashes a worker keeps; beyond it the memory starts anew.
 MEMORY_WORDS = 500_000
 
@@ -67,33 +64,46 @@ def _hash_words(words: list[str]) -> list[int]:
     return out
 
 
+def _tokens(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(record, token) of every sequence of `width` words, in order, repeats included."""
+    sizes = np.array([len(w) // 4 for w in words], dtype=np.int64)
+    flat = np.frombuffer(b"".join(words), dtype=np.uint32).astype(np.uint64)
+    grams = np.maximum(sizes - (width - 1), 0)
+    record = np.repeat(np.arange(len(words)), grams)
+    first = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(grams) - grams), grams) + np.arange(len(record))
+    token = np.zeros(len(record), dtype=np.uint64)
+    for k in range(width):
+        token = _mix((token << _S32 | token >> _S32) + flat[first + k] * _M3 + np.uint64(k + 1))
+    return record, token
+
+
 class Sets:
-    """Token sets of many records, flat: tokens sorted within each record, repeats dropped."""
-
-    def __init__(self, words: list[bytes], width: int):
-        sizes = np.array([len(w) // 4 for w in words], dtype=np.int64)
-        flat = np.frombuffer(b"".join(words), dtype=np.uint32).astype(np.uint64)
-        grams = np.maximum(sizes - (width - 1), 0)
-        record = np.repeat(np.arange(len(words)), grams)
-        first = np.repeat(np.cumsum(sizes) - sizes, grams) + np.arange(len(record)) - np.repeat(np.cumsum(grams) - grams, grams)
-        token = np.zeros(len(record), dtype=np.uint64)
-        for k in range(width):
-            token = _mix((token << _S32 | token >> _S32) + flat[first + k] * _M3 + np.uint64(k + 1))
-        order = np.lexsort((token, record))
-        record, token = record[order], token[order]
+    """Token sets of many records, flat: within a record by rising count, if counts are given, then by hash; repeats dropped."""
+
+    def __init__(self, words: list[bytes], width: int, counts: np.ndarray | None = None):
+        record, token = _tokens(words, width)
+        count = np.zeros(len(token), dtype=np.int64) if counts is None else counts[(token & np.uint64(len(counts) - 1)).astype(np.int64)]
+        if len(words) <= 1 << 14:
+            # one machine word holds record, count (capped alike for all) and the upper half of the hash
+            lead = record.astype(np.uint64) << np.uint64(50) | np.minimum(count, (1 << 18) - 1).astype(np.uint64) << _S32 | token >> _S32
+            order = np.argsort(lead)
+            lead, ranked = lead[order], token[order]
+            tied = ((lead[1:] == lead[:-1]) & (ranked[1:] != ranked[:-1])).any()
+        if len(words) > 1 << 14 or tied:
+            order = np.lexsort((token & np.uint64((1 << 32) - 1), token >> _S32, np.minimum(count, (1 << 18) - 1), record))
+        record, token, count = record[order], token[order], count[order]
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (record[1:] != record[:-1])
-        self.record, self.token = record[new], token[new]
+        self.record, self.token, self.count = record[new], token[new], count[new]
         self.n = np.bincount(self.record, minlength=len(words))
         self.start = np.cumsum(self.n) - self.n
+        self.rank = np.arange(len(self.record)) - self.start[self.record]
 
-    def names(self) -> np.ndarray:
-        """A non-negative 63-bit number of each set, equal for equal sets; -1 for empty ones."""
-        total = np.zeros(len(self.n), dtype=np.uint64)
-        some = self.n > 0
-        if len(self.token):
-            total[some] = np.add.reduceat(_mix(self.token), self.start[some])
-        return np.where(some, (_mix(total + self.n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64), -1)
+    def parity(self) -> np.ndarray:
+        """(records, 3): a 192-bit map of each set; a bit says whether an odd number of its tokens hash there."""
+        cell = self.record * MAP_BITS + (_mix(self.token) % np.uint64(MAP_BITS)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=MAP_BITS * len(self.n)) & 1).astype(np.uint8)
+        return np.packbits(odd).view(np.uint64).reshape(-1, MAP_BITS // 64)
 
 
 class Plan:
@@ -106,21 +116,26 @@ class Plan:
         num, den = self.threshold.numerator, self.threshold.denominator
         return n - -(-num * n // den) + 1
 
-    def ranked(self, sets: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Record, token, rank within the record by rising count, and count, of each token."""
-        count = self.counts[(sets.token & np.uint64(len(self.counts) - 1)).astype(np.int64)]
-        order = np.lexsort((sets.token, count, sets.record))
-        record, token, count = sets.record[order], sets.token[order], count[order]
-        return record, token, np.arange(len(record)) - sets.start[record], count
+    def sets(self, words: list[bytes]) -> Sets:
+        return Sets(words, self.width, self.counts)
+
+    def least_overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of sets of these sizes that are similar enough."""
+        num, den = self.threshold.numerator, self.threshold.denominator
+        return -(-num * (a + b) // (num + den))
+
+    def keys(self, sets: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(record, key, short): under which lists and subsets each set is found. Sets of one token equal their partners.
 
-    def keys(self, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
-        """(record, key): under which lists and subsets each set is found. Sets of one token equal their partners."""
-        record, token, rank, _ = self.ranked(sets)
+        A set need only be sought among larger ones within a shorter prefix; short says whether an entry is in it.
+        """
+        record, token, rank = sets.record, sets.token, sets.rank
         n, p = sets.n, self.prefix(sets.n)
+        brief = n - self.least_overlap(n, n) + 1
         # small sets stand in lists too if a large set may be their partner
         listed = (n > max(1, self.small)) | (n * self.threshold.denominator >= (self.small + 1) * self.threshold.numerator) & (n > 1)
         at = listed[record] & (rank < p[record])
-        records, keys = [record[at]], [token[at]]
+        records, keys, short = [record[at]], [token[at]], [rank[at] < brief[record[at]]]
         subsets = (n > 1) & (n <= self.small)
         for q in np.unique(p[subsets] + 1) if subsets.any() else []:
             rows = np.flatnonzero(subsets & (p + 1 == q))
@@ -130,12 +145,13 @@ class Plan:
             a, b = token[starts + i], token[starts + j]
             records.append(np.repeat(rows, len(i)))
             keys.append(_mix(np.minimum(a, b) * _M3 + np.maximum(a, b)).ravel())
-        return np.concatenate(records), np.concatenate(keys)
+            short.append(np.ones(a.size, dtype=bool))
+        return np.concatenate(records), np.concatenate(keys), np.concatenate(short)
 
 
 def _parse(rows: DataFrame, width: int) -> DataFrame:
-    """Two kinds of rows: (is_set false, kk = id, id, at, k) of every row, (is_set true, kk, k, words) of every set of a task."""
-    schema = f"is_set boolean, kk long, id long, at {rows.schema['at'].dataType.simpleString()}, k long, words binary"
+    """Two kinds of rows: (is_set false, at_key = id, id, at, k) of every row, (is_set true, at_key = k, k, words) of every set of a task."""
+    schema = f"is_set boolean, at_key long, id long, at {rows.schema['at'].dataType.simpleString()}, k long, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -146,7 +162,7 @@ def _parse(rows: DataFrame, width: int) -> DataFrame:
                 if t:
                     said += _hash_words(_ASCII_RUNS(t.lower()))
                 words.append(np.array(said, dtype=np.uint32).tobytes())
-            names = Sets(words, width).names()
+            names = np.array([xxhash.xxh3_64_intdigest(w) >> 1 if len(w) >= 4 * width else -1 for w in words], dtype=np.int64)
             first = []
             for i, k in enumerate(names.tolist()):
                 if k >= 0 and k not in seen:
@@ -157,13 +173,13 @@ def _parse(rows: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(n + m) >= n),
-                    pa.concat_arrays([b.column(0), pa.array(some >> 16)]),
+                    pa.concat_arrays([b.column(0), pa.array(some)]),
                     pa.concat_arrays([b.column(0), pa.nulls(m, pa.int64())]),
                     pa.concat_arrays([b.column(1), pa.nulls(m, b.column(1).type)]),
                     pa.array(np.concatenate([names, some])),
                     pa.array([None] * n + [words[i] for i in first], pa.binary()),
                 ],
-                names=["is_set", "kk", "id", "at", "k", "words"],
+                names=["is_set", "at_key", "id", "at", "k", "words"],
             )
 
     return rows.mapInArrow(run, schema)
@@ -180,7 +196,7 @@ def _count_tokens(sets: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
         for b in batches:
-            total += np.bincount((Sets(_words_of(b), width).token & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            total += np.bincount((_tokens(_words_of(b), width)[1] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         if total.any():
             parts = [total[s * size : (s + 1) * size].tobytes() for s in range(_SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SLICES, dtype=np.int32)), pa.array(parts, pa.binary())], names=["slice", "counts"])
@@ -207,10 +223,10 @@ def _boundary(sets: DataFrame, plan_of) -> int:
         plan = plan_of()
         by_size: dict[int, np.ndarray] = {}
         for b in batches:
-            s = Sets(_words_of(b), plan.width)
-            record, _, rank, count = plan.ranked(s)
+            s = plan.sets(_words_of(b))
             p = plan.prefix(s.n)
-            scans = np.bincount(record[rank < p[record]], weights=count[rank < p[record]], minlength=len(s.n))
+            listed = s.rank < p[s.record]
+            scans = np.bincount(s.record[listed], weights=s.count[listed], minlength=len(s.n))
             for n in np.unique(s.n[s.n > 1]):
                 of = s.n == n
                 q = int(p[of][0])
@@ -232,171 +248,139 @@ def _boundary(sets: DataFrame, plan_of) -> int:
     return best
 
 
-_TOKEN_BYTES, _NAME_BYTES = 5, 6
+#: Low bytes of a list's or subset's hash that are sent; more of it is in the task the entry is sent to.
+_KEY_BYTES = 5
 
 
-def _packed(values: np.ndarray, width: int) -> bytes:
-    """Low bytes of each value, byte by byte in planes, so that constant bytes compress away."""
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Low bytes of each value, all first bytes first: what is constant or sorted in them compresses away."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _unpacked(data: list[bytes], width: int) -> np.ndarray:
-    out = []
-    for d in data:
-        full = np.zeros((len(d) // width, 8), dtype=np.uint8)
-        full[:, :width] = np.frombuffer(d, dtype=np.uint8).reshape(width, -1).T
-        out.append(full.reshape(-1).view("<u8"))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+def _from_planes(data: bytes, width: int) -> np.ndarray:
+    full = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    full[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T
+    return full.reshape(-1).view("<u8")
+
 
+_BUNDLE = "part int, names binary, sizes binary, maps binary, keys binary, entries binary"
 
-def _lists(sets: DataFrame, plan_of, parts: int) -> DataFrame:
-    """(kk, m): of each set, the least members m of the lists it is in that have another member."""
+
+def _bundles(sets: DataFrame, plan_of, parts: int) -> DataFrame:
+    """For each task of the join, of each batch: the sets it gets (name, size, parity map), and its list entries (key, set and whether short)."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = plan_of()
         for b in batches:
-            record, key = plan.keys(Sets(_words_of(b), plan.width))
-            kk = np.asarray(b.column("kk")).astype(np.uint64)[record]
-            bucket = ((key >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
-            full = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
-            piece = [order[cuts[k] : cuts[k + 1]] for k in full]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([_packed(key[i], _TOKEN_BYTES) for i in piece], pa.binary()), pa.array([_packed(kk[i], _NAME_BYTES) for i in piece], pa.binary())],
-                names=["bucket", "tokens", "members"],
-            )
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-        for b in batches:
-            for k, t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own = held.setdefault(k, ([], []))
-                own[0].append(t)
-                own[1].append(m)
-        while held:
-            _, (t, m) = held.popitem()
-            token, member = _unpacked(t, _TOKEN_BYTES), _unpacked(m, _NAME_BYTES)
-            order = np.lexsort((member, token))
-            token, member = token[order], member[order]
-            head = np.ones(len(token), dtype=bool)
-            head[1:] = token[1:] != token[:-1]
-            low = member[head][np.cumsum(head) - 1]
-            # lists of one set alone (given several times, at most) lead nowhere
-            last = np.append(np.flatnonzero(head)[1:], len(token)) - 1
-            more = (member[last] != member[head])[np.cumsum(head) - 1]
-            pair = np.unique(np.stack([member[more], low[more]]), axis=1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["kk", "m"])
-
-    slim = sets.select("kk", "words")
-    return slim.mapInArrow(post, "bucket int, tokens binary, members binary").repartition(parts, "bucket").mapInArrow(least, "kk long, m long")
-
-
-def _families(lists: DataFrame) -> DataFrame:
-    """(kk, names): of each set, the names (g, blocks) it goes under; sets that share a list share a name."""
-    up = lists.groupBy("kk").agg(F.min("m").alias("g")).select(F.col("kk").alias("m"), "g")
-    named = lists.join(up, "m").select("kk", "g").distinct()
-    size = named.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
-    size = size.select("g", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    named = named.join(size, "g", "left").select("kk", F.struct("g", F.coalesce("blocks", F.lit(1)).alias("blocks")).alias("name"))
-    return named.groupBy("kk").agg(F.sort_array(F.collect_set("name")).alias("names"))
-
-
-def _join_chunk(plan: Plan, b: pa.Table) -> pa.RecordBatch | None:
-    """(k_a, k_b) of the similar sets among rows that hold whole families."""
-    group = np.unique(np.stack([np.asarray(b[c]).astype(np.int64) for c in ("g", "i", "j")], axis=1), axis=0, return_inverse=True)[1].ravel()
-    k, block, i, j = (np.asarray(b[c]) for c in ("k", "block", "i", "j"))
-    # a set that several tasks have read is there several times
-    _, keep = np.unique(np.stack([group, k]), axis=1, return_index=True)
-    keep.sort()
-    group, k, block, i, j = group[keep], k[keep], block[keep], i[keep], j[keep]
-    sets = Sets(b["words"].take(pa.array(keep)).to_pylist(), plan.width)
-    record, key = plan.keys(sets)
-    order = np.lexsort((record, key, group[record]))
-    record, key = record[order], key[order]
-    same = np.zeros(len(key) + 1, dtype=bool)
-    same[1:-1] = (key[1:] == key[:-1]) & (group[record[1:]] == group[record[:-1]])
-    head = np.flatnonzero(~same[:-1])
-    run = np.repeat(head, np.diff(np.append(head, len(key))))
-    # each entry of a list with all entries before it in the list
-    before = np.arange(len(key)) - run
+            s = plan.sets(_words_of(b))
+            names, maps = np.asarray(b.column("k")), s.parity()
+            record, key, short = plan.keys(s)
+            part = ((key >> np.uint64(8 * _KEY_BYTES)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((key & np.uint64((1 << 8 * _KEY_BYTES) - 1), part))
+            record, key, short, part = record[order], key[order], short[order], part[order]
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            rows = []
+            for t in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                at = slice(cuts[t], cuts[t + 1])
+                members, member = np.unique(record[at], return_inverse=True)
+                entry = member.astype(np.uint64) * np.uint64(2) + short[at]
+                rows.append((int(t), names[members].tobytes(), _planes(s.n[members], 4), maps[members].tobytes(), _planes(key[at], _KEY_BYTES), _planes(entry, 4)))
+            if rows:
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "names", "sizes", "maps", "keys", "entries"])
+
+    return sets.select("k", "words").mapInArrow(post, _BUNDLE)
+
+
+def _scan(plan: Plan, names: np.ndarray, sizes: np.ndarray, maps: np.ndarray, key: np.ndarray, member: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """(2, pairs) of names: sets that share a list or subset and may be similar enough by size and parity."""
+    size = sizes[member]
+    order = np.lexsort((size, key))
+    key, member, short, size = key[order], member[order].astype(np.int32), short[order], size[order]
+    head = np.ones(len(key), dtype=bool)
+    head[1:] = key[1:] != key[:-1]
+    place = (np.cumsum(head) - 1) << 32 | size
     num, den = plan.threshold.numerator, plan.threshold.denominator
-    found, entries = [], np.flatnonzero(before)
-    step, total = 0, np.cumsum(before[entries])
-    while step < len(entries):
-        stop = max(step + 1, int(np.searchsorted(total, (total[step - 1] if step else 0) + 20 * CHUNK_PAIRS)))
-        e = entries[step:stop]
-        times = before[e]
-        y = np.repeat(record[e], times)
-        x = record[np.repeat(run[e], times) + np.arange(len(y)) - np.repeat(np.cumsum(times) - times, times)]
-        low, high = np.minimum(sets.n[x], sets.n[y]), np.maximum(sets.n[x], sets.n[y])
-        right = (low * den >= high * num) & ((block[x] != block[y]) | (i[x] == j[x]))
-        found.append(np.unique(np.minimum(x, y)[right] * len(k) + np.maximum(x, y)[right]))
+    # each entry meets those before it in its list: the smaller sets, as far as their size allows and their entry is short
+    brief = np.append(0, np.cumsum(short))
+    partners = member[short]
+    least = np.searchsorted(place, (place >> 32 << 32) | -(-num * size // den))
+    low, times = brief[least], brief[:-1] - brief[least]
+    later = np.flatnonzero(times > 0)
+    total = np.cumsum(times[later])
+    both = np.arange(2 * int(sizes.max(initial=0)) + 1)
+    far = (both - 2 * -(-num * both // (num + den))).astype(np.int16 if len(both) < 1 << 15 else np.int64)
+    found, step, pending = np.zeros(0, dtype=np.int64), 0, []
+    while step < len(later):
+        stop = max(step + 1, int(np.searchsorted(total, (total[step - 1] if step else 0) + CHUNK_SCANS)))
+        e = later[step:stop]
+        n = times[e]
+        x = np.repeat(member[e], n)
+        y = partners[np.repeat(low[e] - (np.cumsum(n) - n), n) + np.arange(len(x))]
+        apart = np.bitwise_count(maps[x] ^ maps[y])
+        ok = apart[:, 0].astype(np.int16) + apart[:, 1] + apart[:, 2] <= far[sizes[x] + sizes[y]]
+        x, y = x[ok].astype(np.int64), y[ok].astype(np.int64)
+        pending.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
+        if sum(map(len, pending)) > CHUNK_SCANS or stop >= len(later):
+            found = np.unique(np.concatenate([found, *pending]))
+            pending = []
         step = stop
-    if not found:
-        return None
-    pairs = np.unique(np.concatenate(found))
-    x, y = pairs // len(k), pairs % len(k)
-    # verify: look the tokens of the smaller set up in the larger one
-    _, local = np.unique(sets.token, return_inverse=True)
-    span = int(local.max()) + 1
-    place = sets.record * span + local
-    swap = sets.n[x] > sets.n[y]
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    good = np.zeros(len(x), dtype=bool)
-    for s in range(0, len(x), CHUNK_PAIRS):
-        a, c = x[s : s + CHUNK_PAIRS], y[s : s + CHUNK_PAIRS]
-        times = sets.n[a]
-        ends = np.cumsum(times)
-        at = np.repeat(sets.start[a] - (ends - times), times) + np.arange(ends[-1])
-        want = np.repeat(c * span, times) + local[at]
-        to = np.minimum(np.searchsorted(place, want), len(place) - 1)
-        shared = np.add.reduceat(place[to] == want, ends - times, dtype=np.int64)
-        good[s : s + CHUNK_PAIRS] = shared * den >= num * (sets.n[a] + sets.n[c] - shared)
-    x, y = x[good], y[good]
-    # a pair that meets under several names counts under the least of them
-    names = b["gs"].take(pa.array(keep)).to_pylist()
-    g = np.asarray(b["g"])[keep]
-    once = np.array([len(names[p]) == 1 or len(names[q]) == 1 or min(set(names[p]) & set(names[q])) == g[p] for p, q in zip(x.tolist(), y.tolist())], dtype=bool)
-    x, y = x[once], y[once]
-    return pa.RecordBatch.from_arrays([pa.array(k[x]), pa.array(k[y])], names=["k_a", "k_b"]) if len(x) else None
-
-
-def _join_families(sets: DataFrame, families: DataFrame, plan_of, parts: int) -> DataFrame:
-    """(k_a, k_b): each pair of different sets that are similar enough, once, in no order."""
-    rows = sets.select("kk", "k", "words").join(families, "kk")
-    rows = rows.select("k", "words", F.col("names.g").alias("gs"), F.explode("names").alias("name")).select("k", "words", "gs", F.col("name.g").alias("g"), F.col("name.blocks").alias("blocks"))
-    rows = rows.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("k"), F.col("blocks"))).otherwise(0).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("k", "words", "gs", "g", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = rows.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j")
+    a, b = names[found // len(names)], names[found % len(names)]
+    differ = a != b
+    return np.unique(np.stack([np.minimum(a, b)[differ], np.maximum(a, b)[differ]]), axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, held, n = plan_of(), [], 0
-
-        def flush(whole: bool):
-            """Join what is held, but for the last family unless all is there."""
-            nonlocal held, n
-            table = pa.Table.from_batches(held)
-            cut = table.num_rows
-            if not whole:
-                last = [np.asarray(table[c]) for c in ("g", "i", "j")]
-                differs = np.flatnonzero((last[0] != last[0][-1]) | (last[1] != last[1][-1]) | (last[2] != last[2][-1]))
-                cut = int(differs[-1]) + 1 if len(differs) else 0
-            out = _join_chunk(plan, table.slice(0, cut)) if cut else None
-            held = table.slice(cut).to_batches()
-            n = table.num_rows - cut
-            return out
 
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= CHUNK_ROWS and (out := flush(False)):
-                yield out
-        if n and (out := flush(True)):
-            yield out
+def _candidates(sets: DataFrame, plan_of, parts: int) -> DataFrame:
+    """(k_a, k_b), k_a < k_b, each pair once: what the scans of lists and subsets leave."""
 
-    return rows.mapInArrow(run, "k_a long, k_b long")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            for r in zip(*cols):
+                held.setdefault(r[0], []).append(r[1:])
+        plan = plan_of()
+        while held:
+            _, rows = held.popitem()
+            names = np.concatenate([np.frombuffer(r[0], dtype=np.int64) for r in rows])
+            sizes = np.concatenate([_from_planes(r[1], 4) for r in rows]).astype(np.int64)
+            maps = np.concatenate([np.frombuffer(r[2], dtype=np.uint64).reshape(-1, MAP_BITS // 64) for r in rows])
+            key = np.concatenate([_from_planes(r[3], _KEY_BYTES) for r in rows])
+            entry = [_from_planes(r[4], 4) for r in rows]
+            first = np.cumsum([0] + [len(r[0]) // 8 for r in rows])
+            short = np.concatenate([e & np.uint64(1) for e in entry]).astype(bool)
+            member = np.concatenate([(e >> np.uint64(1)).astype(np.int64) + f for e, f in zip(entry, first)])
+            pairs = _scan(plan, names, sizes, maps, key, member, short)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["k_a", "k_b"])
+
+    # a set goes to every task that it has an entry in: fewer tasks, fewer copies
+    parts = -(-parts // 2)
+    bundles = _bundles(sets, plan_of, parts)
+    return bundles.repartitionById(parts, F.col("part")).mapInArrow(join, "k_a long, k_b long").distinct()
+
+
+def _verified(candidates: DataFrame, sets: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+    """The candidates that are similar enough, by their sets."""
+    once = sets.select(F.col("at_key").alias("k"), "words").dropDuplicates(["k"])
+    rows = candidates.join(once.select(F.col("k").alias("k_a"), F.col("words").alias("words_a")), "k_a")
+    rows = rows.join(once.select(F.col("k").alias("k_b"), F.col("words").alias("words_b")), "k_b").select("k_a", "k_b", "words_a", "words_b")
+    num, den = threshold.numerator, threshold.denominator
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, CHUNK_PAIRS):
+                b = whole.slice(s, CHUNK_PAIRS)
+                x, y = Sets(_words_of(b, "words_a"), width), Sets(_words_of(b, "words_b"), width)
+                # the two sets of a pair side by side: a token that both have comes twice
+                record, token = np.concatenate([x.record, y.record]), np.concatenate([x.token, y.token])
+                order = np.lexsort((token, record))
+                record, token = record[order], token[order]
+                twice = (record[1:] == record[:-1]) & (token[1:] == token[:-1])
+                shared = np.bincount(record[1:][twice], minlength=b.num_rows)
+                good = shared * den >= num * (x.n + y.n - shared)
+                yield b.select(["k_a", "k_b"]).filter(pa.array(good))
+
+    return rows.mapInArrow(verify, "k_a long, k_b long")
 
 
 def similar_pairs(records: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -405,20 +389,19 @@ def similar_pairs(records: DataFrame, threshold: float, width: int) -> DataFrame
     records: id, at (a later one replaces an earlier one of the same id), heading, text. Words are runs
     of ASCII letters and digits of the lower-cased heading, then text; a null one adds none. Similarity
     is Jaccard's over distinct sequences of `width` words; records shorter than that pair with nothing.
-    Of rows of one id and time, the one with the greater set name counts; equal rows count once. Texts
-    of any length are read whole. An empty table gives no rows; extra columns aren't read.
+    Of rows of one id and time, the one with the greater hash counts; equal rows count once. Texts
+    of any length are read whole. An empty table gives no rows; extra columns aren't read. Texts
+    are known by 63-bit hashes and word sequences by 64-bit hashes of 32-bit word hashes.
     """
     spark = records.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     limit = Fraction(str(threshold))
-    parsed = _parse(records.select(F.col("id").cast("long"), "at", "heading", "text"), width).repartition(parts, "kk").persist()
+    parsed = _parse(records.select(F.col("id").cast("long"), "at", "heading", "text"), width).repartition(parts, "at_key").persist()
     sets = parsed.where("is_set")
-    counts = _count_tokens(sets, width)
-    shared = spark.sparkContext.broadcast(counts)
-    small = _boundary(sets, lambda: Plan(shared.value, limit, width))
-    plan_of = lambda: Plan(shared.value, limit, width, small)
-    lists = _lists(sets, plan_of, parts).persist()
-    pairs = _join_families(sets, _families(lists), plan_of, parts)
+    counts = spark.sparkContext.broadcast(_count_tokens(sets, width))
+    small = _boundary(sets, lambda: Plan(counts.value, limit, width))
+    pairs = _candidates(sets, lambda: Plan(counts.value, limit, width, small), parts)
+    pairs = _verified(pairs, sets, limit, width)
     ids = parsed.where("NOT is_set").groupBy("id").agg(F.max(F.struct("at", "k"))["k"].alias("k")).where("k >= 0")
     a, b = ids.select(F.col("id").alias("x"), F.col("k").alias("k_a")), ids.select(F.col("id").alias("y"), F.col("k").alias("k_b"))
     near = pairs.join(a, "k_a").join(b, "k_b").select("x", "y")
