@@ -34,7 +34,7 @@ BLOCK_LETTERS = 60
 MEMORY_WORDS = 200_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
-_BLANK_LINES = re.compile(r"\n(?:[^\S\n]*\n)+").split
+_BLANK_LINES = re.compile(r"\r?\n(?:[^\S\n]*\n)+").split
 _QUOTED = re.compile(r"\"[^\"]{1,400}\"|“[^”]{1,400}”|«[^»]{1,400}»|„[^“”]{1,400}[“”]")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
