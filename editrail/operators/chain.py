@@ -45,8 +45,8 @@ def moved_same_topic(gone: DataFrame, come: DataFrame, scope: list[str]) -> Data
 def moved_nearly(gone: DataFrame, come: DataFrame, scope: list[str]) -> DataFrame:
     """scope, old_key, new_key, score: paragraphs of at least a dozen words and like length, mutually the most alike.
 
-    Blocked by words: two texts as alike as asked for share their rarest words, so only texts that
-    share one of the eight rarest words of either are compared.
+    Blocked by words: texts are compared if they share one of the eight rarest words of each. A pair
+    that has none of them in common isn't found.
     """
     words = lambda df: F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != ""))
     a = gone.where(word_count(F.col("text")) >= LEAST_WORDS).withColumn("w", words(gone))

@@ -52,7 +52,7 @@ def is_heading(line: str) -> bool:
         return False
     capitals = sum(c.isupper() for c in letters) / len(letters)
     centred = abs(indent - (70 - len(t)) / 2) <= 4
-    return capitals >= 0.9 or (centred and t[0].isupper() and len(t.split()) <= 10 and all(w[0].isupper() for w in t.split() if len(w) > 3))
+    return capitals >= 0.9 or (centred and t[0].isupper() and len(t.split()) <= 10 and all(w.lstrip("(")[:1].isupper() for w in t.split() if len(w) > 3))
 
 
 def kind_of(line: str) -> str:

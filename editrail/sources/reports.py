@@ -18,13 +18,14 @@ CATALOG = StructType(
 DEFAULTS = {"stage": "committee", "title": "", "html_url": "", "pdf_url": "", "local_path": "", "source": ""}
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of entries, of one file or many; missing fields take their defaults."""
-    df = spark.read.schema(CATALOG).option("multiLine", True).json(path)
+def read_catalog(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """A JSON array of entries, or an entry to a line; missing fields take their defaults."""
+    df = spark.read.schema(CATALOG).option("multiLine", not by_line).json(path)
     return df.fillna(DEFAULTS).fillna({"from_pdf": False})
 
 
 def write_catalog(df: DataFrame, path: str) -> None:
+    """An entry to a line, in the order of the package."""
     df.orderBy("package_id").write.mode("overwrite").json(path)
 
 
