@@ -1,0 +1,82 @@
+"""Pure helpers for text that comes from a page layout: wrapped words and headings, typographic characters, small capitals.
+
+Decoding the pages themselves needs a PDF library, which isn't a dependency; `page_rows` says what it would have to deliver.
+"""
+
+from __future__ import annotations
+
+import html
+import re
+from collections.abc import Iterable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Typographic characters and their ASCII, double quotes first.
+ASCII = [("``", '"'), ("''", '"'), ("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("—", "--"), ("–", "-"), ("‑", "-"), ("­", ""), ("…", "..."), ("§", "Sec."), (" ", " "), ("•", "*")]
+
+_PART = re.compile(r"([A-Za-z]+)-$")
+
+
+def to_ascii(text: str) -> str:
+    for a, b in ASCII:
+        text = text.replace(a, b)
+    return text
+
+
+def to_ascii_column(text: Column) -> Column:
+    for a, b in ASCII:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def join_wrapped(lines: Iterable[str], known: set[str]) -> str:
+    """Lines as one text. A hyphen at a line's end goes if the joined word is known, stays if the hyphenated one is.
+
+    Where neither is known it goes before a small letter, unless 'and' or 'or' follows, and stays otherwise.
+    """
+    out = ""
+    for line in (x.strip() for x in lines):
+        head = _PART.search(out)
+        if head and line:
+            tail = re.match(r"[A-Za-z]+", line)
+            rest = tail.group(0) if tail else ""
+            whole, linked = (head.group(1) + rest).lower(), f"{head.group(1)}-{rest}".lower()
+            if rest in ("and", "or"):
+                out += " " + line
+            elif linked in known and whole not in known or not rest or (whole not in known and not rest[0].islower()):
+                out += line
+            else:
+                out = out[:-1] + line
+        else:
+            out = f"{out} {line}" if out and line else out or line
+    return out
+
+
+def join_heading(lines: Iterable[str]) -> list[str]:
+    """Headings of wrapped lines: a line goes on with the next while that opens with a capital and the whole stays short."""
+    out: list[str] = []
+    for line in (x.strip() for x in lines):
+        if out and line[:1].isupper() and len(out[-1]) >= 30 and len(out[-1]) + len(line) < 140 and out[-1][-1:] not in ".:;":
+            out[-1] += " " + line
+        elif line:
+            out.append(line)
+    return out
+
+
+def lower_small_caps(spans: Iterable[tuple[str, bool]]) -> str:
+    """Text of (text, is small) spans: small capitals beside full ones are small letters; a line all of small ones stays."""
+    spans = list(spans)
+    if all(small for text, small in spans if text.strip()):
+        return "".join(text for text, _ in spans)
+    return "".join(text.lower() if small else text for text, small in spans)
+
+
+def to_print(text: str) -> str:
+    """The escaped fixed-width page of a text."""
+    return f"<html><body><pre>\n{html.escape(text, quote=False)}\n</pre></body></html>\n"
+
+
+def cache_key(content: Column, version: int) -> Column:
+    """Key of a converted text: what it was made from, and by which version of the converter."""
+    return F.concat(F.left(F.sha2(content, 256), F.lit(16)), F.lit(f"-v{version}"))

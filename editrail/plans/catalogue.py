@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -250,6 +248,27 @@ def document_order(spark, d):
     return placed.select("pair", "old_id", "new_id", F.col("place_new").cast("int").alias("place_new"), F.col("place_old").cast("int").alias("place_old"))
 
 
+def collapsed_paragraphs(spark, d):
+    return vw.collapsed(df_.paragraph_diffs(_matched_paragraphs(spark, d)))
+
+
+def outline_nodes(spark, d):
+    n = vw.outline(src.sections(spark, d))
+    return n.select("package_id", "depth", "node", F.array_join("prefix", " > ").alias("prefix"), "first_seq", "sections")
+
+
+def index_page(spark, d):
+    return vw.index_page(masked_section_changes(spark, d), removed_sections(spark, d), added_sections(spark, d))
+
+
+def manifest(spark, d):
+    return vw.manifest(index_page(spark, d), _pairs(spark, d))
+
+
+def section_dump(spark, d):
+    return vw.dump_sections(src.sections(spark, d))
+
+
 # ---- moves
 
 
@@ -352,16 +371,13 @@ def indel_scores(spark, d):
     return m.select("pair", "old_id", "new_id", F.round(sim.indel(a, b), 6).alias("indel"), F.round(sim.token_set(a, b), 6).alias("token_set"), F.round(sim.word_blocks(a, b), 6).alias("blocks"), F.round(sim.word_bag(a, b), 6).alias("bag"))
 
 
-def _bind(f):
-    return lambda spark, sf_dir: f(spark, sf_dir)
-
-
 _QUERIES = [
     catalog_latest, catalog_union, catalog_upsert, usable_reports, like_for_like, catalog_paths, lexicon_unambiguous,
     pair_adjacent_years, chain_transitions, stub_editions,
     align_exact_path, removed_sections, added_sections, align_unique_heading, align_cascade, align_candidates, rename_promotion, related_hints,
     mask_text, heading_normalise, paragraph_kinds, family_counts, describe_tags, line_kinds, word_totals, anchors,
     masked_section_changes, paragraph_diffs, word_diff, section_class, change_counts, policy_summary, significance, rank_top_k, new_section_scores, document_order,
+    collapsed_paragraphs, outline_nodes, index_page, manifest, section_dump,
     moves_verbatim, moves_same_topic, moves_near,
     thread_ids, provenance, name_runs, thread_rows, chain_pivot, stitch_returned,
     segment_documents, leader_spans, token_sets, indel_scores,
@@ -369,7 +385,7 @@ _QUERIES = [
 
 
 def queries() -> dict:
-    return {"p1_found": snapshots.p1_found} | {f.__name__: _bind(f) for f in _QUERIES} | {n: partial(f) for n, f in ev.QUERIES.items()}
+    return {"p1_found": snapshots.p1_found} | {f.__name__: f for f in _QUERIES} | ev.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -72,7 +72,32 @@ def stratified_sample(spark, d, per_stratum: int = 5) -> DataFrame:
     return p.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= per_stratum).select("para_id", "kind", "fy", "turn")
 
 
+def merged_labels(spark, d) -> DataFrame:
+    """(a, b, accepted, drafted): the verdict on each pair of sections; people's over drafts, then the latest."""
+    c = read_table(spark, d, "linkage_candidates").where("old_section_id IS NOT NULL AND new_section_id IS NOT NULL AND accepted IS NOT NULL")
+    c = c.select(F.least("old_section_id", "new_section_id").alias("a"), F.greatest("old_section_id", "new_section_id").alias("b"), "accepted", "auto", "decided_at")
+    m = c.groupBy("a", "b").agg(F.max(F.struct((~F.col("auto")).alias("human"), "decided_at", "accepted")).alias("m"))
+    return m.select("a", "b", "m.accepted", (~F.col("m.human")).alias("drafted"))
+
+
+def figures(spark, d) -> DataFrame:
+    """Figures of each paragraph by kind, and its dollars."""
+    p = src.paragraphs(spark, d).where("text RLIKE '^[ -~]*$'")
+    n = lambda pattern: F.regexp_count("text", F.lit(pattern))
+    dollars = F.regexp_extract_all("text", F.lit(r"\$([0-9][0-9,]*)"), F.lit(1))
+    total = F.aggregate(dollars, F.lit(0).cast("long"), lambda t, x: t + F.replace(x, F.lit(","), F.lit("")).cast("long"))
+    return p.select("para_id", n(r"\$[0-9]").alias("amounts"), n(r"\b[0-9]+ percent\b").alias("shares"), n(r"\b[0-9]+ (?:days|weeks|months)\b").alias("spans"), n(r"\b(?:19|20)[0-9]{2}\b").alias("years"), total.alias("dollars"))
+
+
+def write_worksheet(df: DataFrame, path: str) -> None:
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_worksheet(spark, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (linkage_by_pass, linkage_sweep, duplicate_paths, resumed_parents, parent_drift, structure_sweep, stratified_sample)
+    for f in (linkage_by_pass, linkage_sweep, duplicate_paths, resumed_parents, parent_drift, structure_sweep, stratified_sample, merged_labels, figures)
 }

@@ -180,6 +180,21 @@ ORACLES = {
         FROM p JOIN u a ON a.chamber = p.chamber AND a.slug = p.slug AND a.fy = p.old_fy JOIN u b ON b.chamber = p.chamber AND b.slug = p.slug AND b.fy = p.new_fy AND b.heading = a.heading WHERE a.parent <> b.parent""",
     "structure_sweep": f"""WITH {_S} SELECT package_id, count(*) AS sections, CAST(sum(len(paragraphs)) AS BIGINT) AS paragraphs, CAST(sum(table_spans) AS BIGINT) AS tables,
         CAST(sum(len(list_filter(paragraphs, lambda z: z.kind = 'directive'))) AS BIGINT) AS directives, count(*) < 15 OR sum(len(paragraphs)) < 30 AS thin FROM s GROUP BY package_id""",
+    "outline_nodes": f"""WITH {_S}, a AS (SELECT package_id, seq, section_id, path, lag(path) OVER (PARTITION BY package_id ORDER BY seq, section_id) AS before FROM s WHERE len(path) > 0),
+        b AS (SELECT *, unnest(range(1, len(path) + 1)) AS depth FROM a),
+        c AS (SELECT *, sum(CASE WHEN before[1:depth] IS NOT DISTINCT FROM path[1:depth] THEN 0 ELSE 1 END) OVER (PARTITION BY package_id, depth ORDER BY seq, section_id) AS node FROM b)
+        SELECT package_id, CAST(depth AS INTEGER) AS depth, CAST(node AS BIGINT) AS node, array_to_string(min(path[1:depth]), ' > ') AS prefix, min(seq) AS first_seq, count(*) AS sections FROM c GROUP BY package_id, depth, node""",
+    "index_page": f"""{BASE}, x AS (SELECT pair, {_joined('op')} AS a, {_joined('np')} AS b FROM m),
+        z AS (SELECT pair, CAST(a <> b AS INTEGER) AS changed, 0 AS new, 0 AS dropped FROM x WHERE a <> b
+          UNION ALL SELECT o.pair, 0, 0, 1 FROM o LEFT JOIN m ON m.pair = o.pair AND m.old_id = o.section_id WHERE m.old_id IS NULL
+          UNION ALL SELECT n.pair, 0, 1, 0 FROM n LEFT JOIN m ON m.pair = n.pair AND m.new_id = n.section_id WHERE m.new_id IS NULL)
+        SELECT pair, CAST(sum(changed) AS BIGINT) AS changed, CAST(sum(new) AS BIGINT) AS new, CAST(sum(dropped) AS BIGINT) AS dropped FROM z GROUP BY pair""",
+    "merged_labels": """WITH c AS (SELECT least(old_section_id, new_section_id) AS a, greatest(old_section_id, new_section_id) AS b, accepted, auto, decided_at FROM linkage_candidates
+          WHERE old_section_id IS NOT NULL AND new_section_id IS NOT NULL AND accepted IS NOT NULL)
+        SELECT a, b, accepted, auto AS drafted FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY auto, decided_at DESC, accepted DESC) AS rn FROM c) WHERE rn = 1""",
+    "figures": rf"""WITH {_PARA} SELECT para_id, CAST(len(regexp_extract_all(text, '\$[0-9]')) AS INTEGER) AS amounts, CAST(len(regexp_extract_all(text, '\b[0-9]+ percent\b')) AS INTEGER) AS shares,
+        CAST(len(regexp_extract_all(text, '\b[0-9]+ (?:days|weeks|months)\b')) AS INTEGER) AS spans, CAST(len(regexp_extract_all(text, '\b(?:19|20)[0-9]{{2}}\b')) AS INTEGER) AS years,
+        CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '\$([0-9][0-9,]*)', 1), lambda z: CAST(replace(z, ',', '') AS BIGINT))), 0) AS BIGINT) AS dollars FROM q WHERE {_ASCII}""",
     "stratified_sample": f"""WITH {_PARA}, {_E} SELECT para_id, kind, fy, turn FROM (SELECT para_id, kind, fy, CAST(row_number() OVER (PARTITION BY kind, fy ORDER BY md5(CAST(para_id AS VARCHAR)), para_id) AS INTEGER) AS turn
         FROM q JOIN e USING (package_id)) WHERE turn <= 5""",
 }

@@ -77,6 +77,44 @@ def stitch(cells: DataFrame, editions: DataFrame) -> DataFrame:
     return stitched(same(dead), same(born), ["chamber", "slug"])
 
 
+def outline(sections: DataFrame) -> DataFrame:
+    """(package_id, depth, node, prefix, first_seq, sections): nodes of each report's outline in reading order.
+
+    A node goes on while the next section shares its path down to that depth; a name that comes back later is a new node.
+    """
+    by_report = Window.partitionBy("package_id").orderBy("seq", "section_id")
+    s = sections.where(F.size("path") > 0).withColumn("before", F.lag("path").over(by_report))
+    s = s.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("path"))))
+    cut_at = lambda c: F.slice(c, F.lit(1), F.col("depth"))
+    s = s.withColumn("prefix", cut_at("path")).withColumn("starts", (~cut_at("before").eqNullSafe(F.col("prefix"))).cast("int"))
+    w = Window.partitionBy("package_id", "depth").orderBy("seq", "section_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.withColumn("node", F.sum("starts").over(w))
+    return s.groupBy("package_id", "depth", "node").agg(F.first("prefix").alias("prefix"), F.min("seq").alias("first_seq"), F.count("*").alias("sections"))
+
+
+def index_page(kinds: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """(pair, changed, new, dropped) of every comparison. kinds: pair, kind, n of the matched sections."""
+    changed = kinds.where("kind <> 'unchanged'").select("pair", F.col("n").alias("changed"), F.lit(0).alias("new"), F.lit(0).alias("dropped"))
+    new = added.select("pair", F.lit(0).alias("changed"), F.lit(1).alias("new"), F.lit(0).alias("dropped"))
+    gone = removed.select("pair", F.lit(0).alias("changed"), F.lit(0).alias("new"), F.lit(1).alias("dropped"))
+    return changed.unionByName(new).unionByName(gone).groupBy("pair").agg(*[F.sum(c).cast("long").alias(c) for c in ("changed", "new", "dropped")])
+
+
+def manifest(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair, json): what a comparison holds, for machines."""
+    row = F.struct("pair", "old_package", "new_package", F.struct("changed", "new", "dropped").alias("sections"))
+    return pairs.join(index, "pair", "left").select("pair", F.to_json(row).alias("json"))
+
+
+def collapsed(diffs: DataFrame) -> DataFrame:
+    """(pair, new_id, change, first, last, n): paragraphs of a section in reading order, unchanged ones in a row as one."""
+    w = Window.partitionBy("pair", "old_id", "new_id").orderBy("idx")
+    same = (F.col("change") == "unchanged") & (F.lag("change").over(w) == "unchanged")
+    d = diffs.withColumn("starts", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    d = d.withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return d.groupBy("pair", "old_id", "new_id", "run").agg(F.first("change").alias("change"), F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n")).drop("run")
+
+
 def page(title: str, rows: list[dict], columns: list[str]) -> str:
     """A plain HTML table of collected rows, every value escaped. For reports of bounded size."""
     esc = lambda v: html.escape("" if v is None else str(v))

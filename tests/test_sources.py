@@ -26,3 +26,39 @@ def test_pairs_take_the_latest_earlier_year(spark):
     e = spark.createDataFrame([("h", "x", 2010, "p1"), ("h", "x", 2013, "p2"), ("h", "x", 2014, "p3"), ("s", "x", 2012, "q")], "chamber string, slug string, fy int, package_id string")
     got = {(r["old_package"], r["new_package"], r["year_delta"]) for r in src.pairs(e).collect()}
     assert got == {("p1", "p2", 3), ("p2", "p3", 1)}
+
+
+def test_stream_keeps_the_latest(spark, tmp_path):
+    from editrail.streaming.ingest import changes_per_window, keep_latest, read_entries
+
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, at timestamp, v int")
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    folder = str(tmp_path / "in")
+    rows(("a", t, 1), ("b", t, 1)).write.parquet(folder)
+    schema = rows().schema
+    for n in range(2):
+        q = keep_latest(read_entries(spark, folder, schema), "k", "at", str(tmp_path / "out"), str(tmp_path / "cp"))
+        q.awaitTermination()
+        got = {r["k"]: r["v"] for r in spark.read.parquet(str(tmp_path / f"out/gen={n}")).collect()}
+        assert got == ({"a": 1, "b": 1} if n == 0 else {"a": 2, "b": 1, "c": 3})
+        rows(("a", t + dt.timedelta(1), 2), ("c", t, 3)).write.mode("append").parquet(folder)
+    counted = changes_per_window(read_entries(spark, folder, schema, "at"), "at", "1 hour", "k")
+    q = counted.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(r["n"] for r in spark.table("counted").collect()) == 6
+
+
+def test_converted_text():
+    from editrail.functions import converted as cv
+
+    known = {"harbor", "co-op", "keeper"}
+    assert cv.join_wrapped(["the har-", "bor and the co-", "op"], known) == "the harbor and the co-op"
+    assert cv.join_wrapped(["in-", "and out-bound"], known) == "in- and out-bound"
+    assert cv.join_wrapped(["North-", "South line"], known) == "North-South line"
+    assert cv.join_wrapped(["a light-", "house"], set()) == "a lighthouse"
+    assert cv.join_heading(["DEPARTMENT OF INLAND WATERS AND", "Harbors", "small print"]) == ["DEPARTMENT OF INLAND WATERS AND Harbors", "small print"]
+    assert cv.lower_small_caps([("H", False), ("ARBOR", True)]) == "Harbor" and cv.lower_small_caps([("ALL", True)]) == "ALL"
+    assert cv.to_ascii("“§ 5—6”") == '"Sec. 5--6"'
+    assert "&lt;b&gt;" in cv.to_print("<b>")
