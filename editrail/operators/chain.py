@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,9 @@ from pyspark.sql.window import Window
 from editrail.functions import similarity as sim
 from editrail.functions.text import anchor, word_count
 from editrail.operators.diff import class_name, class_rank
-from editrail.runtime import cut
+from editrail.runtime import cut as _cut
+
+cut = partial(_cut, constraints=False)
 
 # Weights of the ranking and bars of the moves.
 CLASS_WEIGHT = {"unchanged": 0.0, "numbers only": 0.2, "minor": 0.5, "substantive": 1.0, "new": 2.0, "dropped": 2.0}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,12 +15,16 @@ from editrail.operators import chain as ch
 from editrail.operators import diff as df_
 from editrail.operators import segment as sg
 from editrail.operators import snapshots
+from editrail.plans import compare as cp
 from editrail.plans import evaluate as ev
 from editrail.plans import oracles as o
 from editrail.plans import views as vw
-from editrail.runtime import cut, read_table
+from editrail.runtime import cut as _cut
+from editrail.runtime import read_table
 from editrail.sources import reports as src
 
+cut = partial(_cut, constraints=False)
+
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return src.pairs(src.editions(spark, d))
@@ -296,6 +302,22 @@ def moves_near(spark, d):
     return ch.moved_nearly(*_loose(spark, d), ["pair"]).withColumn("score", F.round("score", 6))
 
 
+# ---- the whole comparison
+
+
+def _comparison(spark, d):
+    return cp.compare(_pairs(spark, d), src.sections(spark, d))
+
+
+def compare_sections(spark, d):
+    out = _comparison(spark, d).sections
+    return out.select("pair", "place", "old_id", "new_id", "change", "changed_words", F.round("score", 4).alias("score"), "renamed_from", "anchor")
+
+
+def compare_moves(spark, d):
+    return _comparison(spark, d).moves.select("pair", "old_key", "new_key", "how")
+
+
 # ---- threads over the years
 
 
@@ -378,7 +400,7 @@ _QUERIES = [
     mask_text, heading_normalise, paragraph_kinds, family_counts, describe_tags, line_kinds, word_totals, anchors,
     masked_section_changes, paragraph_diffs, word_diff, section_class, change_counts, policy_summary, significance, rank_top_k, new_section_scores, document_order,
     collapsed_paragraphs, outline_nodes, index_page, manifest, section_dump,
-    moves_verbatim, moves_same_topic, moves_near,
+    moves_verbatim, moves_same_topic, moves_near, compare_sections, compare_moves,
     thread_ids, provenance, name_runs, thread_rows, chain_pivot, stitch_returned,
     segment_documents, leader_spans, token_sets, indel_scores,
 ]

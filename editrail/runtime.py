@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +32,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and drop its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, constraints: bool = True) -> DataFrame:
+    """Materialise df in the shared checkpoint folder and drop its lineage.
+
+    Without constraints, the result doesn't hand on what the optimizer knew of df: unions of tables that
+    were cut from one another fail in Spark 4.1 over constraints on columns which are gone.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    if constraints:
+        return df.checkpoint(eager=True)
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once per context, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_editrail_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="editrail-code-"), "editrail-code.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(home):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, os.path.dirname(home)))
+    sc.addPyFile(archive)
+    sc._editrail_shipped = True
 
 
 def latest(df: DataFrame, keys: list[str], by: list) -> DataFrame:
