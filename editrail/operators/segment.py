@@ -6,6 +6,7 @@ over a document's lines in an Arrow batch, so a document is never split and noth
 
 from __future__ import annotations
 
+import difflib
 import html
 import re
 from collections.abc import Iterator
@@ -122,12 +123,94 @@ def normal(heading: str) -> str:
     return re.sub(r" +", " ", re.sub(r"[^A-Z0-9 ]+", " ", t)).strip()
 
 
-def level_of(text: str) -> int:
+def level_of(text: str, agencies: frozenset = frozenset(), bureaus: frozenset = frozenset()) -> int:
+    """0 title, 1 agency, 2 bureau, 3 account: by the given names first, then by how the heading opens."""
     if _TITLE.match(text):
         return 0
+    if text in agencies:
+        return 1
+    if text in bureaus or any(text.startswith(a + " ") for a in agencies):
+        return 2
     return 1 if _AGENCY.match(text) else 2 if _BUREAU.match(text) else 3
 
 
+def squeezed(text: str) -> str:
+    return normal(text).replace(" ", "")
+
+
+def contents_levels(entries: list[tuple[int, str]], agencies: frozenset = frozenset(), bureaus: frozenset = frozenset()) -> list[tuple[str, int]]:
+    """(squeezed heading, level) of a table of contents: a parent is the last entry less indented, siblings share the highest tier among them."""
+    open_entries: list[tuple[int, int]] = []  # (depth, index)
+    parent: list[int] = []
+    for k, (depth, _) in enumerate(entries):
+        while open_entries and open_entries[-1][0] >= depth:
+            open_entries.pop()
+        parent.append(open_entries[-1][1] if open_entries else -1)
+        open_entries.append((depth, k))
+    own = [level_of(normal(t), agencies, bureaus) for _, t in entries]
+    best: dict[tuple[int, int], int] = {}
+    for k, (depth, _) in enumerate(entries):
+        if own[k] > 0:
+            best[parent[k], depth] = min(best.get((parent[k], depth), 3), own[k])
+    levels: list[int] = []
+    for k, (depth, _) in enumerate(entries):
+        above = levels[parent[k]] if parent[k] >= 0 else -1
+        levels.append(0 if own[k] == 0 else min(3, max(1, above + 1, best[parent[k], depth])))
+    return [(squeezed(t), level) for (_, t), level in zip(entries, levels)]
+
+
+def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+    return [(i + k, j + k) for i, j, n in blocks for k in range(n)]
+
+
+def rejoin_headings(headings: list[dict], known: set[str]) -> list[dict]:
+    """Headings cut over blank lines put together again: where the joined form is known, or the first half fills its line."""
+    out: list[dict] = []
+    for h in headings:
+        last = out[-1] if out else None
+        if last and h["start"] - last["end"] <= 3 and not _TITLE.match(normal(last["text"])):
+            joined = f"{last['text']} {h['text']}"
+            if squeezed(joined) in known or (len(last["text"]) >= 50 and squeezed(last["text"]) not in known and squeezed(h["text"]) not in known):
+                out[-1] = {"text": joined, "start": last["start"], "end": h["end"]}
+                continue
+        out.append(dict(h))
+    return out
+
+
+def assign_levels(headings: list[dict], gap: list[bool], contents=(), tiers=(), agencies: frozenset = frozenset(), bureaus: frozenset = frozenset()) -> list[int]:
+    """Level of each heading: by name, then corrected by the table of contents, the printed tiers and what the headings are stacked on.
+
+    gap: whether text stands between a heading and the next. tiers: (bold | caps | sc, text) in order.
+    Later corrections win; a heading of a named agency is never lowered by the contents.
+    """
+    names = [normal(h["text"]) for h in headings]
+    keys = [squeezed(h["text"]) for h in headings]
+    levels = [level_of(n, agencies, bureaus) for n in names]
+    # a heading right on top of another one holds it
+    for k in range(len(levels) - 1):
+        if levels[k] == 3 and levels[k + 1] == 3 and not gap[k] and headings[k + 1]["start"] - headings[k]["end"] <= 3:
+            levels[k] = 2
+    for k, e in _aligned(keys, [t for t, _ in contents]):
+        if not (names[k] in agencies and contents[e][1] > levels[k]) and not names[k].startswith("GENERAL PROVISION"):
+            levels[k] = contents[e][1]
+    for k, e in _aligned(keys, [squeezed(t) for _, t in tiers]):
+        if levels[k] >= 3 and tiers[e][0] in ("bold", "caps"):
+            levels[k] = 1 if tiers[e][0] == "bold" else 2
+    first_title = next((k for k, level in enumerate(levels) if level == 0), 0)
+    levels[:first_title] = [3 if level in (1, 2) else level for level in levels[:first_title]]
+    # the same child under several parents: parents without text of their own take the level of the first
+    held: dict[str, int] = {}
+    for k in range(len(levels) - 1):
+        if levels[k] <= 1:
+            held.clear()
+        if not gap[k] and levels[k] in (1, 2, 3) and levels[k + 1] >= levels[k]:
+            if names[k + 1] in held and levels[k] > held[names[k + 1]]:
+                levels[k] = held[names[k + 1]]
+            held.setdefault(names[k + 1], levels[k])
+    return levels
+
+
 def typed(text: str) -> dict:
     if m := _PROVISION.match(text):
         return {"text": text, "kind": "gp_section", "topic": f"Section {m.group(1)}"}
@@ -176,9 +259,10 @@ def split_provisions(sections: list[dict]) -> list[dict]:
     return out
 
 
-def segment(raw: str) -> list[dict]:
+def segment(raw: str, agencies: frozenset = frozenset(), bureaus: frozenset = frozenset(), tiers: tuple = ()) -> list[dict]:
     """Sections of a report in reading order; those without paragraphs and tables are left out."""
     lines = report_text(raw).split("\n")
+    contents = contents_levels(parse_contents(lines), agencies, bureaus)
     start, end = body_bounds(lines)
     lines = lines[:end]
     kinds = ["blank" if i < start else kind_of(x) for i, x in enumerate(lines)]
@@ -186,19 +270,23 @@ def segment(raw: str) -> list[dict]:
     in_table = [False] * len(lines)
     for a, b in spans:
         in_table[a:b] = [True] * (b - a)
+    headings: list[dict] = []
+    for i, line in enumerate(lines):
+        if kinds[i] == "heading" and not in_table[i]:
+            if headings and headings[-1]["end"] == i and not _TITLE.match(headings[-1]["text"]):
+                headings[-1] = {"text": f"{headings[-1]['text']} {line.strip()}", "start": headings[-1]["start"], "end": i + 1}
+            else:
+                headings.append({"text": line.strip(), "start": i, "end": i + 1})
+    headings = rejoin_headings(headings, {t for t, _ in contents} | {squeezed(t) for _, t in tiers})
+    gap = [any(kinds[i] != "blank" for i in range(h["end"], n["start"])) for h, n in zip(headings, headings[1:])] + [True]
+    levels = assign_levels(headings, gap, contents, tiers, agencies, bureaus)
+    opens = {h["start"]: k for k, h in enumerate(headings)}
+    covered = {i for h in headings for i in range(h["start"], h["end"]) if kinds[i] == "heading"}
     begins = {a for a, _ in spans}
     sections: list[dict] = []
-    names: dict[int, str] = {}
+    path: dict[int, str] = {}
     held: list[str] = []
 
-    def open_section(heading: str) -> None:
-        text = normal(heading)
-        level = level_of(text)
-        for deeper in [k for k in names if k >= level]:
-            del names[deeper]
-        names[level] = text
-        sections.append({"heading": heading, "level": level, "path": [names[k] for k in sorted(names)], "paragraphs": [], "table_spans": 0, "printed_under": None})
-
     def flush() -> None:
         if held:
             if not sections:
@@ -206,15 +294,16 @@ def segment(raw: str) -> list[dict]:
             sections[-1]["paragraphs"].append(typed(_WRAP.sub("", re.sub(r"\s+", " ", " ".join(held)).strip())))
             held.clear()
 
-    heading: list[str] = []
     for i, line in enumerate(lines):
-        if kinds[i] == "heading" and not in_table[i]:
+        if i in opens:
             flush()
-            heading.append(line.strip())
+            k = opens[i]
+            for deeper in [x for x in path if x >= levels[k]]:
+                del path[deeper]
+            path[levels[k]] = normal(headings[k]["text"])
+            sections.append({"heading": headings[k]["text"], "level": levels[k], "path": [path[x] for x in sorted(path)], "paragraphs": [], "table_spans": 0, "printed_under": None})
+        if i in covered:
             continue
-        if heading:
-            open_section(" ".join(heading))
-            heading = []
         if in_table[i]:
             flush()
             if i in begins and sections:
@@ -226,8 +315,6 @@ def segment(raw: str) -> list[dict]:
                 flush()
             held.append(line.strip())
     flush()
-    if heading:
-        open_section(" ".join(heading))
     kept = [s for s in sections if s["paragraphs"] or s["table_spans"]]
     return [s for s in split_provisions(kept) if s["paragraphs"] or s["table_spans"]]
 
@@ -238,14 +325,14 @@ SECTIONS = (
 )
 
 
-def segment_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row per section of every document; null texts have none."""
+def segment_documents(docs: DataFrame, key: str, text: str, agencies: frozenset = frozenset(), bureaus: frozenset = frozenset()) -> DataFrame:
+    """A row per section of every document; null texts have none. agencies, bureaus: normal names, lists of a size that fits a task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for doc, raw in zip(frame["doc"], frame["text"]):
-                for seq, s in enumerate(segment(raw)):
+                for seq, s in enumerate(segment(raw, agencies, bureaus)):
                     out.append((doc, seq, s["heading"], s["level"], s["path"], s["paragraphs"], s["table_spans"], s["printed_under"]))
             yield pd.DataFrame(out, columns=["doc", "seq", "heading", "level", "path", "paragraphs", "table_spans", "printed_under"])
 
