@@ -17,6 +17,7 @@ from editrail.operators import segment as sg
 from editrail.operators import snapshots
 from editrail.plans import compare as cp
 from editrail.plans import evaluate as ev
+from editrail.plans import history as hs
 from editrail.plans import oracles as o
 from editrail.plans import views as vw
 from editrail.runtime import cut as _cut
@@ -350,6 +351,17 @@ def name_runs(spark, d):
     return r.select("thread", "heading", F.col("first").alias("first_fy"), F.col("last").alias("last_fy"), "n")
 
 
+def stitched_threads(spark, d):
+    s = src.sections(spark, d).where(F.size("path") > 0).join(src.editions(spark, d), "package_id")
+    cells = cut(hs.threads(_links(spark, d), s).select("chamber", "slug", "thread", "fy", "section_id", "path", "paragraphs"))
+    return hs.stitch(cells, src.editions(spark, d), ["chamber", "slug"]).select("section_id", "thread")
+
+
+def paragraph_origins(spark, d):
+    c = _comparison(spark, d)
+    return hs.paragraph_origins(c.paragraphs, c.moves, _pairs(spark, d).select("pair", "old_fy", "new_fy"))
+
+
 def thread_rows(spark, d):
     return vw.account_rows(_cells(spark, d))
 
@@ -401,7 +413,7 @@ _QUERIES = [
     masked_section_changes, paragraph_diffs, word_diff, section_class, change_counts, policy_summary, significance, rank_top_k, new_section_scores, document_order,
     collapsed_paragraphs, outline_nodes, index_page, manifest, section_dump,
     moves_verbatim, moves_same_topic, moves_near, compare_sections, compare_moves,
-    thread_ids, provenance, name_runs, thread_rows, chain_pivot, stitch_returned,
+    thread_ids, provenance, name_runs, stitched_threads, paragraph_origins, thread_rows, chain_pivot, stitch_returned,
     segment_documents, leader_spans, token_sets, indel_scores,
 ]
 
