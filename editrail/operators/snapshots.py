@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from editrail.runtime import latest, read_table
+from editrail.runtime import cut, latest, read_table
 
 #: Any run of white space, Unicode's included.
 SPACE_RUN = r"(?U)\s+"
@@ -21,39 +21,41 @@ def one_spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE_RUN, " "))
 
 
+def _hashes(df: DataFrame, name: str, columns: list[str]) -> list[Column]:
+    """128 bits of the columns. Nulls, also within arrays, count as values of their own."""
+    parts = [F.to_json(F.struct(c)) if df.schema[c].dataType.typeName() in ("array", "struct", "map") else F.col(c) for c in columns]
+    parts += [F.col(c).isNull() for c in columns]
+    return [F.xxhash64(*parts).alias(f"{name}1"), F.xxhash64(F.lit(1), *parts).alias(f"{name}2")]
+
+
 def snapshot_changes(rows: DataFrame, series: list[str], version: str, key: list[str], content: str) -> DataFrame:
     """series columns, old_version, new_version, key columns, change_kind of each differing record.
 
     rows: one row per record of a snapshot; (series, version, key) is unique. `content` is compared
     as it stands. Nulls: null series and key values are values of their own; rows without a version
     are in no snapshot; null content equals null content. A table with one version, or none, gives no
-    rows. Other columns are ignored.
+    rows. Other columns are ignored. Series, keys and contents are compared by 128-bit hashes: the wide
+    values are sent once, to name the records that differ.
     """
-    rows = rows.where(F.col(version).isNotNull())
-    steps = rows.select(*series, F.col(version).alias("old_version")).distinct()
-    w = Window.partitionBy(*series).orderBy("old_version")
-    steps = steps.withColumn("new_version", F.lead("old_version").over(w)).where("new_version IS NOT NULL")
-    cols = [*series, "old_version", "new_version", *key, content]
-
-    def side(at: str) -> DataFrame:
-        r, s = rows.alias("r"), steps.alias("s")
-        on = F.col(f"r.{version}") == F.col(f"s.{at}")
-        for c in series:
-            on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
-        picked = [F.col(f"r.{c}").alias(c) for c in (*series, *key, content)]
-        return r.join(s, on).select(*picked, "s.old_version", "s.new_version").select(*cols)
-
+    rows = rows.where(F.col(version).isNotNull()).select(*series, F.col(version).alias("at"), *key, content)
+    rows = rows.select(*series, "at", *key, *_hashes(rows, "s", series), *_hashes(rows, "k", key), *_hashes(rows, "c", [content]))
+    rows = cut(rows)
+    steps = rows.select("s1", "s2", "at").distinct()
+    w = Window.partitionBy("s1", "s2").orderBy("at")
+    steps = steps.select("s1", "s2", F.col("at").alias("old_version"), F.lead("at").over(w).alias("new_version")).where("new_version IS NOT NULL")
+    cols = ["s1", "s2", "old_version", "new_version", "k1", "k2", "c1", "c2"]
+    side = lambda at: rows.withColumnRenamed("at", at).join(steps, ["s1", "s2", at]).select(*cols)
     old, new = side("old_version"), side("new_version")
-    # residues carry a mark, since any other column of a side may be null
-    gone = old.exceptAll(new).withColumn("mark_o", F.lit(1)).alias("o")
-    come = new.exceptAll(old).withColumn("mark_n", F.lit(1)).alias("n")
-    ids = [*series, "old_version", "new_version", *key]
-    on = F.lit(True)
-    for c in ids:
-        on = on & F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
-    kind = F.when(F.col("o.mark_o").isNull(), "added").when(F.col("n.mark_n").isNull(), "removed").otherwise("changed")
-    picked = [F.when(F.col("o.mark_o").isNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in ids]
-    return gone.join(come, on, "full_outer").select(*picked, kind.alias("change_kind"))
+    ids = ["s1", "s2", "old_version", "new_version", "k1", "k2"]
+    gone = old.exceptAll(new).select(*ids, F.lit(1).alias("in_old"))
+    come = new.exceptAll(old).select(*ids, F.lit(1).alias("in_new"))
+    kind = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").otherwise("changed")
+    found = gone.join(come, ids, "full_outer").withColumn("change_kind", kind)
+    found = found.withColumn("at", F.when(F.col("in_old").isNull(), F.col("new_version")).otherwise(F.col("old_version")))
+    named = rows.select("s1", "s2", "at", "k1", "k2", *[F.col(c).alias(f"named_{n}") for n, c in enumerate([*series, *key])])
+    out = found.join(named, ["s1", "s2", "at", "k1", "k2"])
+    name = {c: F.col(f"named_{n}").alias(c) for n, c in enumerate([*series, *key])}
+    return out.select(*[name[c] for c in series], "old_version", "new_version", *[name[c] for c in key], "change_kind")
 
 
 def report_series(reports: DataFrame) -> DataFrame:
@@ -72,15 +74,14 @@ def section_changes(sections: DataFrame, reports: DataFrame) -> DataFrame:
     texts, white space made single; null paragraphs equal an empty list, a null text is a text of its
     own. Null paths are one path, printed as null. Repeated rows count once, later loaded_at wins.
     """
-    now = latest(
-        sections.select("section_id", "package_id", "seq", "path", "paragraphs", "loaded_at"),
-        ["section_id"],
-        ["loaded_at", F.col("seq").desc_nulls_last(), F.xxhash64("package_id", "path", "paragraphs").desc()],
-    )
     texts = F.transform(F.coalesce("paragraphs", F.array()), lambda p: F.coalesce(one_spaced(p["text"]), F.lit("\u0000")))
-    rows = now.select("package_id", "path", "seq", "section_id", F.sha2(F.array_join(texts, "\u0001"), 256).alias("content"), F.size(texts).alias("n"))
+    joined = F.array_join(texts, "\u0001")
+    # the content's hash, not the content, goes through the shuffle that finds the latest delivery
+    content = F.struct(F.size(texts).alias("n"), F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(1), joined).alias("h2"))
+    slim = sections.select("section_id", "package_id", "seq", "path", "loaded_at", content.alias("content"))
+    rows = latest(slim, ["section_id"], ["loaded_at", F.col("seq").desc_nulls_last(), F.xxhash64("package_id", "path", "content").desc()])
     w = Window.partitionBy("package_id", "path").orderBy("seq", "section_id")
-    rows = rows.withColumn("occ", F.row_number().over(w)).withColumn("content", F.struct("n", "content"))
+    rows = rows.withColumn("occ", F.row_number().over(w))
     rows = rows.join(report_series(reports), "package_id")
     out = snapshot_changes(rows, ["chamber", "subcommittee"], "fiscal_year", ["path", "occ"], "content")
     return out.select(
