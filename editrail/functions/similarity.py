@@ -67,6 +67,14 @@ def bag_ratio(a, b) -> float:
     return 1.0 if n == 0 else 2.0 * sum((Counter(a) & Counter(b)).values()) / n
 
 
+def word_agreement(reference: str, other: str) -> float:
+    """Share of the reference's words that the other text has in the same order, in matching runs."""
+    a, b = reference.split(), other.split()
+    if not a:
+        return 1.0
+    return sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) / len(a)
+
+
 def word_edits(old: str, new: str) -> list[tuple[str, list[str], list[str]]]:
     """(equal | replace | delete | insert, old words, new words) that turn old into new."""
     a, b = old.split(), new.split()
@@ -91,6 +99,7 @@ indel = _scorer(indel_ratio)
 token_sort = _scorer(token_sort_ratio)
 token_set = _scorer(token_set_ratio)
 blocks = _scorer(blocks_ratio)
+agreement = _scorer(word_agreement)
 word_blocks = _scorer(lambda a, b: blocks_ratio(a.split(), b.split()))
 word_bag = _scorer(lambda a, b: bag_ratio(a.split(), b.split()))
 

@@ -145,3 +145,9 @@ def anchor(path: Column) -> Column:
     """A page-unique name of a path: 60 characters to read and 6 of a digest."""
     slug = F.array_join(F.transform(path, lambda p: F.replace(F.lower(p), F.lit(" "), F.lit("_"))), "-")
     return F.concat(F.lit("s-"), F.left(slug, F.lit(60)), F.lit("-"), F.left(F.md5(F.array_join(path, " > ")), F.lit(6)))
+
+
+def thread_name(path: Column) -> Column:
+    """A file name for a thread: 90 characters to read and 6 of a digest."""
+    slug = F.trim(F.regexp_replace(F.lower(F.array_join(path, " ")), "[^a-z0-9]+", " "))
+    return F.concat(F.left(F.replace(slug, F.lit(" "), F.lit("-")), F.lit(90)), F.lit("-"), F.left(F.md5(F.array_join(path, " > ")), F.lit(6)))

@@ -366,6 +366,27 @@ def thread_rows(spark, d):
     return vw.account_rows(_cells(spark, d))
 
 
+def active_headings(spark, d):
+    """Headings of a series with a year that is more than unchanged or new figures."""
+    c = _cells(spark, d).groupBy("chamber", "slug", "heading").agg(F.bool_or(~F.col("change").isin("unchanged", "numbers only")).alias("active"), F.count("*").alias("n"))
+    return c.where("active").drop("active")
+
+
+def thread_names(spark, d):
+    return src.sections(spark, d).where(F.size("path") > 0).select("section_id", tx.thread_name(F.col("path")).alias("name"))
+
+
+def directive_sections(spark, d):
+    return src.sections(spark, d).where(F.exists("paragraphs", lambda p: p["kind"] == "directive")).select("section_id", "package_id")
+
+
+def automatic_labels(spark, d):
+    m = _matched_paragraphs(spark, d)
+    a, b = al.body(F.col("old_paragraphs"), 4000), al.body(F.col("new_paragraphs"), 4000)
+    rows = m.select("pair", "old_id", "new_id", a.alias("a"), b.alias("b")).withColumn("score", sim.token_set("a", "b")).withColumn("agreement", sim.agreement("a", "b"))
+    return rows.select("pair", "old_id", "new_id", ev.auto_label(F.col("a"), F.col("b"), F.lit(True), F.col("score")).alias("label"), F.round("agreement", 6).alias("agreement"))
+
+
 def chain_pivot(spark, d):
     return vw.timeline(_cells(spark, d))
 
@@ -413,7 +434,7 @@ _QUERIES = [
     masked_section_changes, paragraph_diffs, word_diff, section_class, change_counts, policy_summary, significance, rank_top_k, new_section_scores, document_order,
     collapsed_paragraphs, outline_nodes, index_page, manifest, section_dump,
     moves_verbatim, moves_same_topic, moves_near, compare_sections, compare_moves,
-    thread_ids, provenance, name_runs, stitched_threads, paragraph_origins, thread_rows, chain_pivot, stitch_returned,
+    thread_ids, provenance, name_runs, stitched_threads, paragraph_origins, thread_rows, chain_pivot, stitch_returned, active_headings, thread_names, directive_sections, automatic_labels,
     segment_documents, leader_spans, token_sets, indel_scores,
 ]
 

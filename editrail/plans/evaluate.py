@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from editrail.functions import similarity as sim
+from editrail.functions import text as tx
 from editrail.runtime import latest, read_table
 from editrail.sources import reports as src
 
@@ -89,6 +91,37 @@ def figures(spark, d) -> DataFrame:
     return p.select("para_id", n(r"\$[0-9]").alias("amounts"), n(r"\b[0-9]+ percent\b").alias("shares"), n(r"\b[0-9]+ (?:days|weeks|months)\b").alias("spans"), n(r"\b(?:19|20)[0-9]{2}\b").alias("years"), total.alias("dollars"))
 
 
+def label_matches(labels: DataFrame, candidates: DataFrame, least: float = 90.0) -> DataFrame:
+    """labels with the candidate they still describe: the same comparison and headings, and both excerpts nearly verbatim.
+
+    labels, candidates: slug, old_heading, new_heading, old_text, new_text, id. A label without such a candidate has a null candidate_id.
+    """
+    keys = ["slug", "ho", "hn"]
+    named = lambda df: df.withColumn("ho", tx.normal_heading(F.col("old_heading"))).withColumn("hn", tx.normal_heading(F.col("new_heading")))
+    a = named(labels).select(*keys, F.col("id").alias("label_id"), F.col("old_text").alias("lo"), F.col("new_text").alias("ln"))
+    b = named(candidates).select(*keys, F.col("id").alias("candidate_id"), F.col("old_text").alias("co"), F.col("new_text").alias("cn"))
+    near = a.join(b, keys).withColumn("so", sim.indel("lo", "co")).withColumn("sn", sim.indel("ln", "cn")).where((F.col("so") >= least) & (F.col("sn") >= least))
+    best = near.groupBy("label_id").agg(F.max_by("candidate_id", F.struct(F.col("so") + F.col("sn"), -F.col("candidate_id"))).alias("candidate_id"))
+    return labels.select(F.col("id").alias("label_id")).join(best, "label_id", "left")
+
+
+def auto_label(old_text, new_text, same_path, score):
+    """A verdict where the texts leave no doubt: same, different, or null."""
+    long = (F.length(old_text) > 120) & (F.length(new_text) > 120)
+    empty = (old_text == "") & (new_text == "")
+    return F.when(empty & same_path, "same").when(~empty & (score >= 97), "same").when(long & ~same_path & (score <= 25), "different")
+
+
+def unit_scores(units: DataFrame, bar: int = 3) -> DataFrame:
+    """One row: units of a review, substantive ones missed, false alarms, precision. units: rank (of the class found), substantive, words."""
+    shown = F.col("rank") >= bar
+    return units.agg(
+        F.count("*").alias("n"), F.count_if("substantive").alias("substantive"), F.count_if(F.col("substantive") & ~shown).alias("missed"),
+        F.count_if(F.col("substantive") & ~shown & (F.col("words") <= 12)).alias("missed_small"), F.count_if(shown & ~F.col("substantive")).alias("false_alarms"),
+        (F.count_if(shown & F.col("substantive")) / F.nullif(F.count_if(shown), F.lit(0))).alias("precision"),
+    )
+
+
 def write_worksheet(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

@@ -151,6 +151,9 @@ ORACLES = {
           max(CASE change WHEN 'unchanged' THEN 0 WHEN 'numbers only' THEN 1 WHEN 'minor' THEN 2 WHEN 'substantive' THEN 3 WHEN 'new' THEN 4 ELSE 5 END) AS top FROM cells GROUP BY ALL)
         SELECT chamber, slug, row_path, fy, CASE WHEN labels = ['new'] THEN 'new' ELSE ['unchanged', 'numbers only', 'minor', 'substantive', 'new', 'dropped'][top + 1] END AS label, members FROM g""",
     "chain_pivot": f"""{CELLS} SELECT chamber, slug, heading, {', '.join(f'count_if(fy = {y}) AS fy{y}' for y in _YEARS)} FROM cells WHERE change NOT IN ('unchanged', 'numbers only') GROUP BY ALL""",
+    "active_headings": f"""{CELLS} SELECT chamber, slug, heading, count(*) AS n FROM cells GROUP BY ALL HAVING bool_or(change NOT IN ('unchanged', 'numbers only'))""",
+    "thread_names": f"""WITH {_S} SELECT section_id, left(replace(trim(regexp_replace(lower(array_to_string(path, ' ')), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), 90) || '-' || left(md5(array_to_string(path, ' > ')), 6) AS name FROM s WHERE len(path) > 0""",
+    "directive_sections": f"WITH {_S} SELECT section_id, package_id FROM s WHERE len(list_filter(paragraphs, lambda z: z.kind = 'directive')) > 0",
     "stitch_returned": f"""{CELLS}, yy AS (SELECT chamber, slug, fy, lead(fy) OVER (PARTITION BY chamber, slug ORDER BY fy) AS next_fy, min(fy) OVER (PARTITION BY chamber, slug) AS first_fy FROM e),
         g AS (SELECT thread, min(fy) AS a, max(fy) AS b, min(chamber) AS chamber, min(slug) AS slug, arg_min(path, fy) AS p0, arg_max(path, fy) AS p1 FROM cells GROUP BY thread),
         d AS (SELECT g.chamber, g.slug, p1[1] || ' > ' || p1[-1] AS key, thread AS dead_id, next_fy AS death FROM g JOIN yy ON yy.chamber = g.chamber AND yy.slug = g.slug AND yy.fy = g.b WHERE next_fy IS NOT NULL),
