@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from editrail.runtime import read_table
+from editrail.runtime import cut, read_table
 
 # Cyrillic and Greek letters drawn like Latin letters, and those Latin letters.
 CYRILLIC = "АВЕКМНОРСТУХЅІЈԌԚԜҮӀаеорсухѕіјһԁԛԝӏ"
@@ -118,7 +118,8 @@ def look_alike_pairs(hashes: DataFrame, scope: list[str]) -> DataFrame:
     aggregate before the join, so a text repeated in a third of all rows makes no pairs on the way.
     """
     look = [*scope, "c1", "c2"]
-    form = hashes.select("id", *look, "s1", "s2").where("c1 IS NOT NULL").distinct()
+    # kept, since it is read three times and its making runs Python
+    form = cut(hashes.select("id", *look, "s1", "s2").where("c1 IS NOT NULL").distinct())
     forms = F.struct("s1", "s2")
     mixed = form.groupBy(*look).agg(F.min(forms).alias("lo"), F.max(forms).alias("hi")).where("lo <> hi").select(*look)
     form = form.join(mixed, look)
