@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editrail.functions.text import line_kind
+from editrail.runtime import spread
 
 _PRE = re.compile(r"<pre>(.*)</pre>", re.S | re.I)
 _CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
@@ -337,7 +338,7 @@ def segment_documents(docs: DataFrame, key: str, text: str, agencies: frozenset
             yield pd.DataFrame(out, columns=["doc", "seq", "heading", "level", "path", "paragraphs", "table_spans", "printed_under"])
 
     slim = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("doc"), F.col(text).alias("text"))
-    return slim.mapInPandas(run, SECTIONS)
+    return spread(slim).mapInPandas(run, SECTIONS)
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:

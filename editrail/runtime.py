@@ -68,6 +68,12 @@ def ship(spark: SparkSession) -> None:
     sc._editrail_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its few files would keep most of them idle; large inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def latest(df: DataFrame, keys: list[str], by: list) -> DataFrame:
     """One row per key: the greatest in the order `by` (columns, descending, nulls last).
 
