@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editrail.runtime import read_table
+from editrail.runtime import read_table, spread
 
 LANGUAGES = ("en", "es", "fr", "de", "pt", "it")
 ORDER = 5
@@ -314,7 +314,7 @@ def label_blocks(docs: DataFrame, labeller: Labeller) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(cols, schema=ARROW)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").alias("label"), "text").mapInArrow(run, SCHEMA)
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("lang").alias("label"), "text")).mapInArrow(run, SCHEMA)
 
 
 ARROW = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("block_no", pa.int32()), ("letters", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("mixed", pa.bool_())])

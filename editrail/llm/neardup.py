@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editrail.runtime import read_table
+from editrail.runtime import read_table, spread
 
 #: Counters of the token count; tokens that share one are counted together, which affects cost alone.
 COUNTERS = 1 << 18
@@ -183,7 +183,7 @@ def _parse(rows: DataFrame, width: int) -> DataFrame:
                 names=["is_set", "at_key", "id", "at", "k", "words"],
             )
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def _words_of(b: pa.RecordBatch, column: str = "words") -> list[bytes]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editrail.llm.tokenize import TOKENIZERS, encoder_of, vocabulary
-from editrail.runtime import cut, read_table
+from editrail.runtime import cut, read_table, spread
 
 CAPACITY = 2048
 #: A bin with at most this share of its capacity unused is final.
@@ -139,7 +139,7 @@ def pack(items: DataFrame, size_of, columns: list[str], key: str, capacity: int
             yield packed(keys, sizes)
 
     schema = f"`{key}` {kind}, part_no int, token_from long, token_count int, bin long, fill long"
-    parts = cut(slim.mapInArrow(local, schema))
+    parts = cut(spread(slim).mapInArrow(local, schema))
     under = parts.where((F.col("fill") > 0) & (F.col("fill") < capacity * (1 - slack))).groupBy("bin").agg(F.max("fill").alias("fill"))
     mapping = _settle(cut(under), capacity, slack)
     done = parts.drop("fill")

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from editrail.runtime import read_table
+from editrail.runtime import read_table, spread
 
 #: Where the vocabularies lie; a parameter of every function that reads one.
 TOKENIZERS = os.environ.get("EDITRAIL_TOKENIZERS", "/opt/tokenizers")
@@ -158,7 +158,8 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     """(key, ids): one row per row of docs. Null and empty texts have an empty list.
 
     Whole texts of any length; ties, repeated rows and null keys pass through; other columns are
-    not read. No shuffle. The vocabulary (under a megabyte, whatever the corpus) is broadcast.
+    not read. No shuffle,
+    unless the input is too small for the cores. The vocabulary (under a megabyte, whatever the corpus) is broadcast.
     """
     spark = docs.sparkSession
     vocab = spark.sparkContext.broadcast(vocabulary(name, folder))
@@ -183,7 +184,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n
             if start < b.num_rows:
                 yield batch(b.column(0).slice(start), flat, ends)
 
-    return slim.mapInArrow(run, schema)
+    return spread(slim).mapInArrow(run, schema)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
