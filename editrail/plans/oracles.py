@@ -170,10 +170,10 @@ ORACLES = {
           list_distinct(list_filter(string_split_regex(lower(array_to_string(list_transform(np, lambda z: coalesce(z.text, '')), ' ')), '[ \t\r\n]+'), lambda v: v <> '')) AS b FROM m)
         SELECT pair, old_id, new_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS shared, CAST(len(a) - len(list_intersect(a, b)) AS INTEGER) AS only_old, CAST(len(b) - len(list_intersect(a, b)) AS INTEGER) AS only_new FROM w""",
     "linkage_by_pass": """WITH c AS (SELECT DISTINCT * FROM linkage_candidates WHERE score IS NOT NULL), x AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY decided_at DESC) = 1)
-        SELECT match_pass, count(*) AS n, count_if(accepted) AS "right", count_if(NOT auto) AS reviewed FROM x WHERE accepted IS NOT NULL GROUP BY match_pass""",
+        SELECT match_pass, count(*) AS n, CAST(count_if(accepted) AS BIGINT) AS "right", CAST(count_if(NOT auto) AS BIGINT) AS reviewed FROM x WHERE accepted IS NOT NULL GROUP BY match_pass""",
     "linkage_sweep": """WITH c AS (SELECT DISTINCT * FROM linkage_candidates WHERE score IS NOT NULL), x AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY decided_at DESC) = 1),
         b AS (SELECT CAST(70 + unnest([-15, -10, -5, 0, 5, 10, 15]) AS DOUBLE) AS bar)
-        SELECT bar, count_if(score >= bar AND accepted) AS "right", count_if(score >= bar AND NOT accepted) AS wrong, count_if(score < bar AND accepted) AS missed FROM x, b WHERE accepted IS NOT NULL GROUP BY bar""",
+        SELECT bar, CAST(count_if(score >= bar AND accepted) AS BIGINT) AS "right", CAST(count_if(score >= bar AND NOT accepted) AS BIGINT) AS wrong, CAST(count_if(score < bar AND accepted) AS BIGINT) AS missed FROM x, b WHERE accepted IS NOT NULL GROUP BY bar""",
     "duplicate_paths": f"WITH {_S} SELECT package_id, array_to_string(path, ' > ') AS path, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 1",
     "resumed_parents": f"""WITH {_S}, a AS (SELECT package_id, seq, section_id, array_to_string(path[1:2], ' > ') AS parent FROM s WHERE len(path) > 1),
         b AS (SELECT *, lag(parent) OVER (PARTITION BY package_id ORDER BY seq, section_id) AS before FROM a), c AS (SELECT package_id, parent, count(*) - 1 AS again FROM b WHERE before IS DISTINCT FROM parent GROUP BY ALL)
