@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": components.P3_SQL}
+    return {"p2_found": neardup.P2_SQL, "p3_found": components.P3_SQL, "p5_found": textform.P5_SQL}

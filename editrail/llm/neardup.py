@@ -418,3 +418,15 @@ def similar_pairs(records: DataFrame, threshold: float = 0.8, width: int = 5) ->
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "paragraphs").where("kind = 'directive'")
     return similar_pairs(p.select(F.col("para_id").alias("id"), F.col("loaded_at").alias("at"), "heading", "text"), threshold=0.6, width=3)
+
+
+#: The definition, word for word: every sequence of every record joined with its equals.
+P2_SQL = """
+WITH p AS (SELECT * FROM paragraphs QUALIFY row_number() OVER (PARTITION BY para_id ORDER BY loaded_at DESC) = 1),
+w AS (SELECT para_id, list_concat(regexp_extract_all(lower(coalesce(heading, '')), '[a-z0-9]+'), regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM p WHERE kind = 'directive'),
+i AS (SELECT para_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3),
+g AS (SELECT DISTINCT para_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM i),
+n AS (SELECT para_id, count(*) AS n FROM g GROUP BY para_id),
+j AS (SELECT a.para_id AS id_a, b.para_id AS id_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.para_id < b.para_id GROUP BY ALL)
+SELECT id_a, id_b FROM j JOIN n x ON x.para_id = id_a JOIN n y ON y.para_id = id_b WHERE 10 * c >= 6 * (x.n + y.n - c)
+"""

@@ -137,3 +137,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = look_alike_pairs(text_hashes(h, ["id", "package_id"]), ["package_id"])
     kind = lambda df, k: df.select(F.lit(k).alias("record_kind"), "id_a", "id_b")
     return kind(para, "paragraph").unionByName(kind(head, "heading"))
+
+
+def _p5_sql() -> str:
+    """p5_found over the characters that these tables hold, by the other engine's translate and NFC."""
+    wide = "".join(chr(0xFF01 + k) for k in range(94))
+    plain = "".join(chr(0x21 + k) for k in range(94))
+    source, target = wide + CYRILLIC + GREEK + "\u2010\u2011", plain + CYRILLIC_AS + GREEK_AS + "--"
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    form = f"translate(regexp_replace(text, '[\\x{{00AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g'), {quoted(source)}, {quoted(target)})"
+    rows = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\u2160": "I", "\u2161": "II", "\u2162": "III", "\u2163": "IV", "\u2164": "V"}
+    for one, row in rows.items():
+        form = f"replace({form}, '{one}', '{row}')"
+    form = f"trim(regexp_replace(nfc_normalize({form}), '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
+    return f"""
+    WITH p AS (SELECT para_id AS id, text FROM paragraphs QUALIFY row_number() OVER (PARTITION BY para_id ORDER BY loaded_at DESC) = 1),
+    a AS (SELECT 'paragraph' AS record_kind, id, '' AS scope, text, {form} AS form FROM p WHERE text IS NOT NULL
+      UNION ALL SELECT DISTINCT 'heading', heading_id, package_id, text, {form} FROM headings WHERE text IS NOT NULL)
+    SELECT DISTINCT x.record_kind, x.id AS id_a, y.id AS id_b FROM a x JOIN a y ON x.record_kind = y.record_kind AND x.scope = y.scope AND x.form = y.form
+    WHERE x.id < y.id AND x.text <> y.text AND x.form <> ''"""
+
+
+P5_SQL = _p5_sql()
