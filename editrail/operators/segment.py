@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editrail.functions.text import line_kind
+from editrail.functions.text import LEAD_IN, PROVISION, WRAP_HYPHEN, line_kind
 from editrail.runtime import spread
 
 _PRE = re.compile(r"<pre>(.*)</pre>", re.S | re.I)
@@ -26,9 +26,9 @@ _GAPS = re.compile(r"\S {2,}(?=\S)")
 _AMOUNT_END = re.compile(r"\d,\d{3}$")
 _ACRONYM = re.compile(r"\s*\([A-Z]{2,}\)\s*$")
 _YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
-_LEAD_IN = re.compile(r"^([A-Z][^.]{2,80}?)\.--")
-_PROVISION = re.compile(r"^(?:Section|Sec\.)\s+(\d+[A-Za-z]?)\b")
-_WRAP = re.compile(r"(?<=[a-z])- (?!(?:and|or)\b)(?=[a-z])")
+_LEAD_IN = re.compile(LEAD_IN)
+_PROVISION = re.compile(PROVISION)
+_WRAP = re.compile(WRAP_HYPHEN)
 _TITLE = re.compile(r"^TITLE\s+[IVXL]+\b")
 # Words that open the heading of an agency or of a bureau.
 _AGENCY = re.compile(r"^(?:DEPARTMENT|MINISTRY|AGENCY|COMMISSION|DIRECTORATE|INSTITUTE)\b")
