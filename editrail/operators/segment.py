@@ -140,7 +140,7 @@ def squeezed(text: str) -> str:
 
 
 def contents_levels(entries: list[tuple[int, str]], agencies: frozenset = frozenset(), bureaus: frozenset = frozenset()) -> list[tuple[str, int]]:
-    """(squeezed heading, level) of a table of contents: a parent is the last entry less indented, siblings share the highest tier among them."""
+    """(normal heading, level) of a table of contents: a parent is the last entry less indented, siblings share the highest tier among them."""
     open_entries: list[tuple[int, int]] = []  # (depth, index)
     parent: list[int] = []
     for k, (depth, _) in enumerate(entries):
@@ -157,7 +157,22 @@ def contents_levels(entries: list[tuple[int, str]], agencies: frozenset = frozen
     for k, (depth, _) in enumerate(entries):
         above = levels[parent[k]] if parent[k] >= 0 else -1
         levels.append(0 if own[k] == 0 else min(3, max(1, above + 1, best[parent[k], depth])))
-    return [(squeezed(t), level) for (_, t), level in zip(entries, levels)]
+    return [(normal(t), level) for (_, t), level in zip(entries, levels)]
+
+
+def snapped(contents: list[str], names: list[str], most_extra: int = 2) -> list[str]:
+    """Contents entries by the heading they mean: one that begins with them or that they begin with, at most two words apart.
+
+    Only where entry and heading are each other's only such partner and the heading is printed once.
+    """
+    once = {n for n in names if names.count(n) == 1}
+    begins = lambda a, b: b.startswith(a + " ") and len(b.split()) - len(a.split()) <= most_extra
+    near = {c: [n for n in once if begins(c, n) or begins(n, c)] for c in contents if c not in names}
+    back: dict[str, int] = {}
+    for ns in near.values():
+        for n in ns:
+            back[n] = back.get(n, 0) + 1
+    return [near[c][0] if len(near.get(c, ())) == 1 and back[near[c][0]] == 1 else c for c in contents]
 
 
 def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -192,7 +207,7 @@ def assign_levels(headings: list[dict], gap: list[bool], contents=(), tiers=(),
     for k in range(len(levels) - 1):
         if levels[k] == 3 and levels[k + 1] == 3 and not gap[k] and headings[k + 1]["start"] - headings[k]["end"] <= 3:
             levels[k] = 2
-    for k, e in _aligned(keys, [t for t, _ in contents]):
+    for k, e in _aligned(keys, [squeezed(t) for t in snapped([t for t, _ in contents], names)]):
         if not (names[k] in agencies and contents[e][1] > levels[k]) and not names[k].startswith("GENERAL PROVISION"):
             levels[k] = contents[e][1]
     for k, e in _aligned(keys, [squeezed(t) for _, t in tiers]):
@@ -278,7 +293,7 @@ def segment(raw: str, agencies: frozenset = frozenset(), bureaus: frozenset = fr
                 headings[-1] = {"text": f"{headings[-1]['text']} {line.strip()}", "start": headings[-1]["start"], "end": i + 1}
             else:
                 headings.append({"text": line.strip(), "start": i, "end": i + 1})
-    headings = rejoin_headings(headings, {t for t, _ in contents} | {squeezed(t) for _, t in tiers})
+    headings = rejoin_headings(headings, {squeezed(t) for t, _ in contents} | {squeezed(t) for _, t in tiers})
     gap = [any(kinds[i] != "blank" for i in range(h["end"], n["start"])) for h, n in zip(headings, headings[1:])] + [True]
     levels = assign_levels(headings, gap, contents, tiers, agencies, bureaus)
     opens = {h["start"]: k for k, h in enumerate(headings)}
