@@ -38,6 +38,8 @@ MAP_BITS = 192
 SCAN_COST = 1 / 200
 #: Entries of lists that a task scans at a time, and pairs that it verifies at a time.
 CHUNK_SCANS, CHUNK_PAIRS = 1_000_000, 8_000
+#: List entries that a task of the join gets, about. A set goes to each task that it has an entry in: fewer tasks, fewer copies.
+TASK_ENTRIES = 2_000_000
 #: Words whose hashes a worker keeps; beyond it the memory starts anew.
 MEMORY_WORDS = 500_000
 
@@ -357,8 +359,6 @@ def _candidates(sets: DataFrame, plan_of, parts: int) -> DataFrame:
             pairs = _scan(plan, names, sizes, maps, key, member, short)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["k_a", "k_b"])
 
-    # a set goes to every task that it has an entry in: fewer tasks, fewer copies
-    parts = -(-parts // 2)
     bundles = _bundles(sets, plan_of, parts)
     return bundles.repartitionById(parts, F.col("part")).mapInArrow(join, "k_a long, k_b long").distinct()
 
@@ -402,9 +402,11 @@ def similar_pairs(records: DataFrame, threshold: float = 0.8, width: int = 5) ->
     limit = Fraction(str(threshold))
     parsed = _parse(records.select(F.col("id").cast("long"), "at", "heading", "text"), width).repartition(parts, "at_key").persist()
     sets = parsed.where("is_set")
-    counts = spark.sparkContext.broadcast(_count_tokens(sets, width))
+    counted = _count_tokens(sets, width)
+    tasks = max(spark.sparkContext.defaultParallelism // 2, -(-int(counted.sum() * (1 - limit)) // TASK_ENTRIES), 1)
+    counts = spark.sparkContext.broadcast(counted)
     small = _boundary(sets, lambda: Plan(counts.value, limit, width))
-    pairs = _candidates(sets, lambda: Plan(counts.value, limit, width, small), parts)
+    pairs = _candidates(sets, lambda: Plan(counts.value, limit, width, small), tasks)
     pairs = _verified(pairs, sets, limit, width)
     ids = parsed.where("NOT is_set").groupBy("id").agg(F.max(F.struct("at", "k"))["k"].alias("k")).where("k >= 0")
     a, b = ids.select(F.col("id").alias("x"), F.col("k").alias("k_a")), ids.select(F.col("id").alias("y"), F.col("k").alias("k_b"))
