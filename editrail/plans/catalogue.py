@@ -146,22 +146,22 @@ def mask_text(spark, d):
 
 
 def heading_normalise(spark, d):
-    h = read_table(spark, d, "headings").where("text IS NOT NULL AND text RLIKE '^[ -~]*$'").select("heading_id", "text").distinct()
+    h = read_table(spark, d, "headings").where("text IS NOT NULL").select("heading_id", "text").distinct()
     return h.select("heading_id", tx.normal_heading(F.col("text")).alias("heading"), tx.normal_name(F.col("text")).alias("name"), tx.comparison_key(F.col("text")).alias("key"))
 
 
 def paragraph_kinds(spark, d):
-    p = src.paragraphs(spark, d).where("text RLIKE '^[ -~]*$'")
+    p = src.paragraphs(spark, d).where("text IS NOT NULL")
     return p.select("para_id", tx.paragraph_kind(F.col("text")).alias("kind"), tx.paragraph_topic(F.col("text")).alias("topic"))
 
 
 def family_counts(spark, d):
-    p = src.paragraphs(spark, d).where("text RLIKE '^[ -~]*$'")
+    p = src.paragraphs(spark, d).where("text IS NOT NULL")
     return p.select("para_id", *tx.family_counts(F.col("text")))
 
 
 def describe_tags(spark, d):
-    p = src.paragraphs(spark, d).where("text RLIKE '^[ -~]*$'")
+    p = src.paragraphs(spark, d).where("text IS NOT NULL")
     return p.select("para_id", F.array_join(tx.tags(F.col("text")), ",").alias("tags"))
 
 
@@ -172,7 +172,7 @@ def line_kinds(spark, d):
 
 
 def word_totals(spark, d):
-    return src.paragraphs(spark, d).where("text RLIKE '^[ -~]*$'").groupBy("package_id", "kind").agg(F.sum(tx.word_count(F.col("text"))).cast("long").alias("words"), F.count("*").alias("n"))
+    return src.paragraphs(spark, d).where("text IS NOT NULL").groupBy("package_id", "kind").agg(F.sum(tx.word_count(F.col("text"))).cast("long").alias("words"), F.count("*").alias("n"))
 
 
 def anchors(spark, d):

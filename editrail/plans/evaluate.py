@@ -84,8 +84,8 @@ def merged_labels(spark, d) -> DataFrame:
 
 def figures(spark, d) -> DataFrame:
     """Figures of each paragraph by kind, and its dollars."""
-    p = src.paragraphs(spark, d).where("text RLIKE '^[ -~]*$'")
-    n = lambda pattern: F.regexp_count("text", F.lit(pattern))
+    p = src.paragraphs(spark, d).where("text IS NOT NULL")
+    n = lambda pattern: tx.by_class(F.col("text"), pattern, lambda t, q: F.regexp_count(t, F.lit(q)))
     dollars = F.regexp_extract_all("text", F.lit(r"\$([0-9][0-9,]*)"), F.lit(1))
     total = F.aggregate(dollars, F.lit(0).cast("long"), lambda t, x: t + F.replace(x, F.lit(","), F.lit("")).cast("long"))
     return p.select("para_id", n(r"\$[0-9]").alias("amounts"), n(r"\b[0-9]+ percent\b").alias("shares"), n(r"\b[0-9]+ (?:days|weeks|months)\b").alias("spans"), n(r"\b(?:19|20)[0-9]{2}\b").alias("years"), total.alias("dollars"))
