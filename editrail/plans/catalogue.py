@@ -31,6 +31,10 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return src.pairs(src.editions(spark, d))
 
 
+def _matching(spark: SparkSession, d: str) -> cp.Matching:
+    return cp.match(_pairs(spark, d), src.sections(spark, d))
+
+
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return al.sides(_pairs(spark, d), src.sections(spark, d))
 
@@ -323,7 +327,7 @@ def compare_moves(spark, d):
 
 
 def _links(spark, d):
-    return al.exact_path(*_sides(spark, d)).select("old_id", "new_id")
+    return _matching(spark, d).matched.select("old_id", "new_id")
 
 
 def thread_ids(spark, d):
@@ -331,14 +335,12 @@ def thread_ids(spark, d):
 
 
 def _cells(spark, d):
-    heads = cut(ch.thread_heads(_links(spark, d)))
+    m = _matching(spark, d)
+    heads = cut(ch.thread_heads(m.matched.select("old_id", "new_id")))
     s = src.sections(spark, d).where(F.size("path") > 0).join(src.editions(spark, d), "package_id")
     s = s.join(heads.withColumnRenamed("node", "section_id"), "section_id", "left").withColumn("thread", F.coalesce("head", "section_id"))
-    m = _matched_paragraphs(spark, d)
-    join = lambda c: F.array_join(F.transform(c, lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
-    a, b = join("old_paragraphs"), join("new_paragraphs")
-    kind = F.when(a == b, "unchanged").when(tx.mask(a) == tx.mask(b), "numbers only").otherwise("substantive")
-    s = s.join(m.select(F.col("new_id").alias("section_id"), kind.alias("change")), "section_id", "left")
+    classes = cp.section_classes(m.matched, df_.paragraph_diffs(cp.with_paragraphs(m)))
+    s = s.join(classes.select(F.col("new_id").alias("section_id"), "change"), "section_id", "left")
     return s.select("thread", "chamber", "slug", "fy", "section_id", "heading", "path", F.coalesce("change", F.lit("new")).alias("change"))
 
 

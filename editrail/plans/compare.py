@@ -49,18 +49,32 @@ def loose_paragraphs(side: DataFrame, alone: DataFrame, diffs: DataFrame, old_si
 
 
 def find_moves(gone: DataFrame, come: DataFrame) -> DataFrame:
-    """(pair, old_key, new_key, how): verbatim, then of one topic, then nearly verbatim; each paragraph once."""
+    """(pair, old_key, new_key, how, score): verbatim, then of one topic, then nearly verbatim; each paragraph once."""
     scope = ["pair"]
     rest = lambda side, moves, key: side.join(moves.select("pair", F.col(key).alias("key")), ["pair", "key"], "left_anti")
-    first = cut(ch.moved_verbatim(gone, come, scope).select("pair", "old_key", "new_key", F.lit("verbatim").alias("how")))
+    first = cut(ch.moved_verbatim(gone, come, scope).select("pair", "old_key", "new_key", F.lit("verbatim").alias("how"), F.lit(None).cast("double").alias("score")))
     gone, come = rest(gone, first, "old_key"), rest(come, first, "new_key")
-    second = cut(ch.moved_same_topic(gone, come, scope).select("pair", "old_key", "new_key", F.lit("topic").alias("how")))
+    second = cut(ch.moved_same_topic(gone, come, scope).select("pair", "old_key", "new_key", F.lit("topic").alias("how"), F.col("score").cast("double").alias("score")))
     gone, come = cut(rest(gone, second, "old_key")), cut(rest(come, second, "new_key"))
-    third = ch.moved_nearly(gone, come, scope).select("pair", "old_key", "new_key", F.lit("near").alias("how"))
+    third = ch.moved_nearly(gone, come, scope).select("pair", "old_key", "new_key", F.lit("near").alias("how"), F.col("score").cast("double").alias("score"))
     return first.unionByName(second).unionByName(third)
 
 
-def compare(pairs: DataFrame, sections: DataFrame) -> Comparison:
+@dataclass
+class Matching:
+    """The sections of both sides, those matched by any pass, and those of one side only; all keyed by pair."""
+
+    old: DataFrame
+    new: DataFrame
+    matched: DataFrame
+    candidates: DataFrame
+    renamed: DataFrame
+    removed: DataFrame
+    added: DataFrame
+
+
+def match(pairs: DataFrame, sections: DataFrame) -> Matching:
+    """Sections through all passes: guarded exact path, unique heading, fuzzy heading, content, promoted renames."""
     sections = cut(sections.select("section_id", "package_id", "seq", "sort_order", "heading", "level", "path", "paragraphs"))
     old, new = al.sides(pairs, sections)
     matched, candidates = al.align(old, new)
@@ -70,11 +84,26 @@ def compare(pairs: DataFrame, sections: DataFrame) -> Comparison:
     renamed = al.promote_renames(best, paths).select("pair", "old_id", "new_id", F.lit("renamed").alias("match_pass"), "score")
     matched = cut(matched.unionByName(renamed))
     removed, added = cut(al.left_over(old, matched, "old_id")), cut(al.left_over(new, matched, "new_id"))
-    hints = al.related(al.best_counterparts(removed, added))
+    return Matching(old, new, matched, candidates, renamed, removed, added)
+
 
+def with_paragraphs(m: Matching) -> DataFrame:
+    """The matched sections with the paragraphs of both sides."""
     texts = lambda side, id_, name: side.select("pair", F.col("section_id").alias(id_), F.col("paragraphs").alias(name))
-    both = matched.join(texts(old, "old_id", "old_paragraphs"), ["pair", "old_id"]).join(texts(new, "new_id", "new_paragraphs"), ["pair", "new_id"])
-    diffs = cut(df_.paragraph_diffs(both))
+    return m.matched.join(texts(m.old, "old_id", "old_paragraphs"), ["pair", "old_id"]).join(texts(m.new, "new_id", "new_paragraphs"), ["pair", "new_id"])
+
+
+def section_classes(matched: DataFrame, diffs: DataFrame) -> DataFrame:
+    """(pair, old_id, new_id, change, changed_words) of every matched section; without paragraphs it is unchanged."""
+    per_section = matched.select("pair", "old_id", "new_id").join(df_.section_diffs(diffs), ["pair", "old_id", "new_id"], "left")
+    return per_section.select("pair", "old_id", "new_id", F.coalesce("change", F.lit("unchanged")).alias("change"), F.coalesce("changed_words", F.lit(0)).alias("changed_words"))
+
+
+def compare(pairs: DataFrame, sections: DataFrame) -> Comparison:
+    m = match(pairs, sections)
+    old, new, matched, candidates, renamed, removed, added = m.old, m.new, m.matched, m.candidates, m.renamed, m.removed, m.added
+    hints = al.related(al.best_counterparts(removed, added))
+    diffs = cut(df_.paragraph_diffs(with_paragraphs(m)))
 
     gone, come = cut(loose_paragraphs(old, removed, diffs, True)), cut(loose_paragraphs(new, added, diffs, False))
     moves = find_moves(gone, come)
@@ -85,8 +114,7 @@ def compare(pairs: DataFrame, sections: DataFrame) -> Comparison:
     still = moves.where("old_text = new_text").withColumn("words", word_count(F.col("old_text")).cast("long"))
     off_old = still.groupBy("pair", F.col("old_section").alias("old_id")).agg(F.sum("words").alias("off_old"))
     off_new = still.groupBy("pair", F.col("new_section").alias("new_id")).agg(F.sum("words").alias("off_new"))
-    per_section = matched.select("pair", "old_id", "new_id").join(df_.section_diffs(diffs), ["pair", "old_id", "new_id"], "left")
-    per_section = per_section.select("pair", "old_id", "new_id", F.coalesce("change", F.lit("unchanged")).alias("change"), F.coalesce("changed_words", F.lit(0)).alias("changed_words"))
+    per_section = section_classes(matched, diffs)
     lone = lambda df, o, n, label: df.select("pair", o.alias("old_id"), n.alias("new_id"), F.lit(label).alias("change"), _words("paragraphs").alias("changed_words"))
     none = F.lit(None).cast("long")
     rows = per_section.unionByName(lone(removed, F.col("section_id"), none, "dropped")).unionByName(lone(added, none, F.col("section_id"), "new"))

@@ -42,14 +42,14 @@ def stitch_candidates(dead: DataFrame, born: DataFrame, scope: list[str]) -> Dat
     return both.withColumn("rank", F.col("score") + F.when(F.col("same"), NAME_BONUS).otherwise(0.0))
 
 
-def stitch(cells: DataFrame, editions: DataFrame, scope: list[str], rounds: int = 12) -> DataFrame:
+def stitch(cells: DataFrame, editions: DataFrame, scope: list[str]) -> DataFrame:
     """cells with threads joined over gaps, until no more join. cells: scope, thread, fy, section_id, path, paragraphs.
 
     One to one within a title, best rank first. The joined thread keeps the older name.
     """
     w = Window.partitionBy(*scope).orderBy("fy")
     years = editions.select(*scope, "fy", F.lead("fy").over(w).alias("next_fy"), F.min("fy").over(Window.partitionBy(*scope)).alias("first_fy"))
-    for _ in range(rounds):
+    while True:
         cell = F.struct("fy", "section_id", "path", "paragraphs")
         t = cells.groupBy(*scope, "thread").agg(F.min(cell).alias("a"), F.max(cell).alias("z"))
         title, leaf = lambda c: F.get(c, F.lit(0)), lambda c: F.element_at(c, -1)
@@ -64,7 +64,6 @@ def stitch(cells: DataFrame, editions: DataFrame, scope: list[str], rounds: int
         # a thread may be joined at both ends in one round: follow the links to the first
         names = ch.thread_heads(taken.select("old_id", "new_id")).select(F.col("node").alias("thread"), "head")
         cells = cut(cells.join(names, "thread", "left").withColumn("thread", F.coalesce("head", "thread")).drop("head"), constraints=False)
-    return cells
 
 
 def paragraph_origins(diffs: DataFrame, moves: DataFrame, order: DataFrame) -> DataFrame:

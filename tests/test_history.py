@@ -77,3 +77,37 @@ def test_stitching_over_a_gap_and_not_over_strangers(spark):
     e = spark.createDataFrame([("h", y) for y in (1, 2, 3)], "slug string, fy int")
     got = {r["section_id"]: r["thread"] for r in hs.stitch(cells, e, ["slug"]).collect()}
     assert got == {101: 1, 103: 1, 105: 5, 107: 7, 109: 9, 110: 9, 111: 9}
+
+
+@pytest.fixture(scope="module")
+def renamed_folder(spark, tmp_path_factory):
+    """One series of three years whose second year calls the lamps' section otherwise and puts another text under SEC 1."""
+    from datetime import datetime
+
+    d = str(tmp_path_factory.mktemp("renamed"))
+    sec = lambda n, text: (["T", "GENERAL", f"SEC {n}"], [f"Sec. {n}. {text}"])
+    old, other = "None of the funds may be used to paint bridges in any colour but grey.", "Fees that keepers collect stay with the lighthouse until they are spent."
+    years = {
+        2007: [(["T", "HARBOR LAMPS"], [LAMPS]), sec(1, old)],
+        2008: [(["T", "LIGHTS OF HARBORS"], [LAMPS.replace("two", "three")]), sec(1, other)],
+        2009: [(["T", "LIGHTS OF HARBORS"], [LAMPS.replace("two", "three")]), sec(1, other)],
+    }
+    _, s = editions(spark, years)
+    at = datetime(2024, 1, 1)
+    from pyspark.sql import functions as F
+
+    s.withColumn("table_spans", F.lit(0)).withColumn("loaded_at", F.lit(at)).write.parquet(f"{d}/sections.parquet")
+    spark.createDataFrame([(f"p{y}", "House", "Harbors", y, "Harbors") for y in years], "package_id string, chamber string, subcommittee string, fiscal_year int, title string").write.parquet(f"{d}/reports.parquet")
+    return d
+
+
+def test_threads_follow_renames_and_leave_reused_numbers(spark, renamed_folder):
+    from editrail.plans import catalogue as cat
+
+    heads = {r["section_id"]: r["thread"] for r in cat.thread_ids(spark, renamed_folder).collect()}
+    assert heads[200800] == heads[200900] == 200700
+    assert heads[200901] == heads[200801] == 200801 and heads.get(200701, 200701) == 200701
+    runs = {(r["thread"], r["heading"]): (r["first_fy"], r["last_fy"]) for r in cat.name_runs(spark, renamed_folder).collect()}
+    assert runs[200700, "HARBOR LAMPS"] == (2007, 2007) and runs[200700, "LIGHTS OF HARBORS"] == (2008, 2009)
+    origins = {r["thread"]: (r["added_fy"], r["edited_fy"]) for r in cat.provenance(spark, renamed_folder).collect()}
+    assert origins == {200700: (2007, 2008), 200701: (2007, None), 200801: (2008, None)}
