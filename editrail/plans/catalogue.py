@@ -6,7 +6,6 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from editrail.functions import similarity as sim
 from editrail.functions import text as tx
@@ -187,21 +186,28 @@ def anchors(spark, d):
 # ---- differences
 
 
-def _matched_paragraphs(spark, d):
+def _exact_paragraphs(spark, d):
     old, new = _sides(spark, d)
     m = al.exact_path(old, new)
     m = m.join(old.select("pair", F.col("section_id").alias("old_id"), F.col("paragraphs").alias("old_paragraphs"), F.col("seq").alias("old_seq")), ["pair", "old_id"])
     return m.join(new.select("pair", F.col("section_id").alias("new_id"), F.col("paragraphs").alias("new_paragraphs"), F.col("seq").alias("new_seq"), "path"), ["pair", "new_id"])
 
 
-def masked_section_changes(spark, d):
-    m = _matched_paragraphs(spark, d)
+def _masked_kinds(m):
     join = lambda c: F.array_join(F.transform(c, lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
     a, b = join("old_paragraphs"), join("new_paragraphs")
     kind = F.when(a == b, "unchanged").when(tx.mask(a) == tx.mask(b), "numbers only").otherwise("language")
     return m.withColumn("kind", kind).groupBy("pair", "kind").agg(F.count("*").alias("n"))
 
 
+def masked_section_changes(spark, d):
+    return _masked_kinds(_exact_paragraphs(spark, d))
+
+
+def _matched_paragraphs(spark, d):
+    return cp.with_paragraphs(_matching(spark, d))
+
+
 def paragraph_diffs(spark, d):
     out = df_.paragraph_diffs(_matched_paragraphs(spark, d))
     return out.select("pair", "old_id", "new_id", "idx", "change", "literal", "changed_words", F.size("flags").alias("n_flags"))
@@ -212,12 +218,17 @@ def word_diff(spark, d):
     return out.select("pair", "old_id", "new_id", "idx", vw.redline(F.col("edits")).alias("redline"), sim.edited_words(F.col("edits")).alias("words"))
 
 
+def _classes(m):
+    return cp.section_classes(m.matched, df_.paragraph_diffs(cp.with_paragraphs(m)))
+
+
 def section_class(spark, d):
-    return df_.section_diffs(df_.paragraph_diffs(_matched_paragraphs(spark, d)))
+    return _classes(_matching(spark, d))
 
 
 def change_counts(spark, d):
-    return vw.counts(section_class(spark, d), removed_sections(spark, d), added_sections(spark, d))
+    m = _matching(spark, d)
+    return vw.counts(_classes(m), m.removed, m.added)
 
 
 def policy_summary(spark, d):
@@ -225,36 +236,23 @@ def policy_summary(spark, d):
 
 
 def significance(spark, d):
-    m = _matched_paragraphs(spark, d)
-    p = cut(df_.paragraph_diffs(m))
-    p = p.withColumn("section", F.concat_ws(":", "pair", "old_id", "new_id"))
-    s = df_.section_diffs(p).withColumn("section", F.concat_ws(":", "pair", "old_id", "new_id"))
-    flags = p.select("section", F.col("idx").alias("paragraph"), F.explode("flags").alias("f")).select("section", "paragraph", "f.category")
-    boosts = p.groupBy("section").agg(F.max(ch.boost(F.col("kind"), F.col("change"))).alias("boost"))
-    return ch.significance(s, flags, boosts).select("pair", "old_id", "new_id", "change", "changed_words", F.round("score", 4).alias("score"))
+    return _comparison(spark, d).sections.select("pair", "old_id", "new_id", "change", "changed_words", F.round("score", 4).alias("score"))
 
 
 def rank_top_k(spark, d):
-    w = Window.partitionBy("pair").orderBy(F.desc("score"), "new_id")
-    return significance(spark, d).withColumn("place", F.row_number().over(w)).where("place <= 10")
+    return _comparison(spark, d).sections.where("place <= 10").select("pair", "old_id", "new_id", "change", "changed_words", F.round("score", 4).alias("score"), "place")
 
 
 def new_section_scores(spark, d):
-    """Sections of one side only: their words by the weight of their class, directives lifting them."""
-    old, new = _sides(spark, d)
-    m = al.exact_path(old, new)
-    lone = lambda side, id_, label: al.left_over(side, m, id_).select("pair", "section_id", "paragraphs", F.lit(label).alias("change"))
-    rows = lone(old, "old_id", "dropped").unionByName(lone(new, "new_id", "new"))
-    words = F.aggregate("paragraphs", F.lit(0), lambda n, p: n + tx.word_count(F.coalesce(p["text"], F.lit(""))))
-    lift = F.when(F.exists("paragraphs", lambda p: p["kind"] == "directive"), ch.LONE_DIRECTIVE).otherwise(1.0)
-    return rows.select("pair", "section_id", "change", words.cast("int").alias("words"), (words * 2.0 * lift).alias("score"))
+    """Sections of one side only: their words, but for those that moved, by the weight of their class, directives lifting them."""
+    rows = _comparison(spark, d).sections.where("change IN ('dropped', 'new')")
+    return rows.select("pair", F.coalesce("new_id", "old_id").alias("section_id"), "change", F.col("changed_words").cast("int").alias("words"), "score")
 
 
 def document_order(spark, d):
-    old, new = _sides(spark, d)
-    m = al.exact_path(old, new)
-    o_, n_ = old.select("pair", F.col("section_id").alias("old_id"), F.col("seq").alias("old_seq")), new.select("pair", F.col("section_id").alias("new_id"), F.col("seq").alias("new_seq"))
-    rows = m.join(o_, ["pair", "old_id"], "right").join(n_, ["pair", "new_id"], "full")
+    m = _matching(spark, d)
+    o_, n_ = m.old.select("pair", F.col("section_id").alias("old_id"), F.col("seq").alias("old_seq")), m.new.select("pair", F.col("section_id").alias("new_id"), F.col("seq").alias("new_seq"))
+    rows = m.matched.select("pair", "old_id", "new_id").join(o_, ["pair", "old_id"], "right").join(n_, ["pair", "new_id"], "full")
     placed = ch.document_order(rows, ["pair"])
     return placed.select("pair", "old_id", "new_id", F.col("place_new").cast("int").alias("place_new"), F.col("place_old").cast("int").alias("place_old"))
 
@@ -269,7 +267,8 @@ def outline_nodes(spark, d):
 
 
 def index_page(spark, d):
-    return vw.index_page(masked_section_changes(spark, d), removed_sections(spark, d), added_sections(spark, d))
+    m = _matching(spark, d)
+    return vw.index_page(_masked_kinds(cp.with_paragraphs(m)), m.removed, m.added)
 
 
 def manifest(spark, d):
@@ -283,28 +282,20 @@ def section_dump(spark, d):
 # ---- moves
 
 
-def _loose(spark, d):
-    old, new = _sides(spark, d)
-    m = al.exact_path(old, new)
-
-    def texts(side, id_):
-        rows = al.left_over(side, m, id_).select("pair", F.col("section_id").alias("section"), F.posexplode("paragraphs").alias("idx", "p"))
-        rows = rows.select("pair", "section", F.concat_ws(":", "section", "idx").alias("key"), (F.col("section") * 1000 + F.col("idx")).alias("ord"), "p.text", "p.topic", "p.kind")
-        return rows.where("text IS NOT NULL")
-
-    return texts(old, "old_id"), texts(new, "new_id")
+def moves_verbatim(spark, d):
+    return _comparison(spark, d).moves.where("how = 'verbatim'").select("pair", "old_key", "new_key")
 
 
-def moves_verbatim(spark, d):
-    return ch.moved_verbatim(*_loose(spark, d), ["pair"]).select("pair", "old_key", "new_key")
+def _scored_moves(spark, d, how):
+    return _comparison(spark, d).moves.where(F.col("how") == how).select("pair", "old_key", "new_key", F.round("score", 6).alias("score"))
 
 
 def moves_same_topic(spark, d):
-    return ch.moved_same_topic(*_loose(spark, d), ["pair"]).withColumn("score", F.round("score", 6))
+    return _scored_moves(spark, d, "topic")
 
 
 def moves_near(spark, d):
-    return ch.moved_nearly(*_loose(spark, d), ["pair"]).withColumn("score", F.round("score", 6))
+    return _scored_moves(spark, d, "near")
 
 
 # ---- the whole comparison
@@ -339,8 +330,7 @@ def _cells(spark, d):
     heads = cut(ch.thread_heads(m.matched.select("old_id", "new_id")))
     s = src.sections(spark, d).where(F.size("path") > 0).join(src.editions(spark, d), "package_id")
     s = s.join(heads.withColumnRenamed("node", "section_id"), "section_id", "left").withColumn("thread", F.coalesce("head", "section_id"))
-    classes = cp.section_classes(m.matched, df_.paragraph_diffs(cp.with_paragraphs(m)))
-    s = s.join(classes.select(F.col("new_id").alias("section_id"), "change"), "section_id", "left")
+    s = s.join(_classes(m).select(F.col("new_id").alias("section_id"), "change"), "section_id", "left")
     return s.select("thread", "chamber", "slug", "fy", "section_id", "heading", "path", F.coalesce("change", F.lit("new")).alias("change"))
 
 
@@ -383,7 +373,7 @@ def directive_sections(spark, d):
 
 
 def automatic_labels(spark, d):
-    m = _matched_paragraphs(spark, d)
+    m = _exact_paragraphs(spark, d)
     a, b = al.body(F.col("old_paragraphs"), 4000), al.body(F.col("new_paragraphs"), 4000)
     rows = m.select("pair", "old_id", "new_id", a.alias("a"), b.alias("b")).withColumn("score", sim.token_set("a", "b")).withColumn("agreement", sim.agreement("a", "b"))
     return rows.select("pair", "old_id", "new_id", ev.auto_label(F.col("a"), F.col("b"), F.lit(True), F.col("score")).alias("label"), F.round("agreement", 6).alias("agreement"))
@@ -415,7 +405,7 @@ def leader_spans(spark, d):
 
 
 def token_sets(spark, d):
-    m = _matched_paragraphs(spark, d)
+    m = _exact_paragraphs(spark, d)
     text = lambda c: F.lower(F.array_join(F.transform(c, lambda p: F.coalesce(p["text"], F.lit(""))), " "))
     words = lambda c: F.array_distinct(F.filter(F.split(text(c), "[ \\t\\r\\n]+"), lambda w: w != ""))
     a, b = words("old_paragraphs"), words("new_paragraphs")
@@ -423,7 +413,7 @@ def token_sets(spark, d):
 
 
 def indel_scores(spark, d):
-    m = _matched_paragraphs(spark, d)
+    m = _exact_paragraphs(spark, d)
     a, b = al.body(F.col("old_paragraphs"), 1500), al.body(F.col("new_paragraphs"), 1500)
     return m.select("pair", "old_id", "new_id", F.round(sim.indel(a, b), 6).alias("indel"), F.round(sim.token_set(a, b), 6).alias("token_set"), F.round(sim.word_blocks(a, b), 6).alias("blocks"), F.round(sim.word_bag(a, b), 6).alias("bag"))
 

@@ -111,3 +111,32 @@ def test_threads_follow_renames_and_leave_reused_numbers(spark, renamed_folder):
     assert runs[200700, "HARBOR LAMPS"] == (2007, 2007) and runs[200700, "LIGHTS OF HARBORS"] == (2008, 2009)
     origins = {r["thread"]: (r["added_fy"], r["edited_fy"]) for r in cat.provenance(spark, renamed_folder).collect()}
     assert origins == {200700: (2007, 2008), 200701: (2007, None), 200801: (2008, None)}
+
+
+def test_every_table_of_a_comparison_covers_all_passes(spark, renamed_folder):
+    from editrail.plans import catalogue as cat
+
+    pair = "House-harbors-fy2007-fy2008"
+    here = lambda q: q(spark, renamed_folder).where(f"pair = '{pair}'")
+    # the renamed lamps are one edited section; the number that went to another text is one dropped and one new
+    assert {(r["old_id"], r["new_id"], r["change"]) for r in here(cat.section_class).collect()} == {(200700, 200800, "minor")}
+    assert {r["change"]: r["n"] for r in here(cat.change_counts).collect()} == {"minor": 1, "dropped": 1, "new": 1}
+    assert tuple(here(cat.index_page).first()) == (pair, 1, 1, 1)
+    assert {(r["old_id"], r["new_id"]) for r in here(cat.document_order).collect()} == {(200700, 200800), (200701, None), (None, 200801)}
+    assert {(r["old_id"], r["new_id"], r["change"]) for r in here(cat.significance).collect()} == {(200700, 200800, "minor"), (200701, None, "dropped"), (None, 200801, "new")}
+    assert {(r["section_id"], r["change"]) for r in here(cat.new_section_scores).collect()} == {(200701, "dropped"), (200801, "new")}
+
+
+def test_moves_start_and_end_inside_matched_sections(spark, tmp_path):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from editrail.plans import catalogue as cat
+
+    d = str(tmp_path)
+    years = {2007: [(["T", "A"], [LAMPS, FERRY]), (["T", "B"], ["One line stays."])], 2008: [(["T", "A"], [LAMPS]), (["T", "B"], ["One line stays.", FERRY])]}
+    _, s = editions(spark, years)
+    s.withColumn("table_spans", F.lit(0)).withColumn("loaded_at", F.lit(datetime(2024, 1, 1))).write.parquet(f"{d}/sections.parquet")
+    spark.createDataFrame([(f"p{y}", "House", "Harbors", y, "Harbors") for y in years], "package_id string, chamber string, subcommittee string, fiscal_year int, title string").write.parquet(f"{d}/reports.parquet")
+    assert [tuple(r)[1:] for r in cat.moves_verbatim(spark, d).collect()] == [("200700:1", "200801:1")]
