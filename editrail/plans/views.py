@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from editrail.operators.chain import row_label, stitched
+from editrail.runtime import cut
 
 #: An edition with fewer sections than this is a stub and no part of a chain.
 LEAST_SECTIONS = 15
@@ -57,8 +58,13 @@ def account_rows(cells: DataFrame) -> DataFrame:
 
 
 def timeline(cells: DataFrame, years: list[int] | None = None) -> DataFrame:
-    """(chamber, slug, heading, fy2010, fy2011, ...): how many sections of a heading changed in each year."""
-    years = years or list(range(2009, 2028))
+    """(chamber, slug, heading, fy2010, fy2011, ...): how many sections of a heading changed in each year.
+
+    Without years, there is a column for every fiscal year present: a bounded set, read by a query of its own.
+    """
+    if years is None:
+        cells = cut(cells, constraints=False)
+        years = sorted(r["fy"] for r in cells.select("fy").where("fy IS NOT NULL").distinct().collect())
     rows = cells.where("change NOT IN ('unchanged', 'numbers only')")
     return rows.groupBy("chamber", "slug", "heading").agg(*[F.count_if(F.col("fy") == y).alias(f"fy{y}") for y in years])
 

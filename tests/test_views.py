@@ -46,3 +46,9 @@ def test_worksheet_round_trip(spark, tmp_path):
     df = spark.createDataFrame(rows, "id int, text string, label string")
     ev.write_worksheet(df, str(tmp_path / "w"))
     assert sorted(map(tuple, ev.read_worksheet(spark, str(tmp_path / "w"), df.schema).collect())) == rows
+
+
+def test_timeline_has_every_year_present(spark):
+    rows = [("H", "s", "Lamps", 2007, "new"), ("H", "s", "Lamps", 2031, "minor"), ("H", "s", "Lamps", 2031, "substantive"), ("H", "s", "Lamps", 2010, "unchanged")]
+    c = spark.createDataFrame(rows, "chamber string, slug string, heading string, fy int, change string")
+    assert [r.asDict() for r in vw.timeline(c).collect()] == [{"chamber": "H", "slug": "s", "heading": "Lamps", "fy2007": 1, "fy2010": 0, "fy2031": 2}]
