@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from editrail.runtime import cut, latest, read_table
+from editrail.runtime import cut, latest, read_table, small
 
 #: Any run of white space, Unicode's included.
 SPACE_RUN = r"(?U)\s+"
@@ -21,41 +21,53 @@ def one_spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE_RUN, " "))
 
 
-def _hashes(df: DataFrame, name: str, columns: list[str]) -> list[Column]:
-    """128 bits of the columns. Nulls, also within arrays, count as values of their own."""
-    parts = [F.to_json(F.struct(c)) if df.schema[c].dataType.typeName() in ("array", "struct", "map") else F.col(c) for c in columns]
-    parts += [F.col(c).isNull() for c in columns]
+def key_hash(name: str, *columns) -> list[Column]:
+    """128 bits of the columns, as name1 and name2. Nulls, also within arrays, count as values of their own."""
+    parts = []
+    for c in columns:
+        c = F.col(c) if isinstance(c, str) else c
+        parts += [F.to_json(F.struct(c)), c.isNull()]
     return [F.xxhash64(*parts).alias(f"{name}1"), F.xxhash64(F.lit(1), *parts).alias(f"{name}2")]
 
 
-def snapshot_changes(rows: DataFrame, series: list[str], version: str, key: list[str], content: str) -> DataFrame:
-    """series columns, old_version, new_version, key columns, change_kind of each differing record.
+def snapshot_steps(snapshots: DataFrame, series: list[str], version: str, snapshot: str) -> DataFrame:
+    """(snapshot, old_step, new_step, series, old_version, new_version) of every snapshot and its neighbours.
 
-    rows: one row per record of a snapshot; (series, version, key) is unique. `content` is compared
-    as it stands. Nulls: null series and key values are values of their own; rows without a version
-    are in no snapshot; null content equals null content. A table with one version, or none, gives no
-    rows. Other columns are ignored. Series, keys and contents are compared by 128-bit hashes: the wide
-    values are sent once, to name the records that differ.
+    A step is the change from a version to the next one present; old_step is the step that the snapshot is the old side of,
+    new_step the one it is the new side of, null where it has no neighbour. A snapshot without records is a snapshot.
     """
-    rows = rows.where(F.col(version).isNotNull()).select(*series, F.col(version).alias("at"), *key, content)
-    rows = rows.select(*series, "at", *key, *_hashes(rows, "s", series), *_hashes(rows, "k", key), *_hashes(rows, "c", [content]))
-    rows = cut(rows)
-    steps = rows.select("s1", "s2", "at").distinct()
-    w = Window.partitionBy("s1", "s2").orderBy("at")
-    steps = steps.select("s1", "s2", F.col("at").alias("old_version"), F.lead("at").over(w).alias("new_version")).where("new_version IS NOT NULL")
-    cols = ["s1", "s2", "old_version", "new_version", "k1", "k2", "c1", "c2"]
-    side = lambda at: rows.withColumnRenamed("at", at).join(steps, ["s1", "s2", at]).select(*cols)
-    old, new = side("old_version"), side("new_version")
-    ids = ["s1", "s2", "old_version", "new_version", "k1", "k2"]
-    gone = old.exceptAll(new).select(*ids, F.lit(1).alias("in_old"))
-    come = new.exceptAll(old).select(*ids, F.lit(1).alias("in_new"))
+    s = snapshots.where(F.col(version).isNotNull()).select(*series, F.col(version).alias("at"), snapshot)
+    w = Window.partitionBy(*series).orderBy("at")
+    s = s.withColumn("next_at", F.lead("at").over(w)).withColumn("last_at", F.lag("at").over(w))
+    step = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(*[F.to_json(F.struct(c)) for c in series], a, b))
+    return s.select(snapshot, *series, F.col("at").alias("version"), F.col("next_at").alias("next_version"), step(F.col("at"), F.col("next_at")).alias("old_step"), step(F.col("last_at"), F.col("at")).alias("new_step"))
+
+
+def snapshot_changes(records: DataFrame, steps: DataFrame, snapshot: str, key: list[str], content: str) -> DataFrame:
+    """(step, key columns, change_kind) of each record that differs between the two snapshots of a step.
+
+    records: snapshot, key columns, content; (snapshot, key) is unique. steps: as snapshot_steps gives them. `content` is
+    compared as it stands. Nulls: null keys are values of their own; records of an unknown snapshot are in none; null content
+    equals null content. Without records, or with one snapshot to a series, there are no rows. Other columns are ignored.
+
+    The snapshots' table is broadcast if a count proves it small, so no record is shuffled by its snapshot and a
+    large snapshot is no hot key. EXCEPT ALL and the join go over (step, key, content), which is nearly unique.
+    """
+    rows = records.select(snapshot, *key, F.col(content).alias("content")).join(small(steps.select(snapshot, "old_step", "new_step")), snapshot)
+    ids = ["step", *key]
+    side = lambda step: rows.where(F.col(step).isNotNull()).select(F.col(step).alias("step"), *key, "content")
+    old, new = side("old_step"), side("new_step")
+    # null-safe joining: every key column goes beside its null mark
+    safe = lambda df, mark: df.select("step", *[F.coalesce(F.col(c), F.lit(_zero(df, c))).alias(c) for c in key], *[F.col(c).isNull().alias(f"{c}_null") for c in key], F.lit(1).alias(mark))
+    gone, come = safe(old.exceptAll(new), "in_old"), safe(new.exceptAll(old), "in_new")
+    found = gone.join(come, ids + [f"{c}_null" for c in key], "full_outer")
     kind = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").otherwise("changed")
-    found = gone.join(come, ids, "full_outer").withColumn("change_kind", kind)
-    found = found.withColumn("at", F.when(F.col("in_old").isNull(), F.col("new_version")).otherwise(F.col("old_version")))
-    named = rows.select("s1", "s2", "at", "k1", "k2", *[F.col(c).alias(f"named_{n}") for n, c in enumerate([*series, *key])])
-    out = found.join(named, ["s1", "s2", "at", "k1", "k2"])
-    name = {c: F.col(f"named_{n}").alias(c) for n, c in enumerate([*series, *key])}
-    return out.select(*[name[c] for c in series], "old_version", "new_version", *[name[c] for c in key], "change_kind")
+    return found.select("step", *[F.when(~F.col(f"{c}_null"), F.col(c)).alias(c) for c in key], kind.alias("change_kind"))
+
+
+def _zero(df: DataFrame, column: str):
+    """A value of the column's type that stands beside a null mark."""
+    return "" if df.schema[column].dataType.typeName() == "string" else 0
 
 
 def report_series(reports: DataFrame) -> DataFrame:
@@ -72,27 +84,25 @@ def section_changes(sections: DataFrame, reports: DataFrame) -> DataFrame:
 
     Sections of equal path within a report are numbered by seq. Content is the list of paragraph
     texts, white space made single; null paragraphs equal an empty list, a null text is a text of its
-    own. Null paths are one path, printed as null. Repeated rows count once, later loaded_at wins.
+    own. Null paths are one path, printed as null. Repeated rows count once, later loaded_at wins. A report
+    without sections is a snapshot, of none.
+
+    Paths and contents travel as hashes, 128 bits of a path and 64 of a content (contents are compared for one key at
+    a time); the paths of what differs are looked up among the distinct ones at the end.
     """
     texts = F.transform(F.coalesce("paragraphs", F.array()), lambda p: F.coalesce(one_spaced(p["text"]), F.lit("\u0000")))
-    joined = F.array_join(texts, "\u0001")
-    # the content's hash, not the content, goes through the shuffle that finds the latest delivery
-    content = F.struct(F.size(texts).alias("n"), F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(1), joined).alias("h2"))
-    slim = sections.select("section_id", "package_id", "seq", "path", "loaded_at", content.alias("content"))
-    rows = latest(slim, ["section_id"], ["loaded_at", F.col("seq").desc_nulls_last(), F.xxhash64("package_id", "path", "content").desc()])
-    w = Window.partitionBy("package_id", "path").orderBy("seq", "section_id")
-    rows = rows.withColumn("occ", F.row_number().over(w))
-    rows = rows.join(report_series(reports), "package_id")
-    out = snapshot_changes(rows, ["chamber", "subcommittee"], "fiscal_year", ["path", "occ"], "content")
-    return out.select(
-        "chamber",
-        "subcommittee",
-        F.col("old_version").alias("old_fy"),
-        F.col("new_version").alias("new_fy"),
-        F.array_join("path", " > ").alias("path"),
-        "occ",
-        "change_kind",
-    )
+    joined = F.concat(F.size(texts).cast("string"), F.lit("\u0001"), F.array_join(texts, "\u0001"))
+    slim = sections.select("section_id", "package_id", "seq", *key_hash("p", "path"), "loaded_at", F.xxhash64(joined).alias("content"))
+    rows = latest(slim, ["section_id"], ["loaded_at", F.col("seq").desc_nulls_last(), F.xxhash64("package_id", "p1", "content").desc()])
+    w = Window.partitionBy("package_id", "p1", "p2").orderBy("seq", "section_id")
+    rows = rows.select("package_id", "p1", "p2", F.row_number().over(w).alias("occ"), "content")
+    series = report_series(reports)
+    steps = cut(snapshot_steps(series, ["chamber", "subcommittee"], "fiscal_year", "package_id"))
+    out = snapshot_changes(rows, steps, "package_id", ["p1", "p2", "occ"], "content")
+    names = sections.select(*key_hash("p", "path"), F.array_join("path", " > ").alias("path")).groupBy("p1", "p2").agg(F.first("path").alias("path"))
+    about = steps.where("old_step IS NOT NULL").select(F.col("old_step").alias("step"), "chamber", "subcommittee", F.col("version").alias("old_fy"), F.col("next_version").alias("new_fy"))
+    out = out.join(names, ["p1", "p2"]).join(small(about), "step")
+    return out.select("chamber", "subcommittee", "old_fy", "new_fy", "path", "occ", "change_kind")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

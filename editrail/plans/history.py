@@ -58,12 +58,12 @@ def stitch(cells: DataFrame, editions: DataFrame, scope: list[str]) -> DataFrame
         born = t.select(*scope, F.col("thread").alias("id"), F.col("a.fy").alias("fy"), "a.paragraphs", title("a.path").alias("title"), leaf("a.path").alias("leaf"))
         born = born.join(years, [*scope, "fy"]).where("fy > first_fy")
         c = stitch_candidates(dead, born, scope).select(*scope, "title", F.col("dead_id").alias("old_id"), F.col("born_id").alias("new_id"), F.col("rank").alias("score"), F.col("birth").alias("new_rank"), F.col("dead_id").alias("old_rank"))
-        taken = cut(al.take_greedily(c, [*scope, "title"], 0.0), constraints=False)
+        taken = cut(al.take_greedily(c, [*scope, "title"], 0.0))
         if taken.isEmpty():
             return cells
         # a thread may be joined at both ends in one round: follow the links to the first
         names = ch.thread_heads(taken.select("old_id", "new_id")).select(F.col("node").alias("thread"), "head")
-        cells = cut(cells.join(names, "thread", "left").withColumn("thread", F.coalesce("head", "thread")).drop("head"), constraints=False)
+        cells = cut(cells.join(names, "thread", "left").withColumn("thread", F.coalesce("head", "thread")).drop("head"))
 
 
 def paragraph_origins(diffs: DataFrame, moves: DataFrame, order: DataFrame) -> DataFrame:
@@ -79,11 +79,11 @@ def paragraph_origins(diffs: DataFrame, moves: DataFrame, order: DataFrame) -> D
     fresh = diffs.where("old_idx IS NULL").join(order, "pair").select(key("new_id", "new_idx").alias("node"), F.col("new_fy").alias("fy"))
     last = F.when(~F.col("change").isin("unchanged"), F.struct(F.col("new_fy").alias("fy"), "change"))
     state = both.select("node", F.col("prev").alias("at"), last.alias("e"), F.when(F.col("moved"), F.col("new_fy")).alias("m"), F.col("old_fy").alias("fy"))
-    state = cut(state, constraints=False)
+    state = cut(state)
     while True:
         up = state.select(F.col("node").alias("at"), F.col("at").alias("at2"), F.col("e").alias("e2"), F.col("m").alias("m2"), F.col("fy").alias("fy2"))
         step = state.join(up, "at", "left").select("node", F.coalesce("at2", "at").alias("at"), F.coalesce("e", "e2").alias("e"), F.coalesce("m", "m2").alias("m"), F.coalesce("fy2", "fy").alias("fy"), F.col("at2").isNotNull().alias("further"))
-        step = cut(step, constraints=False)
+        step = cut(step)
         state = step.drop("further")
         if step.where("further").isEmpty():
             break

@@ -63,7 +63,7 @@ def timeline(cells: DataFrame, years: list[int] | None = None) -> DataFrame:
     Without years, there is a column for every fiscal year present: a bounded set, read by a query of its own.
     """
     if years is None:
-        cells = cut(cells, constraints=False)
+        cells = cut(cells)
         years = sorted(r["fy"] for r in cells.select("fy").where("fy IS NOT NULL").distinct().collect())
     rows = cells.where("change NOT IN ('unchanged', 'numbers only')")
     return rows.groupBy("chamber", "slug", "heading").agg(*[F.count_if(F.col("fy") == y).alias(f"fy{y}") for y in years])

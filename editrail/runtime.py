@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,23 +34,56 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame, constraints: bool = True) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and drop its lineage.
+def cut(df: DataFrame) -> DataFrame:
+    """df written as a table to the shared checkpoint folder and read again: no lineage, and no work done twice.
 
-    Without constraints, the result doesn't hand on what the optimizer knew of df: unions of tables that
-    were cut from one another fail in Spark 4.1 over constraints on columns which are gone.
+    The files are compressed and survive lost executors. They go when the session's Python ends, or with `release`.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    if constraints:
-        return df.checkpoint(eager=True)
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    path = f"{checkpoint_dir(spark)}/editrail-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._editrail_path = path
+    return out
+
+
+#: (session, path) of the tables that `cut` wrote and nobody has released.
+_written: list[tuple[SparkSession, str]] = []
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that `cut` made. No later query may read them."""
+    for t in tables:
+        path = getattr(t, "_editrail_path", None)
+        for entry in [e for e in _written if e[1] == path]:
+            _written.remove(entry)
+            _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended; files in a shared folder are the cluster's to sweep
+        pass
+
+
+@atexit.register
+def _sweep() -> None:
+    while _written:
+        spark, path = _written.pop()
+        if spark._jsc is not None and spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+
+
+#: Rows of a table that may be broadcast: about 100 bytes each.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if a count proves it small, else as it is: the join then shuffles, and AQE splits skew."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def ship(spark: SparkSession) -> None:
