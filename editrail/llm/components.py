@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editrail.runtime import cut, read_table
+from editrail.runtime import cut, read_table, release
 
 #: Jumps of each label to its own label in a round. Any number gives the same groups.
 JUMPS = 2
+#: Parts that the rows of one label are spread over. Any number gives the same groups.
+SALTS = 8
 
 
 def _nearest_label(edges: DataFrame) -> DataFrame:
@@ -22,10 +24,20 @@ def _nearest_label(edges: DataFrame) -> DataFrame:
     return both.groupBy("v").agg(F.min("n").alias("n")).select("v", F.least("v", "n").alias("l"))
 
 
+def _renamed(labels: DataFrame, later: DataFrame) -> DataFrame:
+    """labels with each label replaced by the label that later has for it, if any.
+
+    A giant group makes its label a hot key: its rows are spread over salts, which the few renaming
+    rows (one to a label) are copied to.
+    """
+    up = later.where("v <> l").select(F.col("v").alias("l"), F.col("l").alias("l2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = labels.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(up, ["l", "salt"], "left").select("v", F.coalesce("l2", "l").alias("l"))
+
+
 def _jump(labels: DataFrame) -> DataFrame:
     """Replace each label by its own label. Every label is a vertex of the table."""
-    up = labels.where("v <> l").select(F.col("v").alias("l"), F.col("l").alias("l2"))
-    return labels.join(up, "l", "left").select("v", F.coalesce("l2", "l").alias("l"))
+    return _renamed(labels, labels)
 
 
 def _relabel(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -51,15 +63,14 @@ def connected_components(pairs: DataFrame, a: str, b: str, jumps: int = JUMPS) -
             labels = _jump(labels)
         labels = cut(labels)
         steps.append(labels)
-        edges = cut(_relabel(edges, labels))
+        done, edges = edges, cut(_relabel(edges, labels))
+        release(done)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("group_id"))
     # from the last round back: the table of a round holds all nodes that are still named after it
     groups = steps.pop()
     while steps:
-        before = steps.pop()
-        later = groups.where("v <> l").select(F.col("v").alias("l"), F.col("l").alias("l2"))
-        groups = before.join(later, "l", "left").select("v", F.coalesce("l2", "l").alias("l"))
+        groups = _renamed(steps.pop(), groups)
     return groups.select(F.col("v").alias("node"), F.col("l").alias("group_id"))
 
 
