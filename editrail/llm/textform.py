@@ -30,6 +30,8 @@ HYPHENS = "֊‐‑⁃﹣－"
 
 _INVISIBLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}\p{Cc}--\s\x1c-\x1f]+", regex.V1)
 _SPACES = regex.compile(r"[\s\x1c-\x1f]+")
+#: Parts that the rows of one stored form are spread over. Any number gives the same classes.
+SALTS = 8
 _JOINED = ("<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>")
 
 
@@ -86,7 +88,8 @@ def _canonical_udf(case_fold: bool):
 
 def canonical_column(text: Column, case_fold: bool = False) -> Column:
     """canonical() of a column: ASCII with no control character but white space by JVM functions alone."""
-    plain = text.rlike(r"^[\x20-\x7e\t-\r]*$")
+    # \z, not $: Java's $ also matches before a last line end, of which U+0085, U+2028 and U+2029 are some
+    plain = text.rlike(r"\A[\x20-\x7e\t-\r]*\z")
     in_jvm = F.trim(F.regexp_replace(text, r"\s+", " "))
     if case_fold:
         in_jvm = F.lower(in_jvm)
@@ -109,23 +112,42 @@ def text_hashes(rows: DataFrame, keep: list[str]) -> DataFrame:
     return form.select(*keep, *pair("text", "s"), *pair("canonical", "c"))
 
 
-def look_alike_pairs(hashes: DataFrame, scope: list[str]) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: rows of equal scope whose texts are stored unequal but look the same.
+#: Rows of one look that a task joins with as many others; a look with more is spread over blocks.
+BLOCK_ROWS = 5_000
+
 
-    hashes: id, the columns of scope, and those of text_hashes; repeated rows count once. Null and
-    blank texts pair with nothing, nor do null scopes. An empty table gives no rows; other columns
-    are ignored. Only hashes are shuffled. Looks stored in one form only are dropped by a combining
-    aggregate before the join, so a text repeated in a third of all rows makes no pairs on the way.
+def look_alike_classes(hashes: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, id, class_id, form_id) of the rows whose look is stored in more than one form in their scope.
+
+    class_id is the least id of the look, form_id the least id of the stored form: rows of a class look the same, and
+    rows of a form are equal as stored. One row to a row, so a text repeated in a third of all rows costs its rows, not
+    their square. hashes: id, the columns of scope, and those of text_hashes; repeated rows count once. Null and
+    blank texts are in no class, nor are null scopes. An empty table gives no rows; other columns are ignored.
     """
     look = [*scope, "c1", "c2"]
-    # kept, since it is read three times and its making runs Python
-    form = cut(hashes.select("id", *look, "s1", "s2").where("c1 IS NOT NULL").distinct())
-    forms = F.struct("s1", "s2")
-    mixed = form.groupBy(*look).agg(F.min(forms).alias("lo"), F.max(forms).alias("hi")).where("lo <> hi").select(*look)
-    form = form.join(mixed, look)
-    a = form.select(*look, F.col("id").alias("id_a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    b = form.select(*look, F.col("id").alias("id_b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    return a.join(b, look).where("id_a < id_b AND (a1 <> b1 OR a2 <> b2)").select("id_a", "id_b").distinct()
+    # kept, since it is read twice and its making runs Python
+    known = cut(hashes.select("id", *look, "s1", "s2").where(" AND ".join(f"`{c}` IS NOT NULL" for c in look)))
+    # a form to a row: combined before the shuffle, so a hot text sends one row from a task
+    forms = known.groupBy(*look, "s1", "s2").agg(F.min("id").alias("form_id"))
+    of_look = forms.groupBy(*look).agg(F.min("form_id").alias("class_id"), F.count("*").alias("forms")).where("forms > 1").drop("forms")
+    mixed = forms.join(of_look, look)
+    # the table of forms has one row to a form; rows of a hot form meet it by a salt
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    rows = known.select("id", *look, "s1", "s2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return rows.join(mixed.withColumn("salt", salts), [*look, "s1", "s2", "salt"]).select(*scope, "id", "class_id", "form_id").distinct()
+
+
+def look_alike_pairs(hashes: DataFrame, scope: list[str]) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: the classes of look_alike_classes as pairs of rows of different forms.
+
+    As many rows as there are such pairs. A class of many rows is spread over blocks, each joined by tasks of its own.
+    """
+    classes = cut(look_alike_classes(hashes, scope))
+    size = classes.groupBy(*scope, "class_id").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = classes.join(size, [*scope, "class_id"])
+    a = rows.select(*scope, "class_id", F.col("id").alias("id_a"), F.col("form_id").alias("form_a"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    b = rows.select(*scope, "class_id", F.col("id").alias("id_b"), F.col("form_id").alias("form_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return a.join(b, [*scope, "class_id", "block"]).where("id_a < id_b AND form_a <> form_b").select("id_a", "id_b").distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

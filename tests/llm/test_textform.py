@@ -2,7 +2,7 @@ import unicodedata
 
 import pytest
 
-from editrail.llm.textform import canonical, look_alike_pairs, text_hashes, with_canonical
+from editrail.llm.textform import canonical, look_alike_classes, look_alike_pairs, text_hashes, with_canonical
 
 SAME = [
     ("re‑equipped", "re-equipped"),
@@ -43,7 +43,7 @@ def test_case_fold_and_null():
 
 
 def test_columns_agree_with_function(spark):
-    texts = [None, "", "  ", "plain\t text\n", "Тhе end", "a\x07b", "é", "é", "x" * 200_000 + "​"]
+    texts = [None, "", "  ", "plain\t text\n", "Тhе end", "a\x07b", "é", "é", "x" * 200_000 + "​", "abc", "abc\u2028", "abc\u0085", "abc\u2029", "abc\n", "\u2028abc"]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "id long, text string, canonical_ string")
     got = {r["id"]: r["canonical"] for r in with_canonical(df, "text").collect()}
     assert got == {i: canonical(t) for i, t in enumerate(texts)}
@@ -56,3 +56,22 @@ def test_pairs(spark):
     assert pairs(["scope"]) == [(1, 2), (2, 3)]
     assert pairs([]) == [(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)]
     assert look_alike_pairs(text_hashes(df.where("false"), ["id"]), []).count() == 0
+
+
+def test_line_ends_of_every_kind_are_white_space(spark):
+    df = spark.createDataFrame([(i, f"abc{end}") for i, end in enumerate(("", "\u2028", "\u0085", "\u2029", "\n", "\x1c"))], "id long, text string")
+    assert {r["canonical"] for r in with_canonical(df, "text").collect()} == {"abc"}
+    assert look_alike_pairs(text_hashes(df, ["id"]), []).count() == 15
+
+
+def test_classes_have_a_row_to_a_row(spark, monkeypatch):
+    from editrail.llm import textform
+
+    monkeypatch.setattr(textform, "BLOCK_ROWS", 7)
+    rows = [(i, "June" if i % 2 else "Јune") for i in range(60)] + [(100, "alone"), (101, "alone")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    hashes = text_hashes(df, ["id"])
+    classes = {r["id"]: (r["class_id"], r["form_id"]) for r in look_alike_classes(hashes, []).collect()}
+    assert classes == {i: (0, i % 2) for i in range(60)}
+    pairs = sorted(map(tuple, look_alike_pairs(hashes, []).collect()))
+    assert pairs == sorted((a, b) for a in range(60) for b in range(60) if a < b and (a + b) % 2)
