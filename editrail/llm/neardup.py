@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editrail.runtime import read_table, spread
+from editrail.runtime import cut, read_table, spread
 
 #: Counters of the token count; tokens that share one are counted together, which affects cost alone.
 COUNTERS = 1 << 18
@@ -40,6 +40,8 @@ SCAN_COST = 1 / 200
 CHUNK_SCANS, CHUNK_PAIRS = 1_000_000, 8_000
 #: List entries that a task of the join gets, about. A set goes to each task that it has an entry in: fewer tasks, fewer copies.
 TASK_ENTRIES = 2_000_000
+#: Entries of a list that one task scans against one another. A longer list is cut into blocks, and each pair of blocks is a task's.
+LIST_BLOCK = 20_000
 #: Words whose hashes a worker keeps; beyond it the memory starts anew.
 MEMORY_WORDS = 500_000
 
@@ -114,6 +116,8 @@ class Plan:
 
     def __init__(self, counts: np.ndarray, threshold: Fraction, width: int, small: int = 1):
         self.counts, self.threshold, self.width, self.small = counts, threshold, width, small
+        # a counter holds its token's count and, on top, about what any counter holds
+        self.noise = int(np.median(counts))
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
         num, den = self.threshold.numerator, self.threshold.denominator
@@ -127,19 +131,33 @@ class Plan:
         num, den = self.threshold.numerator, self.threshold.denominator
         return -(-num * (a + b) // (num + den))
 
-    def keys(self, sets: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(record, key, short): under which lists and subsets each set is found. Sets of one token equal their partners.
+    def kinds(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(listed, subset): whether sets of these sizes stand in lists, and in subsets.
+
+        Small sets stand in subsets of two, if they share two tokens at least with any partner. A set that may have a partner
+        which stands in lists alone, by its size or for sharing one token only, stands in lists too.
+        """
+        num, den = self.threshold.numerator, self.threshold.denominator
+        least = -(-num * n // den)
+        subset = (n <= self.small) & (least >= 2)
+        lone = den // num  # sets of so few tokens may share one only
+        return ~subset | (n * den >= (self.small + 1) * num) | (least <= lone), subset
+
+    def blocks(self, count: np.ndarray) -> np.ndarray:
+        """Into how many blocks the lists of these (counted) lengths are cut; what any counter holds besides isn't counted."""
+        return np.maximum(1, -(-(count - self.noise) // LIST_BLOCK))
+
+    def keys(self, sets: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(record, key, short, blocks): under which lists and subsets each set is found, and how finely those are cut.
 
         A set need only be sought among larger ones within a shorter prefix; short says whether an entry is in it.
         """
         record, token, rank = sets.record, sets.token, sets.rank
         n, p = sets.n, self.prefix(sets.n)
         brief = n - self.least_overlap(n, n) + 1
-        # small sets stand in lists too if a large set may be their partner
-        listed = (n > max(1, self.small)) | (n * self.threshold.denominator >= (self.small + 1) * self.threshold.numerator) & (n > 1)
+        listed, subsets = self.kinds(n)
         at = listed[record] & (rank < p[record])
-        records, keys, short = [record[at]], [token[at]], [rank[at] < brief[record[at]]]
-        subsets = (n > 1) & (n <= self.small)
+        records, keys, short, blocks = [record[at]], [token[at]], [rank[at] < brief[record[at]]], [self.blocks(sets.count[at])]
         for q in np.unique(p[subsets] + 1) if subsets.any() else []:
             rows = np.flatnonzero(subsets & (p + 1 == q))
             i, j = np.triu_indices(q, 1)
@@ -149,7 +167,9 @@ class Plan:
             records.append(np.repeat(rows, len(i)))
             keys.append(_mix(np.minimum(a, b) * _M3 + np.maximum(a, b)).ravel())
             short.append(np.ones(a.size, dtype=bool))
-        return np.concatenate(records), np.concatenate(keys), np.concatenate(short)
+            # a subset is no more frequent than the rarer of its tokens
+            blocks.append(self.blocks(np.minimum(sets.count[starts + i], sets.count[starts + j]).ravel()))
+        return np.concatenate(records), np.concatenate(keys), np.concatenate(short), np.concatenate(blocks)
 
 
 def _parse(rows: DataFrame, width: int) -> DataFrame:
@@ -219,39 +239,41 @@ def _count_tokens(sets: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def _boundary(sets: DataFrame, plan_of) -> int:
-    """The largest size of a small set: where enumerating subsets stops to be cheaper than scanning lists, over all sets."""
+def _boundary(sets: DataFrame, plan_of) -> tuple[int, int]:
+    """(the largest size of a small set, entries of the join): where enumerating subsets stops to be cheaper than scanning lists, over all sets."""
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = plan_of()
         by_size: dict[int, np.ndarray] = {}
-        # a counter holds its token's count and, on top, about what any counter holds
-        noise = int(np.median(plan.counts))
         for b in batches:
             s = plan.sets(_words_of(b))
             p = plan.prefix(s.n)
             listed = s.rank < p[s.record]
-            length = np.maximum(s.count[listed] - noise, 1)
+            length = np.maximum(s.count[listed] - plan.noise, 1)
             scans = np.bincount(s.record[listed], weights=length, minlength=len(s.n))
-            for n in np.unique(s.n[s.n > 1]):
+            for n in np.unique(s.n[s.n > 0]):
                 of = s.n == n
                 q = int(p[of][0])
-                by_size[int(n)] = by_size.get(int(n), 0) + np.array([of.sum() * q + SCAN_COST * scans[of].sum(), of.sum() * q * (q + 1) / 2])
+                by_size[int(n)] = by_size.get(int(n), 0) + np.array([of.sum() * q, SCAN_COST * scans[of].sum(), of.sum() * q * (q + 1) / 2])
         if by_size:
-            lists, subsets = np.array(list(by_size.values())).T
-            yield pa.RecordBatch.from_arrays([pa.array(list(by_size), pa.int64()), pa.array(lists), pa.array(subsets)], names=["n", "lists", "subsets"])
+            entries, scans, subsets = np.array(list(by_size.values())).T
+            yield pa.RecordBatch.from_arrays([pa.array(list(by_size), pa.int64()), pa.array(entries), pa.array(scans), pa.array(subsets)], names=["n", "entries", "scans", "subsets"])
 
-    rows = sets.select("words").mapInArrow(cost, "n long, lists double, subsets double").groupBy("n").agg(F.sum("lists").alias("lists"), F.sum("subsets").alias("subsets")).orderBy("n").collect()
-    threshold = plan_of().threshold
+    rows = sets.select("words").mapInArrow(cost, "n long, entries double, scans double, subsets double").groupBy("n").agg(*[F.sum(c).alias(c) for c in ("entries", "scans", "subsets")]).orderBy("n").collect()
+    if not rows:
+        return 1, 0
     n = np.array([r["n"] for r in rows])
-    lists, subsets = np.array([r["lists"] for r in rows]), np.array([r["subsets"] for r in rows])
-    best, least = 1, lists.sum()
-    for x in n:
-        also = (n <= x) & (n >= float(threshold) * (x + 1))
-        total = subsets[n <= x].sum() + lists[n > x].sum() + lists[also].sum()
-        if total < least:
-            best, least = int(x), total
-    return best
+    entries, scans, subsets = (np.array([r[c] for r in rows]) for c in ("entries", "scans", "subsets"))
+    plan = plan_of()
+
+    def total(x: int) -> tuple[float, float]:
+        plan.small = x
+        listed, small = plan.kinds(n)
+        sent = subsets[small].sum() + entries[listed].sum()
+        return sent + scans[listed].sum(), sent
+
+    best = min([1, *n.tolist()], key=lambda x: (total(x)[0], x))
+    return best, int(total(best)[1])
 
 
 #: Low bytes of a list's or subset's hash that are sent; more of it is in the task the entry is sent to.
@@ -269,6 +291,24 @@ def _from_planes(data: bytes, width: int) -> np.ndarray:
     return full.reshape(-1).view("<u8")
 
 
+def _cut_lists(record: np.ndarray, key: np.ndarray, short: np.ndarray, blocks: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries with those of long lists copied to each pair of blocks that their own block is in, a list of its own.
+
+    A set's block is chosen by its name, so any two sets of a list meet in the list of their two blocks.
+    """
+    long = np.flatnonzero(blocks > 1)
+    if not len(long):
+        return record, key, short
+    n = blocks[long]
+    of = np.repeat(long, n)
+    other = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    own = (_mix(names[record[of]].astype(np.uint64)) % blocks[of].astype(np.uint64)).astype(np.int64)
+    pair = np.minimum(own, other) * blocks[of] + np.maximum(own, other)
+    once = np.flatnonzero(blocks <= 1)
+    cut_key = _mix(key[of] + _M2 * (pair + 1).astype(np.uint64))
+    return np.concatenate([record[once], record[of]]), np.concatenate([key[once], cut_key]), np.concatenate([short[once], short[of]])
+
+
 _BUNDLE = "part int, names binary, sizes binary, maps binary, keys binary, entries binary"
 
 
@@ -280,7 +320,8 @@ def _bundles(sets: DataFrame, plan_of, parts: int) -> DataFrame:
         for b in batches:
             s = plan.sets(_words_of(b))
             names, maps = np.asarray(b.column("k")), s.parity()
-            record, key, short = plan.keys(s)
+            record, key, short, blocks = plan.keys(s)
+            record, key, short = _cut_lists(record, key, short, blocks, names)
             part = ((key >> np.uint64(8 * _KEY_BYTES)) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((key & np.uint64((1 << 8 * _KEY_BYTES) - 1), part))
             record, key, short, part = record[order], key[order], short[order], part[order]
@@ -387,8 +428,12 @@ def _verified(candidates: DataFrame, sets: DataFrame, threshold: Fraction, width
     return rows.mapInArrow(verify, "k_a long, k_b long")
 
 
-def similar_pairs(records: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of records of at least that similarity of their word sequences.
+def similar_classes(records: DataFrame, threshold: float = 0.8, width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(members, links): id, class_id of every record that has words enough; class_a, class_b of similar classes.
+
+    A class holds the records of one list of words, named by its least id; links go between different lists, class_a <
+    class_b. Together they say all that similar_pairs says, in a row to a record and a row to a link: copies aren't
+    expanded into pairs.
 
     records: id, at (a later one replaces an earlier one of the same id), heading, text. Words are runs
     of ASCII letters and digits of the lower-cased heading, then text; a null one adds none. Similarity
@@ -402,18 +447,52 @@ def similar_pairs(records: DataFrame, threshold: float = 0.8, width: int = 5) ->
     limit = Fraction(str(threshold))
     parsed = _parse(records.select(F.col("id").cast("long"), "at", "heading", "text"), width).repartition(parts, "at_key").persist()
     sets = parsed.where("is_set")
-    counted = _count_tokens(sets, width)
-    tasks = max(spark.sparkContext.defaultParallelism // 2, -(-int(counted.sum() * (1 - limit)) // TASK_ENTRIES), 1)
-    counts = spark.sparkContext.broadcast(counted)
-    small = _boundary(sets, lambda: Plan(counts.value, limit, width))
+    counts = spark.sparkContext.broadcast(_count_tokens(sets, width))
+    small, entries = _boundary(sets, lambda: Plan(counts.value, limit, width))
+    tasks = max(spark.sparkContext.defaultParallelism // 2, -(-entries // TASK_ENTRIES), 1)
     pairs = _candidates(sets, lambda: Plan(counts.value, limit, width, small), tasks)
-    pairs = _verified(pairs, sets, limit, width)
+    pairs = cut(_verified(pairs, sets, limit, width))
     ids = parsed.where("NOT is_set").groupBy("id").agg(F.max(F.struct("at", "k"))["k"].alias("k")).where("k >= 0")
-    a, b = ids.select(F.col("id").alias("x"), F.col("k").alias("k_a")), ids.select(F.col("id").alias("y"), F.col("k").alias("k_b"))
-    near = pairs.join(a, "k_a").join(b, "k_b").select("x", "y")
-    copies = ids.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    copied = ids.join(copies, "k")
-    equal = copied.select("k", F.col("id").alias("x")).join(copied.select("k", F.col("id").alias("y")), "k").where("x < y").select("x", "y")
+    ids = cut(ids)
+    parsed.unpersist()
+    names = ids.groupBy("k").agg(F.min("id").alias("class_id"))
+    members = spread_rows(ids, ["k"], names).select("id", "class_id")
+    end = lambda s: names.select(F.col("k").alias(f"k_{s}"), F.col("class_id").alias(s))
+    # a set of an earlier delivery may have been replaced; its links go with it
+    links = pairs.join(end("a"), "k_a").join(end("b"), "k_b").select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"))
+    return members, links
+
+
+#: Rows of one key that a task joins with others; a key with more is spread over blocks.
+BLOCK_ROWS = 5_000
+SALTS = 8
+
+
+def spread_rows(rows: DataFrame, key: list[str], names: DataFrame) -> DataFrame:
+    """rows joined with names (one row to a key), the rows of a hot key spread over salts."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return salted.join(names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*key, "salt"]).drop("salt")
+
+
+def similar_pairs(records: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: similar_classes as pairs of records, copies with each other and with all their partners.
+
+    As many rows as there are pairs. The rows of a large class are spread over blocks, each joined by tasks of its own.
+    """
+    members, links = similar_classes(records, threshold, width)
+    members = cut(members)
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    placed = members.join(sizes, "class_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+
+    def expanded(rows: DataFrame, key: str, out: str) -> DataFrame:
+        """Each row with every member of its class."""
+        wide = rows.join(sizes.select(F.col("class_id").alias(key), "blocks"), key).select(*rows.columns, all_blocks)
+        return wide.join(placed.select(F.col("class_id").alias(key), F.col("id").alias(out), "block"), [key, "block"]).drop("block")
+
+    near = expanded(expanded(links, "class_a", "x"), "class_b", "y").select("x", "y")
+    copied = placed.where("n > 1").select(F.col("class_id").alias("of"), F.col("id").alias("x"))
+    equal = expanded(copied, "of", "y").where("x < y").select("x", "y")
     return near.unionByName(equal).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
