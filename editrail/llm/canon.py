@@ -5,7 +5,9 @@ string within k edits of it holds one of them unchanged, at most a few places aw
 equality of such positional substrings and built-in levenshtein verifies. The join runs twice: between
 whole values, squeezed to their letters, and whole names in every rotation (typing errors, lost or
 stray spaces), and between words and the words of names (shortened, reordered, incomplete values),
-whose matches are weighed into a score per entry. What no entry claims comes out through an anti-join.
+whose matches are weighed into a score per entry. A shortened word meets the word it shortens by its
+consonants: equality with a beginning of the other's, or the positional join over them; levenshtein then
+says whether letters were left out and nothing else. What no entry claims comes out through an anti-join.
 """
 
 from __future__ import annotations
@@ -14,15 +16,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from editrail.runtime import cut, read_table
 
-#: Words that decorate a value. They count for an entry that has them and against none.
+#: Words that p4_found's values are decorated with. They count for an entry that has them and against none.
 NEUTRAL = ("and", "the", "of", "for", "on", "a", "nd", "subcommittee", "comm", "committee", "cmte", "account", "acct", "cont", "contd", "d", "continued", "draft", "fy", "no")
 #: Edits allowed to a word and to a whole value, by the length of the reference string.
 WORD_EDITS = "CASE WHEN {n} < 4 THEN 0 WHEN {n} = 4 THEN 1 WHEN {n} < 7 THEN 2 ELSE 3 END"
 VALUE_EDITS = "least(7, CAST({n} / 4 AS INT))"
+#: Consonants that a shortened word may lack between others; any number may lack at its end.
+CONSONANT_EDITS = "CASE WHEN {n} < 4 THEN 0 WHEN {n} < 6 THEN 1 ELSE 2 END"
+#: Words that join others and stand for nothing.
+GLUE = ("and", "the", "of", "for", "on", "a")
 #: Least share of a value's letters and of an entry's weight that word matches must cover.
 VALUE_COVER, ENTRY_COVER = 0.7, 0.45
 
-_NEUTRAL_SQL = ", ".join(f"'{w}'" for w in NEUTRAL)
+# first letter and later consonants
+_BONES = "concat(left({x}, 1), translate(substr({x}, 2), 'aeiou', ''))"
+
+
+def _listed(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words) or "NULL"
+
+
 # lower case, plain spaces, no fiscal years, and digits beside letters read as the letters they are misread from
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(lower({x}), '\\bfy ?[0-9]+\\b', ' '),
@@ -66,16 +79,34 @@ def _near(probe: str, p_col: str, ref: str, r_col: str, edits: str, most: int) -
       ) WHERE levenshtein(t, s) <= {k}"""
 
 
-def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
+def _shortened(words: str, refs: str) -> str:
+    """(t, s, q): words and the reference words that they are left when letters, but not the first, are left out.
+
+    A word of one letter shortens nothing. Whether only letters were left out: the edits are as many as the lengths differ by.
+    """
+    bones_t = f"SELECT t, {_BONES.format(x='t')} AS b FROM (SELECT DISTINCT t FROM {words} WHERE length(t) >= 2)"
+    bones_s = f"SELECT s, {_BONES.format(x='s')} AS b FROM (SELECT DISTINCT w AS s FROM {refs})"
+    begun = f"SELECT t, s FROM ({bones_t}) JOIN (SELECT s, explode(transform(sequence(1, length(b)), n -> left(b, n))) AS b FROM ({bones_s})) USING (b)"
+    gapped = f"""SELECT x.t, y.s FROM ({_near(f"({bones_t})", "b", f"({bones_s})", "b", CONSONANT_EDITS, 2)}) n
+        JOIN ({bones_t}) x ON x.b = n.t JOIN ({bones_s}) y ON y.b = n.s"""
+    return f"""
+      SELECT DISTINCT t, s, IF(startswith(s, t), 0.95, 0.9) AS q FROM ({begun} UNION ALL {gapped})
+      WHERE length(t) < length(s) AND left(t, 1) = left(s, 1) AND levenshtein(t, s) = length(s) - length(t)"""
+
+
+def map_values(values: DataFrame, entries: DataFrame, neutral: tuple[str, ...] = GLUE, glue: tuple[str, ...] = GLUE) -> DataFrame:
     """(kind, value, ref_id, how) of each distinct value; ref_id 0 and how 'none' if it stands for no entry.
 
-    values: kind, value. entries: ref_id, kind, name, aliases. Null and blank values are left out,
+    values: kind, value. entries: ref_id, kind, name, aliases. neutral: lower-case words that decorate values; they count
+    for an entry that has them and against none. glue: words that are no words of a name. A value claims an entry as a
+    whole within a quarter of the entry's letters in edits, seven at most; beyond that, by its words alone. Null and blank values are left out,
     values without letters stand for nothing. Repeated values count once, so a hot value costs no
     more than a rare one. A value that two entries claim equally stands for neither. Null names and
     aliases are ignored; an empty list of entries leaves all values unmatched. Other columns are ignored.
     """
     spark = values.sparkSession
     sql = spark.sql
+    neutral_sql = _listed(neutral)
     vals = cut(
         sql(
             f"SELECT kind, value, trim({_CLEAN.format(x='value')}) AS clean FROM (SELECT DISTINCT kind, value FROM {{v}} WHERE trim(regexp_replace(value, '(?U)\\\\s', ' ')) <> '')",
@@ -89,7 +120,7 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
             f"""
             WITH w AS (
               SELECT ref_id, kind, split(name, ' ') AS w FROM {{n}} WHERE name <> ''
-              UNION ALL SELECT ref_id, kind, filter(split(name, ' '), x -> NOT array_contains(array({_NEUTRAL_SQL}), x)) FROM {{n}} WHERE name <> ''
+              UNION ALL SELECT ref_id, kind, filter(split(name, ' '), x -> NOT array_contains(array({neutral_sql}), x)) FROM {{n}} WHERE name <> ''
             ), o AS (
               SELECT ref_id, kind, w, 0.0 AS off FROM w WHERE size(w) > 0
               UNION ALL SELECT ref_id, kind, filter(w, (x, i) -> i <> gap), 0.01 FROM (SELECT *, explode(sequence(0, size(w) - 1)) AS gap FROM w WHERE size(w) > 2)
@@ -107,7 +138,7 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
         f"""
         SELECT kind, value, t, min(less) AS less FROM (
           SELECT kind, value, replace(clean, ' ', '') AS t, 0.0 AS less FROM {{v}}
-          UNION ALL SELECT kind, value, array_join(filter(split(clean, ' '), x -> NOT array_contains(array({_NEUTRAL_SQL}), x)), ''), 0.002 FROM {{v}}
+          UNION ALL SELECT kind, value, array_join(filter(split(clean, ' '), x -> NOT array_contains(array({neutral_sql}), x)), ''), 0.002 FROM {{v}}
         ) GROUP BY kind, value, t
         """,
         v=vals,
@@ -124,7 +155,7 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
         f=forms,
     )
     words = sql("SELECT DISTINCT kind, ref_id, explode(split(name, ' ')) AS w FROM {n} WHERE name <> ''", n=names)
-    words = sql(f"SELECT * FROM {{w}} WHERE w NOT IN ('and', 'the', 'of', 'for', 'on', 'a')", w=words)
+    words = sql(f"SELECT * FROM {{w}} WHERE coalesce(w NOT IN ({_listed(glue)}), true)", w=words)
     weights = cut(
         sql(
             """
@@ -147,21 +178,17 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
             v=vals,
         )
     )
-    # a shortened word: the same first letter, and its letters in their order in the word; they share the key (first letter)
-    short = """
-        SELECT t, s, IF(startswith(s, t), 0.95, 0.9) AS q FROM (SELECT DISTINCT t FROM {t} WHERE length(t) BETWEEN 2 AND 24) a
-        JOIN (SELECT DISTINCT w AS s FROM {w}) b ON left(t, 1) = left(s, 1) AND length(t) < length(s) AND s RLIKE concat('^', regexp_replace(t, '(.)', '$1.*'))"""
     typed = f"SELECT t, s, 1 - d / length(s) AS q FROM ({_near('{t}', 't', '{w}', 'w', WORD_EDITS, 3)})"
-    alike = cut(sql(f"SELECT t, s, max(q) AS q FROM ({short} UNION ALL {typed}) GROUP BY t, s", t=tokens, w=weights))
+    alike = cut(sql(f"SELECT t, s, max(q) AS q FROM ({_shortened('{t}', '{w}')} UNION ALL {typed}) GROUP BY t, s", t=tokens, w=weights))
     by_words = sql(
         f"""
         WITH hit AS (
           SELECT tk.kind, tk.value, tk.word, w.ref_id, w.w, w.weight, w.total, a.q
           FROM {{t}} tk JOIN {{a}} a ON tk.t = a.t JOIN {{w}} w ON w.w = a.s AND w.kind = tk.kind
-        ), v AS (SELECT kind, value, ref_id, sum(IF(word IN ({_NEUTRAL_SQL}), 0, length(word)) * q) AS said FROM (SELECT kind, value, ref_id, word, max(q) AS q FROM hit GROUP BY ALL) GROUP BY ALL),
+        ), v AS (SELECT kind, value, ref_id, sum(IF(word IN ({neutral_sql}), 0, length(word)) * q) AS said FROM (SELECT kind, value, ref_id, word, max(q) AS q FROM hit GROUP BY ALL) GROUP BY ALL),
         e AS (SELECT kind, value, ref_id, sum(weight * q) / max(total) AS cover FROM (SELECT kind, value, ref_id, w, weight, total, max(q) AS q FROM hit GROUP BY ALL) GROUP BY ALL),
         -- neutral words count for an entry's cover, not for or against the value's
-        n AS (SELECT kind, value, sum(IF(word IN ({_NEUTRAL_SQL}), 0, length(word))) AS letters FROM (SELECT DISTINCT kind, value, word FROM {{t}}) GROUP BY ALL)
+        n AS (SELECT kind, value, sum(IF(word IN ({neutral_sql}), 0, length(word))) AS letters FROM (SELECT DISTINCT kind, value, word FROM {{t}}) GROUP BY ALL)
         SELECT v.kind, v.value, v.ref_id, least(1, said / greatest(letters, 1)) AS said, cover
         FROM v JOIN e ON v.kind = e.kind AND v.value = e.value AND v.ref_id = e.ref_id JOIN n ON n.kind = v.kind AND n.value = v.value
         """,
@@ -217,7 +244,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank subcommittees have no row; a blank heading stands for none (0)."""
     rows = typed_values(read_table(spark, sf_dir, "catalog_entries"), read_table(spark, sf_dir, "sections"))
     rows = rows.where("record_kind = 'section' OR trim(regexp_replace(value, '(?U)\\\\s', ' ')) <> ''")
-    mapped = map_values(rows, read_table(spark, sf_dir, "canon_entries"))
+    mapped = map_values(rows, read_table(spark, sf_dir, "canon_entries"), NEUTRAL)
     return spark.sql(
         "SELECT r.record_kind, r.record_key, coalesce(m.ref_id, 0L) AS ref_id FROM {r} r LEFT JOIN {m} m ON r.kind = m.kind AND r.value = m.value",
         r=rows,

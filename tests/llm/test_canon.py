@@ -32,7 +32,7 @@ def entries(spark):
 def test_cases(spark, entries):
     rows = [(k, v, 1) for k, vs in CASES.items() for v in vs] + [("heading", None, 1), ("heading", "  ", 2), ("subcommittee", "HCIS", 3)]
     values = spark.createDataFrame(rows, "kind string, value string, ref_id int")
-    got = {(r["kind"], r["value"]): r["ref_id"] for r in canon.map_values(values, entries).collect()}
+    got = {(r["kind"], r["value"]): r["ref_id"] for r in canon.map_values(values, entries, canon.NEUTRAL).collect()}
     assert got == {(k, v): n for k, vs in CASES.items() for v, n in vs.items()}
 
 
@@ -66,3 +66,22 @@ def test_pigeonhole_join_finds_all_within_the_edits(spark):
     got = {tuple(r) for r in spark.sql(canon._near("{p}", "t", "{r}", "form", canon.VALUE_EDITS, 7), p=a, r=b).collect()}
     want = {(x, y, d) for x in set(probe) if x for y in set(ref) if (d := distance(x, y)) <= min(7, len(y) // 4)}
     assert got == want
+
+
+def test_shortened_words(spark):
+    """Letters left out after the first: at the end, vowels, and few consonants between others; nothing else."""
+    refs = ["management", "causeway", "surveillance", "greenhouse", "account", "operations", "aa", "b"]
+    words = ["mgmt", "mngmt", "man", "caswy", "csway", "srvllnc", "surv", "grnhse", "acct", "oprtns", "ops", "nagement", "maneg", "m", "account", "a", "aa", "operationsx"]
+    t, w = spark.createDataFrame([(x,) for x in words], "t string"), spark.createDataFrame([(x,) for x in refs], "w string")
+    got = {(r["t"], r["s"]) for r in spark.sql(canon._shortened("{t}", "{w}"), t=t, w=w).collect()}
+    assert got == {
+        ("mgmt", "management"), ("mngmt", "management"), ("man", "management"), ("caswy", "causeway"), ("csway", "causeway"), ("srvllnc", "surveillance"),
+        ("surv", "surveillance"), ("grnhse", "greenhouse"), ("acct", "account"), ("oprtns", "operations"),
+    }
+
+
+def test_decorations_are_a_parameter(spark, entries):
+    values = spark.createDataFrame([("subcommittee", "ledger bureau HCIS"), ("subcommittee", "HCIS")], "kind string, value string")
+    said = lambda **kw: {r["value"]: r["ref_id"] for r in canon.map_values(values, entries, **kw).collect()}
+    assert said() == {"ledger bureau HCIS": 0, "HCIS": 1} and said(neutral=("ledger", "bureau")) == {"ledger bureau HCIS": 1, "HCIS": 1}
+    assert said(neutral=(), glue=()) == {"ledger bureau HCIS": 0, "HCIS": 1}
