@@ -3,8 +3,10 @@
 One interpolated Kneser-Ney model of characters per language, over words with their boundaries. Each
 order is a sorted array of 64-bit n-gram hashes beside the n-grams' discounted probabilities, and one of
 context hashes beside the contexts' back-off weights. A text has the language of the lowest
-cross-entropy per character; a temperature fitted on held-out labelled blocks turns the differences
-into a confidence, below which a text can be left unlabelled.
+cross-entropy per character. Two numbers are calibrated on held-out labelled text: a temperature, which
+turns the differences of cross-entropy into a confidence, on pieces short enough to be mistaken; and
+a bound on the cross-entropy itself, beyond which a text is in none of the languages, by leaving out
+each language in turn.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editrail.runtime import read_table, spread
+from editrail.runtime import read_table, small, spread
 
 LANGUAGES = ("en", "es", "fr", "de", "pt", "it")
 ORDER = 5
@@ -35,8 +37,8 @@ MEMORY_WORDS = 200_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _BLANK_LINES = re.compile(r"\r?\n(?:[^\S\n]*\n)+").split
-_QUOTED = re.compile(r"\"[^\"]{1,400}\"|“[^”]{1,400}”|«[^»]{1,400}»|„[^“”]{1,400}[“”]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_QUOTED = re.compile(r"\"[^\"]+\"|“[^”]+”|«[^»]+»|„[^“”]+[“”]")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,10 +123,14 @@ class KneserNey:
 
 
 class Labeller:
-    """Models of all languages, and the temperature of their confidence."""
+    """Models of all languages, the temperature of their confidence, and the bound beyond which a text is in none of them.
+
+    The bound on a text of n characters is bound[0] + bound[1] / sqrt(n): short texts scatter more.
+    """
 
     def __init__(self, counts: dict[str, Counter], order: int = ORDER):
         self.languages, self.order, self.temperature = [c for c in LANGUAGES if counts.get(c)], order, 1.0
+        self.bound, self.errors = (float("inf"), 0.0), (0.0, 0.0)
         symbols = len({ch for c in counts.values() for w in c for ch in w}) + 2
         self.models = [KneserNey(counts[c], symbols, order) for c in self.languages]
         self._index: dict[str, int] = {}
@@ -156,24 +162,73 @@ class Labeller:
             sums[some] = np.add.reduceat(self._scores[flat], (np.cumsum(sizes) - sizes)[some])
         return sums, np.array([sum(map(len, t)) + len(t) for t in texts])
 
-    def confidences(self, sums: np.ndarray) -> np.ndarray:
-        z = (sums - sums.max(axis=1, keepdims=True)) / self.temperature
+    @staticmethod
+    def entropies(sums: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """(texts, languages): cross-entropy per character, in nats."""
+        return -sums / np.maximum(chars, 1)[:, None]
+
+    def confidences(self, entropy: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Of each language: the lower its cross-entropy and the longer the text, the surer, by the fitted temperature."""
+        z = -(entropy - entropy.min(axis=1, keepdims=True)) * np.sqrt(np.maximum(chars, 1))[:, None] / self.temperature
         e = np.exp(z)
         return e / e.sum(axis=1, keepdims=True)
 
+    def foreign(self, entropy: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Whether each text is unlike all the languages."""
+        return entropy.min(axis=1) > self.bound[0] + self.bound[1] / np.sqrt(np.maximum(chars, 1))
+
     def fit_temperature(self, texts: list[list[str]], truth: list[str]) -> None:
-        """The temperature of the least log loss over labelled texts."""
+        """The temperature of the least log loss over labelled texts, some of which must be short enough to be mistaken."""
         keep = [k for k, t in enumerate(truth) if t in self.languages and texts[k]]
         if not keep:
             return
-        sums, _ = self.texts([texts[k] for k in keep])
+        sums, chars = self.texts([texts[k] for k in keep])
+        entropy = self.entropies(sums, chars)
         right = np.array([self.languages.index(truth[k]) for k in keep])
 
         def loss(t: float) -> float:
             self.temperature = t
-            return -np.log(np.maximum(self.confidences(sums)[np.arange(len(right)), right], 1e-12)).mean()
+            return -np.log(np.maximum(self.confidences(entropy, chars)[np.arange(len(right)), right], 1e-12)).mean()
 
-        self.temperature = min((2.0**k for k in range(0, 8)), key=loss)
+        self.temperature = min((2.0 ** (k / 4) for k in range(-24, 25)), key=loss)
+
+    def fit_bound(self, texts: list[list[str]], truth: list[str]) -> None:
+        """The bound of the fewest errors: own-language texts refused, and texts let through whose language is left out in turn.
+
+        errors: the two shares at the bound, on the texts it is fitted on.
+        """
+        keep = [k for k, t in enumerate(truth) if t in self.languages and texts[k]]
+        if not keep or len(self.languages) < 2:
+            return
+        sums, chars = self.texts([texts[k] for k in keep])
+        entropy = self.entropies(sums, chars)
+        own = np.array([self.languages.index(truth[k]) for k in keep])
+        known = entropy.min(axis=1)
+        others = entropy.copy()
+        others[np.arange(len(own)), own] = np.inf
+        unknown = others.min(axis=1)
+        root = 1 / np.sqrt(np.maximum(chars, 1))
+        best = None
+        for slope in np.linspace(0, 4, 17):
+            a, b = np.sort(known - slope * root), np.sort(unknown - slope * root)
+            cuts = np.concatenate([a, b])
+            refused = 1 - np.searchsorted(a, cuts, side="right") / len(a)
+            passed = np.searchsorted(b, cuts, side="right") / len(b)
+            k = int((refused + passed).argmin())
+            if best is None or refused[k] + passed[k] < best[0]:
+                # midway to the next value, so that neither side lies on the bound
+                after = np.concatenate([a[a > cuts[k]][:1], b[b > cuts[k]][:1], [cuts[k] + 1e-9]])
+                best = (refused[k] + passed[k], (float((cuts[k] + after.min()) / 2), float(slope)), (float(refused[k]), float(passed[k])))
+        _, self.bound, self.errors = best
+
+
+def pieces(words: list[str], sizes: tuple[int, ...] = (1, 2, 3, 5, 8, 13)) -> list[list[str]]:
+    """The words cut into runs of these sizes in turn: held-out texts short enough that some are mistaken."""
+    out, at, k = [], 0, 0
+    while at < len(words):
+        out.append(words[at : at + sizes[k % len(sizes)]])
+        at, k = at + sizes[k % len(sizes)], k + 1
+    return out
 
 
 def code(label):
@@ -215,8 +270,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_docs: int = TRAININ
         own = docs.select("doc_id", code(F.col("lang")).alias("lang")).where(F.col("lang").isin(*few))
         own = _thinned(own.join(labels.select("doc_id"), "doc_id", "left_anti"), enough_docs)
         picked = picked.unionByName(own.withColumn("reviewed", F.lit(False)))
-    # bounded by the two parameters and the number of languages, so it may be broadcast and collected
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "lang", "reviewed")
+    # bounded by the two parameters and the number of languages: small() counts it, and it may be collected
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(small(picked), "doc_id").select("doc_id", "text", "lang", "reviewed")
     return [(r["text"], r["lang"], r["reviewed"]) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))]
 
 
@@ -247,19 +302,23 @@ def fit(sample: list[tuple[str, str, bool]], order: int = ORDER, most_chars: int
     rest = count([k for k in rows if k not in set(held)])
     if held and len(rest) == len(final.languages):
         part = Labeller(rest, order)
-        part.fit_temperature([b for k in held for b in words[k]], [sample[k][1] for k in held for _ in words[k]])
-        final.temperature = part.temperature
+        cut = [(piece, sample[k][1]) for k in held for b in words[k] for piece in pieces(b)]
+        part.fit_temperature([p for p, _ in cut], [c for _, c in cut])
+        blocks = [(b, sample[k][1]) for k in held for b in words[k] if sum(map(len, b)) >= BLOCK_LETTERS]
+        part.fit_bound([b for b, _ in blocks], [c for _, c in blocks])
+        final.temperature, final.bound, final.errors = part.temperature, part.bound, part.errors
     return final
 
 
-SCHEMA = "doc_id long, label string, block_no int, letters long, lang string, confidence double, mixed boolean"
+SCHEMA = "doc_id long, label string, block_no int, letters long, lang string, confidence double, mixed boolean, foreign boolean"
 
 
 def label_blocks(docs: DataFrame, labeller: Labeller) -> DataFrame:
     """Language and confidence of every document with words (block_no 0) and of every block with words.
 
     doc_id, label (the document's own, as it stands), block_no, letters, lang, confidence, mixed:
-    whether the document's blocks of at least BLOCK_LETTERS letters are in more than one language.
+    whether the document's blocks of at least BLOCK_LETTERS letters are in more than one language; foreign: whether
+    the text (of a document, most of its letters) is less like any of the languages than held-out text of theirs.
     A document's language is that of most of its letters; its confidence, their share weighed by the
     blocks' confidences. Null and blank texts, and those without letters outside tags, have no rows. Repeated rows
     are labelled each; whole texts are read; extra columns aren't. One scan, no shuffle.
@@ -288,8 +347,11 @@ def label_blocks(docs: DataFrame, labeller: Labeller) -> DataFrame:
         doc, no, letters = np.array(doc, dtype=np.int64), np.array(no, dtype=np.int32), np.array(letters, dtype=np.int64)
         if not len(doc):
             return pa.RecordBatch.from_pylist([], schema=ARROW)
-        sure = m.confidences(m.texts(said)[0])
-        best = sure.argmax(axis=1)
+        sums, chars = m.texts(said)
+        entropy = m.entropies(sums, chars)
+        best, sure = entropy.argmin(axis=1), m.confidences(entropy, chars)
+        unlike = m.foreign(entropy, chars)
+        strange = np.bincount(doc, weights=letters * unlike, minlength=len(texts))
         by_lang = np.zeros((len(texts), len(m.languages)))
         np.add.at(by_lang, (doc, best), letters)
         trust = np.zeros_like(by_lang)
@@ -311,34 +373,40 @@ def label_blocks(docs: DataFrame, labeller: Labeller) -> DataFrame:
             pa.array(names[np.concatenate([main, best])], pa.string()),
             pa.array(np.concatenate([trust[docs_in, main] / total, sure[np.arange(len(doc)), best]])),
             pa.array(mixed[at]),
+            pa.array(np.concatenate([2 * strange[docs_in] > total, unlike])),
         ]
         return pa.RecordBatch.from_arrays(cols, schema=ARROW)
 
     return spread(docs.select(F.col("doc_id").cast("long"), F.col("lang").alias("label"), "text")).mapInArrow(run, SCHEMA)
 
 
-ARROW = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("block_no", pa.int32()), ("letters", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("mixed", pa.bool_())])
+ARROW = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("block_no", pa.int32()), ("letters", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("mixed", pa.bool_()), ("foreign", pa.bool_())])
 
 
-def document_languages(docs: DataFrame, labels: DataFrame, reject_below: float = 0.0) -> DataFrame:
+def document_languages(docs: DataFrame, labels: DataFrame, reject_below: float = 0.0, reject_foreign: bool = False) -> DataFrame:
     """label_blocks() by models fitted on a bounded sample; blocks other than those of mixed documents left out.
 
-    Rows of a confidence below reject_below have a null language. Without any labelled text all have.
+    Rows of a confidence below reject_below have a null language, and with reject_foreign those beyond the calibrated
+    bound too. Without any labelled text all have.
     """
     labeller = fit(training_sample(docs, labels))
     if labeller is None:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     out = label_blocks(docs, labeller).where(f"block_no = 0 OR (mixed AND letters >= {BLOCK_LETTERS})")
-    return out.withColumn("lang", F.when(F.col("confidence") >= reject_below, F.col("lang")))
+    refused = F.col("confidence") < reject_below
+    if reject_foreign:
+        refused = refused | F.col("foreign")
+    return out.withColumn("lang", F.when(~refused, F.col("lang")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case has one of the six codes, so nothing is rejected here; p8_languages rejects."""
     rows = document_languages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "lang_labels"))
     right = F.coalesce(code(F.col("label")) == F.col("lang"), F.lit(False))
     return rows.where((F.col("block_no") > 0) | ~right).select("doc_id", "block_no", "lang")
 
 
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and every block of a mixed one, with its confidence."""
-    rows = document_languages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "lang_labels"))
+    """Every document and every block of a mixed one, with its confidence; lang is null beyond the calibrated bound."""
+    rows = document_languages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "lang_labels"), reject_foreign=True)
     return rows.select("doc_id", "block_no", "lang", "confidence")

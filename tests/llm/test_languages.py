@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
 from editrail.llm import languages as lg
@@ -71,3 +72,29 @@ def test_documents_and_blocks(spark):
     assert unsure == 0
     assert lg.document_languages(d, labels.where("false").select("doc_id", "lang")).where("block_no = 0").count() > 0
     assert lg.document_languages(d.where("false"), labels.where("false")).count() == 0
+
+
+def test_long_quotations_and_tags_are_no_own_words():
+    quoted = "La commission demande un plan. " * 60
+    assert len(quoted) > 1000
+    own = "The committee directs the office to submit a plan within ninety days."
+    assert lg.spoken(f'{own} "{quoted}"') == lg.spoken(own)
+    assert lg._TAG.sub(" ", "<a " + "x" * 900 + ">b") == " b"
+
+
+def test_rejection_is_calibrated_both_ways(labeller):
+    """Texts of a language that no model knows are refused, those of the six aren't."""
+    finnish = "Valiokunta kehottaa virastoa toimittamaan suunnitelman yhdeksankymmenen paivan kuluessa ja raportoimaan menoista kunnille."
+    for texts, foreign in (([text(c, 2, 77) for c in SENTENCES], False), ([finnish, "Xqz vwkkj zzhq pwrtg kjhgf qwrtp zxcvb mnbvc lkjhg fdsaq wrtyp zzxcv bnmlk jhgfd"], True)):
+        sums, chars = labeller.texts([lg.spoken(t) for t in texts])
+        assert (labeller.foreign(labeller.entropies(sums, chars), chars) == foreign).all()
+    assert labeller.bound[0] < float("inf") and max(labeller.errors) < 0.2
+
+
+def test_confidence_is_low_where_texts_are_mistaken(labeller):
+    cut = [(p, c) for c in SENTENCES for p in lg.pieces(lg.spoken(text(c, 6, 88)))]
+    sums, chars = labeller.texts([p for p, _ in cut])
+    entropy = labeller.entropies(sums, chars)
+    sure = labeller.confidences(entropy, chars).max(axis=1)
+    right = np.array([labeller.languages[k] == c for k, (_, c) in zip(entropy.argmin(axis=1), cut)])
+    assert sure[right].mean() > (sure[~right].mean() if (~right).any() else 0)
