@@ -95,7 +95,8 @@ def _settle(bins: DataFrame, capacity: int, slack: float) -> DataFrame:
         mapping = mapping.withColumnRenamed("up", "final")
         todo = step.where(F.col("fill") < capacity * (1 - slack)).groupBy("up").agg(F.first("fill").alias("fill")).select(F.col("up").alias("bin"), "fill")
         before, n = n, todo.count()
-        if tasks == 1 or n > 0.9 * before:
+        # each round deals the bins to other tasks; it ends when one task holds them all or nothing fits any more
+        if tasks == 1 or n >= before:
             break
     return mapping
 
