@@ -14,8 +14,6 @@ from editrail.runtime import cut, read_table, release
 
 #: Jumps of each label to its own label in a round. Any number gives the same groups.
 JUMPS = 2
-#: Parts that the rows of one label are spread over. Any number gives the same groups.
-SALTS = 8
 
 
 def _nearest_label(edges: DataFrame) -> DataFrame:
@@ -27,12 +25,11 @@ def _nearest_label(edges: DataFrame) -> DataFrame:
 def _renamed(labels: DataFrame, later: DataFrame) -> DataFrame:
     """labels with each label replaced by the label that later has for it, if any.
 
-    A giant group makes its label a hot key: its rows are spread over salts, which the few renaming
-    rows (one to a label) are copied to.
+    A giant group makes its label a hot key of this join. later has one row to a label, so AQE splits the hot label's
+    rows over tasks and copies that one row; a fixed salt would copy every row of later, at every round.
     """
-    up = later.where("v <> l").select(F.col("v").alias("l"), F.col("l").alias("l2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = labels.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(up, ["l", "salt"], "left").select("v", F.coalesce("l2", "l").alias("l"))
+    up = later.where("v <> l").select(F.col("v").alias("l"), F.col("l").alias("l2"))
+    return labels.join(up, "l", "left").select("v", F.coalesce("l2", "l").alias("l"))
 
 
 def _jump(labels: DataFrame) -> DataFrame:
