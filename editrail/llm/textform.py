@@ -30,7 +30,7 @@ HYPHENS = "֊‐‑⁃﹣－"
 
 _INVISIBLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}\p{Cc}--\s\x1c-\x1f]+", regex.V1)
 _SPACES = regex.compile(r"[\s\x1c-\x1f]+")
-#: Parts that the rows of one stored form are spread over. Any number gives the same classes.
+#: Parts that the rows of one look are spread over. Any number gives the same classes.
 SALTS = 8
 _JOINED = ("<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>")
 
@@ -127,14 +127,15 @@ def look_alike_classes(hashes: DataFrame, scope: list[str]) -> DataFrame:
     look = [*scope, "c1", "c2"]
     # kept, since it is read twice and its making runs Python
     known = cut(hashes.select("id", *look, "s1", "s2").where(" AND ".join(f"`{c}` IS NOT NULL" for c in look)))
-    # a form to a row: combined before the shuffle, so a hot text sends one row from a task
-    forms = known.groupBy(*look, "s1", "s2").agg(F.min("id").alias("form_id"))
-    of_look = forms.groupBy(*look).agg(F.min("form_id").alias("class_id"), F.count("*").alias("forms")).where("forms > 1").drop("forms")
-    mixed = forms.join(of_look, look)
-    # the table of forms has one row to a form; rows of a hot form meet it by a salt
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    rows = known.select("id", *look, "s1", "s2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.join(mixed.withColumn("salt", salts), [*look, "s1", "s2", "salt"]).select(*scope, "id", "class_id", "form_id").distinct()
+    # looks of several forms, by an aggregate that combines before the shuffle: a hot text sends one row from a task
+    forms = F.struct("s1", "s2")
+    looks = known.groupBy(*look).agg(F.min(forms).alias("lo"), F.max(forms).alias("hi"), F.min("id").alias("class_id")).where("lo <> hi").select(*look, "class_id")
+    # they are few; the rows meet them by a salt, so a hot look is no hot key
+    looks = looks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = known.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(looks, [*look, "salt"])
+    rows = cut(rows.select(*scope, "id", "class_id", "s1", "s2").distinct())
+    of_form = rows.groupBy(*scope, "class_id", "s1", "s2").agg(F.min("id").alias("form_id"))
+    return rows.join(of_form, [*scope, "class_id", "s1", "s2"]).select(*scope, "id", "class_id", "form_id")
 
 
 def look_alike_pairs(hashes: DataFrame, scope: list[str]) -> DataFrame:
