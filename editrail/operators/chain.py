@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from editrail.functions import policy
 from editrail.functions import similarity as sim
 from editrail.functions.text import anchor, word_count
 from editrail.operators.diff import class_name, class_rank
@@ -16,9 +21,6 @@ CLASS_WEIGHT = {"unchanged": 0.0, "numbers only": 0.2, "minor": 0.5, "substantiv
 EDITED_DIRECTIVE, LONE_DIRECTIVE = 1.5, 3.0
 TOPIC_RATIO, NEAR_RATIO, LENGTH_RATIO, LEAST_WORDS = 0.5, 85.0, 0.8, 12
 
-#: What a flag of a family adds to a section's score, once per paragraph.
-FLAG_WEIGHT = {"force": 50.0, "wish": 50.0, "leave": 50.0, "negation": 60.0, "bar": 60.0, "condition": 40.0, "report": 30.0, "deadline": 40.0, "limit": 40.0}
-
 
 # ---- moves: paragraphs without a counterpart in their own section
 
@@ -35,35 +37,64 @@ def moved_verbatim(gone: DataFrame, come: DataFrame, scope: list[str]) -> DataFr
 
 
 def moved_same_topic(gone: DataFrame, come: DataFrame, scope: list[str]) -> DataFrame:
-    """scope, old_key, new_key, score: paragraphs of one topic, mutually the most alike, over half alike."""
-    a = gone.where("topic IS NOT NULL").select(*scope, F.lower("topic").alias("topic"), F.col("key").alias("old_key"), F.col("ord").alias("old_ord"), F.col("text").alias("old_text"))
-    b = come.where("topic IS NOT NULL").select(*scope, F.lower("topic").alias("topic"), F.col("key").alias("new_key"), F.col("ord").alias("new_ord"), F.col("text").alias("new_text"))
-    both = a.join(b, [*scope, "topic"]).withColumn("score", sim.blocks("old_text", "new_text")).where(F.col("score") > TOPIC_RATIO)
-    return mutual_best(both, scope)
+    """scope, old_key, new_key, score: new paragraphs, in their order, each with the most alike dropped one of its topic that is left.
+
+    Over half alike, by difflib's measure on characters; ties go to the earlier dropped one. Lengths alone rule out most pairs
+    before any text is compared.
+    """
+    named = lambda df, s: df.where("topic <> ''").select(*scope, F.lower("topic").alias("topic"), F.col("key").alias(f"{s}_key"), F.col("ord").alias(f"{s}_ord"), F.col("text").alias(f"{s}_text"))
+    both = named(gone, "old").join(named(come, "new"), [*scope, "topic"])
+    a, b = F.length("old_text"), F.length("new_text")
+    both = both.where(2 * F.least(a, b) > TOPIC_RATIO * (a + b)).withColumn("score", sim.blocks("old_text", "new_text")).where(F.col("score") > TOPIC_RATIO)
+    both = both.drop("old_text", "new_text")
+
+    def consume(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["new_ord", "new_key", "score", "old_ord", "old_key"], ascending=[True, True, False, True, True])
+        taken: set = set()
+        keep = []
+        for _, of in rows.groupby(["new_ord", "new_key"], sort=False):
+            for row, old in zip(of.index, of["old_key"]):
+                if old not in taken:
+                    taken.add(old)
+                    keep.append(row)
+                    break
+        return rows.loc[keep, [*scope, "old_key", "new_key", "score"]]
+
+    types = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in [*scope, "old_key", "new_key", "score"])
+    return both.groupBy(*scope, "topic").applyInPandas(consume, types)
+
+
+#: Characters whose counts bound how alike two texts can be; all others count together.
+_COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 .,"
+
+
+def _bag(text) -> Column:
+    low = F.lower(text)
+    each = [F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in _COUNTED]
+    rest = F.length(low) - reduce(lambda x, y: x + y, each)
+    return F.array(*each, rest)
 
 
 def moved_nearly(gone: DataFrame, come: DataFrame, scope: list[str]) -> DataFrame:
     """scope, old_key, new_key, score: paragraphs of at least a dozen words and like length, mutually the most alike.
 
-    Blocked by words: texts are compared if they share one of the eight rarest words of each. A pair
-    that has none of them in common isn't found.
+    Every pair of a scope that can reach the bar is scored: texts meet in bands of length, neighbours included, which
+    holds all pairs of like length, and a bound from their counted characters drops those that can't be alike enough.
     """
-    words = lambda df: F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != ""))
-    a = gone.where(word_count(F.col("text")) >= LEAST_WORDS).withColumn("w", words(gone))
-    b = come.where(word_count(F.col("text")) >= LEAST_WORDS).withColumn("w", words(come))
-    df = a.select(F.explode("w").alias("t")).unionByName(b.select(F.explode("w").alias("t"))).groupBy("t").agg(F.count("*").alias("df"))
-
-    def rare(x: DataFrame, name: str) -> DataFrame:
-        t = x.select(*scope, "key", F.explode("w").alias("t")).join(df, "t")
-        w = Window.partitionBy(*scope, "key").orderBy("df", "t")
-        return t.withColumn("r", F.row_number().over(w)).where("r <= 8").select(*scope, F.col("key").alias(name), "t")
-
-    met = rare(a, "old_key").join(rare(b, "new_key"), [*scope, "t"]).select(*scope, "old_key", "new_key").distinct()
-    old = a.select(*scope, F.col("key").alias("old_key"), F.col("ord").alias("old_ord"), F.col("section").alias("old_section"), F.col("text").alias("old_text"))
-    new = b.select(*scope, F.col("key").alias("new_key"), F.col("ord").alias("new_ord"), F.col("section").alias("new_section"), F.col("text").alias("new_text"))
-    both = met.join(old, [*scope, "old_key"]).join(new, [*scope, "new_key"])
-    short, long = F.least(F.length("old_text"), F.length("new_text")), F.greatest(F.length("old_text"), F.length("new_text"))
-    both = both.where(short >= LENGTH_RATIO * long).withColumn("score", sim.indel("old_text", "new_text")).where(F.col("score") >= NEAR_RATIO)
+    step = -math.log(LENGTH_RATIO)
+
+    def banded(df: DataFrame, s: str, reach: int) -> DataFrame:
+        long = df.where(word_count(F.col("text")) >= LEAST_WORDS)
+        band = F.floor(F.log(F.length("text").cast("double")) / step).cast("int")
+        bands = F.explode(F.sequence(band - reach, band + reach)) if reach else band
+        return long.select(*scope, F.col("key").alias(f"{s}_key"), F.col("ord").alias(f"{s}_ord"), F.col("section").alias(f"{s}_section"), F.col("text").alias(f"{s}_text"), _bag(F.col("text")).alias(f"{s}_bag"), bands.alias("band"))
+
+    both = banded(gone, "old", 1).join(banded(come, "new", 0), [*scope, "band"])
+    a, b = F.length("old_text"), F.length("new_text")
+    both = both.where(F.least(a, b) >= LENGTH_RATIO * F.greatest(a, b))
+    shared = F.aggregate(F.zip_with("old_bag", "new_bag", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    both = both.where(200 * shared >= NEAR_RATIO * (a + b)).drop("old_bag", "new_bag", "band")
+    both = both.withColumn("score", sim.indel("old_text", "new_text")).where(F.col("score") >= NEAR_RATIO)
     best = mutual_best(both, scope, ["old_section", "new_section"])
     return best.where("NOT old_section <=> new_section").drop("old_section", "new_section")
 
@@ -86,7 +117,7 @@ def significance(section_diffs: DataFrame, flags: DataFrame | None, boosts: Data
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in CLASS_WEIGHT.items() for x in kv]), F.col("change"))
     out = section_diffs
     if flags is not None:
-        of = F.element_at(F.create_map(*[F.lit(x) for kv in FLAG_WEIGHT.items() for x in kv]), F.col("category"))
+        of = F.element_at(F.create_map(*[F.lit(x) for kv in policy.WEIGHTS.items() for x in kv]), F.col("category"))
         added = flags.select("section", "paragraph", "category").distinct().groupBy("section").agg(F.sum(of).alias("flagged"))
         out = out.join(added, "section", "left")
     else:

@@ -10,17 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from editrail.functions import policy
 from editrail.functions.similarity import blocks_ratio, changed_words, word_edits
-from editrail.functions.text import FAMILIES, MASKS, NEGATION_SCOPE
+from editrail.functions.text import MASKS, describe
 
-# Classes in their order, and when a change is minor or two paragraphs may be paired.
+# Classes in their order, when a change is minor or two paragraphs may be paired, and how much of a text is its key.
 CLASSES = ["unchanged", "numbers only", "minor", "substantive", "new", "dropped"]
-MINOR_WORDS, MINOR_RATIO, PAIR_RATIO = 5, 0.97, 0.5
-HUNK_GAP = 3
+MINOR_WORDS, MINOR_RATIO, PAIR_RATIO, KEY_CHARS = 5, 0.97, 0.5, 120
 
 _masks = [(re.compile(p), r) for p, r in MASKS]
-_families = {n: re.compile(p) for n, p in FAMILIES.items()}
-_scope = re.compile(NEGATION_SCOPE)
 
 
 def masked(text: str) -> str:
@@ -29,45 +27,6 @@ def masked(text: str) -> str:
     return text
 
 
-def count_families(text: str) -> dict[str, int]:
-    low = text.lower()
-    return {n: len(p.findall(_scope.sub(" ", low) if n == "negation" else low)) for n, p in _families.items()}
-
-
-def hunks(edits: list[tuple[str, list[str], list[str]]], gap: int = HUNK_GAP) -> list[tuple[int, int, int, int]]:
-    """Word ranges (old from, to, new from, to) of the edits, those with at most `gap` equal words between them as one."""
-    out: list[tuple[int, int, int, int]] = []
-    i = j = 0
-    between = gap + 1
-    for tag, old, new in edits:
-        if tag == "equal":
-            between = len(old)
-        elif out and between <= gap:
-            out[-1] = (out[-1][0], i + len(old), out[-1][2], j + len(new))
-            between = 0
-        else:
-            out.append((i, i + len(old), j, j + len(new)))
-            between = 0
-        i, j = i + len(old), j + len(new)
-    return out
-
-
-def flags(old: str, new: str, edits: list[tuple[str, list[str], list[str]]]) -> list[dict]:
-    """A flag per phrase family and hunk where the family's count changes in the paragraph and around the hunk."""
-    before, after = count_families(old), count_families(new)
-    changed = [n for n in before if before[n] != after[n]]
-    if not changed:
-        return []
-    a, b, pad, out = old.split(), new.split(), HUNK_GAP + 1, []
-    for i1, i2, j1, j2 in hunks(edits):
-        near_old = count_families(" ".join(a[max(0, i1 - pad) : i2 + pad]))
-        near_new = count_families(" ".join(b[max(0, j1 - pad) : j2 + pad]))
-        for n in changed:
-            if near_old[n] != near_new[n]:
-                out.append({"category": n, "before": " ".join(a[i1:i2]), "after": " ".join(b[j1:j2])})
-    return out
-
-
 def literal_class(old: str, new: str, changed: int) -> str:
     if old == new:
         return "unchanged"
@@ -78,19 +37,19 @@ def literal_class(old: str, new: str, changed: int) -> str:
     return "minor" if changed <= MINOR_WORDS or blocks_ratio(a, b) >= MINOR_RATIO else "substantive"
 
 
-def diff_texts(old: str, new: str) -> dict:
+def diff_texts(old: str, new: str, year_delta: int = 1, lexicon: policy.Lexicon = policy.LEXICON) -> dict:
     if old == new:
         return {"change": "unchanged", "literal": "unchanged", "changed_words": 0, "edits": [], "flags": []}
     edits = word_edits(old, new)
     n = changed_words(edits)
     literal = literal_class(old, new, n)
-    found = flags(old, new, edits)
-    change = "substantive" if found else literal
+    found = policy.flag_edit(old, new, edits, year_delta, lexicon)
+    change = "substantive" if policy.highest_tier(found) >= policy.REVIEW else literal
     return {"change": change, "literal": literal, "changed_words": n, "edits": edits, "flags": found}
 
 
 def paragraph_key(p: dict) -> str:
-    return f"{p['kind']}:{p['topic'].lower()}" if p["topic"] else masked((p["text"] or "").lower())[:120]
+    return f"{p['kind']}:{p['topic'].lower()}" if p["topic"] else masked((p["text"] or "").lower())[:KEY_CHARS]
 
 
 def pair_paragraphs(olds: list[dict], news: list[dict]) -> list[tuple[int | None, int | None]]:
@@ -122,17 +81,18 @@ def pair_paragraphs(olds: list[dict], news: list[dict]) -> list[tuple[int | None
     return out
 
 
+FLAG = "struct<category:string,reason:string,tier:int,before:struct<lead:string,mid:string,trail:string>,after:struct<lead:string,mid:string,trail:string>,at:int>"
 DIFFS = (
     "pair string, old_id long, new_id long, idx int, old_idx int, new_idx int, kind string, topic string, old_text string, new_text string, "
-    "change string, literal string, changed_words int, edits array<struct<tag:string,old:array<string>,new:array<string>>>, "
-    "flags array<struct<category:string,before:string,after:string>>"
+    f"change string, literal string, changed_words int, edits array<struct<tag:string,old:array<string>,new:array<string>>>, flags array<{FLAG}>"
 )
+_COLUMNS = "pair old_id new_id idx old_idx new_idx kind topic old_text new_text change literal changed_words edits flags".split()
 
 
-def paragraph_diffs(matched: DataFrame) -> DataFrame:
-    """One row per paragraph of every matched section, in reading order.
+def paragraph_diffs(matched: DataFrame, lexicon: policy.Lexicon = policy.LEXICON) -> DataFrame:
+    """One row per paragraph of every matched section, in reading order; lone ones with tags of what they say.
 
-    matched: pair, old_id, new_id, old_paragraphs, new_paragraphs. A row is a whole unit of work, so
+    matched: pair, old_id, new_id, old_paragraphs, new_paragraphs, year_delta. A row is a whole unit of work, so
     nothing is shuffled; null lists and null texts count as empty.
     """
 
@@ -145,20 +105,45 @@ def paragraph_diffs(matched: DataFrame) -> DataFrame:
                     a, b = (olds[i] if i is not None else None), (news[j] if j is not None else None)
                     ta, tb = ((p["text"] or "") if p else None for p in (a, b))
                     if a and b:
-                        d = diff_texts(ta, tb)
+                        d = diff_texts(ta, tb, int(r.year_delta), lexicon)
                     else:
                         lone = "dropped" if a else "new"
                         d = {"change": lone, "literal": None, "changed_words": len((ta if a else tb).split()), "edits": [], "flags": []}
                     edits = [{"tag": t, "old": o, "new": n} for t, o, n in d["edits"]]
                     p = b or a
                     out.append((r.pair, r.old_id, r.new_id, idx, i, j, p["kind"], p["topic"], ta, tb, d["change"], d["literal"], d["changed_words"], edits, d["flags"]))
-            cols = ["pair", "old_id", "new_id", "idx", "old_idx", "new_idx", "kind", "topic", "old_text", "new_text", "change", "literal", "changed_words", "edits", "flags"]
-            frame = pd.DataFrame(out, columns=cols)
+            frame = pd.DataFrame(out, columns=_COLUMNS)
             frame[["old_idx", "new_idx"]] = frame[["old_idx", "new_idx"]].astype("Int32")
             yield frame
 
-    slim = matched.select("pair", "old_id", "new_id", "old_paragraphs", "new_paragraphs")
-    return slim.mapInPandas(run, DIFFS)
+    slim = matched.select("pair", "old_id", "new_id", "old_paragraphs", "new_paragraphs", "year_delta")
+    lone = F.col("change").isin("new", "dropped")
+    return slim.mapInPandas(run, DIFFS).withColumn("tags", F.when(lone, describe(F.coalesce("new_text", "old_text"))).otherwise(F.array().cast("array<string>")))
+
+
+def text_diffs(pairs: DataFrame, lexicon: policy.Lexicon = policy.LEXICON) -> DataFrame:
+    """pairs (old_text, new_text, year_delta and other columns) with the change, the changed words and the flags of each."""
+    kind = f"struct<change:string,changed_words:int,flags:array<{FLAG}>>"
+
+    @F.pandas_udf(kind)
+    def run(old: pd.Series, new: pd.Series, gap: pd.Series) -> pd.DataFrame:
+        rows = [diff_texts(a, b, int(g), lexicon) for a, b, g in zip(old, new, gap)]
+        return pd.DataFrame({c: [r[c] for r in rows] for c in ("change", "changed_words", "flags")})
+
+    said = run(F.coalesce("old_text", F.lit("")), F.coalesce("new_text", F.lit("")), "year_delta")
+    return pairs.withColumn("__d", said).select(*pairs.columns, "__d.*")
+
+
+def policy_flags(diffs: DataFrame, least_tier: int = policy.NOTE) -> DataFrame:
+    """A row per flag of at least that tier: where, category and its name on a page, tier, reason, and the words before and after."""
+    f = diffs.select("pair", "old_id", "new_id", "idx", F.explode("flags").alias("f")).where(F.col("f.tier") >= least_tier)
+    label = F.element_at(F.create_map(*[F.lit(x) for kv in policy.LABELS.items() for x in kv]), F.col("f.category"))
+    return f.select("pair", "old_id", "new_id", "idx", "f.at", "f.category", F.coalesce(label, F.col("f.category")).alias("label"), "f.tier", "f.reason", "f.before", "f.after")
+
+
+def max_tier(flags: Column) -> Column:
+    """The highest tier among flags, 0 without any."""
+    return F.coalesce(F.array_max(F.transform(flags, lambda f: f["tier"])), F.lit(0))
 
 
 def class_rank(change: Column) -> Column:

@@ -1,7 +1,7 @@
-"""Fixed-width report text -> headings in a tree -> paragraphs.
+"""Fixed-width report text -> lines of a kind -> tables and headings -> a tree of sections -> paragraphs.
 
-Line work that needs no memory is SQL (functions.text); what depends on the lines before it is one pass
-over a document's lines in an Arrow batch, so a document is never split and nothing is shuffled.
+`kind_of` is the only classifier of lines: the segmenter and the line table use it. What depends on the lines before
+it is one pass over a document's lines in an Arrow batch, so a document is never split and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -9,354 +9,695 @@ from __future__ import annotations
 import difflib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editrail.functions.text import LEAD_IN, PROVISION, WRAP_HYPHEN, line_kind
+from editrail.functions.text import LEAD_IN, PROVISION, WRAP_HYPHEN
 from editrail.runtime import spread
 
-_PRE = re.compile(r"<pre>(.*)</pre>", re.S | re.I)
-_CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
-_LEADER = re.compile(r"\.{4,}")
-_RULE = re.compile(r"^[-=_]{5,}$")
-_GAPS = re.compile(r"\S {2,}(?=\S)")
-_AMOUNT_END = re.compile(r"\d,\d{3}$")
-_ACRONYM = re.compile(r"\s*\([A-Z]{2,}\)\s*$")
-_YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
-_LEAD_IN = re.compile(LEAD_IN)
-_PROVISION = re.compile(PROVISION)
-_WRAP = re.compile(WRAP_HYPHEN)
-_TITLE = re.compile(r"^TITLE\s+[IVXL]+\b")
-# Words that open the heading of an agency or of a bureau.
-_AGENCY = re.compile(r"^(?:DEPARTMENT|MINISTRY|AGENCY|COMMISSION|DIRECTORATE|INSTITUTE)\b")
-_BUREAU = re.compile(r"^(?:OFFICE|BUREAU|SERVICE|ADMINISTRATION|DIVISION)\b")
-_BACK_MATTER = re.compile(r"^(?:COMPLIANCE WITH|COMPARATIVE STATEMENT|DISSENTING VIEWS|MINORITY VIEWS|ADDITIONAL VIEWS)")
+WIDTH = 70
+# The looks of lines.
+RULE = r"^\s*[-=_]{8,}\s*$"
+MARKER = r"(?i)GRAPHIC\(S\)? NOT AVAILABLE|\[In thousands"
+LEADER = r"\.{4,}\s*[\d,.()$+\-* ]*$"
+NUMERIC_ROW = r"[\d,.()+\-]+\s{2,}[+\-(]?[\d,.()][\d,.()+\-]*[\s*]*$"
+TOTAL = r"(?i)^\s*(TOTAL|SUBTOTAL)\b"
+SEVERAL_NUMBERS = r"\d[\d,]*\s+\d[\d,]*"
+TITLE_LINE = r"^TITLE\s+[IVXLC]+\b"
+YEAR_WORDS = r"(?i)\b(FY|Fiscal Year|\d+)\b|[^A-Za-z]"
+BRACKETED = r"\([A-Z0-9&./-]{2,}\)"
+COLUMN_GAP = r"\S\s{3,}(?=\S)"
+AMOUNT_AT_END = r"\d{1,3}(?:,\d{3})+\s*$"
+ROW_NUMBER = r"^\s*\d{1,4}\s*$"
+PARAGRAPH_START = r"^\s{2,8}\S"
+SMALL_WORD = r"\b[a-z]{2,}\b"
+# Contents, and what ends the body.
+CONTENTS = r"^\s*(C\s?O\s?N\s?T\s?E\s?N\s?T\s?S|CONTENTS|INDEX TO BILL AND REPORT)\s*$"
+INDEX_LINE = r"\.{5,}\s*\d+\s*$"
+BACK_MATTER = (
+    r"(?i)^\s+(HOUSE OF REPRESENTATIVES REPORT REQUIREMENTS|CHANGES IN (THE )?(APPLICATION OF )?EXISTING LAW|COMPLIANCE WITH PARAGRAPH|COMPLIANCE WITH RULE|"
+    r"BUDGETARY IMPACT OF BILL)"
+)
+ENTRY = r"^(?P<text>.*?)\.{4,}\s*[\d ]*$"
+PARENT_WITH_PAGE = r"^(?P<text>.*:)\s+\d+$"
+CONTENTS_HEAD = r"(?i)^\s*(Page( Number)?|Bill Report|-+)\s*$"
+CONTENTS_TITLE = r"(?i)^(TITLE\s+[IVXLC]+\b|[IVXLC]+\.\s)"
+# What headings are.
+ACRONYM_AT_END = r"\s*\([A-Z][A-Za-z0-9&-]{1,5}\)\s*$"
+YEAR = r"\b(19|20)\d{2}\b"
+TITLE = r"(?i)^TITLE\s+[IVXLC]+\b"
+GENERAL = r"GENERAL PROVISION"
+ANNOTATION = r"(?i)^\(|^INCLUDING\s|^LEGISLATIVE PROPOSAL"
+DEPARTMENT = r"(?i)^DEPARTMENT OF\b"
+CONNECTIVE = r"(?i)\b(and|or|of|for|the|to|in|on)$"
+# How far the rules look.
+CONTENTS_WITHIN, CONTENTS_GAP, ENTRY_GAP, LEAST_ENTRIES = 400, 15, 12, 5
+WIDE_ROW, CELL_LINES, LABEL_LINES, LABEL_GAP = 76, 3, 10, 2
+SPLIT_GAP, STACK_GAP, PARENT_GAP, FULL_HALF, EXTRA_WORDS = 3, 3, 4, 50, 2
+# Topics that recur under many accounts.
+TOPICAL = (
+    "INTRODUCTION", "COMMITTEE RECOMMENDATION", "COMMITTEE RECOMMENDATIONS", "COMMITTEE DIRECTIVES", "COMMITTEE PROVISIONS", "ITEMS OF INTEREST", "NEW STARTS",
+    "ADDITIONAL FUNDING", "OVERVIEW OF RECOMMENDATION", "REPROGRAMMING", "CONGRESSIONALLY DIRECTED SPENDING", "MISSION", "BUDGET HIGHLIGHTS", "PROGRAM DESCRIPTION",
+    "ADMINISTRATIVE PROVISION", "ADMINISTRATIVE PROVISIONS", "LIMITATION ON OBLIGATIONS", "LIQUIDATION OF CONTRACT AUTHORIZATION", "NET APPROPRIATION",
+    "GROSS APPROPRIATION", "FUNDING INCREASES", "FUNDING HIGHLIGHTS", "EXPLANATION OF PROJECT LEVEL ADJUSTMENTS", "TRANSFER OF FUNDS",
+    "COMMITTEE RECOMMENDED PROGRAM", "COMMITTEE RECOMMENDED ADJUSTMENTS",
+)
+# States, which label blocks inside one table.
+STATES = (
+    "ALABAMA", "ALASKA", "ARIZONA", "ARKANSAS", "CALIFORNIA", "COLORADO", "CONNECTICUT", "DELAWARE", "FLORIDA", "GEORGIA", "HAWAII", "IDAHO", "ILLINOIS", "INDIANA",
+    "IOWA", "KANSAS", "KENTUCKY", "LOUISIANA", "MAINE", "MARYLAND", "MASSACHUSETTS", "MICHIGAN", "MINNESOTA", "MISSISSIPPI", "MISSOURI", "MONTANA", "NEBRASKA",
+    "NEVADA", "NEW HAMPSHIRE", "NEW JERSEY", "NEW MEXICO", "NEW YORK", "NORTH CAROLINA", "NORTH DAKOTA", "OHIO", "OKLAHOMA", "OREGON", "PENNSYLVANIA",
+    "RHODE ISLAND", "SOUTH CAROLINA", "SOUTH DAKOTA", "TENNESSEE", "TEXAS", "UTAH", "VERMONT", "VIRGINIA", "WASHINGTON", "WEST VIRGINIA", "WISCONSIN", "WYOMING",
+    "DISTRICT OF COLUMBIA", "PUERTO RICO", "GUAM", "VIRGIN ISLANDS", "AMERICAN SAMOA", "NORTHERN MARIANA ISLANDS", "COMMONWEALTH OF THE NORTHERN MARIANA ISLANDS",
+)
+# Agencies and bureaus that name lists lack, everywhere and in reports on the legislative branch.
+MORE_AGENCIES = ("UNITED STATES POSTAL SERVICE", "U S POSTAL SERVICE", "BROADCASTING BOARD OF GOVERNORS", "FUNDS APPROPRIATED TO THE PRESIDENT", "TRADE AND DEVELOPMENT AGENCY")
+LEGISLATIVE_AGENCIES = (
+    "SENATE", "HOUSE OF REPRESENTATIVES", "JOINT ITEMS", "UNITED STATES CAPITOL POLICE", "CAPITOL POLICE", "OFFICE OF COMPLIANCE",
+    "OFFICE OF CONGRESSIONAL WORKPLACE RIGHTS", "CONGRESSIONAL BUDGET OFFICE", "ARCHITECT OF THE CAPITOL", "LIBRARY OF CONGRESS", "GOVERNMENT PRINTING OFFICE",
+    "GOVERNMENT PUBLISHING OFFICE", "GOVERNMENT ACCOUNTABILITY OFFICE", "OPEN WORLD LEADERSHIP CENTER", "OPEN WORLD LEADERSHIP CENTER TRUST FUND",
+    "CONGRESSIONAL OFFICE FOR INTERNATIONAL LEADERSHIP", "CONGRESSIONAL OFFICE FOR INTERNATIONAL LEADERSHIP FUND",
+    "JOHN C STENNIS CENTER FOR PUBLIC SERVICE TRAINING AND DEVELOPMENT",
+)
+LEGISLATIVE_BUREAUS = (
+    "COPYRIGHT OFFICE", "CONGRESSIONAL RESEARCH SERVICE", "NATIONAL LIBRARY SERVICE FOR THE BLIND AND PRINT DISABLED",
+    "NATIONAL LIBRARY SERVICE FOR THE BLIND AND PHYSICALLY HANDICAPPED", "BOOKS FOR THE BLIND AND PHYSICALLY HANDICAPPED",
+    "PUBLIC INFORMATION PROGRAMS OF THE SUPERINTENDENT OF DOCUMENTS",
+)
+
+_PRE, _CONTROL = re.compile(r"<pre>(.*)</pre>", re.S | re.I), re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
+_is = lru_cache(maxsize=None)(re.compile)
+
+
+@dataclass(frozen=True)
+class Names:
+    """Normal names that headings are known by; of a size that fits a task."""
+
+    agencies: frozenset[str] = frozenset()
+    bureaus: frozenset[str] = frozenset()
+    topical: frozenset[str] = frozenset(TOPICAL)
+    #: Agencies whose names also begin names of accounts.
+    no_prefix: frozenset[str] = frozenset(LEGISLATIVE_AGENCIES)
+
+    def of(self, subcommittee: str | None) -> Names:
+        """The names for a report of a subcommittee: those of the legislative branch print names that mean something else elsewhere."""
+        if "LEGISLATIVE" not in (subcommittee or "").upper():
+            return self
+        return replace(self, agencies=self.agencies | set(LEGISLATIVE_AGENCIES), bureaus=self.bureaus | set(LEGISLATIVE_BUREAUS))
+
+
+@dataclass
+class Heading:
+    text: str
+    start: int
+    end: int
+    kind: str = "structural"
+    level: int = -1
+
+    @property
+    def name(self) -> str:
+        return normal(self.text)
+
+    @property
+    def key(self) -> str:
+        return squeezed(self.text)
+
+    @property
+    def fixed(self) -> bool:
+        return self.kind == "gp"
+
+
+# ---- text and lines
 
 
 def report_text(raw: str) -> str:
     """The <pre> block if there is one, entities resolved, control characters dropped."""
     found = _PRE.search(raw)
-    return _CONTROL.sub("", html.unescape(found.group(1) if found else raw).replace("\r\n", "\n"))
+    return _CONTROL.sub("", html.unescape(found.group(1) if found else raw))
+
+
+def indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
+def capitals(text: str) -> float:
+    """The share of capitals among the letters, 0 without any."""
+    letters = [c for c in text if c.isalpha()]
+    return sum(c.isupper() for c in letters) / len(letters) if letters else 0.0
+
+
+def is_centred(line: str) -> bool:
+    return abs(indent(line) - (WIDTH - len(line.strip())) / 2) <= 4
 
 
 def is_heading(line: str) -> bool:
     t = line.strip()
-    letters = [c for c in t if c.isalpha()]
-    if not letters or len(t) > 70 or t[-1] in ".,;" or t.endswith("--") or _LEADER.search(t) or len(re.findall(r"\d[\d,]*", t)) > 1:
+    if not t or len(t) > WIDTH or not re.search("[A-Za-z]", t) or (t.endswith((".", ",", ";", "--")) and not t.endswith("etc.")):
         return False
-    if _TITLE.match(t):
+    if any(_is(p).search(line) for p in (LEADER, RULE)) or ".--" in t or "...." in t or len(_is(YEAR_WORDS).sub("", t)) < 3:
+        return False
+    if _is(TOTAL).match(t) or _is(SEVERAL_NUMBERS).search(t):
+        return False
+    share = capitals(t)
+    # titles wrap at full width, so they are headings at any indent; a short line at the margin is none
+    if _is(TITLE_LINE).match(t) and share >= 0.9:
         return True
-    indent = len(line) - len(line.lstrip(" "))
-    if indent < 6 and len(t) <= 58 and sum(c.isupper() for c in letters) < len(letters):
+    if indent(line) < 6 and len(t) <= 58:
         return False
-    capitals = sum(c.isupper() for c in letters) / len(letters)
-    centred = abs(indent - (70 - len(t)) / 2) <= 4
-    return capitals >= 0.9 or (centred and t[0].isupper() and len(t.split()) <= 10 and all(w.lstrip("(")[:1].isupper() for w in t.split() if len(w) > 3))
+    words = t.split()
+    named = all(w[0].isupper() or len(w) <= 3 or _is(BRACKETED).fullmatch(w) for w in words)
+    return share >= 0.9 or (is_centred(line) and t[0].isupper() and len(words) <= 10 and named)
 
 
 def kind_of(line: str) -> str:
-    t = line.strip()
-    if not t:
+    """blank, table_rule, table_marker, leader, heading or body: the first that applies."""
+    if not line.strip():
         return "blank"
-    if _RULE.match(t):
-        return "rule"
-    if _LEADER.search(t):
-        return "leader"
+    for kind, pattern in (("table_rule", RULE), ("table_marker", MARKER), ("leader", LEADER)):
+        if _is(pattern).search(line):
+            return kind
     return "heading" if is_heading(line) else "body"
 
 
-def is_table_row(line: str) -> bool:
-    gaps = len(_GAPS.findall(line.strip()))
-    return gaps >= 2 and (len(line.rstrip()) >= 76 or bool(_AMOUNT_END.search(line.rstrip())))
+def row_shape(line: str) -> str:
+    """numeric, wide or columnar for a line that looks like a row of a table, else an empty string."""
+    if len(line.rstrip()) > 40 and _is(NUMERIC_ROW).search(line):
+        return "numeric"
+    gaps = len(_is(COLUMN_GAP).findall(line))
+    if gaps < 2:
+        return ""
+    return "wide" if len(line.rstrip()) >= WIDE_ROW else "columnar" if _is(AMOUNT_AT_END).search(line) else ""
 
 
-def table_spans(lines: list[str], kinds: list[str]) -> list[tuple[int, int]]:
-    """(from, to) of the runs of lines that are tables: begun by a rule or two rows, ended by a heading or prose after a blank."""
-    out: list[tuple[int, int]] = []
-    i = 0
-    while i < len(lines):
-        rows = kinds[i] == "rule" or (is_table_row(lines[i]) and i + 1 < len(lines) and (is_table_row(lines[i + 1]) or kinds[i + 1] == "blank" and i + 2 < len(lines) and is_table_row(lines[i + 2])))
-        if rows:
-            j, last = i + 1, i
-            while j < len(lines):
-                if kinds[j] in ("rule", "leader") or is_table_row(lines[j]):
-                    last = j
-                elif kinds[j] == "heading" or (kinds[j] == "body" and kinds[j - 1] == "blank" and 2 <= len(lines[j]) - len(lines[j].lstrip(" ")) <= 8) or j - last > 3:
-                    break
+def is_columnar(line: str) -> bool:
+    return len(_is(COLUMN_GAP).findall(line)) >= 2 and bool(_is(AMOUNT_AT_END).search(line))
+
+
+def opens_prose(line: str) -> bool:
+    """Whether a line begins a paragraph of prose: mostly letters, or at least two small words."""
+    if not _is(PARAGRAPH_START).match(line) or row_shape(line) == "numeric":
+        return False
+    t = line.strip()
+    return sum(c.isalpha() or c.isspace() for c in t) / len(t) > 0.7 or len(_is(SMALL_WORD).findall(line)) >= 2
+
+
+def is_prose(line: str) -> bool:
+    return "...." not in line and (";" in line or len(_is(SMALL_WORD).findall(line)) >= 3)
+
+
+# ---- tables
+
+
+class Lines:
+    """The lines of a body with their kinds."""
+
+    def __init__(self, lines: list[str], kinds: list[str] | None = None):
+        self.lines, self.kinds = lines, kinds or [kind_of(x) for x in lines]
+        self.n = len(lines)
+
+    def tableish(self, i: int) -> bool:
+        kind = self.kinds[i]
+        return kind in ("table_rule", "table_marker", "leader") or (kind in ("body", "heading") and bool(row_shape(self.lines[i])))
+
+    def wide(self, i: int) -> bool:
+        return len(self.lines[i].rstrip()) >= WIDE_ROW and self.tableish(i)
+
+    def skip(self, i: int, *kinds: str, most: int | None = None) -> int:
+        """The first line from i on that is of none of the kinds, at most `most` lines on."""
+        stop = self.n if most is None else min(self.n, i + most)
+        while i < stop and self.kinds[i] in kinds:
+            i += 1
+        return i
+
+    def wrapped_cell(self, i: int) -> int:
+        """The first line from i on that is blank or a table's, at most CELL_LINES on."""
+        stop = min(self.n, i + CELL_LINES)
+        while i < stop and self.kinds[i] != "blank" and not self.tableish(i):
+            i += 1
+        return i
+
+    def opens_table(self, i: int) -> bool:
+        if self.kinds[i] in ("table_rule", "table_marker"):
+            return True
+        if not self.tableish(i):
+            return False
+        j = self.skip(i + 1, "blank")
+        if j < self.n and self.tableish(j):
+            return True
+        k = self.wrapped_cell(j)
+        return k < self.n and is_columnar(self.lines[i]) and is_columnar(self.lines[k])
+
+    def goes_on(self, i: int) -> int | None:
+        """A heading line inside a table: the table's next row, if the line is a label or a wrapped cell and no heading, else None."""
+        if self.lines[i].strip().upper() in STATES:
+            j = self.skip(i + 1, "blank", most=LABEL_GAP + 1)
+            if j < self.n and self.tableish(j):
+                return j
+        above = [p for p in range(max(0, i - LABEL_LINES), i) if self.kinds[p] != "blank"][-3:]
+        if any(self.wide(p) for p in above):
+            j = i
+            while j < self.n and j - i < LABEL_LINES and (self.kinds[j] in ("heading", "blank") or _is(ROW_NUMBER).match(self.lines[j])):
                 j += 1
-            out.append((i, last + 1))
-            i = last + 1
-        elif kinds[i] == "leader":
-            if out and out[-1][1] == i:
-                out[-1] = (out[-1][0], i + 1)
-            else:
-                out.append((i, i + 1))
+            if j < self.n and self.wide(j):
+                return j
+        # cells stand between rows, headings are set off by blank lines
+        k = self.skip(i, "heading")
+        m = k
+        while m < self.n and m - k < CELL_LINES and self.kinds[m] == "body" and not self.tableish(m):
+            m += 1
+        return m if self.lines[i - 1].strip() and m < self.n and self.tableish(m) else None
+
+    def table_end(self, i: int) -> int:
+        """The line after a table that opens at i: a heading, or prose after a blank line."""
+        i, after_blank = i + 1, False
+        while i < self.n:
+            kind = self.kinds[i]
+            if kind == "heading":
+                on = self.goes_on(i)
+                if on is None:
+                    return i
+                i, after_blank = on, False
+                continue
+            if kind == "body" and after_blank and opens_prose(self.lines[i]):
+                return i
+            after_blank = kind == "blank" or (after_blank and kind == "blank")
             i += 1
+        return i
+
+
+def table_spans(body: Lines) -> list[tuple[int, int]]:
+    """(from, to) of the runs of lines that are tables; those that touch as one. A lone leader is a table of one line."""
+    spans: list[tuple[int, int]] = []
+    i = 0
+    while i < body.n:
+        if body.opens_table(i):
+            end = body.table_end(i)
+        elif body.kinds[i] == "leader":
+            end = i + 1
         else:
             i += 1
-    return out
+            continue
+        if spans and i <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], end)
+        else:
+            spans.append((i, end))
+        i = end
+    return spans
+
+
+# ---- contents and bounds
+
+
+def contents_line(lines: list[str]) -> int | None:
+    return next((i for i, x in enumerate(lines[:CONTENTS_WITHIN]) if _is(CONTENTS).match(x)), None)
 
 
 def body_bounds(lines: list[str]) -> tuple[int, int]:
-    """First line after a table of contents among the first 400 lines, and the first line of back matter."""
-    start, end = 0, len(lines)
-    contents = next((i for i, x in enumerate(lines[:400]) if x.strip().upper() in ("CONTENTS", "C O N T E N T S")), None)
-    if contents is not None:
-        last = contents
-        for i in range(contents, min(len(lines), contents + 400)):
-            if _LEADER.search(lines[i]):
+    """The line after the contents, which may begin among the first lines and go on as long as their entries do, and the first line of back matter."""
+    start, at = 0, contents_line(lines)
+    if at is not None:
+        last, i = at, at + 1
+        while i < len(lines) and i - last < CONTENTS_GAP:
+            if _is(INDEX_LINE).search(lines[i]):
                 last = i
-            elif i - last > 15:
-                break
+            i += 1
         start = last + 1
-    for i in range(start, len(lines)):
-        if _BACK_MATTER.match(lines[i].strip().upper()) and not _LEADER.search(lines[i]):
-            end = i
+    return start, next((i for i in range(start, len(lines)) if _is(BACK_MATTER).match(lines[i]) and "...." not in lines[i]), len(lines))
+
+
+def parse_contents(lines: list[str]) -> list[tuple[int, str]]:
+    """(depth, text) of the entries of the contents, none if there are hardly any.
+
+    A line that ends in a colon is a parent, and several on one line are each other's, a step deeper each. An entry without a
+    leader is the first half of one that is wrapped, if a deeper line follows. The contents end where entries do.
+    """
+    at = next((i for i, x in enumerate(lines[:CONTENTS_WITHIN]) if _is(CONTENTS).match(x) and " " not in x.strip().replace("INDEX TO BILL AND REPORT", "")), None)
+    if at is None:
+        return []
+    out: list[tuple[int, str]] = []
+    half: tuple[int, str] | None = None
+    last = at + 1
+    for i in range(at + 1, len(lines)):
+        if i - last >= ENTRY_GAP:
             break
-    return start, end
+        raw = lines[i].rstrip()
+        if not raw or _is(CONTENTS_HEAD).match(raw) or re.fullmatch(r"[\s\d]+", raw):
+            continue
+        depth, t = indent(raw), raw.strip()
+        if half is not None and depth > half[0]:
+            depth, t = half[0], f"{half[1]} {t}"
+        half = None
+        if paged := _is(PARENT_WITH_PAGE).match(t):
+            t = paged["text"]
+        entry = _is(ENTRY).match(t)
+        if t.endswith(":"):
+            out += [(depth + 4 * k, part) for k, part in enumerate(filter(None, (p.strip() for p in t.split(":"))))]
+        elif entry and entry["text"].strip():
+            out.append((depth, entry["text"].strip()))
+        elif _is(CONTENTS_TITLE).match(t):
+            out.append((depth, t))
+        else:
+            half = (depth, t)
+            continue
+        last = i + 1
+    return out if len(out) >= LEAST_ENTRIES else []
 
 
-def normal(heading: str) -> str:
-    t = _YEAR.sub("FY", _ACRONYM.sub("", heading).upper())
-    return re.sub(r" +", " ", re.sub(r"[^A-Z0-9 ]+", " ", t)).strip()
+# ---- names, kinds and levels of headings
 
 
-def level_of(text: str, agencies: frozenset = frozenset(), bureaus: frozenset = frozenset()) -> int:
-    """0 title, 1 agency, 2 bureau, 3 account: by the given names first, then by how the heading opens."""
-    if _TITLE.match(text):
-        return 0
-    if text in agencies:
-        return 1
-    if text in bureaus or any(text.startswith(a + " ") for a in agencies):
-        return 2
-    return 1 if _AGENCY.match(text) else 2 if _BUREAU.match(text) else 3
+@lru_cache(maxsize=50_000)
+def normal(heading: str) -> str:
+    """The name that headings are compared by: no acronym at the end, capitals, years as FY, letters and digits only."""
+    t = _is(YEAR).sub("FY", _is(ACRONYM_AT_END).sub("", heading).upper())
+    return re.sub(r"\s+", " ", re.sub(r"[^A-Z0-9 ]+", " ", t)).strip()
 
 
 def squeezed(text: str) -> str:
     return normal(text).replace(" ", "")
 
 
-def contents_levels(entries: list[tuple[int, str]], agencies: frozenset = frozenset(), bureaus: frozenset = frozenset()) -> list[tuple[str, int]]:
-    """(normal heading, level) of a table of contents: a parent is the last entry less indented, siblings share the highest tier among them."""
-    open_entries: list[tuple[int, int]] = []  # (depth, index)
+def unqualified(text: str) -> str:
+    return re.sub(r"\([^)]*\)", " ", text)
+
+
+def heading_kind(text: str, names: Names = Names()) -> str:
+    """title, gp, annotation, agency, bureau, topical or structural: the first that applies."""
+    name = normal(text)
+    if _is(TITLE).match(text):
+        return "title"
+    if re.search(GENERAL, text.upper()):
+        return "gp"
+    if _is(ANNOTATION).match(text):
+        return "annotation"
+    if name in names.agencies or name in MORE_AGENCIES:
+        return "agency"
+    if name in names.bureaus or any(name.startswith(a + " ") for a in names.agencies - names.no_prefix):
+        return "bureau"
+    if _is(DEPARTMENT).match(text):
+        return "agency"
+    return "topical" if text.upper() in names.topical or capitals(text) < 0.9 else "structural"
+
+
+def contents_levels(entries: list[tuple[int, str]], names: Names = Names()) -> list[int]:
+    """Levels of the entries of the contents: a parent is the last entry less indented, siblings share the highest tier among them."""
+    open_entries: list[int] = []
     parent: list[int] = []
     for k, (depth, _) in enumerate(entries):
-        while open_entries and open_entries[-1][0] >= depth:
+        while open_entries and entries[open_entries[-1]][0] >= depth:
             open_entries.pop()
-        parent.append(open_entries[-1][1] if open_entries else -1)
-        open_entries.append((depth, k))
-    own = [level_of(normal(t), agencies, bureaus) for _, t in entries]
+        parent.append(open_entries[-1] if open_entries else -1)
+        open_entries.append(k)
+    tier = [{"agency": 1, "bureau": 2}.get(heading_kind(t, names), 3) for _, t in entries]
     best: dict[tuple[int, int], int] = {}
     for k, (depth, _) in enumerate(entries):
-        if own[k] > 0:
-            best[parent[k], depth] = min(best.get((parent[k], depth), 3), own[k])
+        best[parent[k], depth] = min(best.get((parent[k], depth), 3), tier[k])
     levels: list[int] = []
-    for k, (depth, _) in enumerate(entries):
-        above = levels[parent[k]] if parent[k] >= 0 else -1
-        levels.append(0 if own[k] == 0 else min(3, max(1, above + 1, best[parent[k], depth])))
-    return [(normal(t), level) for (_, t), level in zip(entries, levels)]
-
+    for k, (depth, t) in enumerate(entries):
+        above = levels[parent[k]] if parent[k] >= 0 else 0
+        levels.append(0 if _is(CONTENTS_TITLE).match(t) else max(1, min(3, max(above + 1, best[parent[k], depth]))))
+    return levels
 
-def snapped(contents: list[str], names: list[str], most_extra: int = 2) -> list[str]:
-    """Contents entries by the heading they mean: one that begins with them or that they begin with, at most two words apart.
 
-    Only where entry and heading are each other's only such partner and the heading is printed once.
-    """
-    once = {n for n in names if names.count(n) == 1}
-    begins = lambda a, b: b.startswith(a + " ") and len(b.split()) - len(a.split()) <= most_extra
-    near = {c: [n for n in once if begins(c, n) or begins(n, c)] for c in contents if c not in names}
-    back: dict[str, int] = {}
-    for ns in near.values():
-        for n in ns:
-            back[n] = back.get(n, 0) + 1
-    return [near[c][0] if len(near.get(c, ())) == 1 and back[near[c][0]] == 1 else c for c in contents]
+def snapped(texts: list[str], printed: list[str]) -> list[str]:
+    """Names of contents entries, each that isn't printed as the one heading, printed once, that it begins or that begins it, two words apart at most."""
+    times = Counter(printed)
+    out = []
+    for name in (normal(unqualified(t)) for t in texts):
+        if name not in times:
+            begins = lambda h, n=name: (h.startswith(n + " ") or n.startswith(h + " ")) and abs(len(h.split()) - len(n.split())) <= EXTRA_WORDS
+            near = [h for h, n in times.items() if n == 1 and begins(h)]
+            name = near[0] if len(near) == 1 else name
+        out.append(name)
+    return out
 
 
-def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Index pairs of two sequences, in order on both sides."""
     blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
     return [(i + k, j + k) for i, j, n in blocks for k in range(n)]
 
 
-def rejoin_headings(headings: list[dict], known: set[str]) -> list[dict]:
-    """Headings cut over blank lines put together again: where the joined form is known, or the first half fills its line."""
-    out: list[dict] = []
+def demote(body: Lines, start: int) -> None:
+    """Heading lines that are prose after all become body: wrapped sentences of capitalised words, first halves of contents entries."""
+    lines, kinds = body.lines, body.kinds
+    for i in range(start, body.n):
+        if kinds[i] != "heading":
+            continue
+        after = i + 1 < body.n
+        if indent(lines[i]) < 6 and i > 0 and lines[i - 1].strip() and kinds[i - 1] != "heading":
+            between = after and kinds[i + 1] == "body" and any(map(is_prose, lines[i - 1 : i + 2]))
+            if between or len(_is(SMALL_WORD).findall(lines[i])) >= 2:
+                kinds[i] = "body"
+        if kinds[i] == "heading" and after and kinds[i + 1] == "leader" and indent(lines[i + 1]) > indent(lines[i]):
+            kinds[i] = "body"
+
+
+def collect(body: Lines, in_table: list[bool], start: int) -> list[Heading]:
+    """Heading lines in a row as one heading each."""
+    out: list[Heading] = []
+    for i in range(start, body.n):
+        if body.kinds[i] == "heading" and not in_table[i]:
+            t = re.sub(r"\s+", " ", body.lines[i]).strip()
+            if out and out[-1].end == i:
+                out[-1].text, out[-1].end = f"{out[-1].text} {t}", i + 1
+            else:
+                out.append(Heading(t, i, i + 1))
+    return out
+
+
+def wrapped_pair(first: str, tail: str, names: Names) -> bool:
+    """Two halves of one heading: the first fills its line, the second is a word, or follows a word that can't end a heading."""
+    if len(first) < FULL_HALF or "...." in first or tail.startswith("(") or tail.upper() in names.topical or first.isupper() != tail.isupper():
+        return False
+    return len(tail.split()) == 1 or bool(_is(CONNECTIVE).search(first.strip()))
+
+
+def rejoin(headings: list[Heading], known: set[str], names: Names = Names()) -> list[Heading]:
+    """Headings cut over blank lines put together again, where the joined form is known or they look like halves. Headings that hold others stay."""
+    out: list[Heading] = []
     for h in headings:
         last = out[-1] if out else None
-        if last and h["start"] - last["end"] <= 3 and not _TITLE.match(normal(last["text"])):
-            joined = f"{last['text']} {h['text']}"
-            if squeezed(joined) in known or (len(last["text"]) >= 50 and squeezed(last["text"]) not in known and squeezed(h["text"]) not in known):
-                out[-1] = {"text": joined, "start": last["start"], "end": h["end"]}
+        if last and 0 < h.start - last.end <= SPLIT_GAP and heading_kind(last.text, names) not in ("title", "gp", "annotation", "agency", "bureau"):
+            joined = f"{last.text} {h.text}"
+            if (squeezed(joined) in known and last.key not in known) or wrapped_pair(last.text, h.text, names):
+                out[-1] = Heading(joined, last.start, h.end)
                 continue
-        out.append(dict(h))
+        out.append(h)
     return out
 
 
-def assign_levels(headings: list[dict], gap: list[bool], contents=(), tiers=(), agencies: frozenset = frozenset(), bureaus: frozenset = frozenset()) -> list[int]:
-    """Level of each heading: by name, then corrected by the table of contents, the printed tiers and what the headings are stacked on.
+def typographic_levels(headings: list[Heading], money_after: set[int], names: Names = Names()) -> None:
+    """Kinds and levels by names and looks: 0 title, 1 agency, 2 what holds others, 3 account, 4 topic or annotation.
 
-    gap: whether text stands between a heading and the next. tiers: (bold | caps | sc, text) in order.
-    Later corrections win; a heading of a named agency is never lowered by the contents.
+    What is stacked right on top of a structural heading of another name holds it. A topic that isn't a known one and that opens a
+    table, or is printed once, is an account.
     """
-    names = [normal(h["text"]) for h in headings]
-    keys = [squeezed(h["text"]) for h in headings]
-    levels = [level_of(n, agencies, bureaus) for n in names]
-    # a heading right on top of another one holds it
-    for k in range(len(levels) - 1):
-        if levels[k] == 3 and levels[k + 1] == 3 and not gap[k] and headings[k + 1]["start"] - headings[k]["end"] <= 3:
-            levels[k] = 2
-    for k, e in _aligned(keys, [squeezed(t) for t in snapped([t for t, _ in contents], names)]):
-        if not (names[k] in agencies and contents[e][1] > levels[k]) and not names[k].startswith("GENERAL PROVISION"):
-            levels[k] = contents[e][1]
-    for k, e in _aligned(keys, [squeezed(t) for _, t in tiers]):
-        if levels[k] >= 3 and tiers[e][0] in ("bold", "caps"):
-            levels[k] = 1 if tiers[e][0] == "bold" else 2
-    first_title = next((k for k, level in enumerate(levels) if level == 0), 0)
-    levels[:first_title] = [3 if level in (1, 2) else level for level in levels[:first_title]]
-    # the same child under several parents: parents without text of their own take the level of the first
+    times = Counter(h.name for h in headings)
+    for h in headings:
+        h.kind = heading_kind(h.text, names)
+    for k, h in enumerate(headings):
+        below = headings[k + 1] if k + 1 < len(headings) else None
+        stacked = below is not None and below.start - h.end < STACK_GAP and below.kind == "structural" and below.name != h.name
+        if h.kind in ("title", "agency", "bureau", "gp"):
+            h.level = {"title": 0, "agency": 1, "bureau": 2, "gp": 3}[h.kind]
+        elif h.kind == "structural":
+            h.level = 2 if stacked else 3
+        elif h.kind == "topical" and h.text.upper() not in names.topical and (k in money_after or times[h.name] == 1):
+            h.level = 2 if stacked and times[below.name] > 1 else 3
+        else:
+            h.level = 4
+
+
+def levels_from_contents(headings: list[Heading], entries: list[tuple[int, str]], names: Names = Names()) -> None:
+    """Levels that the report's contents declare. General provisions keep theirs, and the contents never lower an agency."""
+    printed = [h.name for h in headings]
+    levels = contents_levels(entries, names)
+    for e, k in aligned(snapped([t for _, t in entries], printed), printed):
+        h = headings[k]
+        if not h.fixed and not (levels[e] > h.level and h.kind == "agency"):
+            h.level = levels[e]
+
+
+def levels_from_tiers(headings: list[Heading], tiers: list[tuple[str, str]], names: Names = Names()) -> None:
+    """Levels that the type of the print declares. tiers: (bold | caps | sc, text) in order.
+
+    Bold and full capitals lift accounts to what holds them. A heading of capitals over an agency of small capitals owns it.
+    """
+    tier: dict[int, str] = {}
+    for e, k in aligned([squeezed(t) for _, t in tiers], [h.key for h in headings]):
+        h, tier[k] = headings[k], tiers[e][0]
+        if tier[k] in ("bold", "caps") and h.level >= 3 and h.kind not in ("annotation", "gp") and h.text.upper() not in names.topical:
+            h.level = 1 if h.kind == "agency" else 2
+    grouping = False
+    for k, h in enumerate(headings):
+        if h.level == 0:
+            grouping = False
+        elif tier.get(k) == "caps" and h.kind == "structural":
+            if grouping and h.level > 1:
+                h.level = 1
+            below = headings[k + 1] if k + 1 < len(headings) else None
+            if below and h.level <= 2 and tier.get(k + 1) == "sc" and below.level <= h.level and below.kind == "agency":
+                h.level, below.level, grouping = 1, 2, True
+
+
+def settle_levels(headings: list[Heading]) -> None:
+    """Agencies before the first title head topics, and what is stacked over a recurring child is its earlier parents' sibling."""
+    first_title = next((k for k, h in enumerate(headings) if h.level == 0), 0)
+    for h in headings[:first_title]:
+        if h.level in (1, 2) and h.kind in ("agency", "bureau"):
+            h.level = 3
     held: dict[str, int] = {}
-    for k in range(len(levels) - 1):
-        if levels[k] <= 1:
+    for h, child in zip(headings, headings[1:]):
+        if h.level <= 1:
             held.clear()
-        if not gap[k] and levels[k] in (1, 2, 3) and levels[k + 1] >= levels[k]:
-            if names[k + 1] in held and levels[k] > held[names[k + 1]]:
-                levels[k] = held[names[k + 1]]
-            held.setdefault(names[k + 1], levels[k])
-    return levels
+        if child.start - h.end >= PARENT_GAP or h.kind in ("gp", "annotation"):
+            continue
+        if child.level > h.level:
+            held.setdefault(child.name, h.level)
+        elif child.name in held and held[child.name] < h.level <= child.level:
+            h.level = held[child.name]
+
+
+# ---- sections
 
 
 def typed(text: str) -> dict:
-    if m := _PROVISION.match(text):
+    if m := _is(PROVISION).match(text):
         return {"text": text, "kind": "gp_section", "topic": f"Section {m.group(1)}"}
-    if m := _LEAD_IN.match(text):
-        return {"text": text, "kind": "directive", "topic": m.group(1)}
+    if m := _is(LEAD_IN).match(text):
+        return {"text": text, "kind": "directive", "topic": m.group(1).strip()}
     return {"text": text, "kind": "narrative", "topic": None}
 
 
-def parse_contents(lines: list[str]) -> list[tuple[int, str]]:
-    """(depth, text) of the entries of a table of contents among the first 400 lines: leaders dropped, wrapped entries joined."""
-    out: list[tuple[int, str]] = []
-    begun, idle, half = False, 0, ""
-    for line in lines[:400]:
-        t = line.strip()
-        if t.upper() in ("CONTENTS", "C O N T E N T S"):
-            begun = True
-        elif begun and t:
-            depth = len(line) - len(line.lstrip(" "))
-            if m := _LEADER.search(t):
-                out.append((depth, (half + " " + t[: m.start()]).strip(" .:")))
-                half, idle = "", 0
-            elif t.endswith(":"):
-                out.append((depth, t.rstrip(":")))
-                idle = 0
-            else:
-                half, idle = t, idle + 1
-            if idle > 12:
-                break
-    return out if len(out) >= 5 else []
+def unwrapped(lines: list[str]) -> str:
+    return _is(WRAP_HYPHEN).sub("", re.sub(r"\s+", " ", " ".join(x.strip() for x in lines)).strip())
 
 
 def split_provisions(sections: list[dict]) -> list[dict]:
-    """A section with several numbered provisions (one, under a heading that says so) becomes a section each, the rest staying."""
+    """A section with several numbered provisions (one, under a heading that says so) becomes a section each.
+
+    Untitled paragraphs go on with the provision before them; the rest stays. A provision's place is its title and number.
+    """
     out: list[dict] = []
     for s in sections:
-        numbered = [k for k, p in enumerate(s["paragraphs"]) if p["kind"] == "gp_section"]
-        if len(numbered) < (1 if "PROVISION" in s["heading"].upper() else 2):
+        if sum(p["kind"] == "gp_section" for p in s["paragraphs"]) < (1 if "PROVISION" in s["heading"].upper() else 2):
             out.append(s)
             continue
-        first = numbered[0]
-        if s["paragraphs"][:first] or s["table_spans"]:
-            out.append({**s, "paragraphs": s["paragraphs"][:first]})
-        for a, b in zip(numbered, [*numbered[1:], len(s["paragraphs"])]):
-            name = f"SEC {s['paragraphs'][a]['topic'].split()[1].upper()}"
-            out.append({**s, "heading": name.title(), "level": 4, "path": [*s["path"][:1], name], "paragraphs": s["paragraphs"][a:b], "table_spans": 0, "printed_under": s["path"]})
-    return out
+        rest, split = [], []
+        for p in s["paragraphs"]:
+            if p["kind"] == "gp_section":
+                name = p["topic"].upper().replace("SECTION", "SEC")
+                split.append({**s, "heading": f"{s['heading']} — {p['topic']}", "level": 4, "path": [*s["path"][:1], name], "paragraphs": [p], "table_spans": 0, "printed_under": s["path"]})
+            elif split and p["kind"] == "narrative":
+                split[-1]["paragraphs"].append(p)
+            else:
+                rest.append(p)
+        out += [{**s, "paragraphs": rest}, *split]
+    return [s for s in out if s["paragraphs"] or s["table_spans"]]
+
 
+@dataclass
+class _Scan:
+    """The tree as it grows along the lines."""
 
-def segment(raw: str, agencies: frozenset = frozenset(), bureaus: frozenset = frozenset(), tiers: tuple = ()) -> list[dict]:
-    """Sections of a report in reading order; those without paragraphs and tables are left out."""
+    sections: list[dict] = field(default_factory=list)
+    path: dict[int, str] = field(default_factory=dict)
+    held: list[str] = field(default_factory=list)
+
+    def flush(self) -> None:
+        if self.held and self.sections and (text := unwrapped(self.held)):
+            self.sections[-1]["paragraphs"].append(typed(text))
+        self.held = []
+
+    def open(self, h: Heading) -> None:
+        self.flush()
+        self.path = {k: v for k, v in self.path.items() if k < h.level} | {h.level: h.name}
+        path = [self.path[k] for k in sorted(self.path)]
+        self.sections.append({"heading": h.text, "level": h.level, "path": path, "paragraphs": [], "table_spans": 0, "sort_order": len(self.sections), "printed_under": None})
+
+
+def segment(raw: str, names: Names = Names(), tiers: tuple = ()) -> list[dict]:
+    """Sections of a report in reading order; those without paragraphs and tables are left out. Text before the first heading is in none."""
     lines = report_text(raw).split("\n")
-    contents = contents_levels(parse_contents(lines), agencies, bureaus)
+    entries = parse_contents(lines)
     start, end = body_bounds(lines)
-    lines = lines[:end]
-    kinds = ["blank" if i < start else kind_of(x) for i, x in enumerate(lines)]
-    spans = table_spans(lines, kinds)
-    in_table = [False] * len(lines)
+    body = Lines(["" if i < start else x for i, x in enumerate(lines[:end])])
+    spans = table_spans(body)
+    in_table = [False] * body.n
     for a, b in spans:
         in_table[a:b] = [True] * (b - a)
-    headings: list[dict] = []
-    for i, line in enumerate(lines):
-        if kinds[i] == "heading" and not in_table[i]:
-            if headings and headings[-1]["end"] == i and not _TITLE.match(headings[-1]["text"]):
-                headings[-1] = {"text": f"{headings[-1]['text']} {line.strip()}", "start": headings[-1]["start"], "end": i + 1}
-            else:
-                headings.append({"text": line.strip(), "start": i, "end": i + 1})
-    headings = rejoin_headings(headings, {squeezed(t) for t, _ in contents} | {squeezed(t) for _, t in tiers})
-    gap = [any(kinds[i] != "blank" for i in range(h["end"], n["start"])) for h, n in zip(headings, headings[1:])] + [True]
-    levels = assign_levels(headings, gap, contents, tiers, agencies, bureaus)
-    opens = {h["start"]: k for k, h in enumerate(headings)}
-    covered = {i for h in headings for i in range(h["start"], h["end"]) if kinds[i] == "heading"}
+    demote(body, start)
+    known = {squeezed(unqualified(t)) for _, t in entries} | {squeezed(t) for _, t in tiers}
+    headings = rejoin(collect(body, in_table, start), known, names)
+    next_line = [body.skip(h.end, "blank") for h in headings]
+    typographic_levels(headings, {k for k, i in enumerate(next_line) if i < body.n and body.kinds[i] in ("leader", "table_rule", "table_marker")}, names)
+    if entries:
+        levels_from_contents(headings, entries, names)
+    if tiers:
+        levels_from_tiers(headings, list(tiers), names)
+    settle_levels(headings)
+
+    opens = {h.start: h for h in headings}
+    covered = {i for h in headings for i in range(h.start, h.end)}
     begins = {a for a, _ in spans}
-    sections: list[dict] = []
-    path: dict[int, str] = {}
-    held: list[str] = []
-
-    def flush() -> None:
-        if held:
-            if not sections:
-                sections.append({"heading": "", "level": 0, "path": [""], "paragraphs": [], "table_spans": 0, "printed_under": None})
-            sections[-1]["paragraphs"].append(typed(_WRAP.sub("", re.sub(r"\s+", " ", " ".join(held)).strip())))
-            held.clear()
-
-    for i, line in enumerate(lines):
+    scan = _Scan()
+    for i, line in enumerate(body.lines):
         if i in opens:
-            flush()
-            k = opens[i]
-            for deeper in [x for x in path if x >= levels[k]]:
-                del path[deeper]
-            path[levels[k]] = normal(headings[k]["text"])
-            sections.append({"heading": headings[k]["text"], "level": levels[k], "path": [path[x] for x in sorted(path)], "paragraphs": [], "table_spans": 0, "printed_under": None})
-        if i in covered:
+            scan.flush() if opens[i].kind == "annotation" else scan.open(opens[i])
+        elif i in covered:
             continue
-        if in_table[i]:
-            flush()
-            if i in begins and sections:
-                sections[-1]["table_spans"] += 1
-        elif kinds[i] == "blank":
-            flush()
+        elif in_table[i] or body.kinds[i] != "body":
+            scan.flush()
+            if i in begins and in_table[i] and scan.sections:
+                scan.sections[-1]["table_spans"] += 1
         else:
-            if held and 2 <= len(line) - len(line.lstrip(" ")) <= 8:
-                flush()
-            held.append(line.strip())
-    flush()
-    kept = [s for s in sections if s["paragraphs"] or s["table_spans"]]
-    return [s for s in split_provisions(kept) if s["paragraphs"] or s["table_spans"]]
+            if _is(PARAGRAPH_START).match(line):
+                scan.flush()
+            scan.held.append(line)
+    scan.flush()
+    return split_provisions([s for s in scan.sections if s["paragraphs"] or s["table_spans"]])
 
 
 SECTIONS = (
     "doc string, seq int, heading string, level int, path array<string>, paragraphs array<struct<text:string,kind:string,topic:string>>, "
-    "table_spans int, printed_under array<string>"
+    "table_spans int, sort_order int, printed_under array<string>"
 )
 
 
-def segment_documents(docs: DataFrame, key: str, text: str, agencies: frozenset = frozenset(), bureaus: frozenset = frozenset()) -> DataFrame:
-    """A row per section of every document; null texts have none. agencies, bureaus: normal names, lists of a size that fits a task."""
+def segment_documents(docs: DataFrame, key: str, text: str, names: Names = Names(), subcommittee: str | None = None, tiers: str | None = None) -> DataFrame:
+    """A row per section of every document; null texts have none.
+
+    subcommittee, tiers: columns with the subcommittee, which decides the names, and with array<struct<tier,text>> of the print.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, raw in zip(frame["doc"], frame["text"]):
-                for seq, s in enumerate(segment(raw, agencies, bureaus)):
-                    out.append((doc, seq, s["heading"], s["level"], s["path"], s["paragraphs"], s["table_spans"], s["printed_under"]))
-            yield pd.DataFrame(out, columns=["doc", "seq", "heading", "level", "path", "paragraphs", "table_spans", "printed_under"])
-
-    slim = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("doc"), F.col(text).alias("text"))
+            for doc, raw, panel, printed in zip(frame["doc"], frame["text"], frame["panel"], frame["tiers"]):
+                shown = tuple((t["tier"], t["text"]) for t in printed) if printed is not None else ()
+                for seq, s in enumerate(segment(raw, names.of(panel), shown)):
+                    out.append((doc, seq, s["heading"], s["level"], s["path"], s["paragraphs"], s["table_spans"], s["sort_order"], s["printed_under"]))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in "doc seq heading level path paragraphs table_spans sort_order printed_under".split()])
+
+    panel = F.col(subcommittee).alias("panel") if subcommittee else F.lit(None).cast("string").alias("panel")
+    printed = F.col(tiers).alias("tiers") if tiers else F.lit(None).cast("array<struct<tier:string,text:string>>").alias("tiers")
+    slim = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("doc"), F.col(text).alias("text"), panel, printed)
     return spread(slim).mapInPandas(run, SECTIONS)
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, line, kind) of every line of every document, by SQL alone."""
-    rows = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.withColumn("kind", line_kind(F.col("line")))
+    """(key, line_no, line, kind, shape) of every line of every document, kinds and shapes of rows by the segmenter's own rules; null texts have none."""
+    slim = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+
+    @F.pandas_udf("struct<kind:string,shape:string>")
+    def look(lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"kind": [kind_of(x) for x in lines], "shape": [row_shape(x) for x in lines]})
+
+    return slim.withColumn("look", look("line")).select(F.col("key").alias(key), "line_no", "line", "look.kind", "look.shape")

@@ -22,11 +22,8 @@ def one_spaced(text: Column) -> Column:
 
 
 def key_hash(name: str, *columns) -> list[Column]:
-    """128 bits of the columns, as name1 and name2. Nulls, also within arrays, count as values of their own."""
-    parts = []
-    for c in columns:
-        c = F.col(c) if isinstance(c, str) else c
-        parts += [F.to_json(F.struct(c)), c.isNull()]
+    """128 bits of the columns, as name1 and name2. A null is a value of its own; nulls within arrays need a column that marks them."""
+    parts = [x for c in columns for c in [F.col(c) if isinstance(c, str) else c] for x in (c, c.isNull())]
     return [F.xxhash64(*parts).alias(f"{name}1"), F.xxhash64(F.lit(1), *parts).alias(f"{name}2")]
 
 
@@ -92,14 +89,15 @@ def section_changes(sections: DataFrame, reports: DataFrame) -> DataFrame:
     """
     texts = F.transform(F.coalesce("paragraphs", F.array()), lambda p: F.coalesce(one_spaced(p["text"]), F.lit("\u0000")))
     joined = F.concat(F.size(texts).cast("string"), F.lit("\u0001"), F.array_join(texts, "\u0001"))
-    slim = sections.select("section_id", "package_id", "seq", *key_hash("p", "path"), "loaded_at", F.xxhash64(joined).alias("content"))
+    hashed_path = key_hash("p", "path", F.transform("path", lambda x: x.isNull()))
+    slim = sections.select("section_id", "package_id", "seq", *hashed_path, "loaded_at", F.xxhash64(joined).alias("content"))
     rows = latest(slim, ["section_id"], ["loaded_at", F.col("seq").desc_nulls_last(), F.xxhash64("package_id", "p1", "content").desc()])
     w = Window.partitionBy("package_id", "p1", "p2").orderBy("seq", "section_id")
     rows = rows.select("package_id", "p1", "p2", F.row_number().over(w).alias("occ"), "content")
     series = report_series(reports)
     steps = cut(snapshot_steps(series, ["chamber", "subcommittee"], "fiscal_year", "package_id"))
     out = snapshot_changes(rows, steps, "package_id", ["p1", "p2", "occ"], "content")
-    names = sections.select(*key_hash("p", "path"), F.array_join("path", " > ").alias("path")).groupBy("p1", "p2").agg(F.first("path").alias("path"))
+    names = sections.select(*hashed_path, F.array_join("path", " > ").alias("path")).groupBy("p1", "p2").agg(F.first("path").alias("path"))
     about = steps.where("old_step IS NOT NULL").select(F.col("old_step").alias("step"), "chamber", "subcommittee", F.col("version").alias("old_fy"), F.col("next_version").alias("new_fy"))
     out = out.join(names, ["p1", "p2"]).join(small(about), "step")
     return out.select("chamber", "subcommittee", "old_fy", "new_fy", "path", "occ", "change_kind")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from editrail.functions import policy
 from editrail.functions import similarity as sim
 from editrail.functions import text as tx
 from editrail.operators import align as al
@@ -16,6 +18,7 @@ from editrail.plans import compare as cp
 from editrail.plans import evaluate as ev
 from editrail.plans import history as hs
 from editrail.plans import oracles as o
+from editrail.plans import review as rv
 from editrail.plans import views as vw
 from editrail.runtime import cut
 from editrail.runtime import read_table
@@ -161,13 +164,14 @@ def family_counts(spark, d):
 
 def describe_tags(spark, d):
     p = src.paragraphs(spark, d).where("text IS NOT NULL")
-    return p.select("para_id", F.array_join(tx.tags(F.col("text")), ",").alias("tags"))
+    return p.select("para_id", F.array_join(tx.describe(F.col("text")), ",").alias("tags"))
 
 
 def line_kinds(spark, d):
-    docs = read_table(spark, d, "documents").where("text IS NOT NULL")
-    lines = sg.lines_of(docs, "doc_id", "text")
-    return lines.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum("line_no").alias("line_sum"), F.count_if(tx.is_columnar(F.col("line"))).alias("columnar"))
+    """Lines of each document by kind, as the segmenter sees them, and rows of tables by shape."""
+    lines = sg.lines_of(read_table(spark, d, "documents"), "doc_id", "text")
+    shapes = [F.count_if(F.col("shape") == s).alias(s) for s in ("numeric", "wide", "columnar")]
+    return lines.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum("line_no").alias("line_sum"), *shapes)
 
 
 def word_totals(spark, d):
@@ -231,6 +235,19 @@ def policy_summary(spark, d):
     return vw.flag_summary(df_.paragraph_diffs(_matched_paragraphs(spark, d)))
 
 
+def policy_flags(spark, d):
+    """Every flag of every edited paragraph."""
+    f = df_.policy_flags(df_.paragraph_diffs(_matched_paragraphs(spark, d)))
+    return f.select("pair", "old_id", "new_id", "idx", "at", "category", "label", "tier", F.col("before.mid").alias("before"), F.col("after.mid").alias("after"))
+
+
+def flags_for_review(spark, d):
+    """How many flags for review the paragraphs of a comparison have, and the highest tier."""
+    diffs = df_.paragraph_diffs(_matched_paragraphs(spark, d))
+    n = F.size(F.filter("flags", lambda f: f["tier"] >= policy.REVIEW))
+    return diffs.groupBy("pair").agg(F.sum(n).cast("long").alias("n"), F.max(df_.max_tier(F.col("flags"))).alias("highest"))
+
+
 def significance(spark, d):
     return _comparison(spark, d).sections.select("pair", "old_id", "new_id", "change", "changed_words", F.round("score", 4).alias("score"))
 
@@ -245,14 +262,37 @@ def new_section_scores(spark, d):
     return rows.select("pair", F.coalesce("new_id", "old_id").alias("section_id"), "change", F.col("changed_words").cast("int").alias("words"), "score")
 
 
+def _placed(m):
+    side = lambda df, id_, seq: df.select("pair", F.col("section_id").alias(id_), F.col("seq").alias(seq))
+    rows = m.matched.select("pair", "old_id", "new_id").join(side(m.old, "old_id", "old_seq"), ["pair", "old_id"], "right").join(side(m.new, "new_id", "new_seq"), ["pair", "new_id"], "full")
+    return ch.document_order(rows, ["pair"])
+
+
 def document_order(spark, d):
-    m = _matching(spark, d)
-    o_, n_ = m.old.select("pair", F.col("section_id").alias("old_id"), F.col("seq").alias("old_seq")), m.new.select("pair", F.col("section_id").alias("new_id"), F.col("seq").alias("new_seq"))
-    rows = m.matched.select("pair", "old_id", "new_id").join(o_, ["pair", "old_id"], "right").join(n_, ["pair", "new_id"], "full")
-    placed = ch.document_order(rows, ["pair"])
+    placed = _placed(_matching(spark, d))
     return placed.select("pair", "old_id", "new_id", F.col("place_new").cast("int").alias("place_new"), F.col("place_old").cast("int").alias("place_old"))
 
 
+def document_page(spark, d):
+    """A row per paragraph of every comparison in reading order, with its redline and notes."""
+    c = _comparison(spark, d)
+    placed = _placed(c.matching).select("pair", "old_id", "new_id", "place_new", "place_old")
+    same = [placed["pair"] == c.sections["pair"], placed["old_id"].eqNullSafe(c.sections["old_id"]), placed["new_id"].eqNullSafe(c.sections["new_id"])]
+    sections = placed.join(c.sections.select("pair", "old_id", "new_id", "heading", "change"), same).select(placed["*"], "heading", "change")
+    page = vw.document_page(sections, c.paragraphs, c.moves)
+    return page.select("pair", "old_id", "new_id", "place_new", "place_old", "section_change", "idx", "change", F.md5("body").alias("body"), F.size("notes").alias("n_notes"))
+
+
+def shown_sections(spark, d):
+    """What a reader sees who hides unchanged sections and sections of new figures, and wants directives alone."""
+    c = _comparison(spark, d)
+    directive = lambda side, id_: side.select("pair", F.col("section_id").alias(id_), F.exists("paragraphs", lambda p: F.coalesce(p["kind"] == "directive", F.lit(False))).alias(f"d_{id_}"))
+    s = c.sections.join(directive(c.matching.old, "old_id"), ["pair", "old_id"], "left").join(directive(c.matching.new, "new_id"), ["pair", "new_id"], "left")
+    s = s.withColumn("directive", F.coalesce("d_new_id", "d_old_id", F.lit(False)))
+    out = vw.shown_sections(s.select("pair", "old_id", "new_id", "change", "directive"), c.paragraphs, hide_numbers=True, directives_only=True)
+    return out.select("pair", "old_id", "new_id", "change", "tier")
+
+
 def collapsed_paragraphs(spark, d):
     return vw.collapsed(df_.paragraph_diffs(_matched_paragraphs(spark, d)))
 
@@ -268,7 +308,13 @@ def index_page(spark, d):
 
 
 def manifest(spark, d):
-    return vw.manifest(index_page(spark, d), _pairs(spark, d))
+    m = _matching(spark, d)
+    index = vw.index_page(_masked_kinds(cp.with_paragraphs(m)), m.removed, m.added)
+    flags = df_.policy_flags(df_.paragraph_diffs(cp.with_paragraphs(m))).select("pair", "tier")
+    read_from = F.when(F.coalesce("from_pdf", F.lit(False)), "pdf").otherwise("htm")
+    cat = src.catalog(spark, d).select("package_id", tx.safe_url(F.col("html_url")).alias("url"), read_from.alias("read_from"))
+    whole = vw.dump_sections(src.sections(spark, d)).select("package_id", F.sha2("json", 256).alias("sha256"))
+    return vw.manifest(index, _pairs(spark, d), flags, whole.join(cat, "package_id", "left"))
 
 
 def section_dump(spark, d):
@@ -313,6 +359,21 @@ def compare_moves(spark, d):
 # ---- threads over the years
 
 
+def _chain_editions(spark, d):
+    """The editions that chains are made of: no stubs, and two of a series at least."""
+    return vw.without_stubs(src.editions(spark, d), src.sections(spark, d)).select("chamber", "slug", "fy", "package_id")
+
+
+def _chain(spark, d):
+    """(comparison, threads, rows, sections, pairs) over the editions that are no stubs."""
+    editions, sections = cut(_chain_editions(spark, d)), src.sections(spark, d)
+    pairs = src.pairs(editions)
+    c = cp.compare(pairs, sections)
+    t = hs.follow(c, sections, editions, pairs)
+    rows = cut(hs.account_rows(t.members, sections, hs.thread_scores(c, t.members)))
+    return c, t, rows, sections, pairs
+
+
 def _links(spark, d):
     return _matching(spark, d).matched.select("old_id", "new_id")
 
@@ -335,23 +396,65 @@ def provenance(spark, d):
 
 
 def name_runs(spark, d):
-    r = ch.runs(_cells(spark, d).select("thread", "fy", "heading"), ["thread"], "fy", "heading")
+    s = src.sections(spark, d).select("section_id", "package_id", "heading").join(src.editions(spark, d), "package_id")
+    linked = hs.threads(_links(spark, d), s.where(F.col("section_id").isNotNull()))
+    r = ch.runs(linked.select("thread", "fy", "heading"), ["thread"], "fy", "heading")
     return r.select("thread", "heading", F.col("first").alias("first_fy"), F.col("last").alias("last_fy"), "n")
 
 
 def stitched_threads(spark, d):
-    s = src.sections(spark, d).where(F.size("path") > 0).join(src.editions(spark, d), "package_id")
-    cells = cut(hs.threads(_links(spark, d), s).select("chamber", "slug", "thread", "fy", "section_id", "path", "paragraphs"))
-    return hs.stitch(cells, src.editions(spark, d), ["chamber", "slug"]).select("section_id", "thread")
+    return _chain(spark, d)[1].members.select("section_id", "thread")
+
+
+def stitch_links(spark, d):
+    """Which threads were joined over a gap, and how."""
+    return _chain(spark, d)[1].links
 
 
 def paragraph_origins(spark, d):
-    c = _comparison(spark, d)
-    return hs.paragraph_origins(c.paragraphs, c.moves, _pairs(spark, d).select("pair", "old_fy", "new_fy"))
+    """Where each paragraph of an edition that has a predecessor comes from, and what a reader is told of it."""
+    pairs = _pairs(spark, d)
+    c = cp.compare(pairs, src.sections(spark, d))
+    out = hs.paragraph_origins(c.paragraphs, c.moves, pairs.select("pair", "old_fy", "new_fy"))
+    series = src.editions(spark, d).withColumn("start_fy", F.min("fy").over(Window.partitionBy("chamber", "slug")))
+    at = src.sections(spark, d).select("section_id", "package_id").join(series, "package_id").select("section_id", "start_fy")
+    out = out.withColumn("section_id", F.split("key", ":")[0].cast("long")).join(at, "section_id")
+    label = hs.origin_label(*[F.col(c) for c in ("first_fy", "start_fy", "edited_fy", "edit", "moved_fy", "moved_from")])
+    return out.select("key", "first_fy", "edited_fy", "edit", "moved_fy", label.alias("label"))
 
 
 def thread_rows(spark, d):
-    return vw.account_rows(_cells(spark, d))
+    """The accounts of every series: name, former name, threads and score."""
+    return _chain(spark, d)[2].select("chamber", "slug", "row_key", "heading", "formerly", "members", F.round("score", 4).alias("score"))
+
+
+def row_cells(spark, d):
+    """What happened to each account at each transition."""
+    _, t, rows, _, _ = _chain(spark, d)
+    return hs.row_cells(rows, t.cells)
+
+
+def active_rows(spark, d):
+    """Accounts with a transition that is more than unchanged or new figures."""
+    _, t, rows, _, _ = _chain(spark, d)
+    loud = ~F.col("label").isin("unchanged", "numbers only")
+    return hs.row_cells(rows, t.cells).groupBy("chamber", "slug", "row_key").agg(F.bool_or(loud).alias("active"), F.count("*").alias("n")).where("active").drop("active")
+
+
+def transition_heat(spark, d):
+    return hs.transition_heat(_chain(spark, d)[1].cells)
+
+
+def section_rows(spark, d):
+    """Which account each section is on."""
+    _, t, rows, _, _ = _chain(spark, d)
+    return hs.section_rows(rows, t.members)
+
+
+def thread_words(spark, d):
+    """Words that changed in each thread, by year."""
+    cells = _chain(spark, d)[1].cells
+    return cells.groupBy("thread", "fy").agg(F.sum("changed_words").cast("long").alias("words"))
 
 
 def active_headings(spark, d):
@@ -379,6 +482,21 @@ def chain_pivot(spark, d):
     return vw.timeline(_cells(spark, d))
 
 
+def display_headings(spark, d):
+    h = read_table(spark, d, "headings").where("text IS NOT NULL").select("heading_id", "text").distinct()
+    return h.select("heading_id", vw.display_heading(F.col("text")).alias("shown"))
+
+
+def navigation(spark, d):
+    nav = vw.navigation(_pairs(spark, d))
+    return nav.select("chamber", F.array_join("subcommittees", ",").alias("subcommittees"))
+
+
+def wanted_pairs(spark, d):
+    """The pairs of one chamber whose newer edition is of 2015 to 2020."""
+    return src.wanted_pairs(_pairs(spark, d), chamber="house", years=(2015, 2020)).select("pair", "old_fy", "new_fy")
+
+
 def stitch_returned(spark, d):
     return vw.stitch(_cells(spark, d), src.editions(spark, d))
 
@@ -392,11 +510,36 @@ def segment_documents(spark, d):
 
 
 def leader_spans(spark, d):
-    docs = read_table(spark, d, "documents").where("text IS NOT NULL")
-    lines = sg.lines_of(docs, "doc_id", "text").where("kind IN ('leader', 'table_rule')")
+    """Runs of table lines that touch, as one span each."""
+    lines = sg.lines_of(read_table(spark, d, "documents"), "doc_id", "text").where("kind IN ('leader', 'table_rule', 'table_marker')")
     return ch.merge_spans(lines.select("doc_id", F.col("line_no").alias("start"), (F.col("line_no") + 1).alias("end")), ["doc_id"], "start", "end")
 
 
+def reference_paragraphs(spark, d):
+    """Paragraphs of the documents by indent and blank lines alone."""
+    p = rv.reference_paragraphs(read_table(spark, d, "documents"), "doc_id", "text")
+    return p.select("doc_id", "idx", F.md5("heading").alias("heading"), F.md5("text").alias("text"))
+
+
+def _units(spark, d):
+    p = _pairs(spark, d)
+    s = src.sections(spark, d).select("package_id", "seq", "section_id", "heading", F.posexplode("paragraphs").alias("i", "p")).where("p.text IS NOT NULL")
+    s = s.select("package_id", (F.shiftleft(F.col("seq").cast("long"), 32) + F.col("i")).alias("idx"), "heading", "p.text")
+    side = lambda c: s.join(p.select("pair", F.col(c).alias("package_id")), "package_id").drop("package_id")
+    return rv.extract_units(side("old_package"), side("new_package"), ["pair"])
+
+
+def evaluation_units(spark, d):
+    """What differs between the editions of every pair, by their texts alone."""
+    return _units(spark, d).groupBy("pair", "type").agg(F.count("*").alias("n"), F.sum("changed_words").cast("long").alias("words"))
+
+
+def located_units(spark, d):
+    """What the comparison made of each unit."""
+    u = cut(_units(spark, d).withColumn("unit", F.concat_ws(":", "type", "old_idx", "new_idx")).select("pair", "unit", "type", "old_text", "new_text"))
+    return rv.locate(u, rv.tool_view(_comparison(spark, d))).groupBy("pair", "type", "status").agg(F.count("*").alias("n"))
+
+
 # ---- similarity kernels
 
 
@@ -419,11 +562,11 @@ _QUERIES = [
     pair_adjacent_years, chain_transitions, stub_editions,
     align_exact_path, removed_sections, added_sections, align_unique_heading, align_cascade, align_candidates, rename_promotion, related_hints,
     mask_text, heading_normalise, paragraph_kinds, family_counts, describe_tags, line_kinds, word_totals, anchors,
-    masked_section_changes, paragraph_diffs, word_diff, section_class, change_counts, policy_summary, significance, rank_top_k, new_section_scores, document_order,
+    masked_section_changes, paragraph_diffs, word_diff, section_class, change_counts, policy_summary, policy_flags, flags_for_review, significance, rank_top_k, new_section_scores, document_order, document_page, shown_sections,
     collapsed_paragraphs, outline_nodes, index_page, manifest, section_dump,
     moves_verbatim, moves_same_topic, moves_near, compare_sections, compare_moves,
-    thread_ids, provenance, name_runs, stitched_threads, paragraph_origins, thread_rows, chain_pivot, stitch_returned, active_headings, thread_names, directive_sections, automatic_labels,
-    segment_documents, leader_spans, token_sets, indel_scores,
+    thread_ids, provenance, name_runs, stitched_threads, stitch_links, paragraph_origins, thread_rows, row_cells, active_rows, transition_heat, section_rows, thread_words, chain_pivot, stitch_returned, active_headings, display_headings, navigation, wanted_pairs, thread_names, directive_sections, automatic_labels,
+    segment_documents, leader_spans, reference_paragraphs, evaluation_units, located_units, token_sets, indel_scores,
 ]
 
 

@@ -15,15 +15,29 @@ from editrail.functions.text import word_count
 from editrail.operators import align as al
 from editrail.operators import chain as ch
 from editrail.operators import diff as df_
-from editrail.runtime import cut
+from editrail.runtime import cut, small
+
+
+@dataclass
+class Matching:
+    """The sections of both sides, those matched by any pass, and those of one side only; all keyed by pair."""
+
+    pairs: DataFrame
+    old: DataFrame
+    new: DataFrame
+    matched: DataFrame
+    candidates: DataFrame
+    renamed: DataFrame
+    removed: DataFrame
+    added: DataFrame
 
 
 @dataclass
 class Comparison:
     """Tables keyed by pair; sections by old_id and new_id, null where an edition lacks the section."""
 
+    matching: Matching
     matched: DataFrame
-    candidates: DataFrame
     related: DataFrame
     paragraphs: DataFrame
     moves: DataFrame
@@ -40,8 +54,8 @@ def loose_paragraphs(side: DataFrame, alone: DataFrame, diffs: DataFrame, old_si
     whole = alone.select("pair", F.col("section_id").alias("section"), F.posexplode("paragraphs").alias("idx", "p")).select("pair", "section", "idx", "p.text", "p.topic", "p.kind")
     inside = diffs.where(F.col("change") == label).select("pair", F.col(id_).alias("section"), F.col(idx).alias("idx"), F.col(text).alias("text"), "topic", "kind")
     rows = whole.unionByName(inside).where("text IS NOT NULL AND text <> ''")
-    rows = rows.join(side.select("pair", F.col("section_id").alias("section"), "seq"), ["pair", "section"])
-    return rows.select("pair", "section", F.concat_ws(":", "section", "idx").alias("key"), (F.col("seq").cast("long") * 100_000 + F.col("idx")).alias("ord"), "text", "topic", "kind")
+    rows = rows.join(side.select("pair", F.col("section_id").alias("section"), "seq", "heading"), ["pair", "section"])
+    return rows.select("pair", "section", F.concat_ws(":", "section", "idx").alias("key"), (F.shiftleft(F.col("seq").cast("long"), 32) + F.col("idx")).alias("ord"), "text", "topic", "kind", "heading")
 
 
 def find_moves(gone: DataFrame, come: DataFrame) -> DataFrame:
@@ -56,21 +70,9 @@ def find_moves(gone: DataFrame, come: DataFrame) -> DataFrame:
     return first.unionByName(second).unionByName(third)
 
 
-@dataclass
-class Matching:
-    """The sections of both sides, those matched by any pass, and those of one side only; all keyed by pair."""
-
-    old: DataFrame
-    new: DataFrame
-    matched: DataFrame
-    candidates: DataFrame
-    renamed: DataFrame
-    removed: DataFrame
-    added: DataFrame
-
-
 def match(pairs: DataFrame, sections: DataFrame) -> Matching:
     """Sections through all passes: guarded exact path, unique heading, fuzzy heading, content, promoted renames."""
+    pairs = cut(pairs)
     sections = cut(sections.select("section_id", "package_id", "seq", "sort_order", "heading", "level", "path", "paragraphs"))
     old, new = al.sides(pairs, sections)
     matched, candidates = al.align(old, new)
@@ -80,13 +82,14 @@ def match(pairs: DataFrame, sections: DataFrame) -> Matching:
     renamed = al.promote_renames(best, paths).select("pair", "old_id", "new_id", F.lit("renamed").alias("match_pass"), "score")
     matched = cut(matched.unionByName(renamed))
     removed, added = cut(al.left_over(old, matched, "old_id")), cut(al.left_over(new, matched, "new_id"))
-    return Matching(old, new, matched, candidates, renamed, removed, added)
+    return Matching(pairs, old, new, matched, candidates, renamed, removed, added)
 
 
 def with_paragraphs(m: Matching) -> DataFrame:
-    """The matched sections with the paragraphs of both sides."""
+    """The matched sections with the paragraphs of both sides, and the years between them."""
     texts = lambda side, id_, name: side.select("pair", F.col("section_id").alias(id_), F.col("paragraphs").alias(name))
-    return m.matched.join(texts(m.old, "old_id", "old_paragraphs"), ["pair", "old_id"]).join(texts(m.new, "new_id", "new_paragraphs"), ["pair", "new_id"])
+    rows = m.matched.join(texts(m.old, "old_id", "old_paragraphs"), ["pair", "old_id"]).join(texts(m.new, "new_id", "new_paragraphs"), ["pair", "new_id"])
+    return rows.join(small(m.pairs.select("pair", "year_delta")), "pair")
 
 
 def section_classes(matched: DataFrame, diffs: DataFrame) -> DataFrame:
@@ -97,14 +100,15 @@ def section_classes(matched: DataFrame, diffs: DataFrame) -> DataFrame:
 
 def compare(pairs: DataFrame, sections: DataFrame) -> Comparison:
     m = match(pairs, sections)
-    old, new, matched, candidates, renamed, removed, added = m.old, m.new, m.matched, m.candidates, m.renamed, m.removed, m.added
+    old, new, matched, renamed, removed, added = m.old, m.new, m.matched, m.renamed, m.removed, m.added
     hints = al.related(al.best_counterparts(removed, added))
     diffs = cut(df_.paragraph_diffs(with_paragraphs(m)))
 
     gone, come = cut(loose_paragraphs(old, removed, diffs, True)), cut(loose_paragraphs(new, added, diffs, False))
     moves = find_moves(gone, come)
-    side = lambda df, s: df.select("pair", F.col("key").alias(f"{s}_key"), F.col("section").alias(f"{s}_section"), F.col("text").alias(f"{s}_text"))
-    moves = cut(moves.join(side(gone, "old"), ["pair", "old_key"]).join(side(come, "new"), ["pair", "new_key"]))
+    side = lambda df, s: df.select("pair", F.col("key").alias(f"{s}_key"), F.col("section").alias(f"{s}_section"), F.col("text").alias(f"{s}_text"), F.col("heading").alias(f"{s}_heading"))
+    moves = moves.join(side(gone, "old"), ["pair", "old_key"]).join(side(come, "new"), ["pair", "new_key"]).join(small(m.pairs.select("pair", "year_delta")), "pair")
+    moves = cut(df_.text_diffs(moves))
 
     # words that merely moved count for neither section
     still = moves.where("old_text = new_text").withColumn("words", word_count(F.col("old_text")).cast("long"))
@@ -136,4 +140,4 @@ def compare(pairs: DataFrame, sections: DataFrame) -> Comparison:
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("pair").orderBy(*order)))
     ranked = ch.with_anchors(ranked, ["pair"], ["place"])
     out = ranked.select("pair", "old_id", "new_id", "change", "changed_words", "score", "path", "heading", "renamed_from", "old_seq", "new_seq", "place", "anchor")
-    return Comparison(matched, candidates, hints, diffs, moves, cut(out))
+    return Comparison(m, matched, hints, diffs, moves, cut(out))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from editrail.functions import similarity as sim
 from editrail.functions import text as tx
-from editrail.runtime import latest, read_table
+from editrail.operators import segment as sg
+from editrail.runtime import latest, read_table, spread
 from editrail.sources import reports as src
 
 OFFSETS = list(range(-15, 20, 5))
@@ -60,11 +64,88 @@ def parent_drift(spark, d) -> DataFrame:
     return a.join(b, ["chamber", "slug", "heading", "next_fy"]).where("parent <> new_parent").select("chamber", "slug", "heading", F.col("fy").alias("old_fy"), F.col("next_fy").alias("new_fy"), F.col("parent").alias("old_parent"), "new_parent")
 
 
+#: What a paragraph has that is a row of a table.
+LEAK = r"\.{6,}|-{6,}"
+
+
 def structure_sweep(spark, d) -> DataFrame:
-    """Reports with too few sections or paragraphs, and their share of directives."""
+    """Reports with too few sections or paragraphs, or with rows of tables among their paragraphs, and their share of directives."""
     s = src.sections(spark, d)
-    n = s.groupBy("package_id").agg(F.count("*").alias("sections"), F.sum(F.size("paragraphs")).alias("paragraphs"), F.sum("table_spans").alias("tables"), F.sum(F.size(F.filter("paragraphs", lambda p: p["kind"] == "directive"))).alias("directives"))
-    return n.select("package_id", "sections", "paragraphs", "tables", "directives", ((F.col("sections") < 15) | (F.col("paragraphs") < 30)).alias("thin"))
+    kept = lambda p: F.size(F.filter("paragraphs", p))
+    n = s.groupBy("package_id").agg(
+        F.count("*").alias("sections"), F.sum(F.size("paragraphs")).alias("paragraphs"), F.sum("table_spans").alias("tables"),
+        F.sum(kept(lambda p: p["kind"] == "directive")).alias("directives"), F.sum(kept(lambda p: F.coalesce(p["text"].rlike(LEAK), F.lit(False)))).alias("leaks"),
+    )
+    thin = (F.col("sections") < 15) | (F.col("paragraphs") < 30) | (F.col("leaks") > 0)
+    return n.select("package_id", "sections", "paragraphs", "tables", "directives", "leaks", thin.alias("thin"))
+
+
+def swallowed_leads(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, leads, swallowed, much): directives and provisions that open a line of the body, how many of them lie inside tables, and whether that is over 2 in 100."""
+    lead, provision = re.compile(r"^\s{1,8}([A-Z][^.\n]{2,80}?)\.--"), re.compile(r"^\s{1,8}Section\s+\d+")
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for k, raw in zip(f["key"], f["text"]):
+                lines = sg.report_text(raw).split("\n")
+                start, end = sg.body_bounds(lines)
+                inside = {i for a, b in sg.table_spans(sg.Lines(lines[:end])) for i in range(a, b)}
+                found = [i for i in range(start, end) if lead.match(lines[i]) or provision.match(lines[i])]
+                rows.append((k, len(found), sum(i in inside for i in found)))
+            yield pd.DataFrame(rows, columns=["key", "leads", "swallowed"])
+
+    slim = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    out = spread(slim).mapInPandas(run, f"key {slim.schema['key'].dataType.simpleString()}, leads long, swallowed long")
+    return out.select(F.col("key").alias(key), "leads", "swallowed", (F.col("swallowed") > 0.02 * F.col("leads")).alias("much"))
+
+
+def leads_in_tables(spark, d) -> DataFrame:
+    return swallowed_leads(read_table(spark, d, "documents"), "doc_id", "text")
+
+
+def nested_findings(sections: DataFrame, agencies: DataFrame) -> DataFrame:
+    """(package_id, path, finding): nested_agency where a path has two agencies, annotation where a subtitle opens a section.
+
+    agencies: name, normal. Provisions, which lie outside the tree by their place, are left out.
+    """
+    apart = (F.size("path") == 2) & F.element_at("path", -1).rlike(r"^SEC \d")
+    s = sections.where((F.size("path") > 0) & ~F.coalesce(apart, F.lit(False))).select("package_id", "section_id", "path")
+    held = s.select("*", F.explode("path").alias("name")).join(agencies.select("name").distinct(), "name").groupBy("package_id", "section_id", "path").agg(F.count("*").alias("n"))
+    nested = held.where("n > 1").select("package_id", F.array_join("path", " > ").alias("path"), F.lit("nested_agency").alias("finding"))
+    notes = s.where(F.element_at("path", -1).rlike(r"^(INCLUDING|EXCLUDING)\b")).select("package_id", F.array_join("path", " > ").alias("path"), F.lit("annotation").alias("finding"))
+    return nested.unionByName(notes)
+
+
+def structure_findings(spark, d) -> DataFrame:
+    """Agencies under agencies, by the names that stand over accounts, and subtitles that open sections."""
+    over = src.sections(spark, d).where("level = 1 AND size(path) > 0").select(F.element_at("path", -1).alias("name")).distinct()
+    return nested_findings(src.sections(spark, d), over)
+
+
+def heading_occurrences(spark, d) -> DataFrame:
+    """How often each report prints a heading, by its normal name."""
+    h = read_table(spark, d, "headings").where("text IS NOT NULL").select("heading_id", "package_id", "text").distinct()
+    return h.groupBy("package_id", tx.normal_heading(F.col("text")).alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def account_truth(accounts: DataFrame) -> DataFrame:
+    """(name, agency): normal names of accounts, by their title, their title without the agency's name, and its first part, that have one agency only."""
+    title, agency = F.col("title"), F.col("agency")
+    bare = F.when(F.endswith(F.lower(title), F.lower(F.concat(F.lit(", "), agency))), F.left(title, F.length(title) - F.length(agency) - 2)).otherwise(title)
+    names = F.array(title, bare, F.split(title, ",")[0])
+    a = accounts.where("title <> '' AND agency <> ''").select(F.explode(F.transform(names, tx.normal_name)).alias("name"), tx.normal_name(agency).alias("agency")).where("name <> ''")
+    one = a.groupBy("name").agg(F.count_distinct("agency").alias("n"), F.min("agency").alias("agency"))
+    return one.where("n = 1").select("name", "agency")
+
+
+def misparented(sections: DataFrame, truth: DataFrame, agencies: DataFrame) -> DataFrame:
+    """(section_id, package_id, finding) of accounts whose agency is known: right, misparented under another agency, or orphaned under none."""
+    s = sections.where("level <= 3 AND size(path) > 0").select("section_id", "package_id", F.element_at("path", -1).alias("name"), F.slice("path", F.lit(1), F.size("path") - 1).alias("above"))
+    s = s.join(truth, "name")
+    right = F.exists("above", lambda p: F.contains(p, F.col("agency")))
+    others = s.select("section_id", F.explode("above").alias("name")).join(agencies.select("name").distinct(), "name").select("section_id").distinct().withColumn("other", F.lit(True))
+    return s.join(others, "section_id", "left").select("section_id", "package_id", F.when(right, "right").when(F.col("other"), "misparented").otherwise("orphaned").alias("finding"))
 
 
 def stratified_sample(spark, d, per_stratum: int = 5) -> DataFrame:
@@ -112,16 +193,6 @@ def auto_label(old_text, new_text, same_path, score):
     return F.when(empty & same_path, "same").when(~empty & (score >= 97), "same").when(long & ~same_path & (score <= 25), "different")
 
 
-def unit_scores(units: DataFrame, bar: int = 3) -> DataFrame:
-    """One row: units of a review, substantive ones missed, false alarms, precision. units: rank (of the class found), substantive, words."""
-    shown = F.col("rank") >= bar
-    return units.agg(
-        F.count("*").alias("n"), F.count_if("substantive").alias("substantive"), F.count_if(F.col("substantive") & ~shown).alias("missed"),
-        F.count_if(F.col("substantive") & ~shown & (F.col("words") <= 12)).alias("missed_small"), F.count_if(shown & ~F.col("substantive")).alias("false_alarms"),
-        (F.count_if(shown & F.col("substantive")) / F.nullif(F.count_if(shown), F.lit(0))).alias("precision"),
-    )
-
-
 def write_worksheet(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
@@ -132,5 +203,5 @@ def read_worksheet(spark, path: str, schema) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (linkage_by_pass, linkage_sweep, duplicate_paths, resumed_parents, parent_drift, structure_sweep, stratified_sample, merged_labels, figures)
+    for f in (linkage_by_pass, linkage_sweep, duplicate_paths, resumed_parents, parent_drift, structure_sweep, leads_in_tables, structure_findings, heading_occurrences, stratified_sample, merged_labels, figures)
 }

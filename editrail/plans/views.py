@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import html
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from editrail.operators.chain import row_label, stitched
+from editrail.functions import policy
+from editrail.operators.chain import stitched
+from editrail.operators.diff import max_tier
 from editrail.runtime import cut
 
 #: An edition with fewer sections than this is a stub and no part of a chain.
@@ -50,13 +53,6 @@ def flag_summary(diffs: DataFrame) -> DataFrame:
     return f.groupBy("pair", "category", size.alias("size")).agg(F.count("*").alias("n"))
 
 
-def account_rows(cells: DataFrame) -> DataFrame:
-    """(chamber, slug, row_path, fy, label, members): threads of one account in a year as one cell."""
-    key = F.array_join(F.slice("path", 1, 3), " > ")
-    rows = cells.withColumn("row_path", key).groupBy("chamber", "slug", "row_path", "fy").agg(F.collect_list("change").alias("labels"), F.count_distinct("thread").alias("members"))
-    return rows.select("chamber", "slug", "row_path", "fy", row_label(F.col("labels")).alias("label"), "members")
-
-
 def timeline(cells: DataFrame, years: list[int] | None = None) -> DataFrame:
     """(chamber, slug, heading, fy2010, fy2011, ...): how many sections of a heading changed in each year.
 
@@ -106,10 +102,89 @@ def index_page(kinds: DataFrame, removed: DataFrame, added: DataFrame) -> DataFr
     return changed.unionByName(new).unionByName(gone).groupBy("pair").agg(*[F.sum(c).cast("long").alias(c) for c in ("changed", "new", "dropped")])
 
 
-def manifest(index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair, json): what a comparison holds, for machines."""
-    row = F.struct("pair", "old_package", "new_package", F.struct("changed", "new", "dropped").alias("sections"))
-    return pairs.join(index, "pair", "left").select("pair", F.to_json(row).alias("json"))
+def manifest(index: DataFrame, pairs: DataFrame, flags: DataFrame, reports: DataFrame) -> DataFrame:
+    """(pair, json): what a comparison holds, for machines: sections by class, flags for review, and what each side was read from.
+
+    flags: pair, tier. reports: package_id, url, read_from, sha256 of both editions.
+    """
+    n = flags.where(F.col("tier") >= policy.REVIEW).groupBy("pair").agg(F.count("*").alias("review_flags"))
+    about = lambda s: reports.select(F.col("package_id").alias(f"{s}_package"), F.struct("package_id", "url", "read_from", "sha256").alias(f"{s}_report"))
+    rows = pairs.select("pair", "old_package", "new_package").join(index, "pair", "left").join(n, "pair", "left").join(about("old"), "old_package", "left").join(about("new"), "new_package", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return rows.select("pair", F.to_json(F.struct("pair", F.struct(zero("changed"), zero("new"), zero("dropped")).alias("sections"), zero("review_flags"), F.col("old_report").alias("old"), F.col("new_report").alias("new"))).alias("json"))
+
+
+def shown_sections(sections: DataFrame, diffs: DataFrame, hide_unchanged: bool = True, hide_numbers: bool = False, directives_only: bool = False, flagged_only: bool = False) -> DataFrame:
+    """The sections of a comparison that a reader's filters leave.
+
+    sections: pair, old_id, new_id, change, directive (whether a directive stands in it). A section is flagged if a paragraph
+    of it has a flag for review, and a directive one too if a side of one of its paragraphs is a directive.
+    """
+    marks = diffs.groupBy("pair", "old_id", "new_id").agg(F.max(max_tier(F.col("flags"))).alias("tier"), F.bool_or(F.col("kind") == "directive").alias("edited"))
+    rows = sections.join(marks, ["pair", "old_id", "new_id"], "left").withColumn("tier", F.coalesce("tier", F.lit(0)))
+    rows = rows.withColumn("directive", F.coalesce("directive", F.lit(False)) | F.coalesce("edited", F.lit(False)))
+    hidden = F.lit(False)
+    if hide_unchanged:
+        hidden = hidden | (F.col("change") == "unchanged")
+    if hide_numbers:
+        hidden = hidden | (F.col("change") == "numbers only")
+    if directives_only:
+        hidden = hidden | ~F.col("directive")
+    if flagged_only:
+        hidden = hidden | (F.col("tier") < policy.REVIEW)
+    return rows.where(~hidden).drop("edited")
+
+
+def rewrite_links(page: Column, known: dict[str, str]) -> Column:
+    """Links of a page to other pages of the set as marks of the view they open; other links stay."""
+    for file, view in known.items():
+        page = F.regexp_replace(page, 'href="' + re.escape(file) + '(#[^"]*)?"', f'href="$1" data-view="{view}"')
+    return page
+
+
+# Words that stay small inside a heading, and numerals that stay large.
+SMALL_WORDS = ("a", "an", "and", "as", "at", "by", "for", "in", "of", "on", "or", "the", "to", "under", "with")
+NUMERALS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
+
+
+def display_heading(heading: Column) -> Column:
+    """A heading without small letters as a reader wants it: each run of letters with a capital initial, small words small, numerals large."""
+    words = F.filter(F.split(F.lower(heading), r"\s+"), lambda w: w != "")
+    run = lambda r: F.when(r.isin(*NUMERALS), F.upper(r)).otherwise(F.concat(F.upper(F.left(r, F.lit(1))), F.substring(r, 2, 1 << 30)))
+    cased = lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit("[a-z]+|[^a-z]+"), F.lit(0)), run), "")
+    shown = F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*SMALL_WORDS), w).otherwise(cased(w)))
+    return F.when(heading.rlike(r"\p{Ll}"), heading).otherwise(F.array_join(shown, " "))
+
+
+def document_page(sections: DataFrame, diffs: DataFrame, moves: DataFrame) -> DataFrame:
+    """The whole newer document in its order, dropped sections where they stood, a row to a paragraph: its redline and the notes beside it.
+
+    sections: pair, old_id, new_id, place_new, place_old, heading, change. Notes are flags for review alone; a paragraph that
+    moved says where from or to instead of counting as new or dropped.
+    """
+    key = lambda s: F.concat_ws(":", f"{s}_id", f"{s}_idx")
+    said = F.when(F.col("change") == "new", F.concat(F.lit("<ins>"), F.col("new_text"), F.lit("</ins>"))).when(F.col("change") == "dropped", F.concat(F.lit("<del>"), F.col("old_text"), F.lit("</del>")))
+    body = F.coalesce(said, F.when(F.size("edits") > 0, redline(F.col("edits"))), F.col("new_text"))
+    notes = F.transform(F.filter("flags", lambda f: f["tier"] >= policy.REVIEW), lambda f: F.concat(f["category"], F.lit(": "), f["reason"]))
+    rows = diffs.select("pair", "old_id", "new_id", "idx", "change", body.alias("body"), notes.alias("notes"), key("old").alias("old_key"), key("new").alias("new_key"))
+    came = moves.select("pair", "new_key", F.concat(F.lit("moved from "), "old_heading").alias("came"))
+    went = moves.select("pair", "old_key", F.concat(F.lit("moved to "), "new_heading").alias("went"))
+    rows = rows.join(came, ["pair", "new_key"], "left").join(went, ["pair", "old_key"], "left")
+    rows = rows.withColumn("change", F.when(F.col("came").isNotNull() | F.col("went").isNotNull(), "moved").otherwise(F.col("change")))
+    rows = rows.withColumn("notes", F.concat("notes", F.array_compact(F.array("came", "went")))).drop("came", "went", "old_key", "new_key")
+    whole = sections.select("pair", "old_id", "new_id", "place_new", "place_old", "heading", F.col("change").alias("section_change"))
+    same = [whole["pair"] == rows["pair"], whole["old_id"].eqNullSafe(rows["old_id"]), whole["new_id"].eqNullSafe(rows["new_id"])]
+    return whole.join(rows.select("pair", "old_id", "new_id", "idx", "change", "body", "notes"), same, "left").select(whole["*"], "idx", "change", "body", "notes")
+
+
+def navigation(pairs: DataFrame) -> DataFrame:
+    """(chamber, subcommittees): what the pages of a site lead to."""
+    return pairs.groupBy("chamber").agg(F.array_sort(F.collect_set("slug")).alias("subcommittees"))
+
+
+def thread_folder(chamber: Column, slug: Column, first: Column, last: Column) -> Column:
+    """Where a series' thread pages lie, named by the years they cover."""
+    return F.format_string("%s-%s-threads-fy%d-fy%d", chamber, slug, first, last)
 
 
 def collapsed(diffs: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
@@ -24,6 +27,82 @@ def read_catalog(spark: SparkSession, path: str, by_line: bool = False) -> DataF
     return df.fillna(DEFAULTS).fillna({"from_pdf": False})
 
 
+def locate_corpus(spark: SparkSession, path: str | None = None) -> str:
+    """The corpus' folder: given, or named by the setting editrail.corpus or the variable EDITRAIL_CORPUS. It must hold a catalog."""
+    at = path or spark.conf.get("editrail.corpus", None) or os.environ.get("EDITRAIL_CORPUS")
+    if not at:
+        raise ValueError("name the corpus' folder: an argument, the setting editrail.corpus or the variable EDITRAIL_CORPUS")
+    if not exists(spark, f"{at}/catalog.json"):
+        raise FileNotFoundError(f"no catalog.json in {at}")
+    return at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_catalog_if_any(spark: SparkSession, path: str) -> DataFrame:
+    """read_catalog of a file that may be missing: then without rows."""
+    return read_catalog(spark, path) if exists(spark, path) else spark.createDataFrame([], CATALOG)
+
+
+def load_catalog(spark: SparkSession, corpus: str) -> DataFrame:
+    """The main catalog of a corpus, and the entries of its prerelease catalog, if there is one, that the main one lacks."""
+    return union_new(read_catalog(spark, f"{corpus}/catalog.json"), read_catalog_if_any(spark, f"{corpus}/prerelease/catalog.json"))
+
+
+def report_files(spark: SparkSession, corpus: str) -> DataFrame:
+    """(path): the report files of a corpus, relative to it. File names only are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.htm").option("recursiveFileLookup", True).load(corpus)
+    return files.select(F.regexp_replace("path", "^.*?" + re.escape(corpus.rstrip("/").split("://")[-1]) + "/", "").alias("path"))
+
+
+def with_files(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """The entries whose report is on disk."""
+    return entries.withColumn("path", raw_path()).join(files.distinct(), "path", "left_semi").drop("path")
+
+
+def read_reports(entries: DataFrame, corpus: str) -> DataFrame:
+    """entries with the text of their report, null where it is missing. Bytes that are no UTF-8 become replacement characters."""
+    spark = entries.sparkSession
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.htm").text(corpus, wholetext=True)
+    name = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(corpus.rstrip("/").split("://")[-1]) + "/", "")
+    texts = texts.select(name.alias("path"), F.col("value").alias("text"))
+    return entries.withColumn("path", raw_path()).join(texts, "path", "left")
+
+
+def wanted_pairs(pairs_df: DataFrame, chamber: str | None = None, slug: str | None = None, years: tuple[int, int] | None = None) -> DataFrame:
+    """The pairs of a chamber, a subcommittee (its case doesn't count) and a range of years of the newer edition.
+
+    The years are applied to pairs, not to editions: the predecessor of the first wanted year may lie before it.
+    """
+    out = pairs_df.where(F.col("chamber") == chamber) if chamber else pairs_df
+    out = out.where(F.col("slug") == slug.lower()) if slug else out
+    return out.where(F.col("new_fy").between(*years)) if years else out
+
+
+def parse_request(words: list[str]) -> dict:
+    """What a command line asks for: {'command', 'chamber', 'slug', 'years'}.
+
+    all | CHAMBER [SUBCOMMITTEE [FY | FY-FY]] | demo | dump PACKAGE | ingest FILE | compare OLD NEW
+    """
+    none = {"command": "build", "chamber": None, "slug": None, "years": None, "rest": []}
+    if not words or words == ["all"]:
+        return none
+    if words[0] in ("demo", "dump", "ingest", "compare"):
+        return none | {"command": words[0], "rest": list(words[1:])}
+    if words[0] not in ("house", "senate") or len(words) > 3:
+        raise ValueError(f"not understood: {' '.join(words)}")
+    years = None
+    if len(words) == 3:
+        found = re.fullmatch(r"(?:FY)?(\d{4})(?:-(?:FY)?(\d{4}))?", words[2], re.I)
+        if not found or (found[2] and int(found[2]) < int(found[1])):
+            raise ValueError(f"no fiscal year or range of them: {words[2]}")
+        years = (int(found[1]), int(found[2] or found[1]))
+    return none | {"chamber": words[0], "slug": words[1].lower() if len(words) > 1 else None, "years": years}
+
+
 def write_catalog(df: DataFrame, path: str) -> None:
     """An entry to a line, in the order of the package."""
     df.orderBy("package_id").write.mode("overwrite").json(path)

@@ -77,9 +77,67 @@ def test_threads_runs_spans_and_order(spark):
     assert [r[0] for r in lab.select(ch.row_label(lab["l"])).collect()] == ["reorganized", "returned", "new", "minor"]
 
 
+LOOSE = "pair string, section long, key string, ord long, text string, topic string, kind string"
+
+
 def test_moves(spark):
     t = "a plan for the northern harbor with lamps and two keepers through the long winter months"
-    gone = spark.createDataFrame([("p", 1, "1:0", 1000, "same text", None, "narrative"), ("p", 2, "2:0", 2000, t, None, "narrative")], "pair string, section long, key string, ord long, text string, topic string, kind string")
-    come = spark.createDataFrame([("p", 9, "9:0", 9000, "same text", None, "narrative"), ("p", 8, "8:0", 8000, t + " ahead", None, "narrative")], gone.schema)
+    gone = spark.createDataFrame([("p", 1, "1:0", 1000, "same text", None, "narrative"), ("p", 2, "2:0", 2000, t, None, "narrative")], LOOSE)
+    come = spark.createDataFrame([("p", 9, "9:0", 9000, "same text", None, "narrative"), ("p", 8, "8:0", 8000, t + " ahead", None, "narrative")], LOOSE)
     assert [(r["old_key"], r["new_key"]) for r in ch.moved_verbatim(gone, come, ["pair"]).collect()] == [("1:0", "9:0")]
     assert [(r["old_key"], r["new_key"]) for r in ch.moved_nearly(gone, come, ["pair"]).collect()] == [("2:0", "8:0")]
+
+
+def test_moves_of_one_topic_are_consumed_in_new_order(spark):
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    base = "The office shall keep the lamps of the northern harbor lit through the winter and pay its keepers in full".split()
+    text = lambda: " ".join(w for w in base if rng.random() < 0.8) + "".join(f" w{rng.randint(0, 9)}" for _ in range(6))
+    olds = [("p", k, f"o{k}", k, text(), rng.choice(["Lamps", "lamps", "Oil"]), "directive") for k in range(8)]
+    news = [("p", 50 + k, f"n{k}", k, text(), rng.choice(["LAMPS", "oil", None]), "directive") for k in range(9)]
+    got = {(r["old_key"], r["new_key"]) for r in ch.moved_same_topic(spark.createDataFrame(olds, LOOSE), spark.createDataFrame(news, LOOSE), ["pair"]).collect()}
+    left, want = list(olds), set()
+    for n in news:
+        best, bar = None, 0.5
+        for o in left:
+            if n[5] and o[5].lower() == n[5].lower():
+                r = difflib.SequenceMatcher(None, o[4], n[4], autojunk=False).ratio()
+                if r > bar:
+                    best, bar = o, r
+        if best:
+            left.remove(best)
+            want.add((best[2], n[2]))
+    assert got == want and len(got) > 4
+
+
+def test_near_moves_equal_all_pairs(spark):
+    """No pair over the bar is lost, though none of its words need be rare, or even the same."""
+    import random
+
+    from editrail.functions.similarity import indel_ratio
+
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "klmn" for b in "aeio" for c in "rst"]
+
+    def variant(t):
+        chars = list(t)
+        for _ in range(rng.randint(0, 25)):
+            k = rng.randrange(len(chars))
+            chars[k] = rng.choice("0123456789 ")
+        return "".join(chars)
+
+    olds = [("p", k, f"o{k}", k, " ".join(rng.choice(words) for _ in range(rng.randint(14, 40))), None, "n") for k in range(40)]
+    news = [("p", 100 + k, f"n{k}", k, variant(rng.choice(olds)[4]), None, "n") for k in range(40)] + [("q", 7, "other", 1, olds[0][4], None, "n"), ("p", 3, "same", 99, olds[3][4], None, "n")]
+    got = {(r["old_key"], r["new_key"]) for r in ch.moved_nearly(spark.createDataFrame(olds, LOOSE), spark.createDataFrame(news, LOOSE), ["pair"]).collect()}
+    score = {}
+    for o in olds:
+        for n in news:
+            a, b = o[4], n[4]
+            if o[0] == n[0] and min(len(a.split()), len(b.split())) >= 12 and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and indel_ratio(a, b) >= 85:
+                score[o[2], n[2]] = indel_ratio(a, b)
+    first = lambda key, own: min((k for k in score if k[own] == key[own]), key=lambda k: (-score[k], int(k[1 - own].strip("onsame") or 99)))
+    home = {x[2]: x[1] for x in olds + news}
+    want = {k for k in score if first(k, 0) == k and first(k, 1) == k and home[k[0]] != home[k[1]]}
+    assert got == want and len(got) > 10

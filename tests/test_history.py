@@ -16,7 +16,7 @@ def editions(spark, years):
             rows.append((fy * 100 + seq, f"p{fy}", seq, seq, path[-1], len(path) - 1, path, [(t, "directive" if ".--" in t else "narrative", t.split(".--")[0] if ".--" in t else None) for t in texts]))
     s = spark.createDataFrame(rows, f"section_id long, package_id string, seq int, sort_order int, heading string, level int, path array<string>, paragraphs {PARA}")
     fys = sorted(years)
-    p = spark.createDataFrame([(f"{a}-{b}", f"p{a}", f"p{b}", a, b) for a, b in zip(fys, fys[1:])], "pair string, old_package string, new_package string, old_fy int, new_fy int")
+    p = spark.createDataFrame([(f"{a}-{b}", "house", "harbors", f"p{a}", f"p{b}", a, b, b - a) for a, b in zip(fys, fys[1:])], "pair string, chamber string, slug string, old_package string, new_package string, old_fy int, new_fy int, year_delta int")
     return p, s
 
 
@@ -26,8 +26,8 @@ def compared(spark):
         spark,
         {
             1: [(["T", "A"], [LAMPS, FERRY]), (["T", "B"], ["One line stays."]), (["T", "C"], ["Gone next year for good and all."])],
-            2: [(["T", "A"], [LAMPS.replace("two", "three")]), (["T", "B"], ["One line stays.", FERRY]), (["T", "D"], ["Oil.--The office shall buy oil."])],
-            3: [(["T", "A"], [LAMPS.replace("two", "three")]), (["T", "B"], ["One line stays.", FERRY]), (["T", "D"], ["Oil.--The office may buy oil."])],
+            2: [(["T", "A"], [LAMPS.replace("winter", "autumn")]), (["T", "B"], ["One line stays.", FERRY]), (["T", "D"], ["Oil.--The office shall buy oil."])],
+            3: [(["T", "A"], [LAMPS.replace("winter", "autumn")]), (["T", "B"], ["One line stays.", FERRY]), (["T", "D"], ["Oil.--The office may buy oil."])],
         },
     )
     return (*editrail_years, cp.compare(p, s))
@@ -75,8 +75,75 @@ def test_stitching_over_a_gap_and_not_over_strangers(spark):
     ]
     cells = spark.createDataFrame([(*r[:5], [(r[5], "narrative", None)]) for r in rows], f"slug string, thread long, fy int, section_id long, path array<string>, paragraphs {PARA}")
     e = spark.createDataFrame([("h", y) for y in (1, 2, 3)], "slug string, fy int")
-    got = {r["section_id"]: r["thread"] for r in hs.stitch(cells, e, ["slug"]).collect()}
-    assert got == {101: 1, 103: 1, 105: 5, 107: 7, 109: 9, 110: 9, 111: 9}
+    members, links = hs.stitch(cells, e, ["slug"])
+    assert {r["section_id"]: r["thread"] for r in members.collect()} == {101: 1, 103: 1, 105: 5, 107: 7, 109: 9, 110: 9, 111: 9}
+    assert [tuple(r) for r in links.collect()] == [(1, 3, "returned", 3)]
+
+
+def test_stitching_goes_on_until_nothing_joins(spark):
+    """A section that comes and goes every other year: each round joins what the one before made whole."""
+    years = range(1, 29)
+    rows = [("h", y, y, 100 + y, ["T", "A"], [(LAMPS, "narrative", None)]) for y in years if y % 2]
+    rows += [("h", 1000, y, 1000 + y, ["T", "K"], [("stays", "narrative", None)]) for y in years]
+    cells = spark.createDataFrame(rows, f"slug string, thread long, fy int, section_id long, path array<string>, paragraphs {PARA}")
+    members, links = hs.stitch(cells, spark.createDataFrame([("h", y) for y in years], "slug string, fy int"), ["slug"])
+    assert {r["thread"] for r in members.collect()} == {1, 1000} and links.count() == 13
+
+
+@pytest.fixture(scope="module")
+def chained(spark):
+    """Four years: A loses its text to a new name in year 2 under another title, B skips year 3, a provision's number is given anew, an account has a sub-head."""
+    years = {
+        1: [(["T", "A"], [LAMPS]), (["T", "B"], [FERRY]), (["T", "SEC 1"], ["Sec. 1. None of the funds may be used to paint bridges in any colour but grey."]), (["T", "D"], ["Stays as it is."])],
+        2: [(["U", "Z"], [LAMPS]), (["T", "B"], [FERRY]), (["T", "SEC 1"], ["Sec. 1. Fees that the keepers collect stay with the lighthouse until spent."]), (["T", "D"], ["Stays as it is."])],
+        3: [(["U", "Z"], [LAMPS]), (["T", "SEC 1"], ["Sec. 1. Fees that the keepers collect stay with the lighthouse until spent."]), (["T", "D"], ["Stays as it is."])],
+        4: [(["U", "Z"], [LAMPS]), (["T", "B"], [FERRY]), (["T", "SEC 1"], ["Sec. 1. Fees that the keepers collect stay with the lighthouse until spent."]), (["T", "D"], ["Stays, and shall grow."])],
+    }
+    p, s = editions(spark, years)
+    e = spark.createDataFrame([("house", "harbors", y, f"p{y}") for y in years], "chamber string, slug string, fy int, package_id string")
+    c = cp.compare(p, s)
+    t = hs.follow(c, s, e, p)
+    return s, c, t, hs.account_rows(t.members, s, hs.thread_scores(c, t.members))
+
+
+def test_cells_of_stitched_threads(chained):
+    _, _, t, _ = chained
+    assert {(r["dead"], r["born"], r["kind"], r["fy"]) for r in t.links.collect()} == {(100, 200, "reorganized", 2), (101, 401, "returned", 4)}
+    got = {}
+    for r in t.cells.collect():
+        got.setdefault(r["thread"], {})[r["fy"]] = r["label"]
+    assert got[100] == {2: "reorganized", 3: "unchanged", 4: "unchanged"}
+    assert got[101] == {2: "unchanged", 3: "dropped", 4: "returned"}
+    assert got[102] == {2: "dropped"} and got[202] == {2: "new", 3: "unchanged", 4: "unchanged"}
+    assert got[103] == {2: "unchanged", 3: "unchanged", 4: "substantive"}
+
+
+def test_rows_keys_cells_and_heat(chained):
+    s, _, t, rows = chained
+    by = {r["row_key"]: r for r in rows.collect()}
+    assert set(by) == {"U > Z", "T > B", "T > SEC 1 > B1", "T > SEC 1 > B2", "T > D"}
+    assert by["U > Z"]["formerly"] == "A (FY1)" and by["T > B"]["formerly"] is None
+    cells = {(r["row_key"], r["fy"]): r["label"] for r in hs.row_cells(rows, t.cells).collect()}
+    assert cells["U > Z", 2] == "reorganized" and cells["T > B", 4] == "returned" and cells["T > D", 4] == "substantive"
+    heat = {r["fy"]: (r["words"], r["heat"]) for r in hs.transition_heat(t.cells).collect()}
+    assert max(h for _, h in heat.values()) == 100 and min(h for _, h in heat.values()) >= 4
+    of = dict(map(tuple, hs.section_rows(rows, t.members).collect()))
+    assert of[102] == "T > SEC 1 > B1" and of[202] == of[301] == "T > SEC 1 > B2" and of[100] == of[400] == "U > Z" and len(of) == s.count()
+
+
+def test_sub_heads_belong_to_their_account_and_equal_numbers_get_ordinals(spark):
+    m = spark.createDataFrame([("h", "x", 2, k, k) for k in (1, 2, 3, 4)], "chamber string, slug string, fy int, section_id long, thread long")
+    s = spark.createDataFrame([(1, ["T", "A"], "A", 3), (2, ["T", "A", "Mission"], "Mission", 4), (3, ["T", "SEC 9"], "s", 4), (4, ["T", "SEC 9"], "s", 4)], "section_id long, path array<string>, heading string, level int")
+    scores = spark.createDataFrame([(1, 5.0), (2, 1.0), (3, 1.0), (4, 2.0)], "thread long, score double")
+    got = {r["row_key"]: (r["members"], r["score"]) for r in hs.account_rows(m, s, scores).collect()}
+    assert got == {"T > A": (2, 6.0), "T > SEC 9 > B2": (1, 2.0), "T > SEC 9 > B2.1": (1, 1.0)}
+
+
+def test_labels_of_origins(spark):
+    rows = [(1, 1, None, None, None, None), (2, 1, None, None, None, None), (2, 1, 2, "minor", None, None), (2, 1, 3, "numbers only", 4, "Old"), (1, 1, 5, "substantive", None, None)]
+    df = spark.createDataFrame(rows, "f int, s int, e int, c string, m int, h string")
+    got = [r[0] for r in df.select(hs.origin_label(*[df[c] for c in "fsecmh"])).collect()]
+    assert got == ["unchanged since FY1", "added FY2", "added FY2", "added FY2; figures updated FY3; moved from Old (FY4)", "revised FY5"]
 
 
 @pytest.fixture(scope="module")
@@ -89,8 +156,8 @@ def renamed_folder(spark, tmp_path_factory):
     old, other = "None of the funds may be used to paint bridges in any colour but grey.", "Fees that keepers collect stay with the lighthouse until they are spent."
     years = {
         2007: [(["T", "HARBOR LAMPS"], [LAMPS]), sec(1, old)],
-        2008: [(["T", "LIGHTS OF HARBORS"], [LAMPS.replace("two", "three")]), sec(1, other)],
-        2009: [(["T", "LIGHTS OF HARBORS"], [LAMPS.replace("two", "three")]), sec(1, other)],
+        2008: [(["T", "LIGHTS OF HARBORS"], [LAMPS.replace("winter", "autumn")]), sec(1, other)],
+        2009: [(["T", "LIGHTS OF HARBORS"], [LAMPS.replace("winter", "autumn")]), sec(1, other)],
     }
     _, s = editions(spark, years)
     at = datetime(2024, 1, 1)

@@ -3,7 +3,7 @@ from datetime import datetime
 
 import pytest
 
-from editrail.functions import text as tx
+from editrail.functions import policy
 from editrail.plans import catalogue as cat
 from editrail.plans import evaluate as ev
 
@@ -14,6 +14,8 @@ TEXTS = [
     "Section ١٢ stays.",
     "Oil.--The office​ must buy oil for $1,200 and\t5 percent more.",
     "The оffice shall\nsubmit it\tby 2024　not later than 60 days, nó more.",
+    "Up to $5 only if eligible, section 12 months, \"thirty\" (days) or ninety. calendar days; in May 5 weeks.",
+    "limited to 2024 years and 3 months",
     "François\x1cmust\x85wait until 2023é or 2024.",
     "  ",
     "",
@@ -33,13 +35,30 @@ def folder(spark, tmp_path_factory):
 
 def test_phrases_of_every_text_are_counted(spark, folder):
     def want(t):
-        scoped = re.sub(tx.NEGATION_SCOPE, " ", t.lower())
-        return {f"n_{n}": len(re.findall(p, scoped if n == "negation" else t.lower())) for n, p in tx.FAMILIES.items()}
+        low = t.lower()
+        named = policy.FORCE | policy.FAMILIES | {"limit": policy.LIMIT, "deadline": policy.DEADLINE}
+        return {n: len(re.findall(p, re.sub(policy.NO_NEGATION, " ", low) if n == "negation" else low)) for n, p in named.items()}
 
     got = {r["para_id"]: {k: v for k, v in r.asDict().items() if k != "para_id"} for r in cat.family_counts(spark, folder).collect()}
     assert got == {k: want(t) for k, t in enumerate(TEXTS)}
+
+
+def test_tags_of_every_text(spark, folder):
+    def timed(t):
+        p = policy.Passage(t)
+        return any(p.kind(k) == "deadline" for k in p.numbers(0, len(p.words)))
+
+    def want(t):
+        low = t.lower()
+        says = {
+            "prohibition": re.search(policy.FAMILIES["prohibition"], low), "mandatory direction": re.search(policy.FORCE["mandatory"], low),
+            "reporting requirement": re.search(policy.FAMILIES["reporting"], low), "deadline": timed(t), "floor / ceiling": re.search(policy.LIMIT, low) and "$" in t,
+            "eligibility / scope": re.search(policy.FAMILIES["eligibility"], low) and re.search(r"\beligib|\bonly\b|limited to", low),
+        }
+        return ",".join(n for n, x in says.items() if x)
+
     tags = {r["para_id"]: r["tags"] for r in cat.describe_tags(spark, folder).collect()}
-    assert tags == {k: ",".join(n for n, p in tx.FAMILIES.items() if re.search(p, t.lower())) for k, t in enumerate(TEXTS)}
+    assert tags == {k: want(t) for k, t in enumerate(TEXTS)}
 
 
 def test_words_of_every_text_are_totalled(spark, folder):

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from editrail.plans import evaluate as ev
 from editrail.plans import views as vw
 
@@ -34,21 +36,60 @@ def test_labels_find_their_candidate_by_text(spark):
     assert dict(map(tuple, ev.label_matches(labels, cands).collect())) == {1: 7, 2: None}
 
 
-def test_scores_of_a_review(spark):
-    u = spark.createDataFrame([(3, True, 40), (2, True, 5), (3, False, 9), (0, False, 0), (1, True, 50)], "rank int, substantive boolean, words int")
-    r = ev.unit_scores(u).first()
-    assert (r["n"], r["substantive"], r["missed"], r["missed_small"], r["false_alarms"], r["precision"]) == (5, 3, 2, 1, 1, 0.5)
-    assert ev.unit_scores(u.where("rank < 3")).first()["precision"] is None
+def test_years_of_a_timeline_are_those_present(spark):
+    c = spark.createDataFrame([("h", "x", "A", y, "new") for y in (1999, 2010, 2030)] + [("h", "x", "A", 2010, "unchanged")], "chamber string, slug string, heading string, fy int, change string")
+    assert vw.timeline(c).first().asDict() == {"chamber": "h", "slug": "x", "heading": "A", "fy1999": 1, "fy2010": 1, "fy2030": 1}
+
+
+def test_display_headings(spark):
+    rows = ["OFFICE OF THE R&D AND II--GENERAL", "Mixed stays", "THE ISLES (OIS) XI", None, "", "ÉTÉ OF X"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "h string").select(vw.display_heading(F.col("h"))).collect()]
+    assert got[:2] == ["Office of the R&D and II--General", "Mixed stays"] and got[2] == "The Isles (Ois) Xi" and got[3] is None and got[4] == ""
+
+
+def test_links_between_pages(spark):
+    page = '<a href="index.html#s-1">a</a><a href="document.html">b</a><a href="https://x/index.html">c</a>'
+    got = spark.createDataFrame([(page,)], "p string").select(vw.rewrite_links(F.col("p"), {"index.html": "ranked", "document.html": "whole"})).first()[0]
+    assert got == '<a href="#s-1" data-view="ranked">a</a><a href="" data-view="whole">b</a><a href="https://x/index.html">c</a>'
+
+
+def test_filters_of_a_page(spark):
+    s = spark.createDataFrame([("p", 1, 2, "unchanged", True), ("p", 3, 4, "numbers only", False), ("p", 5, 6, "substantive", False), ("p", 7, 8, "minor", True)], "pair string, old_id long, new_id long, change string, directive boolean")
+    d = spark.createDataFrame([("p", 5, 6, "narrative", [(2,)]), ("p", 7, 8, "narrative", [(1,)]), ("p", 3, 4, "directive", [])], "pair string, old_id long, new_id long, kind string, flags array<struct<tier:int>>")
+    shown = lambda **k: sorted(r["new_id"] for r in vw.shown_sections(s, d, **k).collect())
+    assert shown() == [4, 6, 8] and shown(hide_unchanged=False) == [2, 4, 6, 8] and shown(hide_numbers=True) == [6, 8]
+    assert shown(directives_only=True) == [4, 8] and shown(flagged_only=True) == [6]
+
+
+def test_manifest_counts_review_flags(spark):
+    import json
+
+    pairs = spark.createDataFrame([("p", "a", "b"), ("q", "b", "c")], "pair string, old_package string, new_package string")
+    index = spark.createDataFrame([("p", 3, 1, 2)], "pair string, changed long, new long, dropped long")
+    flags = spark.createDataFrame([("p", 1), ("p", 2), ("p", 2)], "pair string, tier int")
+    reports = spark.createDataFrame([("a", "https://x", "pdf", "00")], "package_id string, url string, read_from string, sha256 string")
+    got = {r["pair"]: json.loads(r["json"]) for r in vw.manifest(index, pairs, flags, reports).collect()}
+    assert got["p"] == {"pair": "p", "sections": {"changed": 3, "new": 1, "dropped": 2}, "review_flags": 2, "old": {"package_id": "a", "url": "https://x", "read_from": "pdf", "sha256": "00"}}
+    assert got["q"]["sections"] == {"changed": 0, "new": 0, "dropped": 0} and got["q"]["review_flags"] == 0
+
+
+def test_navigation_and_folders(spark):
+    p = spark.createDataFrame([("house", "b"), ("house", "a"), ("house", "a"), ("senate", "a")], "chamber string, slug string")
+    assert {r["chamber"]: r["subcommittees"] for r in vw.navigation(p).collect()} == {"house": ["a", "b"], "senate": ["a"]}
+    assert p.select(vw.thread_folder(F.col("chamber"), F.col("slug"), F.lit(2019), F.lit(2024))).first()[0] == "house-b-threads-fy2019-fy2024"
 
 
-def test_worksheet_round_trip(spark, tmp_path):
-    rows = [(1, 'say "no", twice', None), (2, "two\nlines", "x")]
-    df = spark.createDataFrame(rows, "id int, text string, label string")
-    ev.write_worksheet(df, str(tmp_path / "w"))
-    assert sorted(map(tuple, ev.read_worksheet(spark, str(tmp_path / "w"), df.schema).collect())) == rows
+def test_audits_of_the_tree(spark):
+    s = spark.createDataFrame([("p", 1, ["T", "RIVERS", "ROADS", "X"], 3), ("p", 2, ["T", "INCLUDING TRANSFER"], 4), ("p", 3, ["T", "SEC 1"], 4), ("p", 4, ["T", "ROADS", "WEIRS"], 3), ("p", 5, ["T", "WEIRS"], 3)], "package_id string, section_id long, path array<string>, level int")
+    names = spark.createDataFrame([("RIVERS",), ("ROADS",)], "name string")
+    assert {(r["path"], r["finding"]) for r in ev.nested_findings(s, names).collect()} == {("T > RIVERS > ROADS > X", "nested_agency"), ("T > INCLUDING TRANSFER", "annotation")}
+    accounts = spark.createDataFrame([("Weirs, Rivers", "Rivers"), ("Lamps", "Rivers"), ("Lamps", "Roads"), (None, "Roads")], "title string, agency string")
+    truth = ev.account_truth(accounts)
+    assert {tuple(r) for r in truth.collect()} == {("WEIRS RIVERS", "RIVERS"), ("WEIRS", "RIVERS")}
+    assert {r["section_id"]: r["finding"] for r in ev.misparented(s, truth, names).collect()} == {4: "misparented", 5: "orphaned"}
 
 
-def test_timeline_has_every_year_present(spark):
-    rows = [("H", "s", "Lamps", 2007, "new"), ("H", "s", "Lamps", 2031, "minor"), ("H", "s", "Lamps", 2031, "substantive"), ("H", "s", "Lamps", 2010, "unchanged")]
-    c = spark.createDataFrame(rows, "chamber string, slug string, heading string, fy int, change string")
-    assert [r.asDict() for r in vw.timeline(c).collect()] == [{"chamber": "H", "slug": "s", "heading": "Lamps", "fy2007": 1, "fy2010": 0, "fy2031": 2}]
+def test_leads_inside_tables(spark):
+    table = "-" * 60 + "\n    Oil.--The office buys oil.   1,200   1,300\n" + "-" * 60
+    docs = spark.createDataFrame([(1, "    Lamps.--The office lights them.\n\n" + table + "\n\n    Section 12 stays."), (2, None)], "doc_id long, text string")
+    assert [tuple(r) for r in ev.swallowed_leads(docs, "doc_id", "text").collect()] == [(1, 3, 1, True)]
