@@ -98,13 +98,12 @@ def align_exact_path(spark, d):
 
 
 def removed_sections(spark, d):
-    old, new = _sides(spark, d)
-    return al.left_over(old, al.exact_path(old, new), "old_id").select("pair", "section_id")
+    """Sections of an older edition that no pass finds in the newer one."""
+    return _matching(spark, d).removed.select("pair", "section_id")
 
 
 def added_sections(spark, d):
-    old, new = _sides(spark, d)
-    return al.left_over(new, al.exact_path(old, new), "new_id").select("pair", "section_id")
+    return _matching(spark, d).added.select("pair", "section_id")
 
 
 def align_unique_heading(spark, d):
@@ -114,30 +113,21 @@ def align_unique_heading(spark, d):
 
 
 def align_cascade(spark, d):
-    matched, _ = al.align(*_sides(spark, d))
-    return matched.select("pair", "old_id", "new_id", "match_pass", F.round("score", 6).alias("score"))
+    return _matching(spark, d).matched.select("pair", "old_id", "new_id", "match_pass", F.round("score", 6).alias("score"))
 
 
 def align_candidates(spark, d):
-    _, traced = al.align(*_sides(spark, d))
-    return traced.select("pair", "old_id", "new_id", "match_pass", F.round("score", 6).alias("score"), "accepted")
-
-
-def _counterparts(spark, d):
-    old, new = _sides(spark, d)
-    matched, _ = al.align(old, new)
-    best = cut(al.best_counterparts(al.left_over(old, matched, "old_id"), al.left_over(new, matched, "new_id")))
-    paths = matched.join(old.select("pair", F.col("section_id").alias("old_id"), F.col("path").alias("old_path")), ["pair", "old_id"])
-    paths = paths.join(new.select("pair", F.col("section_id").alias("new_id"), F.col("path").alias("new_path")), ["pair", "new_id"])
-    return best, paths
+    """What the scored passes decided on, taken or not."""
+    return _matching(spark, d).candidates.select("pair", "old_id", "new_id", "match_pass", F.round("score", 6).alias("score"), "accepted")
 
 
 def rename_promotion(spark, d):
-    return al.promote_renames(*_counterparts(spark, d))
+    return _matching(spark, d).renamed.select("pair", "old_id", "new_id", F.round("score", 6).alias("score"))
 
 
 def related_hints(spark, d):
-    return al.related(_counterparts(spark, d)[0])
+    m = _matching(spark, d)
+    return al.related(al.best_counterparts(m.scored, m.matched)).select("pair", "section_id", "other_id", F.round("overlap", 6).alias("overlap"))
 
 
 # ---- texts

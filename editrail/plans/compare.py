@@ -27,6 +27,7 @@ class Matching:
     new: DataFrame
     matched: DataFrame
     candidates: DataFrame
+    scored: DataFrame
     renamed: DataFrame
     removed: DataFrame
     added: DataFrame
@@ -75,14 +76,13 @@ def match(pairs: DataFrame, sections: DataFrame) -> Matching:
     pairs = cut(pairs)
     sections = cut(sections.select("section_id", "package_id", "seq", "sort_order", "heading", "level", "path", "paragraphs"))
     old, new = al.sides(pairs, sections)
-    matched, candidates = al.align(old, new)
-    best = cut(al.best_counterparts(al.left_over(old, matched, "old_id"), al.left_over(new, matched, "new_id")))
+    matched, candidates, scored = al.align(old, new)
     path_of = lambda side, id_, name: side.select("pair", F.col("section_id").alias(id_), F.col("path").alias(name))
     paths = matched.join(path_of(old, "old_id", "old_path"), ["pair", "old_id"]).join(path_of(new, "new_id", "new_path"), ["pair", "new_id"])
-    renamed = al.promote_renames(best, paths).select("pair", "old_id", "new_id", F.lit("renamed").alias("match_pass"), "score")
+    renamed = al.promote_renames(al.best_counterparts(scored, matched), paths).select("pair", "old_id", "new_id", F.lit("renamed").alias("match_pass"), "score")
     matched = cut(matched.unionByName(renamed))
-    removed, added = cut(al.left_over(old, matched, "old_id")), cut(al.left_over(new, matched, "new_id"))
-    return Matching(pairs, old, new, matched, candidates, renamed, removed, added)
+    removed, added = al.left_over(old, matched, "old_id"), al.left_over(new, matched, "new_id")
+    return Matching(pairs, old, new, matched, candidates, scored, matched.where("match_pass = 'renamed'"), removed, added)
 
 
 def with_paragraphs(m: Matching) -> DataFrame:
@@ -101,7 +101,7 @@ def section_classes(matched: DataFrame, diffs: DataFrame) -> DataFrame:
 def compare(pairs: DataFrame, sections: DataFrame) -> Comparison:
     m = match(pairs, sections)
     old, new, matched, renamed, removed, added = m.old, m.new, m.matched, m.renamed, m.removed, m.added
-    hints = al.related(al.best_counterparts(removed, added))
+    hints = al.related(al.best_counterparts(m.scored, matched))
     diffs = cut(df_.paragraph_diffs(with_paragraphs(m)))
 
     gone, come = cut(loose_paragraphs(old, removed, diffs, True)), cut(loose_paragraphs(new, added, diffs, False))

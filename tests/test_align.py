@@ -12,7 +12,7 @@ def test_cascade(spark):
     other = "Ferries leave twice a day from the eastern pier with mail, grain and passengers for the islands of the strait."
     old = sections(spark, [(1, ["T", "A"], body), (2, ["T", "A", "X"], "one"), (3, ["T", "A", "X"], "two"), (4, ["T", "LAMP FUND"], body), (5, ["T", "B", "OLD NAME"], other), (6, ["T", "GONE"], "nothing of it stays")])
     new = sections(spark, [(11, ["T", "A"], body), (12, ["T", "A", "X"], "one"), (13, ["T", "A", "X"], "two"), (14, ["U", "LAMP FUND"], body), (15, ["T", "B", "NEW TITLE"], other + " Also on feast days."), (16, ["T", "FRESH"], "quite another matter")])
-    matched, traced = al.align(old, new)
+    matched, traced, _ = al.align(old, new)
     got = {(r["old_id"], r["new_id"]): r["match_pass"] for r in matched.collect()}
     assert got[1, 11] == got[2, 12] == got[3, 13] == "exact" and got[4, 14] == "unique_heading" and got[5, 15] == "content_parent"
     assert len(got) == 5 and {"score", "accepted"} <= set(traced.columns)
@@ -22,7 +22,7 @@ def test_cascade(spark):
 
 def test_compared_with_itself_all_is_exact(spark):
     a = sections(spark, [(1, ["T"], "a"), (2, ["T", "SEC 101"], "Section 101. The Committee continues a provision on boats."), (3, ["T"], "a")])
-    matched, _ = al.align(a, a)
+    matched, _, _ = al.align(a, a)
     assert {(r["old_id"], r["new_id"], r["match_pass"]) for r in matched.collect()} == {(1, 1, "exact"), (2, 2, "exact"), (3, 3, "exact")}
 
 
@@ -31,7 +31,7 @@ def test_renumbered_provisions_follow_their_text(spark):
     y = "Section {}. The Committee continues a provision on the burial of veterans in the northern grounds at no cost to kin."
     old = sections(spark, [(1, ["T", "SEC 101"], x.format(101)), (2, ["T", "SEC 102"], y.format(102))])
     new = sections(spark, [(11, ["T", "SEC 101"], y.format(101)), (12, ["T", "SEC 102"], x.format(102))])
-    matched, _ = al.align(old, new)
+    matched, _, _ = al.align(old, new)
     assert {(r["old_id"], r["new_id"]) for r in matched.collect()} == {(1, 12), (2, 11)}
 
 
@@ -56,7 +56,8 @@ def test_greedy_equals_a_plain_loop(spark):
 def test_rename_of_mutual_best(spark):
     body = "Ferries leave twice a day from the eastern pier with mail, grain and passengers for the islands of the strait. " * 3
     old, new = sections(spark, [(1, ["T", "B", "OLD NAME"], body)]), sections(spark, [(11, ["T", "B", "OTHER"], body + " Also on feast days."), (12, ["T", "B", "Z"], "short")])
-    best = al.best_counterparts(old, new)
+    nothing = spark.createDataFrame([], "pair string, old_id long, new_id long")
+    best = al.best_counterparts(al.scored_pairs(old, new), nothing)
     paths = spark.createDataFrame([], "pair string, old_path array<string>, new_path array<string>")
     assert [(r["old_id"], r["new_id"]) for r in al.promote_renames(best, paths).collect()] == [(1, 11)]
     assert {(r["section_id"], r["other_id"]) for r in al.related(best).collect()} >= {(1, 11), (11, 1)}
