@@ -18,6 +18,7 @@ from editrail.plans import compare as cp
 from editrail.plans import evaluate as ev
 from editrail.plans import history as hs
 from editrail.plans import oracles as o
+from editrail.plans import oracles_compare as oc
 from editrail.plans import review as rv
 from editrail.plans import views as vw
 from editrail.runtime import cut
@@ -200,7 +201,7 @@ def _matched_paragraphs(spark, d):
 
 def paragraph_diffs(spark, d):
     out = df_.paragraph_diffs(_matched_paragraphs(spark, d))
-    return out.select("pair", "old_id", "new_id", "idx", "change", "literal", "changed_words", F.size("flags").alias("n_flags"))
+    return out.select("pair", "old_id", "new_id", "idx", "old_idx", "new_idx", "change", "literal", "changed_words", F.size("flags").alias("n_flags"))
 
 
 def word_diff(spark, d):
@@ -228,7 +229,7 @@ def policy_summary(spark, d):
 def policy_flags(spark, d):
     """Every flag of every edited paragraph."""
     f = df_.policy_flags(df_.paragraph_diffs(_matched_paragraphs(spark, d)))
-    return f.select("pair", "old_id", "new_id", "idx", "at", "category", "label", "tier", F.col("before.mid").alias("before"), F.col("after.mid").alias("after"))
+    return f.select("pair", "old_id", "new_id", "idx", F.col("at").alias("first_word"), "category", "label", "tier")
 
 
 def flags_for_review(spark, d):
@@ -472,6 +473,11 @@ def chain_pivot(spark, d):
     return vw.timeline(_cells(spark, d))
 
 
+def chain_timeline(spark, d):
+    """chain_pivot in long form: how many sections of a heading changed, by year."""
+    return _cells(spark, d).where("change NOT IN ('unchanged', 'numbers only')").groupBy("chamber", "slug", "heading", "fy").agg(F.count("*").alias("n"))
+
+
 def display_headings(spark, d):
     h = read_table(spark, d, "headings").where("text IS NOT NULL").select("heading_id", "text").distinct()
     return h.select("heading_id", vw.display_heading(F.col("text")).alias("shown"))
@@ -555,7 +561,7 @@ _QUERIES = [
     masked_section_changes, paragraph_diffs, word_diff, section_class, change_counts, policy_summary, policy_flags, flags_for_review, significance, rank_top_k, new_section_scores, document_order, document_page, shown_sections,
     collapsed_paragraphs, outline_nodes, index_page, manifest, section_dump,
     moves_verbatim, moves_same_topic, moves_near, compare_sections, compare_moves,
-    thread_ids, provenance, name_runs, stitched_threads, stitch_links, paragraph_origins, thread_rows, row_cells, active_rows, transition_heat, section_rows, thread_words, chain_pivot, stitch_returned, active_headings, display_headings, navigation, wanted_pairs, thread_names, directive_sections, automatic_labels,
+    thread_ids, provenance, name_runs, stitched_threads, stitch_links, paragraph_origins, thread_rows, row_cells, active_rows, transition_heat, section_rows, thread_words, chain_pivot, chain_timeline, stitch_returned, active_headings, display_headings, navigation, wanted_pairs, thread_names, directive_sections, automatic_labels,
     segment_documents, leader_spans, reference_paragraphs, evaluation_units, located_units, token_sets, indel_scores,
 ]
 
@@ -565,4 +571,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": snapshots.P1_SQL} | o.ORACLES
+    return {"p1_found": snapshots.P1_SQL} | o.ORACLES | oc.ORACLES
