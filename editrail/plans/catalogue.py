@@ -19,6 +19,7 @@ from editrail.plans import evaluate as ev
 from editrail.plans import history as hs
 from editrail.plans import oracles as o
 from editrail.plans import oracles_compare as oc
+from editrail.plans import oracles_text as ot
 from editrail.plans import review as rv
 from editrail.plans import views as vw
 from editrail.runtime import cut
@@ -46,9 +47,9 @@ def catalog_latest(spark, d):
 
 
 def catalog_union(spark, d):
-    c = src.catalog(spark, d)
-    main = c.where("source <> 'prerelease' AND stage = 'committee'").select("package_id", "chamber", "stage")
-    return src.union_new(main, c.where("fiscal_year >= 2015").select("package_id", "chamber", "stage"))
+    """The published catalog, and what the prerelease one has besides."""
+    c = src.catalog(spark, d).select("package_id", "chamber", "stage", "source")
+    return src.union_new(c.where("source <> 'prerelease'"), c).select("package_id", "chamber", "stage", "source")
 
 
 def catalog_upsert(spark, d):
@@ -571,4 +572,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": snapshots.P1_SQL} | o.ORACLES | oc.ORACLES
+    return {"p1_found": snapshots.P1_SQL} | o.ORACLES | oc.ORACLES | ot.ORACLES

@@ -14,7 +14,6 @@ m AS (SELECT oo.pair, oo.section_id AS old_id, nn.section_id AS new_id, oo.parag
   FROM oo JOIN nn ON oo.pair = nn.pair AND oo.path = nn.path AND oo.occ = nn.occ)"""
 BASE = f"WITH {_S}, {_E}, {_Y}, {_P}, {_SIDES}, {_M}"
 _PARA = "q AS (SELECT * FROM paragraphs QUALIFY row_number() OVER (PARTITION BY para_id ORDER BY loaded_at DESC) = 1)"
-_ASCII = "regexp_full_match(text, '[ -~]*')"
 _CAT = """c AS (SELECT * FROM catalog_entries QUALIFY row_number() OVER (PARTITION BY package_id ORDER BY loaded_at DESC) = 1),
 k AS (SELECT package_id, congress, chamber, subcommittee, fiscal_year, coalesce(stage, 'committee') AS stage, coalesce(title, '') AS title, coalesce(html_url, '') AS html_url,
   coalesce(pdf_url, '') AS pdf_url, coalesce(local_path, '') AS local_path, coalesce(source, '') AS source, coalesce(from_pdf, false) AS from_pdf FROM c)"""
@@ -32,45 +31,8 @@ def _joined(x: str) -> str:
     return f"array_to_string(list_transform({x}, lambda z: coalesce(z.text, '')), chr(10))"
 
 
-# Written out again on purpose: a slip in the library's patterns must show.
-_FAM = {
-    "force": r"\b(shall|must|requires?|required|directs?|directed)\b",
-    "wish": r"\b(expects?|expected|should|will|urges?|urged|encourages?|encouraged)\b",
-    "leave": r"\b(may|can|allows?|allowed|permits?|permitted)\b",
-    "negation": r"\b(not|no|never|none|neither|nor|cannot|without)\b",
-    "bar": r"\b(none of the funds|no funds|may not|shall not|must not|prohibits?)\b",
-    "condition": r"\b(unless|until|provided that|subject to|if|prior to)\b",
-    "report": r"\b(reports?|reported|certifies|notify|submit|publish)\b",
-    "deadline": r"\b(not later than|no later than|within|deadline)\b",
-    "limit": r"\b(not less than|not more than|not to exceed|no more than|no less than|up to|at least|limited to|floor|ceiling)\b",
-}
-_SCOPE = r"\b(not less than|not more than|not to exceed|no more than|no less than|not later than|no later than|none of the funds|no funds|may not|shall not|must not)\b"
-
-
-def _count(name: str) -> str:
-    t = f"regexp_replace(lower(text), '{_SCOPE}', ' ', 'g')" if name == "negation" else "lower(text)"
-    return f"CAST(len(regexp_extract_all({t}, '{_FAM[name]}')) AS INTEGER) AS n_{name}"
-
-
-_THREADS = """links AS (SELECT old_id, new_id FROM m),
-t AS (
-  SELECT old_id AS node, old_id AS head FROM links WHERE old_id NOT IN (SELECT new_id FROM links)
-  UNION ALL SELECT l.new_id, t.head FROM t JOIN links l ON l.old_id = t.node
-)"""
-_CELL_BODY = f"""cells AS (
-  SELECT coalesce(t.head, s.section_id) AS thread, e.chamber, e.slug, e.fy, s.section_id, s.heading, s.path,
-    CASE WHEN m.new_id IS NULL THEN 'new' WHEN {_joined('m.op')} = {_joined('m.np')} THEN 'unchanged'
-      WHEN {_mask(_joined('m.op'))} = {_mask(_joined('m.np'))} THEN 'numbers only' ELSE 'substantive' END AS change
-  FROM s JOIN e ON s.package_id = e.package_id LEFT JOIN t ON t.node = s.section_id LEFT JOIN m ON m.new_id = s.section_id
-  WHERE len(s.path) > 0
-)"""
-CELLS = BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f", {_THREADS}, {_CELL_BODY}"
-_YEARS = list(range(2009, 2028))
-
 ORACLES = {
     "catalog_latest": f"WITH {_CAT} SELECT package_id, chamber, subcommittee, fiscal_year, stage, title FROM k",
-    "catalog_union": f"""WITH {_CAT}, a AS (SELECT package_id, chamber, stage FROM k WHERE source <> 'prerelease' AND stage = 'committee')
-        SELECT * FROM a UNION ALL SELECT package_id, chamber, stage FROM k WHERE fiscal_year >= 2015 AND package_id NOT IN (SELECT package_id FROM a)""",
     "catalog_upsert": f"WITH {_CAT} SELECT package_id, CASE WHEN stage = 'reported' THEN 'committee' ELSE stage END AS stage, fiscal_year FROM k",
     "usable_reports": f"""WITH {_CAT} SELECT package_id, chamber, subcommittee, fiscal_year FROM k
         WHERE stage = 'committee' AND trim(coalesce(subcommittee, '')) <> '' AND fiscal_year IS NOT NULL AND NOT starts_with(upper(title), 'MAKING')""",
@@ -87,85 +49,20 @@ ORACLES = {
     "stub_editions": f"""{BASE}, c AS (SELECT package_id, count(*) AS sections FROM s GROUP BY 1 HAVING count(*) >= 15)
         SELECT package_id, chamber, slug, fy, sections FROM e JOIN c USING (package_id) QUALIFY count(*) OVER (PARTITION BY chamber, slug) >= 2""",
     "align_exact_path": f"{BASE} SELECT pair, old_id, new_id FROM m",
-    "removed_sections": f"{BASE} SELECT o.pair, o.section_id FROM o LEFT JOIN m ON m.pair = o.pair AND m.old_id = o.section_id WHERE m.old_id IS NULL",
-    "added_sections": f"{BASE} SELECT n.pair, n.section_id FROM n LEFT JOIN m ON m.pair = n.pair AND m.new_id = n.section_id WHERE m.new_id IS NULL",
     "align_unique_heading": f"""{BASE},
         fo AS (SELECT o.pair, o.path[-1] AS leaf, min(o.section_id) AS old_id FROM o LEFT JOIN m ON m.pair = o.pair AND m.old_id = o.section_id
           WHERE m.old_id IS NULL AND NOT starts_with(o.path[-1], 'SEC ') GROUP BY ALL HAVING count(*) = 1),
         fn AS (SELECT n.pair, n.path[-1] AS leaf, min(n.section_id) AS new_id FROM n LEFT JOIN m ON m.pair = n.pair AND m.new_id = n.section_id
           WHERE m.new_id IS NULL AND NOT starts_with(n.path[-1], 'SEC ') GROUP BY ALL HAVING count(*) = 1)
         SELECT fo.pair, old_id, new_id FROM fo JOIN fn ON fo.pair = fn.pair AND fo.leaf = fn.leaf""",
-    "heading_normalise": r"""SELECT DISTINCT heading_id,
-        trim(regexp_replace(regexp_replace(regexp_replace(upper(regexp_replace(text, '\s*\(([A-Z]{2,})\)\s*$', '')), '\b(?:19|20)[0-9]{2}\b', 'FY', 'g'), '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS heading,
-        trim(regexp_replace(regexp_replace(upper(text), '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS name,
-        trim(regexp_replace(lower(text), '[^a-z0-9$%]+', ' ', 'g')) AS key
-        FROM headings WHERE """ + _ASCII,
     "mask_text": f"WITH {_PARA} SELECT para_id, md5({_mask('text')}) AS masked FROM q WHERE text IS NOT NULL",
-    "paragraph_kinds": rf"""WITH {_PARA}, x AS (SELECT para_id, regexp_extract(text, '^(?:Section|Sec\.)\s+(\d+[A-Za-z]?)\b', 1) AS num, regexp_extract(text, '^([A-Z][^.]{{2,80}}?)\.--', 1) AS lead FROM q WHERE {_ASCII})
-        SELECT para_id, CASE WHEN num <> '' THEN 'gp_section' WHEN lead <> '' THEN 'directive' ELSE 'narrative' END AS kind,
-          CASE WHEN num <> '' THEN 'Section ' || num WHEN lead <> '' THEN lead END AS topic FROM x""",
-    "family_counts": f"WITH {_PARA} SELECT para_id, {', '.join(map(_count, _FAM))} FROM q WHERE {_ASCII}",
-    "describe_tags": f"""WITH {_PARA} SELECT para_id, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{n}' END" for n, p in _FAM.items())}], lambda z: z IS NOT NULL), ',') AS tags FROM q WHERE {_ASCII}""",
-    "line_kinds": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
-        t AS (SELECT *, trim(line) AS t, length(line) - length(ltrim(line)) AS ind, length(regexp_replace(trim(line), '[^A-Za-z]', '', 'g')) AS letters,
-          length(regexp_replace(trim(line), '[^A-Z]', '', 'g')) AS caps FROM l),
-        k AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^[-=_]{5,}$') THEN 'table_rule' WHEN regexp_matches(t, '\.{4,}') THEN 'leader'
-          WHEN length(t) <= 70 AND letters > 0 AND NOT regexp_matches(t, '[.,;]$|--$') AND (ind >= 6 OR regexp_matches(t, '^TITLE [IVXL]+'))
-            AND (caps / letters >= 0.9 OR (abs(ind - (70 - length(t)) / 2) <= 4 AND regexp_matches(t, '^[A-Z]') AND len(string_split_regex(t, ' +')) <= 10)) THEN 'heading' ELSE 'body' END AS kind,
-          len(regexp_extract_all(t, '\S {2,}\S')) AS gaps FROM t)
-        SELECT doc_id, kind, count(*) AS n, CAST(sum(line_no) AS BIGINT) AS line_sum,
-          count_if((length(rtrim(line)) >= 76 AND gaps >= 2) OR (gaps >= 2 AND regexp_matches(rtrim(line), '[0-9],[0-9]{3}$'))) AS columnar FROM k GROUP BY ALL""",
-    "word_totals": rf"WITH {_PARA} SELECT package_id, kind, CAST(sum(len(list_filter(string_split_regex(text, '\s+'), lambda z: z <> ''))) AS BIGINT) AS words, count(*) AS n FROM q WHERE {_ASCII} GROUP BY ALL",
     "anchors": f"""WITH {_S}, b AS (SELECT *, 's-' || left(array_to_string(list_transform(path, lambda z: replace(lower(z), ' ', '_')), '-'), 60) || '-' || left(md5(array_to_string(path, ' > ')), 6) AS base FROM s WHERE len(path) > 0),
         x AS (SELECT section_id, base, row_number() OVER (PARTITION BY package_id, base ORDER BY seq, section_id) AS nth FROM b)
         SELECT section_id, CASE WHEN nth = 1 THEN base ELSE base || '-' || nth END AS anchor FROM x""",
     "masked_section_changes": f"""{BASE}, x AS (SELECT pair, {_joined('op')} AS a, {_joined('np')} AS b FROM m)
         SELECT pair, CASE WHEN a = b THEN 'unchanged' WHEN {_mask('a')} = {_mask('b')} THEN 'numbers only' ELSE 'language' END AS kind, count(*) AS n FROM x GROUP BY ALL""",
-    "new_section_scores": rf"""{BASE}, lone AS (
-          SELECT o.pair, o.section_id, o.paragraphs, 'dropped' AS change FROM o LEFT JOIN m ON m.pair = o.pair AND m.old_id = o.section_id WHERE m.old_id IS NULL
-          UNION ALL SELECT n.pair, n.section_id, n.paragraphs, 'new' FROM n LEFT JOIN m ON m.pair = n.pair AND m.new_id = n.section_id WHERE m.new_id IS NULL),
-        w AS (SELECT pair, section_id, change, CAST(coalesce(list_sum(list_transform(paragraphs, lambda z: len(list_filter(string_split_regex(coalesce(z.text, ''), '\s+'), lambda v: v <> '')))), 0) AS INTEGER) AS words,
-          len(list_filter(paragraphs, lambda z: z.kind = 'directive')) > 0 AS lifted FROM lone)
-        SELECT pair, section_id, change, words, words * 2.0::DOUBLE * CASE WHEN lifted THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM w""",
-    "document_order": f"""{BASE},
-        r AS (SELECT coalesce(m.pair, o.pair) AS pair, o.section_id AS old_id, o.seq AS old_seq, m.new_id, m.new_seq FROM o LEFT JOIN m ON m.pair = o.pair AND m.old_id = o.section_id
-          UNION ALL SELECT n.pair, NULL, NULL, n.section_id, n.seq FROM n LEFT JOIN m ON m.pair = n.pair AND m.new_id = n.section_id WHERE m.new_id IS NULL),
-        c AS (SELECT *, last_value(new_seq IGNORE NULLS) OVER (PARTITION BY pair ORDER BY old_seq NULLS LAST ROWS UNBOUNDED PRECEDING) AS carried FROM r)
-        SELECT pair, old_id, new_id, coalesce(new_seq, CASE WHEN old_seq IS NOT NULL THEN carried END, -1) AS place_new, CASE WHEN new_seq IS NOT NULL THEN -1 ELSE old_seq END AS place_old FROM c""",
-    "moves_verbatim": f"""{BASE},
-        a AS (SELECT o.pair, o.section_id, unnest(o.paragraphs) AS p, unnest(range(len(o.paragraphs))) AS idx FROM o LEFT JOIN m ON m.pair = o.pair AND m.old_id = o.section_id WHERE m.old_id IS NULL),
-        b AS (SELECT n.pair, n.section_id, unnest(n.paragraphs) AS p, unnest(range(len(n.paragraphs))) AS idx FROM n LEFT JOIN m ON m.pair = n.pair AND m.new_id = n.section_id WHERE m.new_id IS NULL),
-        x AS (SELECT pair, section_id || ':' || idx AS old_key, p.text AS t, row_number() OVER (PARTITION BY pair, p.text ORDER BY section_id * 1000 + idx) AS occ FROM a WHERE p.text IS NOT NULL),
-        z AS (SELECT pair, section_id || ':' || idx AS new_key, p.text AS t, row_number() OVER (PARTITION BY pair, p.text ORDER BY section_id * 1000 + idx) AS occ FROM b WHERE p.text IS NOT NULL)
-        SELECT x.pair, old_key, new_key FROM x JOIN z ON x.pair = z.pair AND x.t = z.t AND x.occ = z.occ""",
-    "thread_ids": BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f", {_THREADS} SELECT node AS section_id, head AS thread FROM t",
-    "provenance": f"""{CELLS}, g AS (SELECT thread, min(fy) AS added_fy, max(fy) AS last_fy, max(CASE WHEN change NOT IN ('unchanged', 'new') THEN fy END) AS edited_fy,
-          arg_max(change, fy) FILTER (change NOT IN ('unchanged', 'new')) AS edit FROM cells GROUP BY thread)
-        SELECT thread, added_fy, edited_fy, edit, CASE WHEN edited_fy IS NULL THEN 'unchanged since FY' || added_fy
-          ELSE 'added FY' || added_fy || '; ' || CASE edit WHEN 'numbers only' THEN 'figures updated' WHEN 'minor' THEN 'tweaked' ELSE 'revised' END || ' FY' || edited_fy END AS label,
-          coalesce(edited_fy = last_fy, false) AS hot FROM g""",
-    "name_runs": f"""{CELLS}, c AS (SELECT thread, fy, heading, CASE WHEN lag(fy) OVER w IS NOT NULL AND heading IS DISTINCT FROM lag(heading) OVER w THEN 1 ELSE 0 END AS starts FROM cells WINDOW w AS (PARTITION BY thread ORDER BY fy)),
-        r AS (SELECT *, sum(starts) OVER (PARTITION BY thread ORDER BY fy) AS run FROM c)
-        SELECT thread, min(heading) AS heading, min(fy) AS first_fy, max(fy) AS last_fy, count(*) AS n FROM r GROUP BY thread, run""",
-    "thread_rows": f"""{CELLS}, g AS (SELECT chamber, slug, array_to_string(path[1:3], ' > ') AS row_path, fy, list(DISTINCT change) AS labels, count(DISTINCT thread) AS members,
-          max(CASE change WHEN 'unchanged' THEN 0 WHEN 'numbers only' THEN 1 WHEN 'minor' THEN 2 WHEN 'substantive' THEN 3 WHEN 'new' THEN 4 ELSE 5 END) AS top FROM cells GROUP BY ALL)
-        SELECT chamber, slug, row_path, fy, CASE WHEN labels = ['new'] THEN 'new' ELSE ['unchanged', 'numbers only', 'minor', 'substantive', 'new', 'dropped'][top + 1] END AS label, members FROM g""",
-    "chain_pivot": f"""{CELLS} SELECT chamber, slug, heading, {', '.join(f'count_if(fy = {y}) AS fy{y}' for y in _YEARS)} FROM cells WHERE change NOT IN ('unchanged', 'numbers only') GROUP BY ALL""",
-    "active_headings": f"""{CELLS} SELECT chamber, slug, heading, count(*) AS n FROM cells GROUP BY ALL HAVING bool_or(change NOT IN ('unchanged', 'numbers only'))""",
     "thread_names": f"""WITH {_S} SELECT section_id, left(replace(trim(regexp_replace(lower(array_to_string(path, ' ')), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), 90) || '-' || left(md5(array_to_string(path, ' > ')), 6) AS name FROM s WHERE len(path) > 0""",
     "directive_sections": f"WITH {_S} SELECT section_id, package_id FROM s WHERE len(list_filter(paragraphs, lambda z: z.kind = 'directive')) > 0",
-    "stitch_returned": f"""{CELLS}, yy AS (SELECT chamber, slug, fy, lead(fy) OVER (PARTITION BY chamber, slug ORDER BY fy) AS next_fy, min(fy) OVER (PARTITION BY chamber, slug) AS first_fy FROM e),
-        g AS (SELECT thread, min(fy) AS a, max(fy) AS b, min(chamber) AS chamber, min(slug) AS slug, arg_min(path, fy) AS p0, arg_max(path, fy) AS p1 FROM cells GROUP BY thread),
-        d AS (SELECT g.chamber, g.slug, p1[1] || ' > ' || p1[-1] AS key, thread AS dead_id, next_fy AS death FROM g JOIN yy ON yy.chamber = g.chamber AND yy.slug = g.slug AND yy.fy = g.b WHERE next_fy IS NOT NULL),
-        n2 AS (SELECT g.chamber, g.slug, p0[1] || ' > ' || p0[-1] AS key, thread AS born_id, a AS birth FROM g JOIN yy ON yy.chamber = g.chamber AND yy.slug = g.slug AND yy.fy = g.a WHERE a > first_fy),
-        dr AS (SELECT *, row_number() OVER (PARTITION BY chamber, slug, key ORDER BY death, dead_id) AS nth FROM d WHERE NOT contains(key, '> SEC ')),
-        nr AS (SELECT *, row_number() OVER (PARTITION BY chamber, slug, key ORDER BY birth, born_id) AS nth FROM n2 WHERE NOT contains(key, '> SEC '))
-        SELECT dr.chamber, dr.slug, dead_id, born_id, CASE WHEN birth = death THEN 'reorganized' ELSE 'returned' END AS kind
-        FROM dr JOIN nr ON dr.chamber = nr.chamber AND dr.slug = nr.slug AND dr.key = nr.key AND dr.nth = nr.nth WHERE birth >= death""",
-    "leader_spans": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
-        k AS (SELECT doc_id, i FROM l WHERE trim(line) <> '' AND (regexp_matches(trim(line), '^[-=_]{5,}$') OR regexp_matches(trim(line), '\.{4,}'))),
-        r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM k)
-        SELECT doc_id, CAST(min(i) AS INTEGER) AS start, CAST(max(i) + 1 AS INTEGER) AS "end" FROM r GROUP BY doc_id, island""",
     "token_sets": rf"""{BASE}, w AS (SELECT pair, old_id, new_id, list_distinct(list_filter(string_split_regex(lower(array_to_string(list_transform(op, lambda z: coalesce(z.text, '')), ' ')), '[ \t\r\n]+'), lambda v: v <> '')) AS a,
           list_distinct(list_filter(string_split_regex(lower(array_to_string(list_transform(np, lambda z: coalesce(z.text, '')), ' ')), '[ \t\r\n]+'), lambda v: v <> '')) AS b FROM m)
         SELECT pair, old_id, new_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS shared, CAST(len(a) - len(list_intersect(a, b)) AS INTEGER) AS only_old, CAST(len(b) - len(list_intersect(a, b)) AS INTEGER) AS only_new FROM w""",
@@ -181,23 +78,13 @@ ORACLES = {
     "parent_drift": f"""{BASE}, u AS (SELECT e.chamber, e.slug, e.fy, s.path[-1] AS heading, min(s.path[-2]) AS parent FROM s JOIN e ON s.package_id = e.package_id WHERE len(s.path) > 1 GROUP BY ALL HAVING count(*) = 1)
         SELECT a.chamber, a.slug, a.heading, a.fy AS old_fy, b.fy AS new_fy, a.parent AS old_parent, b.parent AS new_parent
         FROM p JOIN u a ON a.chamber = p.chamber AND a.slug = p.slug AND a.fy = p.old_fy JOIN u b ON b.chamber = p.chamber AND b.slug = p.slug AND b.fy = p.new_fy AND b.heading = a.heading WHERE a.parent <> b.parent""",
-    "structure_sweep": f"""WITH {_S} SELECT package_id, count(*) AS sections, CAST(sum(len(paragraphs)) AS BIGINT) AS paragraphs, CAST(sum(table_spans) AS BIGINT) AS tables,
-        CAST(sum(len(list_filter(paragraphs, lambda z: z.kind = 'directive'))) AS BIGINT) AS directives, count(*) < 15 OR sum(len(paragraphs)) < 30 AS thin FROM s GROUP BY package_id""",
     "outline_nodes": f"""WITH {_S}, a AS (SELECT package_id, seq, section_id, path, lag(path) OVER (PARTITION BY package_id ORDER BY seq, section_id) AS before FROM s WHERE len(path) > 0),
         b AS (SELECT *, unnest(range(1, len(path) + 1)) AS depth FROM a),
         c AS (SELECT *, sum(CASE WHEN before[1:depth] IS NOT DISTINCT FROM path[1:depth] THEN 0 ELSE 1 END) OVER (PARTITION BY package_id, depth ORDER BY seq, section_id) AS node FROM b)
         SELECT package_id, CAST(depth AS INTEGER) AS depth, CAST(node AS BIGINT) AS node, array_to_string(min(path[1:depth]), ' > ') AS prefix, min(seq) AS first_seq, count(*) AS sections FROM c GROUP BY package_id, depth, node""",
-    "index_page": f"""{BASE}, x AS (SELECT pair, {_joined('op')} AS a, {_joined('np')} AS b FROM m),
-        z AS (SELECT pair, CAST(a <> b AS INTEGER) AS changed, 0 AS new, 0 AS dropped FROM x WHERE a <> b
-          UNION ALL SELECT o.pair, 0, 0, 1 FROM o LEFT JOIN m ON m.pair = o.pair AND m.old_id = o.section_id WHERE m.old_id IS NULL
-          UNION ALL SELECT n.pair, 0, 1, 0 FROM n LEFT JOIN m ON m.pair = n.pair AND m.new_id = n.section_id WHERE m.new_id IS NULL)
-        SELECT pair, CAST(sum(changed) AS BIGINT) AS changed, CAST(sum(new) AS BIGINT) AS new, CAST(sum(dropped) AS BIGINT) AS dropped FROM z GROUP BY pair""",
     "merged_labels": """WITH c AS (SELECT least(old_section_id, new_section_id) AS a, greatest(old_section_id, new_section_id) AS b, accepted, auto, decided_at FROM linkage_candidates
           WHERE old_section_id IS NOT NULL AND new_section_id IS NOT NULL AND accepted IS NOT NULL)
         SELECT a, b, accepted, auto AS drafted FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY auto, decided_at DESC, accepted DESC) AS rn FROM c) WHERE rn = 1""",
-    "figures": rf"""WITH {_PARA} SELECT para_id, CAST(len(regexp_extract_all(text, '\$[0-9]')) AS INTEGER) AS amounts, CAST(len(regexp_extract_all(text, '\b[0-9]+ percent\b')) AS INTEGER) AS shares,
-        CAST(len(regexp_extract_all(text, '\b[0-9]+ (?:days|weeks|months)\b')) AS INTEGER) AS spans, CAST(len(regexp_extract_all(text, '\b(?:19|20)[0-9]{{2}}\b')) AS INTEGER) AS years,
-        CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '\$([0-9][0-9,]*)', 1), lambda z: CAST(replace(z, ',', '') AS BIGINT))), 0) AS BIGINT) AS dollars FROM q WHERE {_ASCII}""",
     "stratified_sample": f"""WITH {_PARA}, {_E} SELECT para_id, kind, fy, turn FROM (SELECT para_id, kind, fy, CAST(row_number() OVER (PARTITION BY kind, fy ORDER BY md5(CAST(para_id AS VARCHAR)), para_id) AS INTEGER) AS turn
         FROM q JOIN e USING (package_id)) WHERE turn <= 5""",
 }

@@ -13,6 +13,11 @@ _BLANK = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202
 _LETTER = r"[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]"
 
 
+def letters(x: str) -> str:
+    """Other letters and digits as one word character; blanks as they are, since a phrase's blanks are plain ones."""
+    return f"regexp_replace({x}, '{_LETTER}', '_', 'g')"
+
+
 def plain(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '{_BLANK}', ' ', 'g'), '{_LETTER}', '_', 'g')"
 
@@ -243,7 +248,7 @@ ca AS (SELECT sid, unnest(range(length(ma))) AS i, unnest(string_split(ma, ''))
 lt AS (SELECT mk.sid, CASE WHEN ma = mb THEN 'numbers only' WHEN changed <= 5 OR 2.0::DOUBLE * x.n / (length(ma) + length(mb)) >= 0.97 THEN 'minor' ELSE 'substantive' END AS literal FROM mk LEFT JOIN (SELECT sid, sum(bn) AS n FROM c GROUP BY sid) x ON x.sid = mk.sid),
 -- what edits change: only texts that were paired
 ed AS (SELECT DISTINCT wt.sid AS wid, ms.gap, wt.a, wt.b, wa, wb, wt.sid * 1000 + ms.gap AS eid FROM placed q JOIN ms ON ms.sid = q.sid JOIN wt ON wt.a = q.old_text AND wt.b = q.new_text WHERE q.i IS NOT NULL AND q.j IS NOT NULL),
-ec AS (SELECT *, {_COUNTS} FROM (SELECT *, {plain('lower(a)')} AS lo, {plain('lower(b)')} AS ln FROM ed)),
+ec AS (SELECT *, {_COUNTS} FROM (SELECT *, {letters('lower(a)')} AS lo, {letters('lower(b)')} AS ln FROM ed)),
 ef AS (SELECT *, ({_FORCE_DIFFER}) AS forced FROM ec),
 hp AS (SELECT *, sum(fresh) OVER (PARTITION BY sid ORDER BY i1, j1) AS hunk FROM (SELECT *, CASE WHEN i1 - lag(i2) OVER (PARTITION BY sid ORDER BY i1, j1) <= 3 THEN 0 ELSE 1 END AS fresh FROM w_g)),
 hh AS (SELECT sid, hunk, min(i1) AS i1, max(i2) AS i2, min(j1) AS j1, max(j2) AS j2 FROM hp GROUP BY ALL),
