@@ -118,22 +118,23 @@ def _bare(word: Column) -> Column:
 
 def has_deadline(text: Column) -> Column:
     """Whether a number of the text counts days, weeks, months or years, and is no year, citation or date."""
-    words = words_of(text)
-    bare = F.transform(words, _bare)
     numeral = "(?i)\\A[+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:e[+-]?\\d+)?\\z"
     spelt = F.array(*map(F.lit, policy.NUMBER_WORDS))
+    cite, no_cite = bounded(policy.CITATION.replace("$", "\\z")), "(?:" + "|".join(policy.NO_CITATION) + ")\\z"
 
-    def holds(b: Column, k: Column) -> Column:
+    def holds(words: Column, bare: Column, b: Column, k: Column) -> Column:
         value = F.regexp_replace(F.regexp_replace(b, "[$,]", ""), "%+\\z", "")
         before = F.array_join(F.slice(bare, F.greatest(k - policy.NUMBER_CONTEXT + 1, F.lit(1)), F.least(k, F.lit(policy.NUMBER_CONTEXT))), " ")
-        cited = before.rlike(bounded(policy.CITATION.replace("$", "\\z"))) & ~before.rlike("(?:" + "|".join(policy.NO_CITATION) + ")\\z")
+        cited = before.rlike(cite) & ~before.rlike(no_cite)
         year = b.rlike("\\A(19|20)\\d{2}\\z") & ~F.contains(F.get(words, k), F.lit("$"))
         month = F.coalesce(F.get(bare, k - 1).rlike(policy.MONTH), F.lit(False))
         timed = F.coalesce(F.get(bare, k + 1).rlike(policy.TIME_UNIT), F.lit(False))
         # the cheap test first: most words aren't followed by a unit of time
         return timed & (value.rlike(numeral) | F.array_contains(spelt, value)) & ~year & ~cited & ~month
 
-    return F.size(F.filter(bare, holds)) > 0
+    # the words are bound to a name, as an element of an array, so that they are made once and not for every word
+    made = F.transform(F.array(words_of(text)), lambda w: F.struct(w.alias("words"), F.transform(w, _bare).alias("bare")))
+    return F.exists(made, lambda m: F.size(F.filter(m["bare"], lambda b, k: holds(m["words"], m["bare"], b, k))) > 0)
 
 
 def describe(text: Column, lexicon: policy.Lexicon = policy.LEXICON) -> Column:

@@ -165,7 +165,8 @@ def _n(pattern: str, text: str) -> str:
 def family(name: str, text: str) -> str:
     """Count of a family's phrases in a lower-cased text made plain."""
     if name == "hortatory":
-        return f"({_n(_FORCE[name], text)} - {_n(_FUNDED, text)})"
+        spaced = f"regexp_replace({text}, '{_BLANK}', ' ', 'g')"
+        return f"({_n(_FORCE[name], text)} - {_n(_FUNDED, spaced)})"
     if name == "negation":
         return _n(_FAMILY[name], f"regexp_replace({text}, '{_SCOPED}', ' ', 'g')")
     return _n((_FORCE | _FAMILY | {"limit": _LIMIT, "deadline": _DEADLINE})[name], text)

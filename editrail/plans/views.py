@@ -207,4 +207,4 @@ def page(title: str, rows: list[dict], columns: list[str]) -> str:
 def dump_sections(sections: DataFrame) -> DataFrame:
     """(package_id, json): the sections of each report in reading order."""
     row = F.struct("seq", "heading", "level", "path", "paragraphs", "table_spans")
-    return sections.groupBy("package_id").agg(F.sort_array(F.collect_list(row)).alias("s")).select("package_id", F.to_json("s").alias("json"))
+    return sections.groupBy("package_id").agg(F.sort_array(F.collect_list(row)).alias("s")).select("package_id", F.to_json("s", {"ignoreNullFields": "false"}).alias("json"))
