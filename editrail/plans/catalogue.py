@@ -18,6 +18,7 @@ from editrail.plans import compare as cp
 from editrail.plans import evaluate as ev
 from editrail.plans import history as hs
 from editrail.plans import oracles as o
+from editrail.plans import oracles_chain as on
 from editrail.plans import oracles_compare as oc
 from editrail.plans import oracles_text as ot
 from editrail.plans import review as rv
@@ -572,4 +573,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": snapshots.P1_SQL} | o.ORACLES | oc.ORACLES | ot.ORACLES
+    return {"p1_found": snapshots.P1_SQL} | o.ORACLES | oc.ORACLES | ot.ORACLES | on.ORACLES

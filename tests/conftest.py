@@ -13,4 +13,6 @@ def spark(tmp_path_factory):
     s = session("tests", "local[4]")
     s.sparkContext.setLogLevel("ERROR")
     s.conf.set("spark.sql.shuffle.partitions", "4")
+    # tables of a few rows: compiling their plans would take longer than running them
+    s.conf.set("spark.sql.codegen.wholeStage", "false")
     return s
