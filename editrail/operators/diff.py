@@ -57,6 +57,8 @@ def pair_paragraphs(olds: list[dict], news: list[dict]) -> list[tuple[int | None
 
     Equal runs of keys pair by position; within a replaced run the pairs of most alike words are taken first.
     """
+    if olds == news:
+        return [(i, i) for i in range(len(olds))]
     matcher = difflib.SequenceMatcher(None, [paragraph_key(p) for p in olds], [paragraph_key(p) for p in news], autojunk=False)
     out: list[tuple[int | None, int | None]] = []
     for tag, i1, i2, j1, j2 in matcher.get_opcodes():

@@ -519,9 +519,8 @@ def reference_paragraphs(spark, d):
     return p.select("doc_id", "idx", F.md5("heading").alias("heading"), F.md5("text").alias("text"))
 
 
-def _units(spark, d):
-    p = _pairs(spark, d)
-    s = src.sections(spark, d).select("package_id", "seq", "section_id", "heading", F.posexplode("paragraphs").alias("i", "p")).where("p.text IS NOT NULL")
+def _units(p, sections):
+    s = sections.select("package_id", "seq", "section_id", "heading", F.posexplode("paragraphs").alias("i", "p")).where("p.text IS NOT NULL")
     s = s.select("package_id", (F.shiftleft(F.col("seq").cast("long"), 32) + F.col("i")).alias("idx"), "heading", "p.text")
     side = lambda c: s.join(p.select("pair", F.col(c).alias("package_id")), "package_id").drop("package_id")
     return rv.extract_units(side("old_package"), side("new_package"), ["pair"])
@@ -529,13 +528,14 @@ def _units(spark, d):
 
 def evaluation_units(spark, d):
     """What differs between the editions of every pair, by their texts alone."""
-    return _units(spark, d).groupBy("pair", "type").agg(F.count("*").alias("n"), F.sum("changed_words").cast("long").alias("words"))
+    return _units(_pairs(spark, d), src.sections(spark, d)).groupBy("pair", "type").agg(F.count("*").alias("n"), F.sum("changed_words").cast("long").alias("words"))
 
 
 def located_units(spark, d):
     """What the comparison made of each unit."""
-    u = cut(_units(spark, d).withColumn("unit", F.concat_ws(":", "type", "old_idx", "new_idx")).select("pair", "unit", "type", "old_text", "new_text"))
-    return rv.locate(u, rv.tool_view(_comparison(spark, d))).groupBy("pair", "type", "status").agg(F.count("*").alias("n"))
+    pairs, sections = cut(_pairs(spark, d)), cut(src.sections(spark, d))
+    u = cut(_units(pairs, sections).withColumn("unit", F.concat_ws(":", "type", "old_idx", "new_idx")).select("pair", "unit", "type", "old_text", "new_text"))
+    return rv.locate(u, rv.tool_view(cp.compare(pairs, sections))).groupBy("pair", "type", "status").agg(F.count("*").alias("n"))
 
 
 # ---- similarity kernels

@@ -5,7 +5,6 @@ The units share no code with the segmenter but the bounds of the body: paragraph
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -19,12 +18,13 @@ from editrail.functions import similarity as sim
 from editrail.functions.text import WRAP_HYPHEN, comparison_key
 from editrail.operators import diff as df_
 from editrail.operators.segment import LEADER, body_bounds, indent, report_text
-from editrail.runtime import spread
+from editrail.runtime import cut, spread
 
 # Bars of pairing and locating units, sizes of samples, and labels that a reader need not act on.
 PAIR_RATIO, LOCATE_RATIO = 60.0, 90.0
 SMALL_EDIT, LEAST_WORDS, DEEP_INDENT, LONGEST_HEADING = 12, 4, 9, 90
 BATCH = 70
+BLOCK = 512
 QUIET_KINDS = ("editorial", "routine_numbers", "renumbering")
 PACKET = {"3 flag, looks right": 6, "4 quiet, looks right": 4}
 
@@ -72,17 +72,27 @@ def reference_paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
 def close_pairs(a: DataFrame, b: DataFrame, scope: list[str], least: float) -> DataFrame:
     """(scope, a, b, score) of the texts a of the one table and b of the other that are at least so alike; equal ones too.
 
-    Texts meet in bands of length that hold every pair which can reach the bar; what the lengths alone rule out isn't scored.
+    The texts of a scope, by length, are cut into blocks; two blocks are one row's work, unless their lengths alone rule all pairs
+    out. Within it a bound from lengths and counted characters drops pairs before any is scored.
     """
-    reach = least / (200 - least)
-    step = -math.log(reach)
-    band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / step).cast("int")
-    a = a.select(*scope, "a").distinct().withColumn("band", F.explode(F.sequence(band("a") - 1, band("a") + 1)))
-    both = a.join(b.select(*scope, "b").distinct().withColumn("band", band("b")), [*scope, "band"]).drop("band")
-    la, lb = F.length("a"), F.length("b")
-    both = both.where(200 * F.least(la, lb) >= least * (la + lb))
-    score = F.when(F.col("a") == F.col("b"), F.lit(100.0)).otherwise(sim.indel(F.when(F.col("a") != F.col("b"), F.col("a")), "b"))
-    return both.withColumn("score", score).where(F.col("score") >= least)
+    w = lambda c: Window.partitionBy(*scope).orderBy(F.length(c), c)
+
+    def blocks(df: DataFrame, c: str) -> DataFrame:
+        t = df.where(F.col(c).isNotNull()).select(*scope, c).distinct().withColumn("block", F.floor((F.row_number().over(w(c)) - 1) / BLOCK))
+        return t.groupBy(*scope, "block").agg(F.min(F.length(c)).alias(f"{c}_least"), F.max(F.length(c)).alias(f"{c}_most"), F.collect_list(c).alias(c)).drop("block")
+
+    both = blocks(a, "a").join(blocks(b, "b"), scope)
+    meet = lambda short, long: 200 * F.col(short) >= least * (F.col(short) + F.col(long))
+    both = both.where((meet("a_most", "b_least") | (F.col("a_most") >= F.col("b_least"))) & (meet("b_most", "a_least") | (F.col("b_most") >= F.col("a_least"))))
+    both = both.select(*scope, "a", "b")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(*of, x, y, r) for *of, xs, ys in f.itertuples(index=False) for x, y, r in sim.alike(list(xs), list(ys), least)]
+            yield pd.DataFrame(rows, columns=[*scope, "a", "b", "score"])
+
+    types = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in scope)
+    return both.mapInPandas(run, f"{types}, a string, b string, score double")
 
 
 def extract_units(olds: DataFrame, news: DataFrame, scope: list[str]) -> DataFrame:
@@ -92,17 +102,22 @@ def extract_units(olds: DataFrame, news: DataFrame, scope: list[str]) -> DataFra
     relocated if their headings differ. Of the rest, those that are each other's most alike are edited if alike enough, all
     others removed or added. idx is unique within a scope and gives the order.
     """
-    w = Window.partitionBy(*scope, "key").orderBy("idx")
-    side = lambda df, s: df.select(*scope, "key", F.col("idx").alias(f"{s}_idx"), F.col("heading").alias(f"{s}_heading"), F.col("text").alias(f"{s}_text"), F.row_number().over(w).alias("nth"))
-    o, n = side(olds.withColumn("key", comparison_key(F.col("text"))), "old"), side(news.withColumn("key", comparison_key(F.col("text"))), "new")
-    both = o.join(n, [*scope, "key", "nth"])
-    relocated = both.where("NOT old_heading <=> new_heading").withColumn("type", F.lit("relocated"))
-    rest = lambda df, s: df.join(both.select(*scope, f"{s}_idx"), [*scope, f"{s}_idx"], "left_anti")
-    o, n = rest(o, "old"), rest(n, "new")
+    side = lambda df, s: df.select(*scope, comparison_key(F.col("text")).alias("key"), F.lit(s).alias("side"), F.struct("idx", "heading", "text").alias("p"))
+    # both sides are shuffled once; what stands on both under one heading is no unit and goes no further
+    lines = side(olds, "old").unionByName(side(news, "new")).repartition(*scope, "key")
+    lines = lines.withColumn("nth", F.row_number().over(Window.partitionBy(*scope, "key", "side").orderBy("p.idx")))
+    of = lambda s: F.max(F.when((F.col("side") == s) & F.col("key").isNotNull(), F.col("p"))).alias(s)
+    both = lines.groupBy(*scope, "key", "nth").agg(of("old"), of("new"))
+    both = both.where("old IS NULL OR new IS NULL OR NOT old.heading <=> new.heading")
+    both = cut(both.select(*scope, "key", "nth", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("old", "new") for c in ("idx", "heading", "text")]))
+    relocated = both.where("old_idx IS NOT NULL AND new_idx IS NOT NULL").withColumn("type", F.lit("relocated"))
+    rest = lambda s, other: both.where(F.col(f"{other}_idx").isNull()).select(*scope, "key", f"{s}_idx", f"{s}_heading", f"{s}_text", "nth")
+    o, n = rest("old", "new"), rest("new", "old")
     scored = close_pairs(o.withColumnRenamed("key", "a"), n.withColumnRenamed("key", "b"), scope, PAIR_RATIO)
     cand = scored.join(o.withColumnRenamed("key", "a").drop("nth"), [*scope, "a"]).join(n.withColumnRenamed("key", "b").drop("nth"), [*scope, "b"])
     best = lambda s, t: F.row_number().over(Window.partitionBy(*scope, f"{s}_idx").orderBy(F.desc("score"), f"{t}_idx")) == 1
     edited = cand.withColumn("ob", best("old", "new")).withColumn("nb", best("new", "old")).where("ob AND nb").withColumn("type", F.lit("edited"))
+    edited = cut(edited.drop("a", "b", "ob", "nb"))
     left = lambda df, s: df.join(edited.select(*scope, f"{s}_idx"), [*scope, f"{s}_idx"], "left_anti")
     none = F.lit(None)
     removed = left(o, "old").select(*scope, F.lit("removed").alias("type"), "old_idx", none.cast("long").alias("new_idx"), "old_heading", none.cast("string").alias("new_heading"), "old_text", none.cast("string").alias("new_text"))
@@ -130,7 +145,7 @@ def tool_view(comparison) -> dict[str, DataFrame]:
     texts = lambda side: side.select("pair", "section_id", F.explode("paragraphs").alias("p")).select("pair", "section_id", comparison_key(F.coalesce("p.text", F.lit(""))).alias("k"))
     lone = lambda side, label, text: texts(side).select("pair", "k").unionByName(d.where(F.col("change") == label).select("pair", key(text).alias("k"))).distinct()
     at = comparison.sections.select("pair", "old_id", "new_id", "anchor")
-    anchored = lambda side, id_: texts(side).join(at.select("pair", F.col(id_).alias("section_id"), "anchor"), ["pair", "section_id"]).select("pair", "k", "anchor")
+    anchored = lambda side, id_: texts(side).join(at.select("pair", F.col(id_).alias("section_id"), "anchor"), ["pair", "section_id"], "left").select("pair", "k", "anchor")
     return {"edits": edits, "moves": moves, "added": lone(m.added, "new", "new_text"), "removed": lone(m.removed, "dropped", "old_text"), "old": anchored(m.old, "old_id"), "new": anchored(m.new, "new_id")}
 
 
@@ -143,32 +158,30 @@ def locate(units: DataFrame, view: dict[str, DataFrame]) -> DataFrame:
     """
     u = units.withColumn("ok", comparison_key(F.col("old_text"))).withColumn("nk", comparison_key(F.col("new_text")))
 
-    def near(side: str, texts: DataFrame) -> DataFrame:
-        """(pair, unit, key in the view) of the view's texts that are a unit's, or nearly."""
+    def near(side: str, whole: str, lone: str, seen: str, alone: str) -> DataFrame:
+        """(pair, unit, side, had, alone) of the view's texts of a side that are a unit's, or nearly: whether an edition has them, and whether they are without counterpart."""
+        mark = lambda df, k, had, by: df.select("pair", F.col(k).alias("k")).distinct().select("pair", "k", F.lit(had).alias(seen), F.lit(by).alias(alone))
+        texts = mark(view[whole], "k", True, False).unionByName(mark(view[lone], "k", False, True))
+        texts = texts.unionByName(mark(e, side, False, False)).unionByName(mark(m, side, False, False)).where("k IS NOT NULL")
+        texts = cut(texts.groupBy("pair", "k").agg(F.bool_or(seen).alias(seen), F.bool_or(alone).alias(alone)))
         own = u.where(F.col(side).isNotNull()).select("pair", "unit", F.col(side).alias("a"))
-        return own.join(close_pairs(own, texts.select("pair", F.col("k").alias("b")), ["pair"], LOCATE_RATIO), ["pair", "a"]).select("pair", "unit", F.col("b").alias("k")).distinct()
-
-    def hits(shown: DataFrame, name: str, ends: str) -> DataFrame:
-        """The first shown row of each unit: ends says which sides a unit must have in common with it."""
-        said = F.struct("change", "literal", "flags")
-        rows = shown
-        if "o" in ends:
-            rows = rows.join(near("ok", shown.select("pair", F.col("ok").alias("k"))).withColumnRenamed("k", "ok").withColumnRenamed("unit", "uo"), ["pair", "ok"])
-        if "n" in ends:
-            rows = rows.join(near("nk", shown.select("pair", F.col("nk").alias("k"))).withColumnRenamed("k", "nk").withColumnRenamed("unit", "un"), ["pair", "nk"])
-        if ends == "on":
-            rows = rows.where("uo = un")
-        return rows.groupBy("pair", F.col("uo" if "o" in ends else "un").alias("unit")).agg(F.min_by(said, F.struct("ok", "nk")).alias(name))
-
-    def seen(side: str, texts: DataFrame, name: str) -> DataFrame:
-        return near(side, texts).select("pair", "unit").distinct().withColumn(name, F.lit(True))
-
-    e, m = view["edits"], view["moves"]
-    for extra in (
-        hits(m, "m_both", "on"), hits(m, "m_old", "o"), hits(m, "m_new", "n"), hits(e, "e_both", "on"), hits(e, "e_old", "o"), hits(e, "e_new", "n"),
-        seen("ok", view["removed"], "gone"), seen("nk", view["added"], "come"), seen("ok", view["old"], "had_old"), seen("nk", view["new"], "had_new"),
-    ):
-        u = u.join(extra, ["pair", "unit"], "left")
+        close = close_pairs(own, texts.select("pair", F.col("k").alias("b")), ["pair"], LOCATE_RATIO).drop("score")
+        return cut(own.join(close, ["pair", "a"]).withColumnRenamed("b", "k").join(texts, ["pair", "k"]).select("pair", "unit", F.col("k").alias(side), seen, alone))
+
+    e, m = cut(view["edits"]), cut(view["moves"])
+    old_near, new_near = near("ok", "old", "removed", "had_old", "gone"), near("nk", "new", "added", "had_new", "come")
+    by_old, by_new = old_near.select("pair", "unit", "ok"), new_near.select("pair", "unit", "nk")
+    names = ("had_old", "gone", "had_new", "come")
+    none = F.lit(None).cast(e.select(F.struct("change", "literal", "flags", "ok", "nk").alias("s")).schema["s"].dataType)
+    seen = lambda df: df.select("pair", "unit", none.alias("row"), F.lit(None).cast("string").alias("name"), *[F.col(c) if c in df.columns else F.lit(False).alias(c) for c in names])
+    rows = seen(old_near).unionByName(seen(new_near))
+    # a shown row counts for a unit by either side, or by both
+    for shown, s in ((m, "m"), (e, "e")):
+        for hit, name in ((shown.join(by_old, ["pair", "ok"]), "old"), (shown.join(by_new, ["pair", "nk"]), "new"), (shown.join(by_old, ["pair", "ok"]).join(by_new, ["pair", "unit", "nk"]), "both")):
+            rows = rows.unionByName(hit.select("pair", "unit", F.struct("change", "literal", "flags", "ok", "nk").alias("row"), F.lit(f"{s}_{name}").alias("name"), *[F.lit(False).alias(c) for c in names]))
+    first = lambda name: F.min_by(F.struct("row.change", "row.literal", "row.flags"), F.when(F.col("name") == name, F.struct("row.ok", "row.nk"))).alias(name)
+    found = rows.groupBy("pair", "unit").agg(*[first(f"{s}_{name}") for s in "me" for name in ("old", "new", "both")], *[F.bool_or(c).alias(c) for c in names])
+    u = u.join(found, ["pair", "unit"], "left")
     is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
     old, new = F.col("old_text").isNotNull(), F.col("new_text").isNotNull()
     moved = F.when(old & new, F.col("m_both")).when(old, F.col("m_old")).otherwise(F.col("m_new"))

@@ -121,3 +121,25 @@ def test_two_renderings_agree_in_words(spark):
     b = spark.createDataFrame([(1, "the up-stream gates all of $1,200.50 leave")], "k long, text string")
     r = rv.render_agreement(a, b, "k").first()
     assert r["words"] == 7 and r["agreement"] == pytest.approx(6 / 7)
+
+
+def test_close_pairs_over_several_blocks(spark, monkeypatch):
+    import random
+
+    from editrail.functions.similarity import indel_ratio
+
+    monkeypatch.setattr(rv, "BLOCK", 7)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    a, b = [("s", t) for t in texts], [("s", t[: len(t) - rng.randint(0, 3)]) for t in texts]
+    got = {(r["a"], r["b"]) for r in rv.close_pairs(spark.createDataFrame(a, "s string, a string"), spark.createDataFrame(b, "s string, b string"), ["s"], 90.0).collect()}
+    assert got == {(x, y) for _, x in a for _, y in b if indel_ratio(x, y) >= 90}
+
+
+def test_each_side_of_the_view_meets_the_units_once(spark, monkeypatch):
+    """It was ten times: once for every table of the view and side of a unit."""
+    calls, plain = [], rv.close_pairs
+    monkeypatch.setattr(rv, "close_pairs", lambda *args: calls.append(1) or plain(*args))
+    u = spark.createDataFrame([("p", "u", "edited", "the lamps are lit", "the lamps were lit")], "pair string, unit string, type string, old_text string, new_text string")
+    got = rv.locate(u, view(spark, edits=[("the lamps are lit", "the lamps were lit", "minor", "minor", [(1,)])], old=["the lamps are lit"], new=["the lamps were lit"]))
+    assert [(r["status"], r["change"]) for r in got.collect()] == [("edited", "minor")] and len(calls) == 2

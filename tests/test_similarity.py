@@ -52,3 +52,18 @@ def test_udfs(spark):
     df = spark.createDataFrame([("abcd", "abxd"), (None, "x"), ("", "")], "a string, b string")
     rows = df.select(sim.indel("a", "b").alias("i"), sim.edited_words(sim.edits("a", "b")).alias("w")).collect()
     assert [r["i"] for r in rows] == [75.0, None, 100.0] and rows[0]["w"] == 1
+
+
+def test_lanes_and_alike_equal_one_by_one():
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeé😀 x") for _ in range(rng.randint(0, 6))) for _ in range(30)]
+    a = list({" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(70)})
+    b = list({" ".join(w if rng.random() < 0.95 else "q" for w in rng.choice(a).split(" ")) for _ in range(60)} | {""})
+    for y in b:
+        assert sim.Lanes(a).lcs_lengths(y) == [sim.lcs_length(x, y) for x in a]
+    for least in (60.0, 90.0):
+        want = sorted((x, y, sim.indel_ratio(x, y)) for x in a for y in b if sim.indel_ratio(x, y) >= least)
+        assert want and sorted(sim.alike(a, b, least)) == sorted((x, y, r) for y, x, r in sim.alike(b, a, least)) == want
+    assert sim.alike([], b, 60.0) == sim.alike(a, [], 60.0) == []
