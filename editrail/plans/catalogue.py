@@ -535,7 +535,7 @@ def located_units(spark, d):
     """What the comparison made of each unit."""
     pairs, sections = cut(_pairs(spark, d)), cut(src.sections(spark, d))
     u = cut(_units(pairs, sections).withColumn("unit", F.concat_ws(":", "type", "old_idx", "new_idx")).select("pair", "unit", "type", "old_text", "new_text"))
-    return rv.locate(u, rv.tool_view(cp.compare(pairs, sections))).groupBy("pair", "type", "status").agg(F.count("*").alias("n"))
+    return rv.locate(u, rv.tool_view(cp.compare(pairs, sections, whole=True))).groupBy("pair", "type", "status").agg(F.count("*").alias("n"))
 
 
 # ---- similarity kernels

@@ -71,12 +71,12 @@ def find_moves(gone: DataFrame, come: DataFrame) -> DataFrame:
     return first.unionByName(second).unionByName(third)
 
 
-def match(pairs: DataFrame, sections: DataFrame) -> Matching:
+def match(pairs: DataFrame, sections: DataFrame, whole: bool = False) -> Matching:
     """Sections through all passes: guarded exact path, unique heading, fuzzy heading, content, promoted renames."""
     pairs = cut(pairs)
     sections = cut(sections.select("section_id", "package_id", "seq", "sort_order", "heading", "level", "path", "paragraphs"))
     old, new = al.sides(pairs, sections)
-    matched, candidates, scored = al.align(old, new)
+    matched, candidates, scored = al.align(old, new, whole)
     path_of = lambda side, id_, name: side.select("pair", F.col("section_id").alias(id_), F.col("path").alias(name))
     paths = matched.join(path_of(old, "old_id", "old_path"), ["pair", "old_id"]).join(path_of(new, "new_id", "new_path"), ["pair", "new_id"])
     renamed = al.promote_renames(al.best_counterparts(scored, matched), paths).select("pair", "old_id", "new_id", F.lit("renamed").alias("match_pass"), "score")
@@ -98,8 +98,8 @@ def section_classes(matched: DataFrame, diffs: DataFrame) -> DataFrame:
     return per_section.select("pair", "old_id", "new_id", F.coalesce("change", F.lit("unchanged")).alias("change"), F.coalesce("changed_words", F.lit(0)).alias("changed_words"))
 
 
-def compare(pairs: DataFrame, sections: DataFrame) -> Comparison:
-    m = match(pairs, sections)
+def compare(pairs: DataFrame, sections: DataFrame, whole: bool = False) -> Comparison:
+    m = match(pairs, sections, whole)
     old, new, matched, renamed, removed, added = m.old, m.new, m.matched, m.renamed, m.removed, m.added
     hints = al.related(al.best_counterparts(m.scored, matched))
     diffs = cut(df_.paragraph_diffs(with_paragraphs(m)))

@@ -142,3 +142,14 @@ def test_near_moves_equal_all_pairs(spark):
     home = {x[2]: x[1] for x in olds + news}
     want = {k for k in score if first(k, 0) == k and first(k, 1) == k and home[k[0]] != home[k[1]]}
     assert got == want and len(got) > 10
+
+
+def test_whole_texts_are_compared_beyond_their_first_characters(spark):
+    lead, far = "The office keeps the lamps and locks in order. " * 50, "Ferries leave twice a day with mail and grain. " * 50
+    other = "Quarries yield slate, lime, jasper, zinc, quartz, onyx. " * 50
+    old, new = sections(spark, [(1, ["T", "B", "OLD NAME"], lead + far)]), sections(spark, [(11, ["T", "B", "ZZZ"], lead + other)])
+    score = lambda whole, o=old, n=new: [r["similar"] for r in al.scored_pairs(o, n, whole).collect()]
+    assert score(False) == [100.0] and all(s < 80 for s in score(True))
+    one, two = ([(k, ["T", f"SEC {k}"], f"Section {k}. The Committee continues a provision on boats.\n" + t)] for k, t in ((5, far), (6, other)))
+    old, new = sections(spark, one), sections(spark, two)
+    assert score(False, old, new) == [100.0] and all(s < 80 for s in score(True, old, new))
